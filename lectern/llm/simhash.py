@@ -148,5 +148,5 @@ def kept_one_each(docs: DataFrame, path: str, shingle: int = SHINGLE) -> DataFra
     leaders = found.where("doc_id = component_id").select("doc_id").distinct()
     named = docs.where(F.col("doc_id").isNotNull()).join(leaders, "doc_id", "left_semi")
     first = Window.partitionBy("doc_id").orderBy(*[F.col(c) for c in docs.columns if c != "doc_id"])
-    alone = named.withColumn("_turn", F.row_number().over(first)).where("_turn = 1")
+    alone = named.withColumn("_lectern_turn", F.row_number().over(first)).where("_lectern_turn = 1")
     return alone.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
