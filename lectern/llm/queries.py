@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import byte_bpe, quality, shared, simhash, token_files, toxicity
+from lectern.llm import byte_bpe, pii, quality, shared, simhash, token_files, toxicity
 from lectern.sources.tables import table
 
 
@@ -31,6 +31,16 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        *[pii.count(F.col("spans"), kind).alias(f"n_{kind}") for kind in pii.KINDS],
+        F.sha2(pii.written(F.col("base")).cast("binary"), 256).alias("base_sha256"),
+        pii.written(F.col("spans")).alias("spans"),
+    )
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality.train(docs, table(spark, sf_dir, "labels"), shared.crc_remainder("doc_id", 4) != 2)
@@ -48,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op3_byte_bpe": op3_byte_bpe,
     "op5_toxicity": op5_toxicity,
+    "op6_pii": op6_pii,
     "op9_quality": op9_quality,
     "op10_simhash": op10_simhash,
 }
