@@ -21,7 +21,8 @@ def connected_components(edges: DataFrame, path: str) -> DataFrame:
 
     Returns node, component (its least node) for every node of an edge. No edges: no rows.
     """
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a != b").distinct()
+    ends = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))  # edges are evaluated once
+    both = edges.where("a != b").select(ends.alias("edge")).select("edge.*").distinct()
     both = _settled(both, f"{path}/edges")
     labels = _settled(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), f"{path}/labels-0")
     for turn in range(1, 200):

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import byte_bpe, pii, quality, shared, simhash, token_files, toxicity, url_rules
+from lectern.llm import byte_bpe, embedding_dups, pii, quality, shared, simhash, token_files, toxicity, url_rules
 from lectern.sources.tables import table
 
 
@@ -45,6 +45,10 @@ def op7_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict", "confidence")
 
 
+def op8_embedding_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dups.near_duplicates(table(spark, sf_dir, "embeddings"), shared.workspace(spark, "embedding-dups"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality.train(docs, table(spark, sf_dir, "labels"), shared.crc_remainder("doc_id", 4) != 2)
@@ -64,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_toxicity": op5_toxicity,
     "op6_pii": op6_pii,
     "op7_url_rules": op7_url_rules,
+    "op8_embedding_dups": op8_embedding_dups,
     "op9_quality": op9_quality,
     "op10_simhash": op10_simhash,
 }
