@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import byte_bpe, embedding_dups, pii, quality, shared, simhash, token_files, toxicity, url_rules
+from lectern.llm import byte_bpe, decontaminate, embedding_dups, pii, quality, shared, simhash, token_files, toxicity, url_rules
 from lectern.sources.tables import table
 
 
@@ -23,6 +23,10 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), shared.workspace(spark, "leaks"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"), shared.crc_remainder("doc_id", 5) != 0)
@@ -65,6 +69,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op3_byte_bpe": op3_byte_bpe,
+    "op4_decontaminate": op4_decontaminate,
     "op5_toxicity": op5_toxicity,
     "op6_pii": op6_pii,
     "op7_url_rules": op7_url_rules,
