@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import byte_bpe, decontaminate, embedding_dups, pii, quality, shared, simhash, token_files, toxicity, url_rules
+from lectern.llm import byte_bpe, decontaminate, embedding_dups, ngram_lm, pii, quality, shared, simhash, token_files, toxicity, url_rules
 from lectern.sources.tables import table
 
 
@@ -19,6 +19,15 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_digests(manifest)
 
 
+def op2_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    remainder = shared.crc_remainder("doc_id", 10)
+    model = ngram_lm.train(docs, remainder != 0, shared.workspace(spark, "lm"))
+    return ngram_lm.score(docs, model).select(
+        "doc_id", (remainder == 0).alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score"
+    )
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -68,6 +77,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
+    "op2_ngram_lm": op2_ngram_lm,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_decontaminate": op4_decontaminate,
     "op5_toxicity": op5_toxicity,
