@@ -1 +1,153 @@
-"""Queries."""
+"""Text queries over the library's pages."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lectern.operators import text
+from lectern.plans.registry import query
+from lectern.sources import library
+from lectern.sources.tables import table
+
+
+
+def _quoted(words) -> str:
+    return ", ".join("'" + w.replace("'", "''") + "'" for w in words)
+
+
+QUESTIONS = (
+    "¿Qué pasa al final del capítulo 3?", "¿Qué ocurre del capítulo 2 al 4?", "Resume la segunda parte", "¿Quién muere al final?", "¿Cómo termina el libro?",
+    "¿Qué hace por fin Ana?", "¿Qué pasó después del crimen?", "¿De qué trata el último capítulo?", "¿Y los capítulos 3, 5 y 7?",
+)
+
+
+@query("token_estimates", "SELECT doc_id, CAST(greatest(1, floor(len(list_filter(string_split_regex(text, '[ \n]'), lambda w: trim(w) <> '')) * 1.3::DOUBLE)) AS INTEGER) AS tokens FROM documents")
+def token_estimates(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "documents").select("doc_id", text.token_estimate(F.col("text")).alias("tokens"))
+
+
+LANGUAGE_SQL = f"""hits AS (SELECT source AS book_id, len(list_filter(words, lambda w: list_contains([{_quoted(text.SPANISH)}], w))) AS es, len(list_filter(words, lambda w: list_contains([{_quoted(text.ENGLISH)}], w))) AS en
+  FROM (SELECT source, regexp_extract_all(lower(text), '\\p{{L}}+') AS words FROM documents))"""
+
+
+@query("detect_language", f"WITH {LANGUAGE_SQL}, s AS (SELECT book_id, CAST(sum(es) AS BIGINT) AS es, CAST(sum(en) AS BIGINT) AS en FROM hits GROUP BY book_id) SELECT book_id, es, en, CASE WHEN en >= 20 AND en > es THEN 'ENGLISH' ELSE 'SPANISH' END AS language FROM s")
+def detect_language(spark: SparkSession, folder: str) -> DataFrame:
+    return text.language(table(spark, folder, "documents").select(F.col("source").alias("book_id"), "text"), "book_id")
+
+
+@query(
+    "header_footer_lines",
+    r"""WITH l AS (SELECT source AS book_id, doc_id, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS lines FROM documents),
+e AS (SELECT book_id, 'top' AS place, unnest(lines[1:4]) AS line FROM l UNION ALL SELECT book_id, 'bottom', unnest(lines[greatest(len(lines) - 3, 1):]) FROM l),
+k AS (SELECT book_id, place, lower(regexp_replace(trim(line), '\s+', ' ', 'g')) AS line FROM e WHERE NOT regexp_matches(line, '^\s*(?:(?:p[áa]g(?:\.|ina)?\.?\s*)?[0-9]+\s*(?:de\s+[0-9]+)?|[-–—]\s*[0-9]+\s*[-–—]|[0-9]+\s*/\s*[0-9]+)\s*$', 'i')),
+f AS (SELECT book_id, place, unnest(list_distinct([line, regexp_replace(line, '[0-9]+', '#', 'g')])) AS line FROM k),
+c AS (SELECT book_id, place, line, count(*) AS n FROM f GROUP BY ALL), s AS (SELECT source AS book_id, greatest(2, floor(count(*) * 0.35)) AS least FROM documents GROUP BY source)
+SELECT book_id, place, line, n FROM c JOIN s USING (book_id) WHERE n >= least AND length(line) BETWEEN 2 AND 160""",
+)
+def header_footer_lines(spark: SparkSession, folder: str) -> DataFrame:
+    return text.repeated_margin_lines(table(spark, folder, "documents").select(F.col("source").alias("book_id"), "text"))
+
+
+@query(
+    "running_heads",
+    r"""WITH h AS (SELECT source AS book_id, doc_id, left(trim(string_split(text, chr(10))[1]), 80) AS head FROM documents), s AS (SELECT * FROM h WHERE head <> ''),
+c AS (SELECT *, count(*) OVER (PARTITION BY book_id, lower(head)) AS n, count(*) OVER (PARTITION BY book_id) AS total FROM s)
+SELECT book_id, doc_id, head FROM c WHERE NOT (n >= 3 AND n > 0.3 * total) AND NOT regexp_matches(head, '^\p{Ll}')""",
+)
+def running_heads(spark: SparkSession, folder: str) -> DataFrame:
+    heads = table(spark, folder, "documents").select(F.col("source").alias("book_id"), "doc_id", F.split("text", "\n")[0].alias("head"))
+    return text.running_heads(heads).select("book_id", "doc_id", "head")
+
+
+@query("classify_documents")
+def classify_documents(spark: SparkSession, folder: str) -> DataFrame:
+    return text.document_scores(table(spark, folder, "documents").select(F.col("source").alias("book_id"), "text"))
+
+
+COST_SQL = f"""{library.CHUNKS_SQL}, t AS (SELECT c.book_id, h.number, sum(length(c.text)) // 4 AS tokens FROM lib_chunks c JOIN lib_chapters h ON h.book_id = c.book_id AND c.start_page BETWEEN h.start_page AND h.end_page GROUP BY 1, 2)"""
+
+
+@query(
+    "key_point_cost",
+    f"""WITH {COST_SQL} SELECT book_id, number, CAST(tokens AS BIGINT) AS tokens, CAST(tokens + 1000 * ceil(tokens / 30000.0) AS BIGINT) AS input_tokens, CAST(300 * ceil(tokens / 30000.0) AS BIGINT) AS output_tokens,
+CASE WHEN pages <= 2 THEN 1 ELSE 2 END AS least_points, CAST(least(greatest((pages + 1) // 2, 3), 15) AS INTEGER) AS most_points FROM t JOIN (SELECT book_id, number, end_page - start_page + 1 AS pages FROM lib_chapters) USING (book_id, number) WHERE tokens > 0""",
+)
+def key_point_cost(spark: SparkSession, folder: str) -> DataFrame:
+    """Chapters are blocks of pages, so a page's chapter is arithmetic and the sizes are partial sums."""
+    pages = library.pages(spark, folder, "text")
+    number = F.floor((F.col("page") - 1) / library.PAGES_PER_CHAPTER).cast("int") + 1
+    sums = pages.groupBy("book_id", number.alias("number")).agg(F.floor(F.sum(F.length("text")) / 4).alias("tokens"), F.count("*").alias("pages"))
+    blocks = F.ceil(F.col("tokens") / 30000)
+    return sums.where("tokens > 0").select(
+        "book_id", "number", "tokens", (F.col("tokens") + 1000 * blocks).alias("input_tokens"), (300 * blocks).alias("output_tokens"),
+        F.when(F.col("pages") <= 2, 1).otherwise(2).alias("least_points"), F.least(F.greatest(F.floor((F.col("pages") + 1) / 2), F.lit(3)), F.lit(15)).cast("int").alias("most_points"),
+    )
+
+
+def _by_chapter(spark: SparkSession, folder: str) -> DataFrame:
+    chapter = F.floor((F.col("page") - 1) / library.PAGES_PER_CHAPTER).cast("int") + 1
+    return library.pages(spark, folder, "text").select("book_id", chapter.alias("chapter"), "page", "text")
+
+
+@query("key_point_blocks")
+def key_point_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    return text.packed_blocks(_by_chapter(spark, folder), 20_000)
+
+
+@query("chunks_packed")
+def chunks_packed(spark: SparkSession, folder: str) -> DataFrame:
+    parts = _by_chapter(spark, folder).select("book_id", "chapter", "page", F.posexplode(F.split("text", "\n")).alias("paragraph_no", "text")).where("trim(text) <> ''")
+    return text.packed_chunks(parts)
+
+
+@query("phrases", None)
+def phrases(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "documents").select("doc_id", F.posexplode(text.sentences("text")).alias("number", "phrase"))
+
+
+@query("page_paragraphs")
+def page_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
+    plain = F.regexp_replace(F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1>", ""), r"<[^>]*>", "\n")
+    none = F.array().cast("array<string>")
+    return table(spark, folder, "pages").select("page_id", F.posexplode(text.paragraphs(plain, none, none)).alias("number", "paragraph"))
+
+
+@query("heading_outline")
+def heading_outline(spark: SparkSession, folder: str) -> DataFrame:
+    found = F.regexp_extract_all("html", F.lit(r"(?is)<h([1-6])\b[^>]*>(.*?)</h[1-6]>"), F.lit(0))
+    host = F.regexp_extract("url", r"://([^/?#]*)", 1)
+    each = table(spark, folder, "pages").select(host.alias("book_id"), F.col("page_id").cast("int").alias("page"), F.posexplode(found).alias("idx", "tag"))
+    heads = each.select("book_id", "page", "idx", F.substr("tag", F.lit(3), F.lit(1)).cast("int").alias("level"), F.trim(F.regexp_replace("tag", "<[^>]*>", "")).alias("text"))
+    return text.outlines(heads, 1000)
+
+
+@query("mentions_by_name")
+def mentions_by_name(spark: SparkSession, folder: str) -> DataFrame:
+    """Mentions of a fixed cast in all pages."""
+    found = text.mentions(table(spark, folder, "documents"), ["The", "Les", "Über", "Was the", "En de"])
+    return found.groupBy("name").agg(F.count("*").alias("mentions"), F.countDistinct("doc_id").alias("pages"))
+
+
+@query("locate_question")
+def locate_question(spark: SparkSession, folder: str) -> DataFrame:
+    return text.located(spark.createDataFrame([(q,) for q in QUESTIONS], "question string"), literature=True)
+
+
+@query("citation_rewrite")
+def citation_rewrite(spark: SparkSession, folder: str) -> DataFrame:
+    number = F.col("doc_id").cast("string")
+    answer = F.concat(F.lit("Uno [p. "), number, F.lit("] , dos [p. 7-9, "), number, F.lit("] ."))
+    rewritten = text.citations([(5, 8), (100, 400)])(answer)
+    return table(spark, folder, "documents").select("doc_id", rewritten.alias("r")).select("doc_id", "r.text", "r.pages")
+
+
+@query("join_overlap_text")
+def join_overlap_text(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return docs.select("doc_id", F.sha2(text.join_overlap(F.left("text", F.lit(400)), F.substring("text", 350, 400)).cast("binary"), 256).alias("joined_sha256"))
+
+
+@query("spoken_phrases")
+def spoken_phrases(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "conversations").select("conv_id", "turn", text.spoken("text").alias("spoken"))
