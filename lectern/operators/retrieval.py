@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -53,13 +55,13 @@ def _folded_term(term: str) -> str:
     return term.rstrip("*").lower().translate(str.maketrans(library.ACCENTED, library.PLAIN))
 
 
-def _hits(text: Column, term: str, number: int) -> Column:
+def _hits(text: Column, folded: Column, term: str, number: int) -> Column:
     """Length of '0 term offset length' of every token that the term matches (offset and length in UTF-8 bytes of the text).
 
-    Folding keeps the number of characters, so the place of a match in the folded text is its place in the text.
+    Folding keeps the number of characters, so the place of a match in the folded text is its place in the
+    text. The regular expression only sees texts that hold the term's letters at all.
     """
     pattern = rf"(?<![\p{{L}}\p{{N}}]){_folded_term(term)}" + (r"[\p{L}\p{N}]*" if term.endswith("*") else "") + r"(?![\p{L}\p{N}])"
-    folded = library.fold(text)
     found = F.regexp_extract_all(folded, F.lit(f"({pattern})"), F.lit(1))
     gaps = F.transform(F.split(folded, pattern, -1), F.length)
     sized = F.zip_with(F.slice(gaps, 1, F.greatest(F.size(found), F.lit(0))), F.transform(found, F.length), lambda g, n: F.struct(g.alias("gap"), n.alias("n")))
@@ -72,13 +74,17 @@ def _hits(text: Column, term: str, number: int) -> Column:
         written = F.length(F.concat_ws(" ", F.lit("0"), F.lit(str(number)), offset.cast("string"), size.cast("string")))
         return F.struct((here + m["n"]).alias("at"), F.concat(state["sizes"], F.array(written)).alias("sizes"))
 
-    return F.when(F.size(found) > 0, F.aggregate(sized, start, step, lambda s: s["sizes"])).otherwise(F.array().cast("array<int>"))
+    none = F.array().cast("array<int>")
+    return F.when(F.contains(folded, F.lit(_folded_term(term))), F.aggregate(sized, start, step, lambda s: s["sizes"])).otherwise(none)
 
 
 def text_search(chunks: DataFrame, terms: list[str]) -> DataFrame:
     """id, score (double) of the chunks that any term matches: minus the length of the list of hits, as written with blanks between."""
-    hits = F.concat(*[_hits(F.col("text"), t, i) for i, t in enumerate(terms)]) if terms else F.array().cast("array<int>")
-    scored = chunks.select("id", "start_page", "end_page", "book_id", hits.alias("hits")).where(F.size("hits") > 0)
+    folded = F.col("folded")
+    hits = F.concat(*[_hits(F.col("text"), folded, t, i) for i, t in enumerate(terms)]) if terms else F.array().cast("array<int>")
+    holds = reduce(or_, (F.contains(folded, F.lit(_folded_term(t))) for t in terms), F.lit(False))
+    near = chunks.select("id", "start_page", "end_page", "book_id", "text", library.fold(F.col("text")).alias("folded")).where(holds)
+    scored = near.select("id", "start_page", "end_page", "book_id", hits.alias("hits")).where(F.size("hits") > 0)
     total = F.aggregate("hits", F.lit(0), lambda a, n: a + n) + F.size("hits") - 1
     return scored.select("id", "book_id", "start_page", "end_page", (-total).cast("double").alias("score"))
 
@@ -99,22 +105,33 @@ def top(scored: DataFrame, k: int, ascending: bool, digits: int | None = 9) -> D
 
 
 def fuse(rankings: list[DataFrame], k: int = RRF_K) -> DataFrame:
-    """id, rrf, place (from 0) of ids in ranked lists (id, pos): sum of 1 / (k + pos + 1); ties by first appearance."""
+    """id, rrf, place (from 0), scores and positions (arrays by list, null where absent) of ids in ranked lists (id, score, pos).
+
+    The sum of 1 / (k + pos + 1); ties by first appearance. Each list is evaluated once.
+    """
     listed = None
     for number, ranking in enumerate(rankings):
-        some = ranking.select("id", F.col("pos").cast("int").alias("pos"), F.lit(number).alias("list"))
+        score = F.col("score") if "score" in ranking.columns else F.lit(None).cast("double")
+        some = ranking.select("id", F.col("pos").cast("int").alias("pos"), score.alias("score"), F.lit(number).alias("list"))
         listed = some if listed is None else listed.unionByName(some)
-    fused = listed.groupBy("id").agg(F.round(F.sum(1.0 / (k + F.col("pos") + 1)), 12).alias("rrf"), F.min(F.struct("list", "pos")).alias("first"))
+    per_list = lambda c: F.array(*[F.min(F.when(F.col("list") == n, F.col(c))) for n in range(len(rankings))])
+    fused = listed.groupBy("id").agg(
+        F.round(F.sum(1.0 / (k + F.col("pos") + 1)), 12).alias("rrf"), F.min(F.struct("list", "pos")).alias("first"), per_list("score").alias("scores"), per_list("pos").alias("positions")
+    )
     order = Window.partitionBy(F.lit(0)).orderBy(F.col("rrf").desc(), "first")  # at most the lists' lengths
-    return fused.withColumn("place", F.row_number().over(order) - 1).select("id", "rrf", "place")
+    return fused.withColumn("place", F.row_number().over(order) - 1).select("id", "rrf", "place", "scores", "positions")
 
 
-def prune(fused: DataFrame, vector: DataFrame, text: DataFrame) -> DataFrame:
-    """id, rrf, place of what stays: near the best vector hit or among the first text hits; at least LEAST_KEPT; all without vector hits."""
-    best = vector.agg(F.max("score").alias("best"))
-    strong = vector.crossJoin(best).where(F.col("score") >= F.col("best") - MARGIN).select("id").union(text.where(F.col("pos") < SURE_TEXT_HITS).select("id")).distinct()
-    marked = fused.join(strong.withColumn("strong", F.lit(True)), "id", "left").crossJoin(best).select("id", "rrf", "place", F.coalesce("strong", F.lit(False)).alias("strong"), "best")
+def prune(fused: DataFrame) -> DataFrame:
+    """id, rrf, place of what stays of a fusion of vector hits (list 0) and text hits (list 1).
+
+    Near the best vector hit or among the first text hits; at least LEAST_KEPT; all without vector hits.
+    """
     whole = Window.partitionBy(F.lit(0))
+    similarity, position = F.col("scores")[0], F.col("positions")[1]
+    rated = fused.withColumn("best", F.max(similarity).over(whole))
+    strong = F.coalesce(similarity >= F.col("best") - MARGIN, F.lit(False)) | F.coalesce(position < SURE_TEXT_HITS, F.lit(False))
+    marked = rated.withColumn("strong", strong)
     counted = marked.withColumn("n_strong", F.count_if("strong").over(whole)).withColumn(
         "weak_place", F.row_number().over(Window.partitionBy("strong").orderBy("place"))
     )
@@ -128,7 +145,7 @@ def hybrid(chunks: DataFrame, vectors: DataFrame, query: list[float], terms: lis
     """id, rrf, place of the k chunks that hybrid retrieval returns."""
     by_vector = top(vector_scores(vectors, query), TOP, ascending=False)
     by_text = top(text_search(chunks, terms), TOP, ascending=True)
-    return prune(fuse([by_vector, by_text]), by_vector, by_text).where(F.col("place") < k)
+    return prune(fuse([by_vector, by_text])).where(F.col("place") < k)
 
 
 def evenly_spaced(rows: DataFrame, group: str, order: str, k: int) -> DataFrame:

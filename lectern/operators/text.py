@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from lectern.functions import location as places
@@ -118,38 +119,38 @@ def sampled_pages(pages: DataFrame, page_counts: DataFrame, first: int = 30, spr
 # Python where order decides ------------------------------------------------------------------------
 
 
-@pandas_udf("array<string>")
+@pandas_udf(T.ArrayType(T.StringType()))
 def sentences(text: pd.Series) -> pd.Series:
     return text.map(lambda t: plain.sentences(t or ""))
 
 
-@pandas_udf("array<string>")
+@pandas_udf(T.ArrayType(T.StringType()))
 def paragraphs(text: pd.Series, headers: pd.Series, footers: pd.Series) -> pd.Series:
     listed = lambda x: [] if x is None else list(x)
     return pd.Series([plain.paragraphs(t or "", listed(h), listed(f)) for t, h, f in zip(text, headers, footers, strict=True)])
 
 
-@pandas_udf("string")
+@pandas_udf(T.StringType())
 def mend_hyphens(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else plain.mend_hyphens(t))
 
 
-@pandas_udf("string")
+@pandas_udf(T.StringType())
 def spoken(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else plain.spoken(t))
 
 
-@pandas_udf("string")
+@pandas_udf(T.StringType())
 def join_overlap(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([plain.join_overlap(x or "", y or "") for x, y in zip(a, b, strict=True)])
 
 
-@pandas_udf("boolean")
+@pandas_udf(T.BooleanType())
 def heading(text: pd.Series) -> pd.Series:
     return text.map(lambda t: plain.is_heading(t or ""))
 
 
-@pandas_udf("string")
+@pandas_udf(T.StringType())
 def name_key(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else plain.name_key(t))
 

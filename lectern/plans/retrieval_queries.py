@@ -131,7 +131,7 @@ def prune_weak_matches(spark: SparkSession, folder: str) -> DataFrame:
     vectors, asked = _library_vectors(spark, folder)
     by_vector = retrieval.top(retrieval.vector_scores(vectors, asked), 20, ascending=False)
     by_text = retrieval.top(retrieval.text_search(library.chunks(spark, folder, "text"), TERMS), 20, ascending=True)
-    return retrieval.prune(retrieval.fuse([by_vector, by_text]), by_vector, by_text).select("id", "rrf", F.col("place").cast("int").alias("place"))
+    return retrieval.prune(retrieval.fuse([by_vector, by_text])).select("id", "rrf", F.col("place").cast("int").alias("place"))
 
 
 @query(
