@@ -37,6 +37,7 @@ RANK = 48
 NEAREST = 15
 SHARPNESS = 8
 CACHED_WORDS = 400_000
+PROJECTED = 100_000
 
 _SCORES = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
 _TERMS = pa.schema([("quality", pa.int32()), ("terms", pa.binary()), ("counts", pa.binary())])
@@ -93,11 +94,18 @@ def _weighted(terms: np.ndarray, counts: np.ndarray, sizes: np.ndarray, rarity:
 
 
 def _project(terms: np.ndarray, weights: np.ndarray, sizes: np.ndarray, axes: np.ndarray) -> np.ndarray:
+    """Rows of documents times axes, some PROJECTED terms at a time."""
     out = np.zeros((len(sizes), axes.shape[1]))
-    full = sizes > 0
-    if full.any():
-        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])[full]
-        out[full] = np.add.reduceat(weights[:, None] * axes[terms], starts, axis=0)
+    ends = np.cumsum(sizes)
+    first = 0
+    while first < len(sizes):
+        start = ends[first] - sizes[first]
+        last = max(first + 1, int(np.searchsorted(ends, start + PROJECTED, side="right")))
+        full = first + np.flatnonzero(sizes[first:last] > 0)
+        if len(full):
+            some = slice(start, ends[last - 1])
+            out[full] = np.add.reduceat(weights[some, None] * axes[terms[some]], ends[full] - sizes[full] - start, axis=0)
+        first = last
     return out
 
 
