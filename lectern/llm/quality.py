@@ -116,6 +116,8 @@ def _unit(rows: np.ndarray) -> np.ndarray:
 def fit(labels: np.ndarray, terms: np.ndarray, counts: np.ndarray, sizes: np.ndarray, rank: int = RANK) -> Model:
     """Randomised truncated SVD of the sample's weighted term matrix, two power iterations, fixed seed."""
     width, n = WORD_TERMS + SHAPE_TERMS + 1, len(labels)
+    if not n:
+        return Model(np.zeros(width), np.zeros((width, rank)), np.zeros((0, rank)), np.zeros(0), 0.0)
     rarity = np.log((1 + n) / (1 + np.bincount(terms, minlength=width))) + 0.1
     weights = _weighted(terms, counts, sizes, rarity)
     row = np.repeat(np.arange(n), sizes)
