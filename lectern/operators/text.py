@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
+from lectern.functions import layout
 from lectern.functions import location as places
 from lectern.functions import text as plain
 
@@ -227,14 +228,60 @@ def located(questions: DataFrame, literature: bool) -> DataFrame:
     return questions.select("question").mapInPandas(run, "question string, kind string, target string, stretch string, expression string, rest string")
 
 
+LINE_COLUMNS = ("text", "left", "right", "baseline", "size", "bold", "first_word")
+
+
 def typography(lines: DataFrame) -> DataFrame:
-    """book_id, body_size, line_gap, width from (book_id, page, n, text, left, right, baseline, size): the size with most characters; upper medians."""
-    bucket = F.round(F.col("size") * 2) / 2
-    sizes = lines.groupBy("book_id", bucket.alias("bucket")).agg(F.sum(F.length("text")).alias("characters"))
-    body = sizes.groupBy("book_id").agg(F.max_by("bucket", F.struct("characters", "bucket")).alias("body_size"))
-    order = Window.partitionBy("book_id", "page").orderBy("n")
-    gaps = lines.withColumn("gap", F.col("baseline") - F.lag("baseline").over(order)).where("gap > 0")
-    median = lambda c: F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {c} DESC)")  # noqa: E731  the upper of two
-    gap = gaps.groupBy("book_id").agg(median("gap").alias("line_gap"))
-    width = lines.groupBy("book_id").agg(median("right - left").alias("width"))
-    return body.join(gap, "book_id", "left").join(width, "book_id")
+    """book_id, body, headings, width, gap, bold_body of each book's lines (book_id, page, n and LINE_COLUMNS).
+
+    Sums by half-point size, then medians over plain lines; only sizes and distinct distances of a book meet in one task.
+    """
+    bucket = F.floor(F.col("size") * 2 + 0.5) / 2
+    full = lines.where((F.trim("text") != "") & (F.col("size") > 0)).withColumn("bucket", bucket)
+    letters = F.sum(F.length(F.regexp_replace("text", r"\s", ""))).alias("letters")
+    bold = F.sum(F.when(F.col("bold"), F.length("text")).otherwise(0)).alias("bold_letters")
+    sizes = full.groupBy("book_id", "bucket").agg(letters, bold)
+    most = F.max_by(F.struct("bucket", "letters", "bold_letters"), F.struct(F.col("letters"), -F.col("bucket")))
+    books = sizes.groupBy("book_id").agg(most.alias("_most"), F.sort_array(F.collect_list(F.struct("bucket", "letters")), False).alias("all"))
+    large = F.filter("all", lambda x: (x["bucket"] >= F.col("_most.bucket") * layout.HEADING_RATIO) & (x["letters"] < F.col("_most.letters") * layout.HEADING_SHARE))
+
+    def cluster(found: Column, x: Column) -> Column:
+        near = (F.size(found) > 0) & (F.try_element_at(found, F.lit(-1)) - x["bucket"] <= layout.HEADING_CLUSTER)
+        return F.when(near, F.concat(F.slice(found, 1, F.greatest(F.size(found) - 1, F.lit(0))), F.array(x["bucket"]))).otherwise(F.concat(found, F.array(x["bucket"])))
+
+    headings = F.aggregate(large, F.array().cast("array<double>"), cluster)
+    books = books.select("book_id", F.col("_most.bucket").alias("body"), headings.alias("headings"), (F.col("_most.bold_letters") * 2 > F.col("_most.letters")).alias("bold_body"))
+    plain_lines = full.join(books.select("book_id", "body"), "book_id").where("bucket = body")
+    gap = F.col("baseline") - F.lag("baseline").over(Window.partitionBy("book_id", "page").orderBy("n"))
+    upper = lambda c: F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {c} DESC)")
+    gaps = plain_lines.withColumn("gap", gap).where(F.col("gap").between(F.col("body") * layout.GAP_RANGE[0], F.col("body") * layout.GAP_RANGE[1]))
+    widths = plain_lines.groupBy("book_id", "page").agg((F.max("right") - F.min("left")).alias("width"), F.count("*").alias("n")).where(F.col("n") >= layout.EDGE_LINES)
+    joined = books.join(gaps.groupBy("book_id").agg(upper("gap").alias("gap")), "book_id", "left").join(widths.groupBy("book_id").agg(upper("width").alias("width")), "book_id", "left")
+    return joined.select("book_id", "body", "headings", F.coalesce("width", F.lit(0.0)).alias("width"), F.coalesce("gap", F.col("body") * layout.LEADING).alias("gap"), "bold_body")
+
+
+def layout_blocks(pages: DataFrame, types: DataFrame) -> DataFrame:
+    """book_id, page, number, text, level: the blocks of pages (book_id, page, lines: an array of structs of LINE_COLUMNS), read with their book's typography."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = []
+            for row in batch.itertuples(index=False):
+                kind = layout.Typography(row.body, tuple(row.headings), row.width, row.gap, bool(row.bold_body))
+                lines = [layout.Line(*(line[c] for c in LINE_COLUMNS)) for line in row.lines]
+                found += [(row.book_id, row.page, *b) for b in layout.numbered(layout.blocks(lines, kind))]
+            yield pd.DataFrame(found, columns=["book_id", "page", "number", "text", "level"])
+
+    typed = pages.select("book_id", "page", "lines").join(types, "book_id")
+    return typed.mapInPandas(run, "book_id string, page int, number int, text string, level int")
+
+
+def passages(asked: DataFrame) -> DataFrame:
+    """(passage_id, passage, segments array<string>) as passage_id, segment, start, end of what each passage covers."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(i, *span) for i, p, s in zip(batch["passage_id"], batch["passage"], batch["segments"], strict=True) for span in layout.locate(p, list(s))]
+            yield pd.DataFrame(rows, columns=["passage_id", "segment", "start", "end"])
+
+    return asked.select("passage_id", "passage", "segments").mapInPandas(run, "passage_id long, segment int, start int, end int")

@@ -151,3 +151,39 @@ def join_overlap_text(spark: SparkSession, folder: str) -> DataFrame:
 @query("spoken_phrases")
 def spoken_phrases(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "conversations").select("conv_id", "turn", text.spoken("text").alias("spoken"))
+
+
+def _layouts(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines of pages with a plain geometry: the first of a page is large, letters are five points wide."""
+    texts = F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")
+
+    def line(t, n):
+        return F.struct(
+            t.alias("text"), F.lit(50.0).alias("left"), (50 + F.least(F.length(t), F.lit(60)) * 5.0).alias("right"), (100 + n * 12.0).alias("baseline"),
+            F.when(n == 0, 16.0).otherwise(10.0).alias("size"), F.lit(False).alias("bold"), F.lit(20.0).alias("first_word"),
+        )
+
+    return library.pages(spark, folder, "text").select("book_id", "page", F.transform(texts, line).alias("lines"))
+
+
+def _typography(layouts: DataFrame) -> DataFrame:
+    each = layouts.select("book_id", "page", F.posexplode("lines").alias("n", "line")).select("book_id", "page", "n", "line.*")
+    return text.typography(each)
+
+
+@query("typography")
+def typography(spark: SparkSession, folder: str) -> DataFrame:
+    return _typography(_layouts(spark, folder))
+
+
+@query("layout_blocks")
+def layout_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    layouts = _layouts(spark, folder)
+    return text.layout_blocks(layouts, _typography(layouts))
+
+
+@query("passages_located")
+def passages_located(spark: SparkSession, folder: str) -> DataFrame:
+    """The middle of every page found again in the page's lines."""
+    docs = table(spark, folder, "documents")
+    return text.passages(docs.select(F.col("doc_id").alias("passage_id"), F.substring("text", 100, 300).alias("passage"), F.split("text", "\n").alias("segments")))

@@ -72,3 +72,23 @@ def test_entry_points(spark):
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).count() > 0
+
+
+def test_typography_equals_its_plain_twin(spark):
+    from lectern.functions import layout
+    from lectern.operators import text
+
+    rows = []
+    for page in range(4):
+        for n in range(9):
+            size = 18.0 if n == 0 else 14.2 if n == 3 else 10.0
+            rows.append(("b", page, n, "x" * (3 + 7 * n), 50.0, 50.0 + 9 * n + page, 100 + 12.0 * n + (5 if n > 5 else 0), size, n == 2, 5.0))
+    schema = "book_id string, page int, n int, text string, left double, right double, baseline double, size double, bold boolean, first_word double"
+    got = text.typography(spark.createDataFrame(rows, schema)).first()
+    pages = [[layout.Line(*r[3:]) for r in rows if r[1] == p] for p in range(4)]
+    want = layout.typography(pages)
+    assert (got.body, tuple(got.headings), got.width, got.gap, got.bold_body) == (want.body, want.headings, want.width, want.gap, want.bold_body)
+    lines = spark.createDataFrame(rows, schema)
+    layouts = lines.groupBy("book_id", "page").agg(F.array_sort(F.collect_list(F.struct("n", *text.LINE_COLUMNS))).alias("lines"))
+    blocks = text.layout_blocks(layouts, text.typography(lines)).where("page = 2").orderBy("number").collect()
+    assert [(r.text, r.level) for r in blocks] == layout.blocks(pages[2], want)
