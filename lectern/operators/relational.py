@@ -67,12 +67,23 @@ def remap_to_chapters(chunks: DataFrame, chapters: DataFrame) -> DataFrame:
     return chunks.join(best, "id", "left")
 
 
-def chapter_at(rows: DataFrame, chapters: DataFrame, page: str = "page", group: str = "book_id") -> DataFrame:
-    """rows with chapter: the number of the last chapter in order that starts at or before the page; null if none (as-of join)."""
-    listed = chapters.groupBy(group).agg(F.sort_array(F.collect_list(F.struct("number", "start_page"))).alias("_chapters"))
-    joined = rows.join(listed, group, "left")
-    known = F.filter("_chapters", lambda c: c["start_page"] <= F.col(page))
-    return joined.withColumn("chapter", F.try_element_at(known, F.lit(-1))["number"]).drop("_chapters")
+def chapter_at(rows: DataFrame, chapters: DataFrame, page: str = "page", group: str = "book_id", block_pages: int = 256) -> DataFrame:
+    """rows with chapter: the number of the last chapter in order that starts at or before the page; null if none (as-of join).
+
+    Chapters are kept by blocks of pages, each with the last chapter of the blocks before, so a lookup is an
+    equi-join on book and block, and what meets in one place is a block, not a book.
+    """
+    block = lambda c: F.floor(F.col(c) / block_pages).alias("_block")
+    starts = chapters.select(F.col(group).alias("_group"), block("start_page"), "number", "start_page")
+    blocks = starts.groupBy("_group", "_block").agg(F.sort_array(F.collect_list(F.struct("number", "start_page"))).alias("_chapters"), F.max("number").alias("_last"))
+    asked = rows.select(F.col(group).alias("_group"), block(page)).distinct()
+    both = blocks.unionByName(asked, allowMissingColumns=True).groupBy("_group", "_block").agg(F.first("_chapters", ignorenulls=True).alias("_chapters"), F.max("_last").alias("_last"))
+    before = F.max("_last").over(Window.partitionBy("_group").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))
+    known = both.withColumn("_before", before).drop("_last")
+    keyed = rows.withColumn("_at", F.floor(F.col(page) / block_pages))
+    joined = keyed.join(known, (keyed[group] == known["_group"]) & (keyed["_at"] == known["_block"]), "left")
+    here = F.try_element_at(F.filter("_chapters", lambda c: c["start_page"] <= F.col(page)), F.lit(-1))["number"]
+    return joined.withColumn("chapter", F.coalesce(here, "_before")).drop("_chapters", "_before", "_at", "_group", "_block")
 
 
 def overlapping(rows: DataFrame, ranges: DataFrame, start: str = "start_page", end: str = "end_page") -> DataFrame:

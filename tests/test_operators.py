@@ -92,3 +92,10 @@ def test_typography_equals_its_plain_twin(spark):
     layouts = lines.groupBy("book_id", "page").agg(F.array_sort(F.collect_list(F.struct("n", *text.LINE_COLUMNS))).alias("lines"))
     blocks = text.layout_blocks(layouts, text.typography(lines)).where("page = 2").orderBy("number").collect()
     assert [(r.text, r.level) for r in blocks] == layout.blocks(pages[2], want)
+
+
+def test_chapter_at_a_page(spark):
+    chapters = spark.createDataFrame([("b", i, s) for i, s in enumerate((3, 5, 20, 700), 1)] + [("c", 1, 1)], "book_id string, number int, start_page int")
+    rows = spark.createDataFrame([("b", 1), ("b", 3), ("b", 19), ("b", 300), ("b", 699), ("b", 5000), ("c", 40), ("d", 1)], "book_id string, page int")
+    got = {(r.book_id, r.page): r.chapter for r in relational.chapter_at(rows, chapters, block_pages=8).collect()}
+    assert got == {("b", 1): None, ("b", 3): 1, ("b", 19): 2, ("b", 300): 3, ("b", 699): 3, ("b", 5000): 4, ("c", 40): 1, ("d", 1): None}
