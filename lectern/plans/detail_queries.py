@@ -111,9 +111,9 @@ def part_of_chapters(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     "relations_ended",
     f"""WITH {library.GRAPH_SQL}, open AS (SELECT id, from_id, to_id, type, page FROM graph WHERE status = 'O'),
-e AS (SELECT DISTINCT least(from_id, to_id) AS a, greatest(from_id, to_id) AS b, type, 3000 AS at FROM graph WHERE status = 'F'),
-c AS (SELECT e.a, e.b, e.type, arg_max(o.id, (o.type = e.type, o.page, o.id)) AS id, 3000 AS at FROM e JOIN open o ON least(o.from_id, o.to_id) = e.a AND greatest(o.from_id, o.to_id) = e.b GROUP BY e.a, e.b, e.type)
-SELECT o.id, m.ended_at FROM open o LEFT JOIN (SELECT id, min(at) AS ended_at FROM c GROUP BY id) m ON m.id = o.id""",
+e AS (SELECT DISTINCT least(from_id, to_id) AS a, greatest(from_id, to_id) AS b, type FROM graph WHERE status = 'F'),
+c AS (SELECT e.a, e.b, e.type, arg_max(o.id, (o.type = e.type, o.page, o.id)) AS id FROM e JOIN open o ON least(o.from_id, o.to_id) = e.a AND greatest(o.from_id, o.to_id) = e.b GROUP BY e.a, e.b, e.type)
+SELECT o.id, m.ended_at FROM open o LEFT JOIN (SELECT DISTINCT id, 3000 AS ended_at FROM c) m ON m.id = o.id""",
 )
 def relations_ended(spark: SparkSession, folder: str) -> DataFrame:
     edges = library.graph(spark, folder)
