@@ -17,6 +17,7 @@ encoded by the library once per worker, in a cache of bounded size.
 from __future__ import annotations
 
 import functools
+import os
 import re
 import zlib
 from array import array
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from lectern.llm import shared
 
 ROW_GROUP_DOCS = 8192
-CACHED_PIECES = 700_000
+CACHED_PIECES = 600_000
 
 FILE_SCHEMA = pa.schema([pa.field("doc_id", pa.int64()), pa.field("n_tokens", pa.int32()), pa.field("ids", pa.list_(pa.int32()))])
 MANIFEST = "part int, file string, n_docs long, n_tokens long"
@@ -53,60 +54,74 @@ class PieceEncoder:
     """Text to little-endian unsigned 32-bit ids, with the library asked once for each distinct piece."""
 
     def __init__(self, tokenizer_path: str, cached: int = CACHED_PIECES):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; threads that wait for each other only burn it
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(tokenizer_path)
         self.whole.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.words = Tokenizer(self.whole.model)  # for pieces that are one pre-token
+        self.model = self.whole.model  # for pieces that are one pre-token
+        self.spelled = [i.to_bytes(4, "little") for i in range(self.whole.get_vocab_size())]
         self.letters = byte_letters()
+        self.points = {c: array("I", self.whole.encode(c, add_special_tokens=False).ids).tobytes() for c in ".,!?;:"}
         self.cached = cached
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {"": b""}
+        self.firsts: dict[str, bytes] = {}
 
     def _learn(self, pieces: set[str]) -> None:
         """pieces: without the blank before them."""
-        if len(self.known) + len(pieces) > self.cached:
-            self.known = {}
         simple = [p for p in pieces if p.isalpha()]
         other = [p for p in pieces if not p.isalpha()]
-        ended = [p for p in other if p[-1] in ".,!?;:" and p[:-1].isalpha()]
+        ended = [p for p in other if p[-1] in self.points and p[:-1].isalpha()]
         stems = {p[:-1] for p in ended}
         stems.difference_update(self.known)
         stems.difference_update(simple)
         simple += stems
-        for at in range(0, len(simple), 4096):
-            some = simple[at : at + 4096]
-            for piece, found in zip(some, self.words.encode_batch_fast([self._letters(f" {p}") for p in some], add_special_tokens=False), strict=True):
-                self.known[piece] = array("I", found.ids).tobytes()
-        points = {c: array("I", self.words.encode(c, add_special_tokens=False).ids).tobytes() for c in ".,!?;:"}
+        tokenize, spelled, letters = self.model.tokenize, self.spelled, self.letters
+        for piece in simple:
+            word = f"Ġ{piece}" if piece.isascii() else f" {piece}".encode().decode("latin-1").translate(letters)
+            self.known[piece] = b"".join([spelled[t.id] for t in tokenize(word)])
         for piece in ended:
-            self.known[piece] = self.known[piece[:-1]] + points[piece[-1]]
+            self.known[piece] = self.known[piece[:-1]] + self.points[piece[-1]]
         rest = [p for p in other if p not in self.known]
         for at in range(0, len(rest), 4096):
             some = rest[at : at + 4096]
             for piece, found in zip(some, self.whole.encode_batch_fast([f" {p}" for p in some], add_special_tokens=False), strict=True):
                 self.known[piece] = array("I", found.ids).tobytes()
 
-    def _letters(self, piece: str) -> str:
-        if piece.isascii():
-            return f"Ġ{piece[1:]}"
-        return piece.encode().decode("latin-1").translate(self.letters)
+    def _first(self, piece: str) -> bytes:
+        """The ids of a text's first piece, which has no blank before it."""
+        found = self.firsts.get(piece)
+        if found is None:
+            if len(self.firsts) >= self.cached // 8:
+                self.firsts.clear()
+            found = self.firsts[piece] = array("I", self.whole.encode(piece, add_special_tokens=False).ids).tobytes()
+        return found
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
-        """The ids of each text."""
-        cut = [(_PIECE_START.split(t) if _LOOSE_BLANK.search(t) else t.split(" ")) if t else [""] for t in texts]
-        at = 0
-        while at < len(cut):
-            missing: set[str] = set()
-            end = at
-            while end < len(cut) and len(missing) < self.cached // 2:  # a slice of the batch whose pieces fit the cache
-                missing.update(cut[end][1:])
-                end += 1
-            self._learn({p for p in missing if p not in self.known} if len(self.known) + len(missing) <= self.cached else missing)
-            known = self.known
-            for pieces in cut[at:end]:
-                first = array("I", self.whole.encode(pieces[0], add_special_tokens=False).ids).tobytes() if pieces[0] else b""
-                yield first + b"".join([known[p] for p in pieces[1:]])
-            at = end
+        """The ids of each text. Texts are taken in slices whose pieces fit the cache."""
+        cut, size = [], 0
+        for text in texts:
+            cut.append(_PIECE_START.split(text) if _LOOSE_BLANK.search(text) else text.split(" "))
+            size += len(cut[-1])
+            if size >= self.cached // 2:
+                yield from self._slice(cut)
+                cut, size = [], 0
+        yield from self._slice(cut)
+
+    def _slice(self, cut: list[list[str]]) -> Iterator[bytes]:
+        firsts = []
+        for pieces in cut:
+            firsts.append(self._first(pieces[0]) if pieces[0] else b"")
+            pieces[0] = ""
+        distinct = set().union(*cut)
+        missing = distinct.difference(self.known)
+        if len(self.known) + len(missing) > self.cached:
+            self.known = {"": b""}
+            missing = distinct.difference(self.known)
+        self._learn(missing)
+        look = self.known.__getitem__
+        for first, pieces in zip(firsts, cut, strict=True):
+            yield first + b"".join(map(look, pieces))
 
 
 @functools.lru_cache(maxsize=2)
