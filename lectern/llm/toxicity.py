@@ -35,6 +35,7 @@ SURE = 3.2
 DECAY = 2e-5
 STEPS = 150
 CACHED_WORDS = 500_000
+FIT_DOCS = 256
 
 _SENTENCE = re.compile(r"[.!?\n]+")
 _SCORES = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
@@ -117,19 +118,28 @@ def fit(toxic: np.ndarray, features: np.ndarray, sizes: np.ndarray, counts: np.n
     """features: a row of feature numbers for each word."""
     if len(set(toxic.tolist())) < 2:
         return Model(np.zeros(DIMENSIONS, np.float32), 0.0, float(toxic.mean()) if len(toxic) else 0.0)
-    of_doc = np.repeat(np.repeat(np.arange(len(counts)), counts), sizes)
-    pairs = np.unique((of_doc.astype(np.int64)[:, None] * DIMENSIONS + features).ravel())
-    in_docs = np.bincount(pairs % DIMENSIONS, minlength=DIMENSIONS)
-    in_toxic = np.bincount(pairs % DIMENSIONS, weights=toxic[pairs // DIMENSIONS], minlength=DIMENSIONS)
+    in_docs, in_toxic = np.zeros(DIMENSIONS), np.zeros(DIMENSIONS)
+    ends = np.cumsum(sizes)[np.cumsum(counts) - 1]  # of each document's words
+    for first in range(0, len(counts), FIT_DOCS):
+        last = min(first + FIT_DOCS, len(counts))
+        start = ends[first - 1] if first else 0
+        here = np.repeat(np.arange(last - first), np.diff(np.concatenate([[start], ends[first:last]])))
+        pairs = np.unique((here[:, None] * DIMENSIONS + features[start : ends[last - 1]]).ravel())
+        in_docs += np.bincount(pairs % DIMENSIONS, minlength=DIMENSIONS)
+        in_toxic += np.bincount(pairs % DIMENSIONS, weights=toxic[first:last][pairs // DIMENSIONS], minlength=DIMENSIONS)
     clean = in_docs - in_toxic
     lift = np.log((in_toxic + 0.5) / (toxic.sum() + 1)) - np.log((clean + 0.5) / ((1 - toxic).sum() + 1))
     error = np.sqrt(1 / (in_toxic + 0.5) + 1 / (clean + 0.5))
     used = np.flatnonzero((in_docs >= LEAST_DOCS) & (lift > SURE * error))  # words that toxic documents have more often, beyond chance
-    place = np.full(DIMENSIONS, -1, np.int64)
+    place = np.full(DIMENSIONS, -1, np.int32)
     place[used] = np.arange(len(used))
-    of_sentence = np.repeat(np.arange(len(sizes)), sizes)
-    seen = place[features] >= 0
-    row, column = np.repeat(of_sentence[:, None], features.shape[1], axis=1)[seen], place[features[seen]]
+    of_sentence = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+    rows, columns = [], []
+    for kind in range(features.shape[1]):
+        column = place[features[:, kind]]
+        rows.append(of_sentence[column >= 0])
+        columns.append(column[column >= 0])
+    row, column = np.concatenate(rows), np.concatenate(columns)
     doc_of = np.repeat(np.arange(len(counts)), counts)
     w = np.clip(lift[used], 0, 4)
     bias = -5.0
@@ -172,12 +182,10 @@ def train(docs: DataFrame, labels: DataFrame, usable, sample: int = SAMPLE) -> M
     rows = told.mapInArrow(run, "toxic int, features binary, sizes binary").collect()
     rows.sort()
     sizes = [np.frombuffer(r.sizes, np.int32) for r in rows]
-    return fit(
-        np.array([r.toxic for r in rows], np.int64),
-        np.frombuffer(b"".join(bytes(r.features) for r in rows), np.int32).reshape(-1, 3),
-        np.concatenate(sizes).astype(np.int64) if sizes else np.zeros(0, np.int64),
-        np.array([len(s) for s in sizes], np.int64),
-    )
+    features = np.frombuffer(b"".join(r.features for r in rows), np.int32).reshape(-1, 3)
+    toxic = np.array([r.toxic for r in rows], np.int64)
+    del rows
+    return fit(toxic, features, np.concatenate(sizes).astype(np.int64) if sizes else np.zeros(0, np.int64), np.array([len(s) for s in sizes], np.int64))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
