@@ -23,6 +23,7 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +41,7 @@ _PIECE_START = re.compile(r" (?=\S)")
 _BLOCK = "chunk string, bucket int, body binary"
 _BLOCKS = pa.schema([("chunk", pa.string()), ("bucket", pa.int32()), ("body", pa.binary())])
 POSITIONS = -1
+POINTS = (".", ",", "!", "?", ";", ":")
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -114,26 +116,28 @@ class Chunk:
         """Each text cut where a pre-token surely starts: at a blank before a non-blank. The blank goes with the piece that follows."""
         for text in self.texts:
             cut = _PIECE_START.split(text) if _LOOSE_BLANK.search(text) else text.split(" ")
-            yield [cut[0], *cut[1:]]
-
-    def words(self) -> tuple[list[bytes], dict[str, list[int]], dict[str, list[int]]]:
-        """The distinct pre-tokens in the order of their bytes; the word numbers of each first piece and of each other piece."""
+            yield cut
+
+    def _cut(self, piece: str) -> list[str]:
+        """Pre-tokens of a piece after its blank. Letters alone, or letters and one point, need no pattern."""
+        if piece.isalpha():
+            return [f" {piece}"]
+        if piece[-1:] in POINTS and piece[:-1].isalpha():
+            return [f" {piece[:-1]}", piece[-1]]
+        return self.pattern.findall(f" {piece}")
+
+    def words(self) -> tuple[list[str], dict[str, list[str]], dict[str, list[str]]]:
+        """The distinct pre-tokens, sorted (code points sort like their UTF-8 bytes); those of each first piece and of each other piece."""
         firsts: set[str] = set()
         others: set[str] = set()
         for cut in self.pieces():
             firsts.add(cut[0])
             others.update(cut[1:])
-        found: dict[str, list[str]] = {}
-        for piece in firsts:
-            found[piece] = self.pattern.findall(piece)
-        later: dict[str, list[str]] = {}
-        for piece in others:
-            later[piece] = [f" {piece}"] if piece.isalpha() else self.pattern.findall(f" {piece}")
-        names = {w for some in (found, later) for ws in some.values() for w in ws}
-        ordered = sorted(w.encode("utf-8", "replace") for w in names)
-        number = {w: i for i, w in enumerate(ordered)}
-        as_numbers = lambda table: {p: [number[w.encode("utf-8", "replace")] for w in ws] for p, ws in table.items()}
-        return ordered, as_numbers(found), as_numbers(later)
+        first = {piece: self.pattern.findall(piece) for piece in firsts}
+        later = {piece: self._cut(piece) for piece in others}
+        names = set(chain.from_iterable(first.values()))
+        names.update(chain.from_iterable(later.values()))
+        return sorted(names), first, later
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], pattern, most: int) -> Iterator[Chunk]:
@@ -162,7 +166,7 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, spelling, resu
 
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in _chunks(batches, compiled(), chunk_characters):
-            words = chunk.words()[0]
+            words = [w.encode() for w in chunk.words()[0]]
             buckets = bucket_numbers(words, n)
             name = chunk.digest()
             order = np.argsort(buckets, kind="stable")
@@ -186,19 +190,18 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, spelling, resu
     def positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in _chunks(batches, compiled(), chunk_characters):
             words, first, later = chunk.words()
-            buckets = bucket_numbers(words, n)
+            buckets = bucket_numbers([w.encode() for w in words], n)
             place = np.empty(len(words), np.uint32)  # the number of each word once the blocks stand in the order of their buckets
             place[np.argsort(buckets, kind="stable")] = np.arange(len(words), dtype=np.uint32)
-            used, sizes = [], []
+            number = dict(zip(words, place.tolist(), strict=True))
+            first, later = ({piece: [number[w] for w in ws] for piece, ws in table.items()} for table in (first, later))
+            used, sizes, look = [], [], later.__getitem__
             for cut in chunk.pieces():
-                numbers = list(first[cut[0]])
-                for piece in cut[1:]:
-                    numbers += later[piece]
-                used.append(np.array(numbers, np.uint32))
-                sizes.append(len(numbers))
+                used.append(np.fromiter(chain(first[cut[0]], chain.from_iterable(map(look, islice(cut, 1, None)))), np.uint32))
+                sizes.append(len(used[-1]))
             ids = np.array([-1 if i is None else i for i in chunk.doc_ids], np.int64)
             absent = np.array([i is None for i in chunk.doc_ids], np.uint8)
-            parts = [pack(ids), pack(absent), pack(np.array(sizes, np.uint32)), pack(place[np.concatenate(used)] if words else np.zeros(0, np.uint32))]
+            parts = [pack(ids), pack(absent), pack(np.array(sizes, np.uint32)), pack(np.concatenate(used))]
             head = np.array([len(p) for p in parts], np.uint32).tobytes()
             yield shared.batch_of(_BLOCKS, [chunk.digest()], [POSITIONS], [head + b"".join(parts)])
 
@@ -249,9 +252,13 @@ def _reassembled(name, body: bytes, blocks: list[bytes], twice: int, table: list
     flat = np.concatenate(flat) if flat else np.zeros(0, np.uint32)
     if len(used) and int(used.max()) >= len(counts):
         raise RuntimeError(f"chunk {name} got {len(counts)} of its words; the input did not give the same rows twice")
-    word_end = np.cumsum(counts)
-    decoded = [b"".join([table[i] for i in flat[a:b].tolist()]) for a, b in zip((word_end - counts).tolist(), word_end.tolist(), strict=True)]
-    spelled = [spelling(flat[a:b]) for a, b in zip((word_end - counts).tolist(), word_end.tolist(), strict=True)]
+    ids_of, start = flat.tolist(), 0
+    decoded, spelled = [], []
+    for end in np.cumsum(counts).tolist():
+        own = ids_of[start:end]
+        decoded.append(b"".join([table[i] for i in own]))
+        spelled.append(spelling(own))
+        start = end
     doc_end = np.cumsum(sizes, dtype=np.int64)
     for _ in range(twice):
         rows = []
@@ -272,12 +279,12 @@ def _digest(doc_id: int | None, spelled: list[str], decoded: list[bytes]) -> tup
 
 def digests(docs: DataFrame, ranks_path: str, pattern: str, **options) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 (of the decimal ids joined by one blank), decoded_sha256."""
-    decimal = lambda ids: " ".join(map(str, ids.tolist()))
+    decimal = lambda ids: " ".join(map(str, ids))
     return encode_decode(docs, ranks_path, pattern, decimal, _digest, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", **options)
 
 
-def _plain(doc_id: int | None, spelled: list[np.ndarray], decoded: list[bytes]) -> tuple:
-    return doc_id, np.concatenate(spelled).astype(np.int32) if spelled else np.zeros(0, np.int32), b"".join(decoded)
+def _plain(doc_id: int | None, spelled: list[list[int]], decoded: list[bytes]) -> tuple:
+    return doc_id, list(chain.from_iterable(spelled)), b"".join(decoded)
 
 
 def encoded(docs: DataFrame, ranks_path: str, pattern: str, **options) -> DataFrame:
