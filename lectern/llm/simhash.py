@@ -144,7 +144,11 @@ def near_duplicates(docs: DataFrame, path: str, shingle: int = SHINGLE) -> DataF
 
 def kept_one_each(docs: DataFrame, path: str, shingle: int = SHINGLE) -> DataFrame:
     """docs with one row of each group: that of its least doc_id. Of rows that share it the least by the other columns stays; rows without doc_id stay."""
-    found = near_duplicates(docs, path, shingle)
+    return leaders_of(docs, near_duplicates(docs, path, shingle))
+
+
+def leaders_of(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """Of docs what kept_one_each keeps; found: doc_id, component_id."""
     leaders = found.where("doc_id = component_id").select("doc_id").distinct()
     named = docs.where(F.col("doc_id").isNotNull()).join(leaders, "doc_id", "left_semi")
     first = Window.partitionBy("doc_id").orderBy(*[F.col(c) for c in docs.columns if c != "doc_id"])

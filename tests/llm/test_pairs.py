@@ -5,7 +5,7 @@ import re
 import numpy as np
 import xxhash
 
-from lectern.llm import components, embedding_dups, shared, simhash
+from lectern.llm import components, embedding_dups, near_copies, shared, simhash
 
 
 def leaders(ids, linked):
@@ -102,3 +102,30 @@ def test_components_of_chains(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(0, 300)] + [(500, 501), (7, 7)], "a long, b long")
     got = dict(map(tuple, components.connected_components(edges, shared.workspace(spark, "t")).collect()))
     assert got == {i: 0 for i in range(301)} | {500: 500, 501: 500}
+
+
+def test_near_copies_equal_brute_force(spark, monkeypatch):
+    import corpus_pipeline
+
+    monkeypatch.setattr(near_copies, "SAMPLED", 2)
+    rng = np.random.default_rng(5)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    line = " ".join(rng.choice(vocabulary, 30))  # in half of all texts
+    texts = []
+    for _ in range(60):
+        words = list(rng.choice(vocabulary, int(rng.integers(4, 400))))
+        texts.append(" ".join(words) + (f" {line}" if rng.random() < 0.5 else ""))
+        for edits in (1, 2, 3, 4):
+            changed = words.copy()
+            for place in rng.integers(0, len(words), max(1, edits * len(words) // 120)):
+                changed[place] = "other"
+            texts.append(" ".join(changed))
+    texts += [None, "", " \n", "One two", "one TWO", texts[0].upper()]
+    sets = [{tuple(w[k : k + 5]) for k in range(max(len(w) - 4, 1))} if (w := re.sub("[A-Z]", lambda m: m[0].lower(), t or "").split()) else set() for t in texts]
+    want = leaders(list(range(len(texts))), lambda a, b: 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]))
+    docs = spark.createDataFrame(list(enumerate(texts)) + [(None, texts[0])], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near_copies.near_duplicates(docs, shared.workspace(spark, "t")).collect()}
+    assert got == want | {None: None} and 60 < len(set(want.values())) < 280
+    kept = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()}
+    assert kept == set(want.values()) | {None}
+    assert near_copies.near_duplicates(docs.limit(0), shared.workspace(spark, "t")).collect() == []
