@@ -5,6 +5,11 @@ document's is the noisy-or of its sentences, 1 - prod(1 - p). Only document labe
 weights follow the noisy-or likelihood, so the model finds the offending sentences by itself
 (offending_sentences returns them).
 
+Every sentence of a clean text has some probability too, and their sum would call any text toxic that is long
+enough. So a document's score is the greater of two: its likeliest sentence, and the noisy-or of all beyond
+what a clean text of as many sentences comes to (its mean and LEAK_SPREAD standard deviations, learned from
+the clean documents).
+
 Training uses at most SAMPLE labelled documents, taken in the order of a hash of their id; this bound is
 a parameter. Everything else, the scoring of each document over its whole text, covers all rows.
 
@@ -33,6 +38,7 @@ DIMENSIONS = 1 << 18
 LEAST_DOCS = 12
 SURE = 3.2
 DECAY = 2e-5
+LEAK_SPREAD = 3.0
 STEPS = 150
 CACHED_WORDS = 500_000
 FIT_DOCS = 256
@@ -68,6 +74,8 @@ class Model:
     weights: np.ndarray
     bias: float
     constant: float | None = None  # the score of every document, where nothing could be learned
+    leak: float = 0.0  # -log(1 - p) of a clean document's sentence: mean, standard deviation
+    spread: float = 0.0
 
 
 def bags(texts: list[str], of_word: Remembered) -> tuple[list, np.ndarray, np.ndarray]:
@@ -106,12 +114,15 @@ def scores(model: Model, texts: list[str], weights: Remembered) -> np.ndarray:
     if model.constant is not None:
         return np.full(len(texts), model.constant)
     found, sizes, counts = bags(texts, weights)
-    return np.clip(noisy_or(sentence_logits(model, found, sizes), counts), 0.0, 1.0)
+    logits = sentence_logits(model, found, sizes)
+    likeliest = np.exp(-np.logaddexp(0.0, -np.maximum.reduceat(logits, np.cumsum(counts) - counts)))
+    return np.clip(np.maximum(likeliest, noisy_or(logits, counts, model.leak, model.spread)), 0.0, 1.0)
 
 
-def noisy_or(logits: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """1 - prod(1 - sigmoid(logit)) of each document's sentences, summed as logarithms."""
-    return -np.expm1(-_sums(np.logaddexp(0.0, logits), counts))
+def noisy_or(logits: np.ndarray, counts: np.ndarray, leak: float, spread: float) -> np.ndarray:
+    """1 - prod(1 - sigmoid(logit)) of each document's sentences, summed as logarithms, beyond what clean ones come to."""
+    expected = leak * counts + LEAK_SPREAD * spread * np.sqrt(counts)
+    return -np.expm1(-np.maximum(_sums(np.logaddexp(0.0, logits), counts) - expected, 0.0))
 
 
 def fit(toxic: np.ndarray, features: np.ndarray, sizes: np.ndarray, counts: np.ndarray, steps: int = STEPS) -> Model:
@@ -159,7 +170,9 @@ def fit(toxic: np.ndarray, features: np.ndarray, sizes: np.ndarray, counts: np.n
         bias = min(bias + move[-1], -2.0)
     weights = np.zeros(DIMENSIONS, np.float32)
     weights[used] = w
-    return Model(weights, float(bias))
+    z = bias + np.bincount(row, weights=w[column], minlength=n_sentences)
+    leaks = np.logaddexp(0.0, z)[toxic[doc_of] == 0]
+    return Model(weights, float(bias), None, float(leaks.mean()), float(leaks.std()))
 
 
 def train(docs: DataFrame, labels: DataFrame, usable, sample: int = SAMPLE) -> Model:

@@ -48,6 +48,29 @@ def test_toxicity_on_held_out_labels(spark):
     assert scored.count() == docs.count()
 
 
+def test_toxicity_of_long_texts(spark):
+    folder = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    held_out = shared.crc_remainder("doc_id", 5) == 0
+    model = toxicity.train(docs, labels, ~held_out)
+    told = docs.where(held_out & F.col("text").isNotNull()).join(labels, "doc_id").select("doc_id", "text", "toxic").orderBy("doc_id").collect()
+    clean = [r.text for r in told if r.toxic == 0]
+    scored = toxicity.scores(model, [r.text for r in told], toxicity.weigher(model))
+    toxic = [r.text for r, s in zip(told, scored, strict=True) if r.toxic == 1 and s >= 0.9]
+    random.seed(2)
+    long, wanted = [], []
+    for sentences in (2000, 5000, 10_000, 20_000):
+        for _ in range(4):
+            parts, n = [], 0
+            while n < sentences:
+                parts.append(random.choice(clean))
+                n += len(toxicity._SENTENCE.split(parts[-1]))
+            long += [". ".join(parts), ". ".join([*parts, random.choice(toxic)]), "All is well. " * sentences]
+            wanted += [0, 1, 0]
+    found = toxicity.scores(model, long, toxicity.weigher(model))
+    assert ((found >= 0.5).astype(int) == wanted).all(), found
+
+
 def test_toxic_sentences_are_located(spark):
     rows = [(i, "calm words here. all is well today. nothing more to say.", 0) for i in range(60)] + [(100 + i, "calm words here. you nasty scoundrel. nothing more to say.", 1) for i in range(60)]
     docs = spark.createDataFrame([r[:2] for r in rows] + [(900, None), (901, ""), (902, "well " * 50_000), (None, "you nasty scoundrel")], "doc_id long, text string")
