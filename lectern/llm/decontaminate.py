@@ -9,8 +9,13 @@ document. So a question told again with other numbers or names is found, and one
 phrasing in places is not. A document is contaminated by an item when consistent alignments cover
 SIMILARITY of the item's windows.
 
-Windows need CONTENT words that are no placeholder. Items of fewer than WINDOW tokens are one window of
-their whole length, with as many content words as CONTENT allows for that length.
+A window has up to three forms, and an item's window is covered when any of them is shared: narrow (as above),
+wide (capitalised openings of sentences are names as well, at least WIDE_CONTENT other words), caseless
+(numbers and units are slots, names are words: copies in capitals or small letters). Wide windows make a
+second reading of an alignment, with a consistency of its own, so a changed opening word loses nothing.
+
+Windows need CONTENT words that are no placeholder. Items of fewer than WINDOW
+tokens are one window of their whole length, with as many content words as CONTENT allows for that length.
 
 The documents' windows that cannot match are dropped early with the benchmark's sorted hashes, which are
 broadcast while there are at most BROADCAST_HASHES of them; beyond that, every window goes to the join.
@@ -35,6 +40,7 @@ from lectern.llm import shared
 
 WINDOW = 5
 CONTENT = 3
+WIDE_CONTENT = 2
 SIMILARITY = 0.8
 BROADCAST_HASHES = 4_000_000
 CACHED_WORDS = 400_000
@@ -51,8 +57,11 @@ UNITS = frozenset(
 _NUMBER = re.compile(r"[+-]?[$€£]?[0-9][0-9.,:/]*(?:%|°|[a-zA-Z]{1,3})?$")
 _EDGES = "\"'“”‘’«»¿¡.,;:!?()[]{}…"
 _NUM, _UNIT, _CAPITAL, _ENDS = 1, 2, 4, 8
-_HIT = "hash long, doc_id long, position int, slots array<string>"
-_HITS = pa.schema([("hash", pa.int64()), ("doc_id", pa.int64()), ("position", pa.int32()), ("slots", pa.list_(pa.string()))])
+_HIT = "hash long, doc_id long, position int, slots array<string>, wide boolean, content boolean"
+_HITS = pa.schema([("hash", pa.int64()), ("doc_id", pa.int64()), ("position", pa.int32()), ("slots", pa.list_(pa.string())), ("wide", pa.bool_()), ("content", pa.bool_())])
+
+# Forms of a window.
+NARROW, WIDE, CASELESS, PLAIN = range(4)
 
 
 def _code(text: str) -> int:
@@ -81,14 +90,15 @@ class WordCodes(dict):
         return found
 
 
-def template(texts: list[str], codes: WordCodes) -> tuple[list[list[str]], np.ndarray, np.ndarray, np.ndarray]:
-    """Raw words of each text; the hashes of all template tokens in turn, which are slots, and how many tokens each text has."""
+def template(texts: list[str], codes: WordCodes) -> tuple[list[list[str]], list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+    """Raw words of each text; for each form (NARROW, WIDE, CASELESS, PLAIN) the hashes of all tokens in turn and which are slots; how many tokens each text has."""
     words = [t.split() for t in texts]
     sizes = np.array([len(w) for w in words], np.int64)
     look = codes.__getitem__
     coded = np.array([c for w in words for c in map(look, w)], np.uint64)
+    none = np.zeros(len(coded), bool)
     if not len(coded):
-        return words, coded, np.zeros(0, bool), sizes
+        return words, [(coded, none)] * 4, sizes
     flags = coded.astype(np.uint8)
     first = np.zeros(len(coded), bool)
     starts = np.cumsum(sizes) - sizes
@@ -96,17 +106,21 @@ def template(texts: list[str], codes: WordCodes) -> tuple[list[list[str]], np.nd
     before = np.concatenate([[0], flags[:-1]]).astype(np.uint8)
     number = (flags & _NUM) > 0
     unit = ((flags & _UNIT) > 0) & ((before & _NUM) > 0) & ~first
-    name = ((flags & _CAPITAL) > 0) & ~first & ((before & _ENDS) == 0)
-    tokens = np.select([number, unit, name], list(_PLACEHOLDERS), default=coded >> np.uint64(4) << np.uint64(4))
-    return words, tokens, number | unit | name, sizes
+    capital = (flags & _CAPITAL) > 0
+    name = capital & ~first & ((before & _ENDS) == 0)
+    plain = coded >> np.uint64(4) << np.uint64(4)
+    forms = []
+    for named in (name, capital, none):
+        forms.append((np.select([number, unit, named], list(_PLACEHOLDERS), default=plain), number | unit | named))
+    return words, [*forms, (plain, none)], sizes
 
 
-def windows(tokens: np.ndarray, slots: np.ndarray, sizes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of the window that starts at each token, and whether that is one: inside its text and with enough content."""
+def windows(tokens: np.ndarray, slots: np.ndarray, sizes: np.ndarray, length: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the window that starts at each token: its hash, how many tokens are no slot, and whether it lies inside its text."""
     n = len(tokens)
     if n < length:
-        return np.zeros(n, np.uint64), np.zeros(n, bool)
-    hashes, filled = np.full(n, length, np.uint64), np.zeros(n, np.int64)
+        return np.zeros(n, np.uint64), np.zeros(n, np.int64), np.zeros(n, bool)
+    hashes, filled = np.full(n, length + seed, np.uint64), np.zeros(n, np.int64)
     reach = n - length + 1
     with np.errstate(over="ignore"):
         for k in range(length):
@@ -114,7 +128,19 @@ def windows(tokens: np.ndarray, slots: np.ndarray, sizes: np.ndarray, length: in
             filled[:reach] += ~slots[k : k + reach]
         hashes ^= hashes >> np.uint64(29)
     ends = np.repeat(np.cumsum(sizes), sizes)
-    return hashes, (np.arange(n) + length <= ends) & (filled >= min(CONTENT, length))
+    return hashes, filled, np.arange(n) + length <= ends
+
+
+def forms_of_windows(forms: list[tuple[np.ndarray, np.ndarray]], sizes: np.ndarray, length: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Form, hashes, which windows have that form, and which have enough content (the same for all forms)."""
+    least = min(CONTENT, length)
+    narrow, filled, inside = windows(*forms[NARROW], sizes, length)
+    content = inside & (filled >= least)
+    yield NARROW, narrow, content, content
+    wide, wide_filled, _ = windows(*forms[WIDE], sizes, length)
+    yield WIDE, wide, content & (wide_filled < filled) & (wide_filled >= min(WIDE_CONTENT, length)), content
+    caseless, caseless_filled, _ = windows(*forms[CASELESS], sizes, length, 1 << 8)
+    yield CASELESS, caseless, inside & (caseless_filled >= least), content
 
 
 def _windows_of(docs: DataFrame, lengths: list[int], wanted, whole_only: bool = False) -> DataFrame:
@@ -135,14 +161,13 @@ def _windows_of(docs: DataFrame, lengths: list[int], wanted, whole_only: bool =
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 ids = part.column("doc_id").to_pylist()
-                words, tokens, slots, sizes = template(part.column("text").to_pylist(), codes)
+                words, forms, sizes = template(part.column("text").to_pylist(), codes)
                 starts = np.cumsum(sizes) - sizes
-                for length in lengths:
-                    hashes, real = windows(tokens, slots, sizes, length)
+                for length, (form, hashes, real, content) in ((n, found) for n in lengths for found in forms_of_windows(forms, sizes, n)):
                     if whole_only:
-                        real &= np.repeat(sizes == length if length < WINDOW else sizes >= WINDOW, sizes)
+                        real = real & np.repeat(sizes == length if length < WINDOW else sizes >= WINDOW, sizes)
                     if sought is not None:
-                        real &= maybe[(hashes & np.uint64((1 << 20) - 1)).astype(np.int64)]
+                        real = real & maybe[(hashes & np.uint64((1 << 20) - 1)).astype(np.int64)]
                     hit = np.flatnonzero(real)
                     if sought is not None and len(hit):
                         place = np.minimum(np.searchsorted(sought, hashes[hit]), len(sought) - 1)
@@ -151,11 +176,13 @@ def _windows_of(docs: DataFrame, lengths: list[int], wanted, whole_only: bool =
                         continue
                     of = np.searchsorted(starts + sizes, hit, side="right")
                     position = hit - starts[of]
+                    # An item's caseless and plain windows tell its names too; the document has the same words there.
+                    slots = forms[NARROW if whole_only and form != WIDE else form][1]
                     held = [
                         [words[d][p + k].strip(_EDGES).lower() if slots[i + k] else "" for k in range(length)] if slots[i : i + length].any() else None
                         for i, d, p in zip(hit.tolist(), of.tolist(), position.tolist(), strict=True)
                     ]
-                    yield shared.batch_of(_HITS, hashes[hit].view(np.int64), [ids[d] for d in of.tolist()], position.astype(np.int32), held)
+                    yield shared.batch_of(_HITS, hashes[hit].view(np.int64), [ids[d] for d in of.tolist()], position.astype(np.int32), held, np.full(len(hit), form == WIDE), content[hit])
 
     return shared.id_text(docs).where("doc_id is not null").mapInArrow(run, _HIT)
 
@@ -168,7 +195,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, path: str, similarity: float =
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").alias("doc_id"), "text")
     all_lengths = list(range(1, WINDOW + 1))
-    told = _windows_of(items, all_lengths, None, whole_only=True).select("hash", F.col("doc_id").alias("item_id"), F.col("position").alias("item_position"), F.col("slots").alias("item_slots"))
+    told = _windows_of(items, all_lengths, None, whole_only=True).select(
+        "hash", F.col("doc_id").alias("item_id"), F.col("position").alias("item_position"), F.col("slots").alias("item_slots"), F.col("wide").alias("item_wide"), F.col("content").alias("item_content")
+    )
     told = shared.settled(told.distinct(), f"{path}/items")
     hashes = told.select("hash").distinct()
     held = None
@@ -176,20 +205,22 @@ def leaks(docs: DataFrame, benchmark: DataFrame, path: str, similarity: float =
         held = spark.sparkContext.broadcast(np.sort(hashes.toArrow()["hash"].to_numpy().view(np.uint64)))
     short = [r.n for r in items.select(F.size(F.split(F.trim(F.coalesce("text", F.lit(""))), r"\s+")).alias("n")).where(f"n < {WINDOW}").distinct().collect()]  # under WINDOW values
     asked = _windows_of(docs, sorted({WINDOW, *(n for n in short if n > 0)}), held)
-    pairs = asked.join(told, "hash")
-    aligned = pairs.groupBy("doc_id", "item_id", (F.col("position") - F.col("item_position")).alias("shift")).agg(
-        F.collect_set("item_position").alias("covered"),
-        F.array_distinct(
-            F.flatten(F.collect_list(F.when(F.col("slots").isNotNull(), F.filter(F.arrays_zip(F.col("item_slots").alias("told"), F.col("slots").alias("here")), lambda s: s["told"] != ""))))
-        ).alias("filled"),
+    # Openings of sentences as slots are a reading of their own: where it is not consistent, the narrow one may be.
+    readings = F.when(F.col("wide") | F.col("item_wide"), F.array(F.lit(True))).otherwise(F.array(F.lit(False), F.lit(True)))
+    filled = F.zip_with("item_slots", F.coalesce("slots", "item_slots"), lambda told, here: F.struct(told.alias("told"), F.when(here == "", told).otherwise(here).alias("here")))
+    pairs = asked.drop("content").join(told, "hash").withColumn("reading", F.explode(readings))
+    aligned = pairs.groupBy("doc_id", "item_id", "reading", (F.col("position") - F.col("item_position")).alias("shift")).agg(
+        F.collect_set(F.struct("item_position", "item_content")).alias("covered"),
+        F.array_distinct(F.flatten(F.collect_list(F.when(F.col("item_slots").isNotNull(), F.filter(filled, lambda s: s["told"] != ""))))).alias("filled"),
     )
     told_values = F.array_distinct(F.transform("filled", lambda s: s["told"]))
     sound = aligned.where(F.size("filled") == F.size(told_values)).select(
         "doc_id", "item_id", "covered", F.forall("filled", lambda s: s["told"] == s["here"]).alias("same")
     )
-    totals = told.groupBy("item_id").agg(F.countDistinct("item_position").alias("total"))
-    found = sound.groupBy("doc_id", "item_id").agg(F.size(F.array_distinct(F.flatten(F.collect_list("covered")))).alias("covered"), F.bool_and("same").alias("same"))
-    rated = found.join(totals, "item_id").withColumn("similarity", F.col("covered") / F.col("total"))
+    totals = told.groupBy("item_id").agg(F.countDistinct("item_position").alias("total"), F.countDistinct(F.when(F.col("item_content"), F.col("item_position"))).alias("total_content"))
+    found = sound.groupBy("doc_id", "item_id").agg(F.array_distinct(F.flatten(F.collect_list("covered"))).alias("covered"), F.bool_and("same").alias("same"))
+    of_content = F.size(F.filter("covered", lambda c: c["item_content"])) / F.col("total_content")
+    rated = found.join(totals.where("total_content > 0"), "item_id").withColumn("similarity", of_content)
     return rated.where(F.col("similarity") >= similarity).select("doc_id", "item_id", "similarity", F.when(F.col("same"), "exact").otherwise("restated").alias("kind"))
 
 

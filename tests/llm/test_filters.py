@@ -30,6 +30,17 @@ def test_leaks(spark):
     assert decontaminate.leaks(docs.limit(0), items, shared.workspace(spark, "t")).collect() == []
 
 
+def test_leaks_with_names_that_open_sentences(spark):
+    told = ["Tom has 12 apples. Tom gives 5 apples to Anna. How many apples does Tom have now?", "Maria buys 12 pens at 3 dollars each. Maria then sells all pens for 50 dollars. What does Maria gain?", QUESTION]
+    again = ["Sam has 15 apples. Sam gives 7 apples to Lucy. How many apples does Sam have now?", "Lucia buys 15 pens at 4 dollars each. Lucia then sells all pens for 90 dollars. What does Lucia gain?", RETOLD]
+    items = spark.createDataFrame(list(enumerate(told)), "item_id long, text string")
+    texts = [*again, *[t.upper() for t in told], *[f"see here: {t.lower()}" for t in told], QUESTION.upper().replace("12", "17"), MUDDLED, told[0].replace("How", "So she wonders how").replace("12", "9"), "Sam has 15 apples. Tom gives 7 apples to Lucy. How many pears does Sam have now?"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = sorted((r.doc_id, r.item_id, r.kind) for r in decontaminate.leaks(docs, items, shared.workspace(spark, "t")).collect())
+    copies = [(k, k % 3, "exact") for k in range(3, 9)]
+    assert found == [(0, 0, "restated"), (1, 1, "restated"), (2, 2, "restated"), *copies, (9, 2, "restated")]
+
+
 def test_leaks_equal_a_search(spark):
     folder = "/root/testdata/sf0.01"
     docs, items = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "benchmark"))
