@@ -9,12 +9,14 @@ document. So a question told again with other numbers or names is found, and one
 phrasing in places is not. A document is contaminated by an item when consistent alignments cover
 SIMILARITY of the item's windows.
 
-A window has up to three forms, and an item's window is covered when any of them is shared: narrow (as above),
+A window has up to four forms, and an item's window is covered when any of them is shared: narrow (as above),
 wide (capitalised openings of sentences are names as well, at least WIDE_CONTENT other words), caseless
-(numbers and units are slots, names are words: copies in capitals or small letters). Wide windows make a
+(numbers and units are slots, names are words: copies in capitals or small letters), and plain. Wide windows make a
 second reading of an alignment, with a consistency of its own, so a changed opening word loses nothing.
 
-Windows need CONTENT words that are no placeholder. Items of fewer than WINDOW
+Template windows need CONTENT words that are no placeholder. Windows of fewer words beside numbers and units
+(sequences, tables) only have the plain form, which matches the same words and values. An item is judged by its
+windows with enough content where those are half of all or more, and by all its windows. Items of fewer than WINDOW
 tokens are one window of their whole length, with as many content words as CONTENT allows for that length.
 
 The documents' windows that cannot match are dropped early with the benchmark's sorted hashes, which are
@@ -141,6 +143,8 @@ def forms_of_windows(forms: list[tuple[np.ndarray, np.ndarray]], sizes: np.ndarr
     yield WIDE, wide, content & (wide_filled < filled) & (wide_filled >= min(WIDE_CONTENT, length)), content
     caseless, caseless_filled, _ = windows(*forms[CASELESS], sizes, length, 1 << 8)
     yield CASELESS, caseless, inside & (caseless_filled >= least), content
+    plain, _, _ = windows(*forms[PLAIN], sizes, length, 1 << 9)
+    yield PLAIN, plain, inside & (caseless_filled < least), content
 
 
 def _windows_of(docs: DataFrame, lengths: list[int], wanted, whole_only: bool = False) -> DataFrame:
@@ -219,8 +223,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, path: str, similarity: float =
     )
     totals = told.groupBy("item_id").agg(F.countDistinct("item_position").alias("total"), F.countDistinct(F.when(F.col("item_content"), F.col("item_position"))).alias("total_content"))
     found = sound.groupBy("doc_id", "item_id").agg(F.array_distinct(F.flatten(F.collect_list("covered"))).alias("covered"), F.bool_and("same").alias("same"))
+    of_all = F.size("covered") / F.col("total")
     of_content = F.size(F.filter("covered", lambda c: c["item_content"])) / F.col("total_content")
-    rated = found.join(totals.where("total_content > 0"), "item_id").withColumn("similarity", of_content)
+    rated = found.join(totals, "item_id").withColumn("similarity", F.when(2 * F.col("total_content") >= F.col("total"), F.greatest(of_all, of_content)).otherwise(of_all))
     return rated.where(F.col("similarity") >= similarity).select("doc_id", "item_id", "similarity", F.when(F.col("same"), "exact").otherwise("restated").alias("kind"))
 
 

@@ -41,6 +41,21 @@ def test_leaks_with_names_that_open_sentences(spark):
     assert found == [(0, 0, "restated"), (1, 1, "restated"), (2, 2, "restated"), *copies, (9, 2, "restated")]
 
 
+def test_leaks_of_items_with_little_content(spark):
+    sequence = "2, 4, 8, 16, 32, 64, 128, 256"
+    names = "Anna Berta Carla Dora Emma Frida Greta Hanna"
+    asked = f"Continue the following sequence of {sequence}, 512, 1024, 2048"
+    items = spark.createDataFrame([(1, sequence), (2, f"The {names}"), (3, asked)], "item_id long, text string")
+    docs = spark.createDataFrame(
+        [(1, f"x {sequence} y"), (2, "x 3, 9, 27, 81, 243, 729, 2187, 6561 y"), (3, f"list The {names}. End"), (4, "list The Ada Bea Cleo Dina Ella Fay Gwen Hedy"),
+         (5, "Continue the following sequence of 3, 9, 27, 81, 243, 729"), (6, f"x {asked} y")],
+        "doc_id long, text string",
+    )
+    for limit in (decontaminate.BROADCAST_HASHES, 0):
+        found = sorted((r.doc_id, r.item_id, r.kind) for r in decontaminate.leaks(docs, items, shared.workspace(spark, "t"), broadcast_hashes=limit).collect())
+        assert found == [(1, 1, "exact"), (3, 2, "exact"), (6, 1, "exact"), (6, 3, "exact")]
+
+
 def test_leaks_equal_a_search(spark):
     folder = "/root/testdata/sf0.01"
     docs, items = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "benchmark"))
