@@ -37,7 +37,7 @@ BOX = 8
 STEPS = (12, 24, 40)
 SLACK = 1e-9
 
-_LEADS = pa.schema([("node", pa.int64()), ("weight", pa.int64()), ("lead", pa.float64()), ("v", pa.list_(pa.float64()))])
+_LEADS = pa.schema([("node", pa.int64()), ("weight", pa.int64()), ("named", pa.bool_()), ("lead", pa.float64()), ("v", pa.list_(pa.float64()))])
 _META = pa.schema([("block", pa.string()), ("size", pa.int64()), ("low", pa.list_(pa.float64())), ("high", pa.list_(pa.float64()))])
 _FOUND = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("links", pa.int64())])
 
@@ -73,14 +73,14 @@ def link_matrix(a: np.ndarray, b: np.ndarray, turned_a: np.ndarray, turned_b: np
     return rows[r], columns[c], exact[np.ix_(r, c)]
 
 
-def _write_block(uri: str, nodes: np.ndarray, weights: np.ndarray, rows: np.ndarray) -> None:
-    shared.put_array(uri, np.frombuffer(nodes.astype(np.int64).tobytes() + weights.astype(np.int64).tobytes() + rows.astype(np.float64).tobytes(), np.uint8))
+def _write_block(uri: str, nodes: np.ndarray, weights: np.ndarray, named: np.ndarray, rows: np.ndarray) -> None:
+    shared.put_array(uri, np.frombuffer(b"".join(x.astype(np.int64).tobytes() for x in (nodes, weights, named)) + rows.astype(np.float64).tobytes(), np.uint8))
 
 
-def _read_block(uri: str, dimension: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _read_block(uri: str, dimension: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     flat = shared.mapped_array(uri, np.float64)
-    n = len(flat) // (2 + dimension)
-    return flat[:n].view(np.int64), flat[n : 2 * n].view(np.int64), flat[2 * n :].reshape(n, dimension)
+    n = len(flat) // (3 + dimension)
+    return flat[:n].view(np.int64), flat[n : 2 * n].view(np.int64), flat[2 * n : 3 * n].view(np.int64) > 0, flat[3 * n :].reshape(n, dimension)
 
 
 def _axes(distinct: DataFrame, dimension: int) -> np.ndarray:
@@ -98,7 +98,7 @@ def _compared(distinct: DataFrame, dimension: int, path: str, threshold: float)
     def turned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, _ = unit(matrix(batch.column("v"), dimension)) if batch.num_rows else (np.zeros((0, dimension)), None)
-            yield shared.batch_of(_LEADS, batch.column("node"), batch.column("weight"), rows @ held.value[:, 0], batch.column("v"))
+            yield shared.batch_of(_LEADS, batch.column("node"), batch.column("weight"), batch.column("named"), rows @ held.value[:, 0], batch.column("v"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, k, waiting, size = TaskContext.get().partitionId(), 0, [], 0
@@ -106,7 +106,7 @@ def _compared(distinct: DataFrame, dimension: int, path: str, threshold: float)
         def block(table: pa.Table) -> pa.RecordBatch:
             rows, _ = unit(matrix(table["v"].combine_chunks(), dimension))
             name = f"{part:07d}-{k:05d}"
-            _write_block(f"{path}/blocks/{name}", table["node"].to_numpy(), table["weight"].to_numpy(), rows)
+            _write_block(f"{path}/blocks/{name}", table["node"].to_numpy(), table["weight"].to_numpy(), table["named"].to_numpy(), rows)
             box = rows @ held.value[:, :BOX]
             return shared.batch_of(_META, [name], [len(rows)], [box.min(axis=0).tolist()], [box.max(axis=0).tolist()])
 
@@ -122,7 +122,7 @@ def _compared(distinct: DataFrame, dimension: int, path: str, threshold: float)
         if size:
             yield block(pa.Table.from_batches(waiting))
 
-    leads = distinct.select("node", "weight", "v").mapInArrow(turned, "node long, weight long, lead double, v array<double>")
+    leads = distinct.select("node", "weight", F.col("least").isNotNull().alias("named"), "v").mapInArrow(turned, "node long, weight long, named boolean, lead double, v array<double>")
     ordered = leads.repartitionByRange(blocks, "lead").sortWithinPartitions("lead", "node")
     meta = shared.settled(ordered.mapInArrow(write, "block string, size long, low array<double>, high array<double>"), f"{path}/meta")
 
@@ -145,10 +145,10 @@ def _compared(distinct: DataFrame, dimension: int, path: str, threshold: float)
         axes = held.value
         for batch in batches:
             for name, others in zip(batch.column("block").to_pylist(), batch.column("others").to_pylist(), strict=True):
-                nodes, weights, rows = _read_block(f"{path}/blocks/{name}", dimension)
+                nodes, weights, named, rows = _read_block(f"{path}/blocks/{name}", dimension)
                 turned_rows = rows @ axes
                 for other in others:
-                    nodes_b, weights_b, rows_b = (nodes, weights, rows) if other == name else _read_block(f"{path}/blocks/{other}", dimension)
+                    nodes_b, weights_b, named_b, rows_b = (nodes, weights, named, rows) if other == name else _read_block(f"{path}/blocks/{other}", dimension)
                     r, c, links = link_matrix(rows, rows_b, turned_rows, turned_rows if other == name else rows_b @ axes, threshold)
                     if other == name:
                         links = links & (r[:, None] != c[None, :])
@@ -161,7 +161,8 @@ def _compared(distinct: DataFrame, dimension: int, path: str, threshold: float)
                         n.append(links.T @ weights[r])
                     a, n = np.concatenate(a), np.concatenate(n)
                     yield shared.batch_of(_FOUND, a[n > 0], a[n > 0], n[n > 0])
-                    left, right = _forest(nodes[r], nodes_b[c], links)
+                    one, two = named[r], named_b[c]  # vectors without an id hold nothing together
+                    left, right = _forest(nodes[r][one], nodes_b[c][two], links[np.ix_(one, two)])
                     yield shared.batch_of(_FOUND, left, right, np.zeros(len(left), np.int64))
 
     return panels.repartition(max(shared.shuffle_partitions(spark), 1), "block", "panel").mapInArrow(compare, "a long, b long, links long")
@@ -195,7 +196,7 @@ def near_duplicates(vectors: DataFrame, path: str, threshold: float = THRESHOLD,
     )
     good = named.where(sound)
     folded = good.groupBy("v").agg(F.min("vec_id").alias("least"), F.count("*").alias("weight"))
-    # A vector that only rows without an id have gets a node of its own below all ids, so that it still counts for others.
+    # A vector that only rows without an id have gets a node of its own, so that it still counts for others.
     distinct = folded.select("v", "weight", F.col("least"), F.coalesce("least", F.xxhash64("v").bitwiseOR(F.lit(-(1 << 63)))).alias("node"))
     distinct = shared.settled(distinct, f"{path}/distinct")
     found = None
@@ -206,7 +207,7 @@ def near_duplicates(vectors: DataFrame, path: str, threshold: float = THRESHOLD,
         found = spark.createDataFrame([], "a long, b long, links long")
     found = shared.settled(found, f"{path}/found")
     counts = found.where("links > 0").groupBy("a").agg(F.sum("links").alias("others"))
-    labelled = components.connected_components(found.where("links = 0 and a >= 0 and b >= 0").select("a", "b"), f"{path}/components")
+    labelled = components.connected_components(found.where("links = 0").select("a", "b"), f"{path}/components")
     classes = (
         distinct.join(counts, distinct.node == counts.a, "left")
         .join(labelled, distinct.node == labelled.node, "left")

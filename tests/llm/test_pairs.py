@@ -98,6 +98,15 @@ def test_embeddings_equal_brute_force(spark, data, monkeypatch):
     }
 
 
+def test_embeddings_without_or_with_negative_ids(spark):
+    rows = [(None, [1.0, 2.001]), (9005, [1.0, 2.0]), (9006, [1.0, 2.01]), (-7, [-5.0, 1.0]), (-3, [-5.0, 1.01]), (4, [-5.0, 1.02]), (None, [3.0, -1.0])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(map(tuple, embedding_dups.near_duplicates(vectors, shared.workspace(spark, "t")).collect()), key=repr)
+    assert got == sorted(
+        [(None, 2, None, True), (9005, 2, 9005, True), (9006, 2, 9005, False), (-7, 2, -7, True), (-3, 2, -7, False), (4, 2, -7, False), (None, 0, None, True)], key=repr
+    )
+
+
 def test_components_of_chains(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(0, 300)] + [(500, 501), (7, 7)], "a long, b long")
     got = dict(map(tuple, components.connected_components(edges, shared.workspace(spark, "t")).collect()))
