@@ -31,7 +31,6 @@ RULES = (
 BLOCK = "=block"
 MIN_SUPPORT = 0.002
 MIN_CONFIDENCE = 0.6
-MAX_TOKENS = 3
 MIN_BLOCKED = 3
 
 
@@ -90,7 +89,7 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence:
     if not counts.blocked:
         return _no_rules(spark)
     model = FPGrowth(itemsCol="items", minSupport=max(min_support, MIN_BLOCKED / counts.n), minConfidence=min_confidence).fit(baskets)
-    implied = model.associationRules.where((F.element_at("consequent", 1) == BLOCK) & (F.size("antecedent") <= MAX_TOKENS))
+    implied = model.associationRules.where(F.element_at("consequent", 1) == BLOCK)
     rules = implied.select(F.array_sort("antecedent").alias("tokens"), F.size("antecedent").alias("n_tokens"), "confidence", "support")
     # The shortest of rules that say the same: a rule goes when a kept combination within it is at least as sure. Joined on a token they share.
     short = rules.select(F.explode("tokens").alias("token"), F.col("tokens").alias("inner"), F.col("n_tokens").alias("inner_n"), F.col("confidence").alias("inner_confidence"))

@@ -203,6 +203,15 @@ def test_mined_rules_judge_what_no_rule_lists(spark):
     assert found == {1: "block", 2: "allow", 3: "allow"}
 
 
+def test_mined_rules_of_many_tokens(spark):
+    steps = ["aa", "bb", "cc", "dd"]
+    bad = [(f"http://s.net/{'/'.join(steps)}/{i}", True) for i in range(40)]
+    good = [(f"http://s.net/{'/'.join(x for x in steps if x != left)}/{i}", False) for left in steps for i in range(60)]
+    labelled = spark.createDataFrame(bad + good, "url string, blocked boolean")
+    pages = spark.createDataFrame([(1, "http://s.net/dd/cc/bb/aa"), (2, "http://s.net/aa/bb/cc")], "page_id long, url string")
+    assert {r.page_id: r.verdict for r in url_rules.judge(pages, labelled).collect()} == {1: "block", 2: "allow"}
+
+
 def test_hashes_are_crc32(spark):
     got = spark.range(50).select("id", shared.crc_remainder("id", 7).alias("r")).collect()
     assert all(r.r == zlib.crc32(str(r.id).encode()) % 7 for r in got)
