@@ -144,8 +144,10 @@ def citation_rewrite(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("join_overlap_text")
 def join_overlap_text(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents")
-    return docs.select("doc_id", F.sha2(text.join_overlap(F.left("text", F.lit(400)), F.substring("text", 350, 400)).cast("binary"), 256).alias("joined_sha256"))
+    """Every text in two parts that overlap by a quarter of it, within the 10 to 1,500 characters that are looked for."""
+    half, overlap = F.floor(F.length("text") / 2).cast("int"), F.least(F.greatest(F.floor(F.length("text") / 4), F.lit(10)), F.lit(1500)).cast("int")
+    joined = text.join_overlap(F.left("text", half + overlap), F.substr("text", half + 1))
+    return table(spark, folder, "documents").select("doc_id", F.sha2(joined.cast("binary"), 256).alias("joined_sha256"))
 
 
 @query("spoken_phrases")
@@ -186,4 +188,5 @@ def layout_blocks(spark: SparkSession, folder: str) -> DataFrame:
 def passages_located(spark: SparkSession, folder: str) -> DataFrame:
     """The middle of every page found again in the page's lines."""
     docs = table(spark, folder, "documents")
-    return text.passages(docs.select(F.col("doc_id").alias("passage_id"), F.substring("text", 100, 300).alias("passage"), F.split("text", "\n").alias("segments")))
+    start = F.greatest(F.floor((F.length("text") - 300) / 2).cast("int") + 1, F.lit(1))
+    return text.passages(docs.select(F.col("doc_id").alias("passage_id"), F.substr("text", start, F.lit(300)).alias("passage"), F.split("text", "\n").alias("segments")))

@@ -99,3 +99,16 @@ def test_chapter_at_a_page(spark):
     rows = spark.createDataFrame([("b", 1), ("b", 3), ("b", 19), ("b", 300), ("b", 699), ("b", 5000), ("c", 40), ("d", 1)], "book_id string, page int")
     got = {(r.book_id, r.page): r.chapter for r in relational.chapter_at(rows, chapters, block_pages=8).collect()}
     assert got == {("b", 1): None, ("b", 3): 1, ("b", 19): 2, ("b", 300): 3, ("b", 699): 3, ("b", 5000): 4, ("c", 40): 1, ("d", 1): None}
+
+
+def test_queries_of_whole_texts(spark, tmp_path):
+    import hashlib
+
+    from lectern.plans import text_queries
+
+    texts = [". ".join(f"line {i} of {n} says {i * i}" for i in range(n)).replace(". ", "\n") for n in (2, 30, 900)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    joined = {r.doc_id: r.joined_sha256 for r in text_queries.join_overlap_text(spark, str(tmp_path)).collect()}
+    assert joined == {i: hashlib.sha256(t.encode()).hexdigest() for i, t in enumerate(texts)}
+    places = {r.passage_id: r for r in text_queries.passages_located(spark, str(tmp_path)).collect()}
+    assert 400 < places[2][1] < 500, places
