@@ -2,16 +2,19 @@
 
 Layout: files in ascending doc_id order, one list<int32> per document. The ids are dictionary coded
 (a vocabulary fits one dictionary page), doc_id and n_tokens are delta coded; row groups close at
-row_group_tokens tokens or ROW_GROUP_DOCS documents, and every file carries a page index. A reader
-of doc_id and n_tokens never touches the ids' pages.
+row_group_tokens tokens, at ROW_GROUP_DOCS documents or where a slice of texts that is encoded at once ends
+(pieces.SLICE_CHARACTERS), and every file carries a page index. A reader of doc_id and n_tokens never
+touches the ids' pages.
 
 Defined results: a null text is an empty text, and an empty text has the end id alone. Rows with the
 same doc_id (or none; they come first) are ordered by text. An empty table gives no file and no rows.
 Very long texts are one row each; a row group holds at least one document. Other columns are ignored.
 
-Ids are those of the tokenizers library for the whole text. A blank that precedes a non-blank always
-starts a pre-token of the byte-level pattern, so a text is cut there and each distinct piece is
-encoded by the library once per worker, in a cache of bounded size.
+Ids are those of the tokenizers library for the whole text. Strings of added tokens in a text (<|endoftext|>)
+are text like any other by default, so that no text can write an end of document; with added_as_text=False they
+are the added tokens, as in the library's plain call. A blank that precedes a non-blank always starts a pre-token of the
+byte-level pattern, so a text is cut there (pieces), each distinct piece of a slice is encoded by the library
+once, and stems are remembered by the worker, in a table of bounded size.
 """
 
 from __future__ import annotations
@@ -20,28 +23,27 @@ import functools
 import os
 import re
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.parquet as pq
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import shared
+from lectern.llm import pieces, shared
 
 ROW_GROUP_DOCS = 8192
-CACHED_PIECES = 600_000
+CACHED_PIECES = 1_000_000
+BATCH_PIECES = 4096
+RANGE_CHARACTERS = 64
 
 FILE_SCHEMA = pa.schema([pa.field("doc_id", pa.int64()), pa.field("n_tokens", pa.int32()), pa.field("ids", pa.list_(pa.int32()))])
 MANIFEST = "part int, file string, n_docs long, n_tokens long"
 READ = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 
-_LOOSE_BLANK = re.compile(r" (?=\s|$)")
-_PIECE_START = re.compile(r" (?=\S)")
-
 
 def byte_letters() -> dict[int, str]:
     """The printable character that byte-level BPE writes for each byte: itself if visible in Latin-1, else from U+0100 on."""
@@ -51,86 +53,90 @@ def byte_letters() -> dict[int, str]:
 
 
 class PieceEncoder:
-    """Text to little-endian unsigned 32-bit ids, with the library asked once for each distinct piece."""
+    """Texts to ids, with the library asked once for each distinct piece.
+
+    A text that holds the string of an added token goes to the library whole, unless such strings are to be
+    text like any other (added_as_text).
+    """
 
-    def __init__(self, tokenizer_path: str, cached: int = CACHED_PIECES):
+    def __init__(self, tokenizer_path: str, added_as_text: bool = True, cached: int = CACHED_PIECES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; threads that wait for each other only burn it
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.whole = Tokenizer.from_file(tokenizer_path)
-        self.whole.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.model = self.whole.model  # for pieces that are one pre-token
-        self.spelled = [i.to_bytes(4, "little") for i in range(self.whole.get_vocab_size())]
+        self.whole.encode_special_tokens = added_as_text
+        self.added = [] if added_as_text else [t.content for t in self.whole.get_added_tokens_decoder().values()]
+        self.single = Tokenizer.from_file(tokenizer_path)  # for words that are one pre-token, spelled in byte letters
+        self.single.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
         self.letters = byte_letters()
-        self.points = {c: array("I", self.whole.encode(c, add_special_tokens=False).ids).tobytes() for c in ".,!?;:"}
-        self.cached = cached
-        self.known: dict[str, bytes] = {"": b""}
-        self.firsts: dict[str, bytes] = {}
-
-    def _learn(self, pieces: set[str]) -> None:
-        """pieces: without the blank before them."""
-        simple = [p for p in pieces if p.isalpha()]
-        other = [p for p in pieces if not p.isalpha()]
-        ended = [p for p in other if p[-1] in self.points and p[:-1].isalpha()]
-        stems = {p[:-1] for p in ended}
-        stems.difference_update(self.known)
-        stems.difference_update(simple)
-        simple += stems
-        tokenize, spelled, letters = self.model.tokenize, self.spelled, self.letters
-        for piece in simple:
-            word = f"Ġ{piece}" if piece.isascii() else f" {piece}".encode().decode("latin-1").translate(letters)
-            self.known[piece] = b"".join([spelled[t.id] for t in tokenize(word)])
-        for piece in ended:
-            self.known[piece] = self.known[piece[:-1]] + self.points[piece[-1]]
-        rest = [p for p in other if p not in self.known]
-        for at in range(0, len(rest), 4096):
-            some = rest[at : at + 4096]
-            for piece, found in zip(some, self.whole.encode_batch_fast([f" {p}" for p in some], add_special_tokens=False), strict=True):
-                self.known[piece] = array("I", found.ids).tobytes()
-
-    def _first(self, piece: str) -> bytes:
-        """The ids of a text's first piece, which has no blank before it."""
-        found = self.firsts.get(piece)
-        if found is None:
-            if len(self.firsts) >= self.cached // 8:
-                self.firsts.clear()
-            found = self.firsts[piece] = array("I", self.whole.encode(piece, add_special_tokens=False).ids).tobytes()
-        return found
+        blank = self.letters[0x20]
+        self.opens = np.zeros(self.whole.get_vocab_size(), bool)
+        for token, number in self.whole.get_vocab().items():
+            self.opens[number] = token.startswith(blank)
+        self.blank = blank
+        self.stems = pieces.Remembered(self._stems, cached)
+
+    def _ids(self, texts: list[str]) -> pieces.Lists:
+        return pieces.Lists.of([e.ids for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)])
+
+    def _stems(self, words: pa.Array) -> pieces.Lists:
+        letters, blank = self.letters, self.blank
+        spelled = [blank + (w if w.isascii() else w.encode().decode("latin-1").translate(letters)) for w in pieces.objects(words)]
+        some = [spelled[at : at + BATCH_PIECES] for at in range(0, len(spelled), BATCH_PIECES)]
+        ids = [np.array(e.ids, np.uint32) for e in self.single.encode_batch_fast(some, is_pretokenized=True, add_special_tokens=False)]
+        return pieces.split_at(np.concatenate(ids), self.opens) if ids else pieces.Lists.of([])
+
+    def _later(self, found: pa.Array) -> pieces.Lists:
+        """Ids of distinct pieces that a blank precedes."""
+        which, stems, stem_of, tails, tail_of = pieces.simple(found)
+        tail_ids = self._ids(pieces.objects(tails).tolist())
+        simple = pieces.Lists.beside(self.stems.ids(stems).take(stem_of), tail_ids.take(tail_of))
+        left = found.filter(pa.array(~which))
+        blank = pieces.flags(pc.or_(pc.match_substring(left, " "), pc.equal(left, "")))
+        whole = self._ids([f" {p}" if p else "" for p in pieces.objects(left.filter(pa.array(blank)))])
+        other = self._joined(pieces.objects(left.filter(pa.array(~blank))).tolist())
+        place = np.empty(len(found), np.int64)
+        place[which] = np.arange(len(simple))
+        place[~which] = len(simple) + np.where(blank, np.cumsum(blank) - 1, len(whole) + np.cumsum(~blank) - 1)
+        return pieces.Lists.joined([simple, whole, other]).take(place)
+
+    def _joined(self, found: list[str]) -> pieces.Lists:
+        """Ids of pieces without blanks, encoded some at a time with a blank before each."""
+        some = [" " + " ".join(found[at : at + BATCH_PIECES]) for at in range(0, len(found), BATCH_PIECES)]
+        ids = [np.array(e.ids, np.uint32) for e in self.whole.encode_batch_fast(some, add_special_tokens=False)]
+        return pieces.split_at(np.concatenate(ids), self.opens) if ids else pieces.Lists.of([])
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
-        """The ids of each text. Texts are taken in slices whose pieces fit the cache."""
-        cut, size = [], 0
-        for text in texts:
-            cut.append(_PIECE_START.split(text) if _LOOSE_BLANK.search(text) else text.split(" "))
-            size += len(cut[-1])
-            if size >= self.cached // 2:
-                yield from self._slice(cut)
-                cut, size = [], 0
-        yield from self._slice(cut)
-
-    def _slice(self, cut: list[list[str]]) -> Iterator[bytes]:
-        firsts = []
-        for pieces in cut:
-            firsts.append(self._first(pieces[0]) if pieces[0] else b"")
-            pieces[0] = ""
-        distinct = set().union(*cut)
-        missing = distinct.difference(self.known)
-        if len(self.known) + len(missing) > self.cached:
-            self.known = {"": b""}
-            missing = distinct.difference(self.known)
-        self._learn(missing)
-        look = self.known.__getitem__
-        for first, pieces in zip(firsts, cut, strict=True):
-            yield first + b"".join(map(look, pieces))
+        """The ids of each text as little-endian unsigned 32-bit integers."""
+        found = self.lists(pieces.strings(texts))
+        for start, size in zip(found.starts.tolist(), found.sizes.tolist(), strict=True):
+            yield found.flat[start : start + size].astype("<u4").tobytes()
+
+    def lists(self, texts: pa.Array) -> pieces.Lists:
+        """The ids of each text of a slice."""
+        if self.added:
+            held = pieces.flags(pc.match_substring_regex(texts, "|".join(re.escape(t) for t in self.added)))
+            if held.any():
+                plain = self._encode(texts.filter(pa.array(~held))) if not held.all() else pieces.Lists.of([])
+                whole = self._ids(pieces.objects(texts.filter(pa.array(held))).tolist())
+                return pieces.Lists.joined([plain, whole]).take(np.where(held, len(plain) + np.cumsum(held) - 1, np.cumsum(~held) - 1))
+        return self._encode(texts)
+
+    def _encode(self, texts: pa.Array) -> pieces.Lists:
+        numbers, sizes, later, first = pieces.coded(texts)
+        ids = pieces.Lists.joined([self._later(later), self._ids(pieces.objects(first).tolist())]).take(numbers)
+        ends = np.concatenate([[0], np.cumsum(ids.sizes)])
+        last = np.cumsum(sizes)
+        return pieces.Lists(ends[last] - ends[last - sizes], ids.flat)
 
 
 @functools.lru_cache(maxsize=2)
-def piece_encoder(tokenizer_path: str) -> PieceEncoder:
-    return PieceEncoder(tokenizer_path)
+def piece_encoder(tokenizer_path: str, added_as_text: bool) -> PieceEncoder:
+    return PieceEncoder(tokenizer_path, added_as_text)
 
 
 def write_token_files(
-    docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 0, row_group_tokens: int = 2_000_000, partitions: int | None = None
+    docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 0, row_group_tokens: int = 2_000_000, partitions: int | None = None, added_as_text: bool = True
 ) -> DataFrame:
     """Encodes docs (doc_id, text) into files below folder, a URI that all machines share; returns the manifest.
 
@@ -141,32 +147,30 @@ def write_token_files(
     n = partitions or shared.shuffle_partitions(spark)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = piece_encoder(tokenizer_path)
-        end = np.array([end_id], "<u4").tobytes()
+        encoder = piece_encoder(tokenizer_path, added_as_text)
         part = TaskContext.get().partitionId()
         name = f"part-{part:06d}.parquet"
         total = [0, 0]
 
         def groups() -> Iterator[pa.Table]:
-            doc_ids, coded, size = [], [], 0
-            for batch in batches:
-                for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode(batch.column("text").to_pylist()), strict=True):
-                    doc_ids.append(doc_id)
-                    coded.append(ids + end)
-                    size += len(ids) // 4 + 1
-                    if size >= row_group_tokens or len(doc_ids) >= ROW_GROUP_DOCS:
-                        yield group(doc_ids, coded)
-                        doc_ids, coded, size = [], [], 0
-            if doc_ids:
-                yield group(doc_ids, coded)
-
-        def group(doc_ids: list, coded: list[bytes]) -> pa.Table:
-            counts = np.array([len(c) // 4 for c in coded], np.int32)
+            for doc_ids, texts in pieces.slices(batches):
+                ids = encoder.lists(texts)
+                counts = ids.sizes + 1
+                ends = np.cumsum(counts)
+                flat = np.full(int(ends[-1]), end_id, np.int32)
+                flat[pieces.gathered(ends - counts, ids.sizes)] = ids.flat
+                first = 0
+                while first < len(counts):
+                    before = int(ends[first - 1]) if first else 0
+                    last = min(int(np.searchsorted(ends, before + row_group_tokens)) + 1, first + ROW_GROUP_DOCS, len(counts))
+                    yield group(doc_ids.slice(first, last - first), counts[first:last], flat[before : ends[last - 1]])
+                    first = last
+
+        def group(doc_ids: pa.Array, counts: np.ndarray, flat: np.ndarray) -> pa.Table:
             total[0] += len(counts)
-            total[1] += int(counts.sum(dtype=np.int64))
+            total[1] += len(flat)
             offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-            flat = pa.Array.from_buffers(pa.int32(), int(offsets[-1]), [None, pa.py_buffer(b"".join(coded))])
-            return pa.Table.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(counts), pa.ListArray.from_arrays(pa.array(offsets), flat)], schema=FILE_SCHEMA)
+            return pa.Table.from_arrays([doc_ids, pa.array(counts.astype(np.int32)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], schema=FILE_SCHEMA)
 
         tables = groups()
         first = next(tables, None)
@@ -185,7 +189,8 @@ def write_token_files(
         shared.put_file(f"{folder}/{name}", into)
         yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "file": [f"{folder}/{name}"], "n_docs": [total[0]], "n_tokens": [total[1]]})
 
-    ordered = shared.id_text(docs).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    opening = F.left("text", F.lit(RANGE_CHARACTERS))  # deals the rows of a repeated doc_id over ranges too, in the order of their texts
+    ordered = shared.id_text(docs).repartitionByRange(n, "doc_id", opening).sortWithinPartitions("doc_id", "text")
     rows = ordered.mapInArrow(write, MANIFEST).collect()  # a row per file
     return spark.createDataFrame(sorted(rows), MANIFEST)
 
