@@ -14,7 +14,7 @@ from lectern.sources.tables import table
 
 def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = token_files.write_token_files(
-        table(spark, sf_dir, "documents"), shared.workspace(spark, "token-files"), public_tokenizers.path("byte_bpe_50k.json")
+        table(spark, sf_dir, "documents"), shared.workspace(spark, "token-files"), public_tokenizers.path("byte_bpe_50k.json"), added_as_text=False
     )
     return token_files.read_token_digests(manifest)
 

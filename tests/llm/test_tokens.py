@@ -8,9 +8,10 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pyarrow.parquet as pq
 
-from lectern.llm import byte_bpe, ngram_lm, shared, token_files
+from lectern.llm import byte_bpe, ngram_lm, pieces, shared, token_files
 
 ODD = [
     "  two  blanks \n x", "\n\n a\tb  ", "a b c's 're x \x1c y \x85 z", " lead", "trail ", "<|endoftext|> x <|endoftext|>", "日本 語。 é, è.", " ", "", None,
@@ -48,6 +49,32 @@ def test_token_files_round_trip(spark, data):
     assert "DELTA_BINARY_PACKED" in file.metadata.row_group(0).column(0).encodings
 
 
+def test_token_files_by_the_plain_call(spark, data):
+    """The query's ids are those of the library's plain call: strings of added tokens are the added tokens."""
+    from tokenizers import Tokenizer
+
+    rows = texts(spark, data) + [(i, t) for i, t in enumerate(["hello <|endoftext|> world", " <|endoftext|>  a", "x<|endoftext|><|endoftext|>y  \n", "<|endoftext"], 7000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    manifest = token_files.write_token_files(docs, shared.workspace(spark, "t"), P.path("byte_bpe_50k.json"), added_as_text=False)
+    library = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    assert library.encode("hello <|endoftext|> world", add_special_tokens=False).ids == [31373, 220, 50256, 995]
+    got = sorted((r.doc_id or -1, r.n_tokens, r.ids_crc32) for r in token_files.read_token_digests(manifest).collect())
+    ids = [(i or -1, np.array([*library.encode(t or "", add_special_tokens=False).ids, 0], "<u4")) for i, t in rows]
+    assert got == sorted((i, len(x), zlib.crc32(x)) for i, x in ids)
+
+
+def test_pieces_cut_and_slice_as_documents_do():
+    for size in (1, 40, 10_000):
+        docs = [(i, t or "") for i, t in enumerate(ODD)]
+        batches = [pa.RecordBatch.from_pydict({"doc_id": [i for i, _ in some], "text": [t for _, t in some]}) for some in (docs[:5], docs[5:])]
+        found = list(pieces.slices(iter(batches), size))
+        assert [(i, t) for ids, ts in found for i, t in zip(ids.to_pylist(), ts.to_pylist(), strict=True)] == docs
+        for _, some in found:
+            values, sizes = pieces.cut(some)
+            ends = np.cumsum(sizes)
+            assert [" ".join(values.to_pylist()[b - n : b]) for n, b in zip(sizes, ends, strict=True)] == some.to_pylist()
+
+
 def test_token_files_of_nothing(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     manifest = token_files.write_token_files(none, shared.workspace(spark, "t"), P.path("byte_bpe_50k.json"))
