@@ -1,15 +1,16 @@
 """Byte-level BPE by a global shuffle of distinct words.
 
 Texts are gathered into chunks of whole documents. A chunk explodes its texts into pre-tokens with
-positions; what travels is pre-aggregated: the chunk's distinct pre-tokens (one block per hash bucket)
-and, apart from them, the positions, as each position's number in the chunk's word list. A bucket's task
-sees every block of its words in the whole corpus, so each distinct word is encoded exactly once; the ids
-go back to the chunks that asked, where they are put together by position. A word that occurs in every
-document is one entry per chunk, so no task depends on how often it occurs. Decoding joins the token-byte
-table, which has one row per vocabulary entry and is broadcast.
+positions, once: the positions, as each position's number in the chunk's word list, go to a file of the shared
+folder, and what travels is the chunk's distinct pre-tokens, one block per hash bucket. A bucket's task sees
+every block of its words in the whole corpus, so each distinct word is encoded once (Remembered bounds
+what it holds; a word that it let go is encoded again); the ids go back to the chunks that asked, where they
+are put together by position. A word that occurs in every document is one entry per chunk, so no task depends on
+how often it occurs. Decoding joins the token-byte table, which has one row per vocabulary entry and
+is broadcast.
 
-The input is evaluated twice (words, positions), so it has to give the same rows both times, as a table
-does; chunks carry a digest of their content, and a chunk whose words are missing raises an error.
+The words are a table in the shared folder, whose rows name the files of their own task's attempt. So a repeated task
+changes nothing, and the input is read once.
 
 Defined results: a null or empty text has no ids. Rows that repeat a doc_id are encoded row by row.
 A chunk holds at least one document, however long. Empty table: no rows. Other columns are ignored.
@@ -19,29 +20,29 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import re
+import uuid
 import zlib
-from array import array
 from collections.abc import Iterator
-from itertools import chain, islice
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm import shared
+from lectern.llm import pieces, shared
 
 CHUNK_CHARACTERS = 12_000_000
+ASKED_WORDS = 500_000
+REMEMBERED_WORDS = 3_000_000
+JOINED_WORDS = 50_000
 
-_LOOSE_BLANK = re.compile(r" (?=\s|$)")
-_PIECE_START = re.compile(r" (?=\S)")
 _BLOCK = "chunk string, bucket int, body binary"
 _BLOCKS = pa.schema([("chunk", pa.string()), ("bucket", pa.int32()), ("body", pa.binary())])
-POSITIONS = -1
-POINTS = (".", ",", "!", "?", ";", ":")
+_ONE_WORD = r"^ [^\x09-\x0d\x1c-\x20\x{85}\p{Z}]+$"
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -74,219 +75,201 @@ def unpack(body: bytes, dtype) -> np.ndarray:
     return np.ascontiguousarray(flat.reshape(np.dtype(dtype).itemsize, -1).T).view(dtype).ravel()
 
 
-def join_words(words: list[bytes]) -> bytes:
-    sizes = np.array([len(w) for w in words], np.uint32)
-    return len(words).to_bytes(4, "little") + zstandard.ZstdCompressor(level=3).compress(sizes.tobytes() + b"".join(words))
+def layout(values: pa.Array) -> tuple[np.ndarray, pa.Buffer]:
+    """Offsets and bytes of a large string or binary array that starts at its buffers' start."""
+    _, offsets, data = values.buffers()
+    return (np.frombuffer(offsets, np.int64, len(values) + 1) if len(values) else np.zeros(1, np.int64)), data if data is not None else pa.py_buffer(b"")
 
 
-def split_words(body: bytes) -> list[bytes]:
+def from_layout(kind: pa.DataType, offsets: np.ndarray, data) -> pa.Array:
+    return pa.Array.from_buffers(kind, len(offsets) - 1, [None, pa.py_buffer(np.ascontiguousarray(offsets, np.int64)), data])
+
+
+def read_words(body: bytes) -> tuple[np.ndarray, bytes]:
+    """Sizes and bytes of a block of words."""
     n = int.from_bytes(body[:4], "little")
     flat = zstandard.ZstdDecompressor().decompress(body[4:])
-    ends = (np.cumsum(np.frombuffer(flat, np.uint32, n), dtype=np.int64) + 4 * n).tolist()
-    return [flat[a:b] for a, b in zip([4 * n, *ends], ends)]  # noqa: B905
+    return np.frombuffer(flat, np.uint32, n).astype(np.int64), flat[4 * n :]
+
+
+def words_of(later: pa.Array, first: pa.Array, pattern) -> tuple[pa.Array, pieces.Lists]:
+    """The distinct pre-tokens of pieces, and each piece's pre-tokens as their numbers: later ones (which a blank precedes), then first ones."""
+    which, stems, stem_of, tails, tail_of = pieces.simple(later)
+    tailed = pieces.flags(pc.not_equal(tails, ""))
+    other = [pattern.findall(f" {p}") if p else [] for p in pieces.objects(later.filter(pa.array(~which)))]
+    heads = [pattern.findall(p) for p in pieces.objects(first)]
+    spelled = pc.binary_join_element_wise(pieces.strings([""])[0], stems, pieces.strings([" "])[0])
+    odd = pieces.strings([w for ws in (*other, *heads) for w in ws])
+    words = pa.concat_arrays([spelled, tails.filter(pa.array(tailed)), odd]).dictionary_encode()
+    numbers = pieces.objects(words.indices).astype(np.int64)
+    of_stems, of_tails, of_odd = np.split(numbers, [len(stems), len(stems) + int(tailed.sum())])
+    simple = pieces.Lists.beside(pieces.Lists(np.ones(len(stem_of), np.int64), of_stems[stem_of]), pieces.Lists(tailed, of_tails).take(tail_of))
+    rest = pieces.Lists(np.array([len(ws) for ws in (*other, *heads)], np.int64), of_odd)
+    place = np.empty(len(later), np.int64)
+    place[which] = np.arange(len(simple))
+    place[~which] = len(simple) + np.arange(len(other))
+    return words.dictionary, pieces.Lists.joined([simple, rest]).take(np.concatenate([place, len(simple) + len(other) + np.arange(len(heads))]))
+
+
+@dataclass
+class Chunk:
+    """Documents put together: ids of each word of the chunk, the words in use one after the other, and how many of them each document has."""
 
+    doc_ids: pa.Array
+    words: pieces.Lists
+    used: np.ndarray
+    sizes: np.ndarray
 
-def bucket_numbers(words: list[bytes], n: int) -> np.ndarray:
-    return np.array([zlib.crc32(w) % n for w in words], np.int32)
+    def edges(self) -> np.ndarray:
+        """Where each document's words begin, and where the last one's end."""
+        return np.concatenate([[0], np.cumsum(self.sizes)])
 
+    def spelled(self, tokens: pa.Array) -> tuple[np.ndarray, pa.Buffer]:
+        """All documents with each id replaced by its entry of tokens: where each begins, and the bytes."""
+        offsets, data = layout(tokens.take(pa.array(self.words.flat)))
+        words = from_layout(pa.large_binary(), offsets[np.concatenate([[0], np.cumsum(self.words.sizes)])], data)
+        offsets, data = layout(words.take(pa.array(self.used)))
+        return offsets[self.edges()], data
 
-class Chunk:
-    """Whole documents, their pre-tokens numbered in order of first use."""
-
-    def __init__(self, pattern):
-        self.pattern = pattern
-        self.doc_ids: list[int | None] = []
-        self.texts: list[str] = []
-        self.characters = 0
-
-    def add(self, doc_id: int | None, text: str) -> None:
-        self.doc_ids.append(doc_id)
-        self.texts.append(text)
-        self.characters += len(text)
-
-    def digest(self) -> str:
-        seen = hashlib.blake2b(digest_size=16)
-        for doc_id, text in zip(self.doc_ids, self.texts, strict=True):
-            raw = text.encode("utf-8", "surrogatepass")
-            seen.update(f"{doc_id} {len(raw)} ".encode())
-            seen.update(raw)
-        return seen.hexdigest()
-
-    def pieces(self) -> Iterator[list[str]]:
-        """Each text cut where a pre-token surely starts: at a blank before a non-blank. The blank goes with the piece that follows."""
-        for text in self.texts:
-            cut = _PIECE_START.split(text) if _LOOSE_BLANK.search(text) else text.split(" ")
-            yield cut
-
-    def _cut(self, piece: str) -> list[str]:
-        """Pre-tokens of a piece after its blank. Letters alone, or letters and one point, need no pattern."""
-        if piece.isalpha():
-            return [f" {piece}"]
-        if piece[-1:] in POINTS and piece[:-1].isalpha():
-            return [f" {piece[:-1]}", piece[-1]]
-        return self.pattern.findall(f" {piece}")
-
-    def words(self) -> tuple[list[str], dict[str, list[str]], dict[str, list[str]]]:
-        """The distinct pre-tokens, sorted (code points sort like their UTF-8 bytes); those of each first piece and of each other piece."""
-        firsts: set[str] = set()
-        others: set[str] = set()
-        for cut in self.pieces():
-            firsts.add(cut[0])
-            others.update(cut[1:])
-        first = {piece: self.pattern.findall(piece) for piece in firsts}
-        later = {piece: self._cut(piece) for piece in others}
-        names = set(chain.from_iterable(first.values()))
-        names.update(chain.from_iterable(later.values()))
-        return sorted(names), first, later
-
-
-def _chunks(batches: Iterator[pa.RecordBatch], pattern, most: int) -> Iterator[Chunk]:
-    chunk = Chunk(pattern)
-    for batch in batches:
-        for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            chunk.add(doc_id, text)
-            if chunk.characters >= most:
-                yield chunk
-                chunk = Chunk(pattern)
-    if chunk.doc_ids:
-        yield chunk
-
-
-def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, spelling, result, schema: str, chunk_characters: int = CHUNK_CHARACTERS) -> DataFrame:
-    """The table of result(doc_id, spellings, decoded) rows, one per document, with the given schema.
-
-    spelling makes what is wanted of a distinct word's ids; result gets that, and the bytes that the ids
-    decode to, for the document's pre-tokens in their order. encoded() is the plain form.
+    def counts(self) -> np.ndarray:
+        return np.diff(np.concatenate([[0], np.cumsum(self.words.sizes[self.used])])[self.edges()])
+
+
+def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, rows, schema: str, chunk_characters: int = CHUNK_CHARACTERS, path: str | None = None) -> DataFrame:
+    """The table of rows(chunk, token bytes): the columns of schema, a row per document. path: a new folder in the shared folder.
+
+    encoded() is the plain form.
     """
     spark = docs.sparkSession
+    path = path or shared.workspace(spark, "byte-bpe")
     n = shared.shuffle_partitions(spark)
     ranks = spark.sparkContext.broadcast(read_ranks(ranks_path))  # one entry per vocabulary entry
-    texts = shared.id_text(docs)
-    compiled = lambda: regex.compile(pattern)
-
-    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in _chunks(batches, compiled(), chunk_characters):
-            words = [w.encode() for w in chunk.words()[0]]
-            buckets = bucket_numbers(words, n)
-            name = chunk.digest()
-            order = np.argsort(buckets, kind="stable")
-            for some in np.split(order, np.flatnonzero(np.diff(buckets[order])) + 1) if len(words) else []:
-                yield shared.batch_of(_BLOCKS, [name], [int(buckets[some[0]])], [join_words([words[i] for i in some])])
+    names = [f.split() for f in schema.split(", ")]
+    kinds = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary(), "array<int>": pa.list_(pa.int32())}
+    arrow = pa.schema([(name, kinds[kind]) for name, kind in names])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compiled = regex.compile(pattern)
+        for doc_ids, texts in pieces.slices(batches, chunk_characters):
+            numbers, piece_counts, later, first = pieces.coded(texts)
+            words, lists = words_of(later, first, compiled)
+            used = lists.take(numbers)
+            ends = np.concatenate([[0], np.cumsum(used.sizes)])
+            last = np.cumsum(piece_counts)
+            buckets = np.array([zlib.crc32(w) % n for w in pieces.objects(words.cast(pa.large_binary()))], np.int32)
+            order = pc.sort_indices(pa.table({"bucket": buckets, "word": words}), sort_keys=[("bucket", "ascending"), ("word", "ascending")])
+            place = np.empty(len(words), np.uint32)  # the number of each word once the blocks stand in the order of their buckets
+            place[pieces.objects(order)] = np.arange(len(words), dtype=np.uint32)
+            name = uuid.uuid4().hex
+            absent = pieces.flags(doc_ids.is_null()).astype(np.uint8)
+            parts = [pack(pieces.objects(doc_ids.fill_null(-1))), pack(absent), pack((ends[last] - ends[last - piece_counts]).astype(np.uint32)), pack(place[used.flat])]
+            shared.put_file(f"{path}/positions/{name}", lambda stream, p=parts: stream.write(np.array([len(x) for x in p], np.uint64).tobytes() + b"".join(p)))
+            offsets, data = layout(words.take(order))
+            data = memoryview(data)
+            edges = np.searchsorted(buckets[pieces.objects(order)], np.arange(n + 1))
+            asked = np.flatnonzero(np.diff(edges)) if len(words) else np.zeros(1, np.int64)  # a chunk without words asks for none
+            pack_words = zstandard.ZstdCompressor(level=3).compress
+            bodies = [
+                (b - a).to_bytes(4, "little") + pack_words(np.diff(offsets[a : b + 1]).astype(np.uint32).tobytes() + data[offsets[a] : offsets[b]].tobytes())
+                for a, b in zip(edges[asked].tolist(), edges[asked + 1].tolist(), strict=True)
+            ]
+            yield shared.batch_of(_BLOCKS, [name] * len(asked), asked.astype(np.int32), bodies)
 
     def answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = coder(ranks_path, pattern, ranks.value).encode_ordinary
-        known: dict[bytes, np.ndarray] = {}
+        library = coder(ranks_path, pattern, ranks.value)
+        opens = np.zeros(max(ranks.value.values(), default=0) + 1, bool)
+        opens[[rank for token, rank in ranks.value.items() if token.startswith(b" ")]] = True
+
+        def encode(words: pa.Array) -> pieces.Lists:
+            single = pieces.flags(pc.match_substring_regex(words, _ONE_WORD))
+            plain = pieces.objects(words.filter(pa.array(single)))
+            joined = [library.encode_to_numpy("".join(plain[at : at + JOINED_WORDS])).astype(np.uint32) for at in range(0, len(plain), JOINED_WORDS)]
+            lists = [pieces.split_at(ids, opens) for ids in joined]
+            lists.append(pieces.Lists.of([library.encode_ordinary(w) for w in pieces.objects(words.filter(pa.array(~single)))]))
+            together = pieces.Lists.joined(lists)
+            return together.take(np.where(single, np.cumsum(single) - 1, len(plain) + np.cumsum(~single) - 1))
+
+        known = pieces.Remembered(encode, REMEMBERED_WORDS)
+
+        def answer(asked: list[tuple]) -> pa.RecordBatch:
+            sizes = np.concatenate([s for _, _, s, _ in asked])
+            words = from_layout(pa.large_string(), np.concatenate([[0], np.cumsum(sizes)]), pa.py_buffer(b"".join(d for _, _, _, d in asked))).dictionary_encode()
+            numbers = pieces.objects(words.indices)
+            ids = known.ids(words.dictionary)
+            bodies, at = [], 0
+            for _, _, s, _ in asked:
+                own = ids.take(numbers[at : at + len(s)])
+                bodies.append(len(s).to_bytes(4, "little") + pack(np.concatenate([own.sizes.astype(np.uint32), own.flat])))
+                at += len(s)
+            return shared.batch_of(_BLOCKS, [c for c, _, _, _ in asked], [b for _, b, _, _ in asked], bodies)
+
+        asked, size = [], 0
         for batch in batches:
             for chunk, bucket, body in zip(batch.column("chunk").to_pylist(), batch.column("bucket").to_pylist(), batch.column("body").to_pylist(), strict=True):
-                words = split_words(body)
-                for word in words:
-                    if word not in known:
-                        known[word] = array("I", encode(word.decode())).tobytes()
-                ids = [known[w] for w in words]
-                sizes = np.array([len(i) // 4 for i in ids], np.uint32)
-                sent = pack(np.concatenate([sizes, np.frombuffer(b"".join(ids), np.uint32)]))
-                yield shared.batch_of(_BLOCKS, [chunk], [bucket], [len(words).to_bytes(4, "little") + sent])
-
-    def positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in _chunks(batches, compiled(), chunk_characters):
-            words, first, later = chunk.words()
-            buckets = bucket_numbers([w.encode() for w in words], n)
-            place = np.empty(len(words), np.uint32)  # the number of each word once the blocks stand in the order of their buckets
-            place[np.argsort(buckets, kind="stable")] = np.arange(len(words), dtype=np.uint32)
-            number = dict(zip(words, place.tolist(), strict=True))
-            first, later = ({piece: [number[w] for w in ws] for piece, ws in table.items()} for table in (first, later))
-            used, sizes, look = [], [], later.__getitem__
-            for cut in chunk.pieces():
-                used.append(np.fromiter(chain(first[cut[0]], chain.from_iterable(map(look, islice(cut, 1, None)))), np.uint32))
-                sizes.append(len(used[-1]))
-            ids = np.array([-1 if i is None else i for i in chunk.doc_ids], np.int64)
-            absent = np.array([i is None for i in chunk.doc_ids], np.uint8)
-            parts = [pack(ids), pack(absent), pack(np.array(sizes, np.uint32)), pack(np.concatenate(used))]
-            head = np.array([len(p) for p in parts], np.uint32).tobytes()
-            yield shared.batch_of(_BLOCKS, [chunk.digest()], [POSITIONS], [head + b"".join(parts)])
+                asked.append((chunk, bucket, *read_words(body)))
+                size += len(asked[-1][2])
+                if size >= ASKED_WORDS:
+                    yield answer(asked)
+                    asked, size = [], 0
+        if asked:
+            yield answer(asked)
 
     def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table: list[bytes] = [b""] * (max(ranks.value.values(), default=0) + 1)
+        by_rank = [b""] * (max(ranks.value.values(), default=0) + 1)
         for token, rank in ranks.value.items():
-            table[rank] = token
-        arrow = pa.schema([f for f in _arrow_schema(schema)])
-        name, body = None, None
-        waiting: list[bytes] = []
-        twice = 0
+            by_rank[rank] = token
+        tokens = pa.array(by_rank, pa.large_binary())
+        name, blocks = None, []
         for batch in batches:
-            for chunk, bucket, block in zip(batch.column("chunk").to_pylist(), batch.column("bucket").to_pylist(), batch.column("body").to_pylist(), strict=True):
-                if chunk != name:
-                    if body is not None:
-                        yield from _reassembled(name, body, waiting, twice, table, spelling, result, arrow)
-                    name, body, waiting, twice = chunk, None, [], 0
-                if bucket == POSITIONS:
-                    body, twice = block, twice + 1
-                elif not waiting or waiting[-1] != block:
-                    waiting.append(block)
-        if body is not None:
-            yield from _reassembled(name, body, waiting, twice, table, spelling, result, arrow)
-
-    requests = texts.mapInArrow(asked, _BLOCK).repartitionById(n, F.col("bucket"))
-    answers = requests.mapInArrow(answered, _BLOCK)
-    placed = answers.unionByName(texts.mapInArrow(positions, _BLOCK)).repartition(n, "chunk").sortWithinPartitions("chunk", "bucket")
-    return placed.mapInArrow(together, schema)
-
-
-def _arrow_schema(ddl: str) -> pa.Schema:
-    kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary(), "array<int>": pa.list_(pa.int32())}
-    return pa.schema([(name, kinds[kind]) for name, kind in (c.strip().split(" ", 1) for c in ddl.split(","))])
-
-
-def _reassembled(name, body: bytes, blocks: list[bytes], twice: int, table: list[bytes], spelling, result, arrow: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """Documents of one chunk. Chunks of equal content have the same name; their blocks are equal, and each gets its rows."""
-    head = np.frombuffer(body, np.uint32, 4)
-    ends = np.cumsum(head) + 16
-    ids, absent, sizes, used = (unpack(body[e - s : e], kind) for e, s, kind in zip(ends.tolist(), head.tolist(), (np.int64, np.uint8, np.uint32, np.uint32), strict=True))
-    counts, flat = [], []
+            for chunk, body in zip(batch.column("chunk").to_pylist(), batch.column("body").to_pylist(), strict=True):
+                if chunk != name and blocks:
+                    yield shared.batch_of(arrow, *rows(_chunk(f"{path}/positions/{name}", blocks), tokens))
+                    blocks = []
+                name = chunk
+                blocks.append(body)
+        if blocks:
+            yield shared.batch_of(arrow, *rows(_chunk(f"{path}/positions/{name}", blocks), tokens))
+
+    asked = shared.settled(shared.id_text(docs).mapInArrow(cut, _BLOCK), f"{path}/words")
+    answers = asked.repartitionById(n, F.col("bucket")).mapInArrow(answered, _BLOCK)
+    return answers.repartition(n, "chunk").sortWithinPartitions("chunk", "bucket").mapInArrow(together, schema)
+
+
+def _chunk(positions: str, blocks: list[bytes]) -> Chunk:
+    body = shared.file_bytes(positions)
+    sizes = np.frombuffer(body, np.uint64, 4).astype(np.int64)
+    ends = np.cumsum(sizes) + 32
+    ids, absent, counts, used = (unpack(body[e - s : e], kind) for e, s, kind in zip(ends.tolist(), sizes.tolist(), (np.int64, np.uint8, np.uint32, np.uint32), strict=True))
+    lists = []
     for block in blocks:
         n = int.from_bytes(block[:4], "little")
         numbers = unpack(block[4:], np.uint32)
-        counts.append(numbers[:n])
-        flat.append(numbers[n:])
-    counts = np.concatenate(counts).astype(np.int64) if counts else np.zeros(0, np.int64)
-    flat = np.concatenate(flat) if flat else np.zeros(0, np.uint32)
-    if len(used) and int(used.max()) >= len(counts):
-        raise RuntimeError(f"chunk {name} got {len(counts)} of its words; the input did not give the same rows twice")
-    ids_of, start = flat.tolist(), 0
-    decoded, spelled = [], []
-    for end in np.cumsum(counts).tolist():
-        own = ids_of[start:end]
-        decoded.append(b"".join([table[i] for i in own]))
-        spelled.append(spelling(own))
-        start = end
-    doc_end = np.cumsum(sizes, dtype=np.int64)
-    for _ in range(twice):
-        rows = []
-        for doc_id, none, a, b in zip(ids.tolist(), absent.tolist(), (doc_end - sizes).tolist(), doc_end.tolist(), strict=True):
-            words = used[a:b].tolist()
-            rows.append(result(None if none else doc_id, [spelled[w] for w in words], [decoded[w] for w in words]))
-            if len(rows) >= 1000:
-                yield shared.batch_of(arrow, *map(list, zip(*rows, strict=True)))
-                rows = []
-        if rows:
-            yield shared.batch_of(arrow, *map(list, zip(*rows, strict=True)))
-
-
-def _digest(doc_id: int | None, spelled: list[str], decoded: list[bytes]) -> tuple:
-    ids = " ".join(spelled)
-    return doc_id, ids.count(" ") + 1 if ids else 0, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(b"".join(decoded)).hexdigest()
+        lists.append(pieces.Lists(numbers[:n], numbers[n:]))
+    return Chunk(pa.array(ids, mask=absent.astype(bool)), pieces.Lists.joined(lists), used, counts.astype(np.int64))
+
+
+def _digests(chunk: Chunk, tokens: pa.Array) -> tuple:
+    decimal = pa.array([f"{i} ".encode() for i in range(len(tokens))], pa.large_binary())
+    hashed = []
+    for table, blank in ((decimal, 1), (tokens, 0)):
+        edges, data = chunk.spelled(table)
+        view = memoryview(data)
+        hashed.append([hashlib.sha256(view[a : max(a, b - blank)]).hexdigest() for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)])
+    return chunk.doc_ids, chunk.counts(), *hashed
 
 
 def digests(docs: DataFrame, ranks_path: str, pattern: str, **options) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 (of the decimal ids joined by one blank), decoded_sha256."""
-    decimal = lambda ids: " ".join(map(str, ids))
-    return encode_decode(docs, ranks_path, pattern, decimal, _digest, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", **options)
+    return encode_decode(docs, ranks_path, pattern, _digests, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", **options)
 
 
-def _plain(doc_id: int | None, spelled: list[list[int]], decoded: list[bytes]) -> tuple:
-    return doc_id, list(chain.from_iterable(spelled)), b"".join(decoded)
+def _plain(chunk: Chunk, tokens: pa.Array) -> tuple:
+    edges, data = chunk.spelled(tokens)
+    ids = chunk.words.take(chunk.used).flat.astype(np.int32)
+    ends = np.concatenate([[0], np.cumsum(chunk.counts())])
+    return chunk.doc_ids, pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids)), from_layout(pa.large_binary(), edges, data).cast(pa.binary())
 
 
 def encoded(docs: DataFrame, ranks_path: str, pattern: str, **options) -> DataFrame:
     """doc_id, ids, decoded (the bytes that the ids stand for)."""
-    return encode_decode(docs, ranks_path, pattern, lambda ids: ids, _plain, "doc_id long, ids array<int>, decoded binary", **options)
+    return encode_decode(docs, ranks_path, pattern, _plain, "doc_id long, ids array<int>, decoded binary", **options)

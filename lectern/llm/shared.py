@@ -118,6 +118,12 @@ def put_array(uri: str, values: np.ndarray) -> None:
     put_file(uri, lambda stream: stream.write(memoryview(np.ascontiguousarray(values)).cast("B") if values.size else b""))
 
 
+def file_bytes(uri: str) -> bytes:
+    store, path = file_system(uri)
+    with store.open_input_stream(path) as stream:
+        return stream.read()
+
+
 def mapped_array(uri: str, dtype) -> np.ndarray:
     """A memory-mapped array. From a store without local paths the file is fetched first; its name goes at once."""
     store, path = file_system(uri)
