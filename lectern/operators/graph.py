@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.operators.components import connected_components
 from lectern.sources import library
 
 # Relation types and their groups.
 RELATION_GROUPS = {"FAMILY": "FAMILY", "ROMANTIC": "LOVE", "FRIEND": "FRIENDSHIP", "ALLY": "FRIENDSHIP", "ENEMY": "CONFLICT", "RIVAL": "CONFLICT", "WORK": "OTHER", "MENTOR": "OTHER", "OTHER": "OTHER"}
 
+APPEARANCE_TEXTS = 1024
+
 
 def name_key(name: Column) -> Column:
     return F.regexp_replace(F.trim(library.fold(name)), r"\s+", " ")
@@ -64,19 +67,9 @@ def without_minor(mentions: DataFrame, edges: DataFrame) -> DataFrame:
     return major.unionByName(mentions.crossJoin(F.broadcast(none)).where("n = 0").select("character_id", "mentions"))
 
 
-def components(pairs: DataFrame, turns: int = 30) -> DataFrame:
-    """node, component (least node) by rounds of minimum labels; each round is checkpointed to cut its lineage."""
-    both = pairs.toDF("a", "b").union(pairs.toDF("b", "a").select("a", "b")).where("a <> b").distinct()
-    labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("label"))
-    for _ in range(turns):
-        near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("near"))
-        hooked = labels.join(near, labels["node"] == near["a"]).select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        jump = hooked.select(F.col("node").alias("_at"), F.col("label").alias("_next"))
-        labels = hooked.join(jump, hooked["label"] == jump["_at"]).select("node", "old", F.col("_next").alias("label")).checkpoint()
-        if not labels.where("old <> label").limit(1).count():
-            break
-        labels = labels.select("node", "label")
-    return labels.select("node", F.col("label").alias("component"))
+def components(pairs: DataFrame, path: str) -> DataFrame:
+    """node, component (least node) of pairs of people that are one; path: a new folder in the shared folder."""
+    return connected_components(pairs.toDF("a", "b").select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")), path)
 
 
 def group_of(kind: Column) -> Column:
@@ -94,6 +87,14 @@ def end_relations(open_relations: DataFrame, endings: DataFrame) -> DataFrame:
 
 
 def first_appearances(mentions: DataFrame) -> DataFrame:
-    """character_id in the order of its first mention (place from 0); mentions: character_id, text_no, start."""
+    """character_id in the order of its first mention (place from 0); mentions: character_id, text_no, start.
+
+    Characters are numbered within blocks of APPEARANCE_TEXTS texts, shifted by the counts of the blocks before.
+    """
     first = mentions.groupBy("character_id").agg(F.min(F.struct("text_no", "start")).alias("first"))
-    return first.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("first")) - 1).select("character_id", "place")
+    blocked = first.withColumn("_block", F.floor(F.col("first.text_no") / APPEARANCE_TEXTS))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before")
+    shifts = blocked.groupBy("_block").agg(F.count("*").alias("_n")).select("_block", before)  # a row per block
+    within = F.row_number().over(Window.partitionBy("_block").orderBy("first", "character_id"))
+    placed = blocked.withColumn("_within", within).join(shifts, "_block")
+    return placed.select("character_id", (F.col("_before") + F.col("_within") - 1).cast("int").alias("place"))

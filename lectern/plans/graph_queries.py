@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.operators import graph, relational
 from lectern.plans.registry import query
-from lectern.sources import library
+from lectern.sources import library, scratch
 from lectern.sources.tables import table
 
 LIMIT = 1200
@@ -76,16 +73,6 @@ def hide_minor_nodes(spark: SparkSession, folder: str) -> DataFrame:
     return graph.without_minor(mentions, graph.latest_per_pair(library.graph(spark, folder)))
 
 
-def _checkpoints(spark: SparkSession) -> None:
-    """A cluster names its shared folder in spark.checkpoint.dir; one machine gets a temporary one."""
-    if spark.sparkContext.getCheckpointDir() is not None:
-        return
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named is None and not re.match(r"local(\[[^\]]*\])?$", spark.sparkContext.master):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="lectern-"))
-
-
 @query(
     "entity_merge_components",
     """WITH RECURSIVE e AS (SELECT DISTINCT l_partkey AS a, l_partkey // 7 AS b FROM lineitem WHERE l_quantity > 49 AND l_partkey <> l_partkey // 7),
@@ -93,9 +80,8 @@ s AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(node, label) AS (SELECT a,
 SELECT node, min(label) AS component FROM r GROUP BY node""",
 )
 def entity_merge_components(spark: SparkSession, folder: str) -> DataFrame:
-    _checkpoints(spark)
     same = table(spark, folder, "lineitem").where("l_quantity > 49").select(F.col("l_partkey").alias("a"), F.floor(F.col("l_partkey") / 7).alias("b"))
-    return graph.components(same.where("a <> b").distinct())
+    return graph.components(same.where("a <> b").distinct(), scratch.workspace(spark, "merge"))
 
 
 @query("entity_rekey", f"WITH {library.GRAPH_SQL}, m AS (SELECT id, CASE WHEN from_id % 10 = 0 THEN from_id // 10 ELSE from_id END AS from_id, to_id FROM graph) SELECT id, from_id, to_id FROM m WHERE from_id <> to_id")

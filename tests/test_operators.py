@@ -74,8 +74,7 @@ def test_entry_points(spark):
     assert entry.entry(spark).count() > 0
 
 
-def test_typography_equals_its_plain_twin(spark):
-    from lectern.functions import layout
+def test_typography_of_lines(spark):
     from lectern.operators import text
 
     rows = []
@@ -84,14 +83,13 @@ def test_typography_equals_its_plain_twin(spark):
             size = 18.0 if n == 0 else 14.2 if n == 3 else 10.0
             rows.append(("b", page, n, "x" * (3 + 7 * n), 50.0, 50.0 + 9 * n + page, 100 + 12.0 * n + (5 if n > 5 else 0), size, n == 2, 5.0))
     schema = "book_id string, page int, n int, text string, left double, right double, baseline double, size double, bold boolean, first_word double"
-    got = text.typography(spark.createDataFrame(rows, schema)).first()
-    pages = [[layout.Line(*r[3:]) for r in rows if r[1] == p] for p in range(4)]
-    want = layout.typography(pages)
-    assert (got.body, tuple(got.headings), got.width, got.gap, got.bold_body) == (want.body, want.headings, want.width, want.gap, want.bold_body)
     lines = spark.createDataFrame(rows, schema)
+    got = text.typography(lines).first()
+    # Plain lines are 1, 2 and 4 to 8: they are 9 * 8 + page wide at most, and stand 12, 12, 17, 12 and 12 apart (24 over a heading).
+    assert (got.body, got.headings, got.width, got.gap, got.bold_body) == (10.0, [18.0, 14.0], 74.0, 12.0, False)
     layouts = lines.groupBy("book_id", "page").agg(F.array_sort(F.collect_list(F.struct("n", *text.LINE_COLUMNS))).alias("lines"))
     blocks = text.layout_blocks(layouts, text.typography(lines)).where("page = 2").orderBy("number").collect()
-    assert [(r.text, r.level) for r in blocks] == layout.blocks(pages[2], want)
+    assert [(len(r.text), r.level) for r in blocks][:2] == [(3, 1), (10, 0)] and sum(len(r.text.replace("\n", "").replace(" ", "")) for r in blocks) == sum(3 + 7 * n for n in range(9))
 
 
 def test_chapter_at_a_page(spark):
@@ -112,3 +110,43 @@ def test_queries_of_whole_texts(spark, tmp_path):
     assert joined == {i: hashlib.sha256(t.encode()).hexdigest() for i, t in enumerate(texts)}
     places = {r.passage_id: r for r in text_queries.passages_located(spark, str(tmp_path)).collect()}
     assert 400 < places[2][1] < 500, places
+
+
+def test_components_of_long_chains(spark):
+    """Chains in orders that a smaller label crosses node by node, all at once; as many rounds as the length has binary digits, and a few."""
+    import random
+
+    from lectern.operators import components
+    from lectern.sources import scratch
+
+    rng, n = random.Random(4), 5000
+    down = [0, *range(n - 1, 0, -1)]
+    zigzag = [x for pair in zip(range(n // 2), range(n - 1, n // 2 - 1, -1), strict=True) for x in pair]
+    between = list(dict.fromkeys(x for k in range(n // 2, 0, -1) for x in (k + n // 2 - 1, k)))
+    mixed = rng.sample(range(n), n)
+    chains = [list(range(n)), down, zigzag, between, mixed]
+    star = [[0, *rng.sample(range(1 + 70 * k, 71 + 70 * k), 70)] for k in range(70)]
+    edges, shift = [], 0
+    for chain in chains:
+        edges += [(a + shift, b + shift) for a, b in zip(chain, chain[1:])]  # noqa: B905
+        shift += n
+    edges += [(a + shift, b + shift) for chain in star for a, b in zip(chain, chain[1:])] + [(-7, -3), (-3, 9_000_000), (-9, -9)]  # noqa: B905
+    rng.shuffle(edges)
+    parent = {x: x for e in edges for x in e}
+
+    def find(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        parent[max(a, b)] = min(a, b)
+    table = spark.createDataFrame(edges, "a long, b long")
+    path = scratch.workspace(spark, "t")
+    found = components.connected_components(table, path)
+    assert {r.node: r.component for r in found.collect()} == {x: find(x) for x in parent}
+    last = max(int(f.rsplit("round-", 1)[1].split("/")[0]) for f in found.inputFiles())
+    assert last < 30
+    assert components.connected_components(table.limit(0), scratch.workspace(spark, "t")).collect() == []
