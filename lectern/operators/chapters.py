@@ -1,135 +1,130 @@
-"""References to chapters of one book: current, previous, next, last, by number, part or title.
+"""References to chapters and places in books, looked up on the chapter table.
 
-A book's outline is a short list, so it is resolved on the driver side as plain values, like the question it
-belongs to; resolve_all does it for a table of questions with the outline in hand.
+A book's outline is one array of its chapters in order, with what their titles say; it joins questions on the
+book, so a book that many questions are about is no product of questions and chapters.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Sequence
-from dataclasses import dataclass
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.functions import pandas_udf
 
-from lectern.functions import location
+from lectern.functions import location as places
+from lectern.operators import location
+from lectern.sources import library
 
-_PART = re.compile(r"^\s*(parte|libro|part|book)\b", re.I)
-_BARE = re.compile(r"^\s*(parte|libro|part|book)\s+\S+\s*$", re.I)
-_TITLED = re.compile(rf"\b(?:capitulo|tema|chapter)\s+{location._ANY}\b")
 AROUND_EVENT = 2
+RANGE = "struct<first:int,last:int>"
+#: A reference: current, previous, next, last, number or titled:word; the number; the part.
+REFERENCE = "struct<kind:string,number:int,part:int>"
 
 
-@dataclass(frozen=True)
-class Chapter:
-    number: int
-    title: str
-    start_page: int
-    end_page: int
-
-
-def is_part(title: str) -> bool:
-    return _PART.search(title) is not None or location.part_number(title) is not None
-
-
-def current_index(chapters: Sequence[Chapter], page: int) -> int:
-    return max((i for i, c in enumerate(chapters) if c.start_page <= page), default=-1)
-
-
-def _part_start(chapters: Sequence[Chapter], index: int) -> int:
-    return next((i for i in range(min(index, len(chapters) - 1), -1, -1) if is_part(chapters[i].title)), -1)
-
-
-def part_of(chapters: Sequence[Chapter], chapter: Chapter) -> str | None:
-    start = _part_start(chapters, list(chapters).index(chapter))
-    return (chapters[start].title.split(".")[0].strip() or None) if start >= 0 else None
-
-
-def _beside(chapters: Sequence[Chapter], index: int, step: int) -> Chapter | None:
-    at = index + step
-    while 0 <= at < len(chapters):
-        if not _BARE.match(chapters[at].title):
-            return chapters[at]
-        at += step
-    return None
-
-
-def _by_number(chapters: Sequence[Chapter], number: int, part: int | None, page: int) -> Chapter | None:
-    titled = [i for i, c in enumerate(chapters) if (m := _TITLED.search(location.fold(c.title))) and location.number(m[1]) == number]
-    if part is not None:
-        heading = next((i for i, c in enumerate(chapters) if location.part_number(c.title) == part), None)
-        found = next((i for i in titled if heading is not None and _part_start(chapters, i) == heading), None)
-        return None if found is None else chapters[found]
-    if not titled:
-        return next((c for c in chapters if c.number == number), None)
-    here = _part_start(chapters, current_index(chapters, page))
-    return chapters[next((i for i in titled if _part_start(chapters, i) == here), titled[0])]
-
-
-def resolve(reference: tuple[str, int | None, int | None], chapters: Sequence[Chapter], page: int) -> Chapter | None:
-    """reference: (current, previous, next, last, number or titled:word; number; part)."""
-    kind, number, part = reference
-    now = current_index(chapters, page)
-    if kind == "current":
-        return chapters[now] if now >= 0 else None
-    if kind == "previous":
-        return _beside(chapters, now, -1) if now >= 0 else None
-    if kind == "next":
-        return _beside(chapters, now, 1)
-    if kind == "last":
-        return _beside(chapters, len(chapters), -1)
-    if kind == "number":
-        return _by_number(chapters, number, part, page)
-    word = kind.partition(":")[2]
-    return next((c for c in chapters if word in location.fold(c.title)), None)
-
-
-def stretch(first: int, last: int, part: str | None) -> tuple[int, int]:
-    size = last - first + 1
-    width = max(1, min(-(-size // 4), size))
-    if part == "START":
-        return first, first + width - 1
-    if part == "END":
-        return last - width + 1, last
-    if part == "MIDDLE":
-        begin = first + (size - width) // 2
-        return begin, begin + width - 1
-    return first, last
-
-
-def merged(ranges: Sequence[tuple[int, int]]) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for first, last in sorted(ranges):
-        if out and first <= out[-1][1] + 1:
-            out[-1] = out[-1][0], max(out[-1][1], last)
-        else:
-            out.append((first, last))
-    return out
-
-
-def limited(ranges: Sequence[tuple[int, int]], limit: int | None) -> list[tuple[int, int]]:
-    return [(a, b if limit is None else min(b, limit)) for a, b in ranges if limit is None or a <= limit]
-
-
-def pages_of(place: location.Place, chapters: Sequence[Chapter], page: int, page_count: int) -> list[tuple[int, int]] | None:
-    """Page ranges of a place in a question, or None where the book has no such place."""
-    if place.target == "book":
-        return [stretch(1, page_count, place.stretch)]
-    if place.target == "part":
-        start = next((i for i, c in enumerate(chapters) if location.part_number(c.title) == place.part), None)
-        if start is None:
-            return None
-        end = next((c.start_page - 1 for c in chapters[start + 1 :] if is_part(c.title)), page_count)
-        return [stretch(chapters[start].start_page, end, place.stretch)]
-    found = [c for c in (resolve(r, chapters, page) for r in place.chapters) if c]
-    if not found:
-        return None
-    ranges = merged([(c.start_page, c.end_page) for c in found])
-    return [stretch(ranges[0][0], ranges[-1][1], place.stretch)] if place.stretch else ranges
-
-
-def around_event(chapters: Sequence[Chapter], number: int) -> list[tuple[int, int]] | None:
-    """Pages from two chapters before to two after the chapter in which something happens."""
-    at = next((i for i, c in enumerate(chapters) if c.number == number), None)
-    if at is None:
-        return None
-    near = chapters[max(0, at - AROUND_EVENT) : at + AROUND_EVENT + 1]
-    return [(near[0].start_page, near[-1].end_page)]
+@pandas_udf(T.StructType().add("part", T.IntegerType()).add("titled", T.IntegerType()))
+def _numbers(title: pd.Series) -> pd.DataFrame:
+    distinct = {t: (places.part_number(t or ""), places.chapter_number(t or "")) for t in title.unique()}
+    return pd.DataFrame([distinct[t] for t in title], columns=["part", "titled"]).astype("Int32")
+
+
+def told(chapters: DataFrame) -> DataFrame:
+    """chapters with idx (from 0), part (the number of a part's heading), titled (the number a title says), heading, bare, and under: the idx of the last heading so far."""
+    order = Window.partitionBy("book_id").orderBy("start_page", "number")
+    opens = F.col("title").rlike(r"(?i)^\s*(parte|libro|part|book)\b")
+    read = chapters.withColumn("_said", _numbers("title")).withColumns({"part": F.col("_said.part"), "titled": F.col("_said.titled"), "idx": F.row_number().over(order) - 1}).drop("_said")
+    marked = read.withColumns({"heading": opens | F.col("part").isNotNull(), "bare": F.col("title").rlike(r"(?i)^\s*(parte|libro|part|book)\s+\S+\s*$")})
+    return marked.withColumn("under", F.last(F.when(F.col("heading"), F.col("idx")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+
+
+def outlines(chapters: DataFrame) -> DataFrame:
+    """book_id, outline: the chapters of each book in order."""
+    entry = F.struct("idx", "number", "title", "start_page", "end_page", "heading", "bare", "part", "titled", "under")
+    return told(chapters).groupBy("book_id").agg(F.array_sort(F.collect_list(entry)).alias("outline"))
+
+
+def part_labels(chapters: DataFrame) -> DataFrame:
+    """chapters with label: the title, up to its first dot, of the part that each stands in."""
+    marked = told(chapters)
+    return marked.withColumn("label", location.nearest_part(marked, F.col("heading"), order="idx")).select(*chapters.columns, "label")
+
+
+def _first(outline: Column, test) -> Column:
+    return F.try_element_at(F.filter(outline, test), F.lit(1))
+
+
+def _last(outline: Column, test) -> Column:
+    return F.try_element_at(F.filter(outline, test), F.lit(-1))
+
+
+def with_outlines(asked: DataFrame, chapters: DataFrame) -> DataFrame:
+    """asked (book_id, page) with _outline, _now (idx of the chapter at the page, -1 before the first) and _under (its part's heading)."""
+    joined = asked.join(outlines(chapters).withColumnRenamed("outline", "_outline"), "book_id", "left")
+    known = joined.withColumn("_now", F.coalesce(_last(F.col("_outline"), lambda c: c["start_page"] <= F.col("page"))["idx"], F.lit(-1)))
+    return known.withColumn("_under", _first(F.col("_outline"), lambda c: c["idx"] == F.col("_now"))["under"])
+
+
+def resolved(reference: Column) -> Column:
+    """The chapter (a struct of the outline) that a REFERENCE names on rows of with_outlines; null if there is none."""
+    outline, now, kind, number = F.col("_outline"), F.col("_now"), reference["kind"], reference["number"]
+    numbered = F.filter(outline, lambda c: c["titled"] == number)
+    part = _first(outline, lambda c: c["part"] == reference["part"])["idx"]
+    here = F.coalesce(_first(numbered, lambda c: c["under"].eqNullSafe(F.col("_under"))), F.try_element_at(numbered, F.lit(1)), _first(outline, lambda c: c["number"] == number))
+    word = F.split_part(kind, F.lit(":"), F.lit(2))
+    folded = lambda c: F.translate(F.lower(c["title"]), library.LOCATION_ACCENTED, library.LOCATION_PLAIN)
+    return (
+        F.when(kind == "current", _first(outline, lambda c: c["idx"] == now))
+        .when(kind == "previous", _last(outline, lambda c: (c["idx"] < now) & ~c["bare"]))
+        .when(kind == "next", _first(outline, lambda c: (c["idx"] > now) & ~c["bare"]))
+        .when(kind == "last", _last(outline, lambda c: ~c["bare"]))
+        .when((kind == "number") & reference["part"].isNotNull(), _first(numbered, lambda c: c["under"] == part))
+        .when(kind == "number", here)
+        .otherwise(_first(outline, lambda c: F.contains(folded(c), word)))
+    )
+
+
+def resolve(asked: DataFrame, chapters: DataFrame) -> DataFrame:
+    """asked (book_id, page, reference: REFERENCE, other columns) with chapter: the number of the chapter meant."""
+    found = with_outlines(asked, chapters).withColumn("chapter", resolved(F.col("reference"))["number"])
+    return found.select(*asked.columns, "chapter")
+
+
+def _merged(ranges: Column) -> Column:
+    """Ranges in order, put together where one starts at most a page after the others end; there are at most as many as references."""
+
+    def step(out: Column, r: Column) -> Column:
+        last = F.try_element_at(out, F.lit(-1))
+        longer = F.struct(last["first"].alias("first"), F.greatest(last["last"], r["last"]).alias("last"))
+        return F.when(r["first"] <= last["last"] + 1, F.concat(F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(0))), F.array(longer))).otherwise(F.concat(out, F.array(r)))
+
+    return F.aggregate(F.array_sort(ranges), F.array().cast(f"array<{RANGE}>"), step)
+
+
+def pages_of(asked: DataFrame, chapters: DataFrame) -> DataFrame:
+    """asked with ranges: the pages of a place, or null where the book has no such place.
+
+    asked: book_id, target (book, chapters or part), stretch, refs (array of REFERENCE), part, page, page_count, other columns.
+    """
+    known = with_outlines(asked, chapters)
+    outline, stretch = F.col("_outline"), F.col("stretch")
+    found = F.filter(F.transform("refs", resolved), lambda c: c.isNotNull())
+    told_ranges = F.transform(found, lambda c: F.struct(c["start_page"].cast("int").alias("first"), c["end_page"].cast("int").alias("last")))
+    known = known.withColumn("_ranges", _merged(told_ranges)).withColumn("_heading", _first(outline, lambda c: c["part"] == F.col("part")))
+    following = _first(outline, lambda c: c["heading"] & (c["idx"] > F.col("_heading")["idx"]))["start_page"] - 1
+    one = lambda first, last: F.array(location.stretch(first.cast("int"), last.cast("int"), stretch).cast(RANGE))
+    of_chapters = F.when(stretch.isNull(), F.col("_ranges")).otherwise(one(F.col("_ranges")[0]["first"], F.element_at("_ranges", -1)["last"]))
+    ranges = (
+        F.when(F.col("target") == "book", one(F.lit(1), F.col("page_count")))
+        .when((F.col("target") == "part") & F.col("_heading").isNotNull(), one(F.col("_heading")["start_page"], F.coalesce(following, "page_count")))
+        .when((F.col("target") == "chapters") & (F.size("_ranges") > 0), of_chapters)
+    )
+    return known.withColumn("ranges", ranges).select(*asked.columns, "ranges")
+
+
+def around_event(asked: DataFrame, chapters: DataFrame) -> DataFrame:
+    """asked (book_id, number: the chapter in which something happens) with first and last page from two chapters before it to two after it."""
+    known = asked.join(outlines(chapters).withColumnRenamed("outline", "_outline"), "book_id", "left")
+    at = _first(F.col("_outline"), lambda c: c["number"] == F.col("number"))["idx"]
+    near = known.withColumn("_at", at).withColumn("_near", F.filter("_outline", lambda c: F.abs(c["idx"] - F.col("_at")) <= AROUND_EVENT))
+    first, last = F.try_element_at("_near", F.lit(1))["start_page"], F.try_element_at("_near", F.lit(-1))["end_page"]
+    return near.withColumns({"first": first, "last": last}).select(*asked.columns, "first", "last")

@@ -214,18 +214,23 @@ def outlines(headings: DataFrame, page_count: int) -> DataFrame:
     return headings.groupBy("book_id").applyInPandas(build, "book_id string, page int, depth int, title string")
 
 
-def located(questions: DataFrame, literature: bool) -> DataFrame:
-    """question with kind, target, stretch, expression and the question without its place; nulls where it names none."""
+_PLACE = "kind string, target string, stretch string, expression string, rest string, refs array<struct<kind:string,number:int,part:int>>, part int"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for q in batch["question"]:
-                p = places.detect(q or "", literature)
-                rows.append((q, p.kind, p.target, p.stretch, p.expression, places.strip_place(q, p.span)) if p else (q, None, None, None, None, q))
-            yield pd.DataFrame(rows, columns=["question", "kind", "target", "stretch", "expression", "rest"])
 
-    return questions.select("question").mapInPandas(run, "question string, kind string, target string, stretch string, expression string, rest string")
+def located(questions: DataFrame, literature: bool) -> DataFrame:
+    """questions (question, other columns) with kind, target, stretch, expression, rest (the question without its place), refs and part; nulls where it names no place."""
+
+    @pandas_udf(_PLACE)
+    def read(question: pd.Series) -> pd.DataFrame:
+        rows = []
+        for q in question:
+            p = places.detect(q or "", literature)
+            refs = [{"kind": k, "number": n, "part": part} for k, n, part in p.chapters] if p else []
+            rows.append((p.kind, p.target, p.stretch, p.expression, places.strip_place(q, p.span), refs, p.part) if p else (None, None, None, None, q, refs, None))
+        found = pd.DataFrame(rows, columns=[c.split()[0] for c in ("kind", "target", "stretch", "expression", "rest", "refs", "part")])
+        return found.astype({"part": "Int32"})
+
+    return questions.withColumn("_place", read("question")).select(*questions.columns, "_place.*")
 
 
 LINE_COLUMNS = ("text", "left", "right", "baseline", "size", "bold", "first_word")

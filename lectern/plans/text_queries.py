@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.operators import text
+from lectern.operators import chapters, text
 from lectern.plans.registry import query
 from lectern.sources import library
 from lectern.sources.tables import table
@@ -16,12 +16,6 @@ def _quoted(words) -> str:
     return ", ".join("'" + w.replace("'", "''") + "'" for w in words)
 
 
-QUESTIONS = (
-    "¿Qué pasa al final del capítulo 3?", "¿Qué ocurre del capítulo 2 al 4?", "Resume la segunda parte", "¿Quién muere al final?", "¿Cómo termina el libro?",
-    "¿Qué hace por fin Ana?", "¿Qué pasó después del crimen?", "¿De qué trata el último capítulo?", "¿Y los capítulos 3, 5 y 7?",
-)
-
-
 @query("token_estimates", "SELECT doc_id, CAST(greatest(1, floor(len(list_filter(string_split_regex(text, '[ \n]'), lambda w: trim(w) <> '')) * 1.3::DOUBLE)) AS INTEGER) AS tokens FROM documents")
 def token_estimates(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents").select("doc_id", text.token_estimate(F.col("text")).alias("tokens"))
@@ -129,9 +123,32 @@ def mentions_by_name(spark: SparkSession, folder: str) -> DataFrame:
     return found.groupBy("name").agg(F.count("*").alias("mentions"), F.countDistinct("doc_id").alias("pages"))
 
 
-@query("locate_question")
+#: Questions about each chapter of each book; {n} is its number, {m} the next.
+QUESTIONS = (
+    "¿Qué pasa al final del capítulo {n}?", "¿Cómo termina el libro?", "Resume los capítulos {n} y {m}", "¿Quién muere al final?", "¿De qué trata el capítulo anterior?",
+    "¿Qué hace por fin Ana?", "¿Qué pasó después del crimen?",
+)
+
+
+@query(
+    "locate_question",
+    f"""WITH {library.CHAPTERS_SQL}, c AS (SELECT c.*, page_count, lead(end_page, 1, end_page) OVER w AS next_end, lag(start_page) OVER w AS before_start, lag(end_page) OVER w AS before_end
+  FROM lib_chapters c JOIN lib_books USING (book_id) WINDOW w AS (PARTITION BY book_id ORDER BY number)),
+q AS (SELECT c.*, unnest(range(7)) AS way FROM c),
+r AS (SELECT *, CAST(greatest(1, ceil((end_page - start_page + 1) * 0.25)) AS INTEGER) AS of_chapter, CAST(greatest(1, ceil(page_count * 0.25)) AS INTEGER) AS of_book FROM q)
+SELECT book_id, number, CAST(way AS INTEGER) AS way, ['clear', 'clear', 'clear', 'doubtful', 'clear', NULL, 'event'][way + 1] AS kind, ['chapters', 'book', 'chapters', 'book', 'chapters', NULL, 'event'][way + 1] AS target,
+  ['END', 'END', NULL, 'END', NULL, NULL, NULL][way + 1] AS stretch, ['¿Qué pasa?', '¿Cómo?', 'Resume', '¿Quién muere?', '¿De qué trata?', '¿Qué hace por fin Ana?', '¿Qué pasó?'][way + 1] AS rest,
+  CASE way WHEN 0 THEN end_page - of_chapter + 1 WHEN 1 THEN page_count - of_book + 1 WHEN 3 THEN page_count - of_book + 1 WHEN 2 THEN start_page WHEN 4 THEN before_start END AS first,
+  CASE way WHEN 0 THEN end_page WHEN 1 THEN page_count WHEN 3 THEN page_count WHEN 2 THEN next_end WHEN 4 THEN before_end END AS last FROM r""",
+)
 def locate_question(spark: SparkSession, folder: str) -> DataFrame:
-    return text.located(spark.createDataFrame([(q,) for q in QUESTIONS], "question string"), literature=True)
+    """Questions about every chapter, asked on its first page, read and looked up in the book."""
+    listed = library.chapters(spark, folder)
+    number = F.col("number")
+    said = F.array(*[F.replace(F.replace(F.lit(q), F.lit("{n}"), number.cast("string")), F.lit("{m}"), (number + 1).cast("string")) for q in QUESTIONS])
+    asked = listed.join(library.books(spark, folder), "book_id").select("book_id", "number", F.col("start_page").alias("page"), "page_count", F.posexplode(said).alias("way", "question"))
+    found = chapters.pages_of(text.located(asked, literature=True), listed)
+    return found.select("book_id", "number", "way", "kind", "target", "stretch", "rest", F.col("ranges")[0]["first"].alias("first"), F.try_element_at("ranges", F.lit(-1))["last"].alias("last"))
 
 
 @query("citation_rewrite")

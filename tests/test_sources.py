@@ -5,9 +5,8 @@ import struct
 
 from pyspark.sql import functions as F
 
-from lectern.functions import location
 from lectern.operators import chapters as ch
-from lectern.operators import chat, key_points
+from lectern.operators import chat, key_points, text
 from lectern.sources import readers
 from lectern.sources.schema import CASCADES, SCHEMAS, SET_NULL
 
@@ -73,25 +72,42 @@ def test_key_points(spark):
     assert [[tuple(p) for p in r.p] for r in told.select(key_points.parsed(F.col("a"), F.lit(1), F.lit(40)).alias("p")).collect()] == [[("a", 40)], []]
 
 
-BOOK = [ch.Chapter(i + 1, t, s, e) for i, (t, s, e) in enumerate([
-    ("Parte 1", 1, 1), ("Capítulo 1", 2, 15), ("Capítulo 2", 16, 30), ("Parte segunda", 31, 31), ("Capítulo 1", 32, 60), ("Capítulo 2", 61, 90), ("Epílogo", 91, 100),
-])]
-
-
-def test_chapter_references():
-    name = lambda r, page: (c := ch.resolve(r, BOOK, page)) and c.number
-    assert [name((k, None, None), 40) for k in ("current", "previous", "next", "last", "titled:epilogo")] == [5, 3, 6, 7, 7]
-    assert name(("number", 2, None), 40) == 6 and name(("number", 2, None), 5) == 3 and name(("number", 1, 2), 5) == 5
-    assert ch.part_of(BOOK, BOOK[5]) == "Parte segunda"
-
-
-def test_places_become_pages():
-    pages = lambda q, page=40: ch.pages_of(location.detect(q, True), BOOK, page, 100)
-    assert pages("al principio del libro") == [(1, 25)] and pages("al final del libro") == [(76, 100)] and pages("a mitad del libro") == [(38, 62)]
-    assert pages("la primera parte") == [(1, 30)] and pages("la segunda parte") == [(31, 100)]
-    assert pages("los capítulos 1 y 2") == [(32, 90)] and pages("el capítulo 9") is None
-    assert ch.limited([(1, 30), (40, 60)], 20) == [(1, 20)] and ch.merged([(5, 9), (1, 4), (20, 21)]) == [(1, 9), (20, 21)]
-    assert ch.around_event(BOOK, 5) == [(16, 100)]
+TITLES = ["Part One. Ice", "Chapter 1", "Chapter 2", "Part Two", "Interlude", "Chapter 1", "Chapter 2", "Chapter 3", "Epilogue"]
+STARTS = [1, 3, 12, 40, 41, 50, 58, 70, 96]
+
+
+def book(spark):
+    # Spanish words are what the reader of questions knows.
+    said = {"Part One. Ice": "Parte primera. Hielo", "Part Two": "Parte 2", "Interlude": "Intermedio", "Epilogue": "Epílogo"}
+    rows = [("x", i, said.get(t, t.replace("Chapter", "Capítulo")), s, (STARTS[1:] + [101])[i - 1] - 1) for i, (t, s) in enumerate(zip(TITLES, STARTS, strict=True), 1)]
+    return spark.createDataFrame([*rows, ("y", 1, "Only", 1, 9)], "book_id string, number int, title string, start_page int, end_page int")
+
+
+def test_chapter_references(spark):
+    asked = [
+        ("x", 60, "current", None, None, 7), ("x", 60, "previous", None, None, 6), ("x", 40, "next", None, None, 5), ("x", 45, "previous", None, None, 3), ("x", 1, "last", None, None, 9),
+        ("x", 60, "titled:epilogo", None, None, 9), ("x", 60, "number", 2, None, 7), ("x", 5, "number", 2, None, 3), ("x", 5, "number", 1, 2, 6), ("x", 5, "number", 3, None, 8),
+        ("x", 5, "number", 3, 1, None), ("x", 5, "number", 9, None, 9), ("x", 5, "number", 30, None, None), ("x", 0, "current", None, None, None), ("x", 0, "next", None, None, 1),
+        ("y", 3, "current", None, None, 1), ("z", 3, "current", None, None, None),
+    ]
+    rows = [(b, p, (k, n, part), want) for b, p, k, n, part, want in asked]
+    table = spark.createDataFrame(rows, f"book_id string, page int, reference {ch.REFERENCE}, want int")
+    found = ch.resolve(table, book(spark)).collect()
+    assert len(found) == len(rows) and all(r.chapter == r.want for r in found), [r for r in found if r.chapter != r.want]
+    labels = {(r.book_id, r.number): r.label for r in ch.part_labels(book(spark)).collect()}
+    assert labels["x", 3] == "Parte primera" and labels["x", 7] == "Parte 2" and labels["y", 1] is None
+
+
+def test_places_become_pages(spark):
+    asked = [
+        ("al principio del libro", [(1, 25)]), ("al final del libro", [(76, 100)]), ("a mitad del libro", [(38, 62)]), ("la primera parte", [(1, 39)]), ("la segunda parte", [(40, 100)]),
+        ("los capítulos 1 y 2", [(50, 69)]), ("los capítulos 1, 3 y 9", [(50, 57), (70, 100)]), ("el capítulo 30", None), ("al final del capítulo 3", [(89, 95)]), ("la novena parte", None), ("¿Quién?", None),
+    ]
+    table = spark.createDataFrame([("x", 60, 100, q) for q, _ in asked], "book_id string, page int, page_count int, question string")
+    found = {r.question: r.ranges for r in ch.pages_of(text.located(table, True), book(spark)).collect()}
+    assert {q: r and [tuple(x) for x in r] for q, r in found.items()} == dict(asked)
+    events = spark.createDataFrame([("x", 5), ("x", 1), ("x", 99)], "book_id string, number int")
+    assert {(r.number, r.first, r.last) for r in ch.around_event(events, book(spark)).collect()} == {(5, 12, 69), (1, 1, 39), (99, None, None)}
 
 
 def test_response_schema():
