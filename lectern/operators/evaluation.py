@@ -2,34 +2,77 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import heapq
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import regex
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+SLICE = 5_000
+CELLS = 2_000_000
+_WORD = regex.compile(r"[\p{L}\p{N}]+")
 KS = (1, 3, 8, 20)
 
 
+def _words(text: str) -> set[str]:
+    return {w for w in _WORD.findall(text.lower()) if len(w) >= 3}
+
+
 def ranks(docs: DataFrame, questions: DataFrame, depth: int = 20) -> DataFrame:
     """item_id, rank (1-based, null beyond depth) of the first document that holds the item's text, of the answerable items.
 
-    Documents are ranked by how many different words of three characters or more they share with the
-    item. The items are the small side: their words and texts are joined to the documents by word, never
-    item by document. Expected documents are found among those that share the item's rarest word.
+    Documents are ranked by how many different words of three characters or more they share with the question
+    (column question, else text). The questions are the caller's evaluation set; they are sent to the tasks SLICE at a time.
+    A task counts the words of a block of documents against all of them and keeps the depth best of each, and the first document that holds
+    each text, so what is shuffled is bounded by tasks, questions and depth, however frequent a word is.
     """
-    words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1)))
-    asked = questions.select("item_id", F.col("text").alias("wanted"), F.explode(F.filter(words(F.col("text")), lambda w: F.length(w) >= 3)).alias("term"))
-    vocabulary = asked.select("term").distinct()
-    held = docs.select("doc_id", F.explode(words(F.col("text"))).alias("term")).join(vocabulary, "term", "left_semi")
-    rarity = held.groupBy("term").agg(F.count("*").alias("n_docs"))
-    pairs = asked.select("item_id", "term").join(held, "term")
-    hits = pairs.groupBy("item_id", "doc_id").agg(F.count("*").alias("n"))
-    order = Window.partitionBy("item_id").orderBy(F.col("n").desc(), "doc_id")
-    ranked = hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= depth)
-    rarest = asked.join(rarity, "term").groupBy("item_id").agg(F.min_by("term", F.struct("n_docs", "term")).alias("term"), F.first("wanted").alias("wanted"))
-    candidates = rarest.join(held, "term").select("item_id", "wanted", "doc_id").join(docs.select("doc_id", "text"), "doc_id")
-    expected = candidates.where(F.contains("text", F.col("wanted"))).select("item_id", "doc_id").distinct()
-    answerable = expected.select("item_id").distinct()
-    found = ranked.join(expected, ["item_id", "doc_id"], "left_semi").groupBy("item_id").agg(F.min("rank").cast("long").alias("rank"))
-    return answerable.join(found, "item_id", "left").select("item_id", "rank")
+    asked = questions.withColumn("question", F.col("question") if "question" in questions.columns else F.col("text"))
+    listed = [(r.item_id, r.question or "", r.text) for r in asked.where("text is not null").select("item_id", "question", "text").orderBy("item_id").collect()]
+    found = None
+    for at in range(0, max(len(listed), 1), SLICE):
+        some = _best(docs, listed[at : at + SLICE], depth)
+        found = some if found is None else found.unionByName(some)
+    hits = found.where("n is not null").groupBy("item_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "doc_id", "expected"))), 1, depth).alias("best"))
+    first = F.array_position(F.transform("best", lambda b: b["expected"].cast("int")), 1)
+    answerable = found.where("expected").select("item_id").distinct()
+    return answerable.join(hits, "item_id", "left").select("item_id", F.when(first > 0, first).cast("long").alias("rank"))
+
+
+def _best(docs: DataFrame, listed: list[tuple], depth: int) -> DataFrame:
+    """item_id, doc_id, n (shared words), expected: of each task and item the depth best documents, and one that is expected (n null)."""
+    names = sorted(set().union(*(_words(q) for _, q, _ in listed)))
+    number = {w: k for k, w in enumerate(names)}
+    holders = [[] for _ in names]
+    for k, (_, question, _) in enumerate(listed):
+        for word in _words(question):
+            holders[number[word]].append(k)
+    holders = [np.array(h) for h in holders]
+    cells = max(1, CELLS // max(1, len(listed)))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best = [[] for _ in listed]
+        expected: dict[int, int] = {}
+        for batch in batches:
+            for at in range(0, len(batch), cells):
+                ids, texts = batch["doc_id"].iloc[at : at + cells].tolist(), batch["text"].iloc[at : at + cells].fillna("").tolist()
+                counts = np.zeros((len(texts), len(listed)), np.int32)
+                for row, text in enumerate(texts):
+                    for word in number.keys() & set(_WORD.findall(text.lower())):
+                        counts[row, holders[number[word]]] += 1
+                for k, (_, _, wanted) in enumerate(listed):
+                    rows = [(-int(counts[row, k]), ids[row], wanted in texts[row]) for row in range(len(texts)) if counts[row, k] or wanted in texts[row]]
+                    for _, doc_id, holds in rows:
+                        if holds:
+                            expected.setdefault(k, doc_id)
+                    best[k] = heapq.nsmallest(depth, [*best[k], *(r for r in rows if r[0])])
+        out = [(listed[k][0], doc_id, -n, holds) for k, rows in enumerate(best) for n, doc_id, holds in rows]
+        out += [(listed[k][0], doc_id, None, True) for k, doc_id in expected.items()]
+        yield pd.DataFrame(out, columns=["item_id", "doc_id", "n", "expected"]).astype({"n": "Int64"})
+
+    return docs.select("doc_id", "text").mapInPandas(run, "item_id long, doc_id long, n long, expected boolean")
 
 
 def metrics(ranked: DataFrame) -> DataFrame:

@@ -210,7 +210,7 @@ def citation_pages(spark: SparkSession, folder: str) -> DataFrame:
 
 EVAL_SQL = f"""{library.CHUNKS_SQL},
 wanted AS (SELECT item_id, id FROM benchmark b JOIN lib_chunks c ON contains(c.text, b.text)),
-q AS (SELECT item_id, list_distinct(list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+'), lambda w: length(w) >= 3)) AS words FROM benchmark),
+q AS (SELECT item_id, list_distinct(list_filter(regexp_extract_all(lower(array_to_string(string_split(text, ' ')[1:4], ' ')), '[\\p{{L}}\\p{{N}}]+'), lambda w: length(w) >= 3)) AS words FROM benchmark),
 qt AS (SELECT item_id, unnest(words) AS term FROM q),
 ct AS (SELECT DISTINCT id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')) AS term FROM lib_chunks),
 hits AS (SELECT item_id, id, count(*) AS n FROM qt JOIN ct USING (term) GROUP BY item_id, id),
@@ -220,18 +220,24 @@ ranks AS (SELECT b.item_id, min(r.rank) FILTER (WHERE w.id IS NOT NULL) AS rank
 answerable AS (SELECT item_id, rank FROM ranks WHERE item_id IN (SELECT item_id FROM wanted))"""
 
 
+def _ranks(spark: SparkSession, folder: str) -> DataFrame:
+    """The first four words of each item, asked for the documents that hold the whole item."""
+    opening = F.array_join(F.slice(F.split("text", " "), 1, 4), " ")
+    return evaluation.ranks(table(spark, folder, "documents"), table(spark, folder, "benchmark").withColumn("question", opening))
+
+
 @query(
     "recall_mrr",
     f"""WITH {EVAL_SQL} SELECT count(*) AS questions, coalesce(avg(CASE WHEN rank <= 1 THEN 1.0::DOUBLE ELSE 0 END), 0) AS recall_1, coalesce(avg(CASE WHEN rank <= 3 THEN 1.0::DOUBLE ELSE 0 END), 0) AS recall_3,
 coalesce(avg(CASE WHEN rank <= 8 THEN 1.0::DOUBLE ELSE 0 END), 0) AS recall_8, coalesce(avg(CASE WHEN rank <= 20 THEN 1.0::DOUBLE ELSE 0 END), 0) AS recall_20, round(coalesce(avg(coalesce(1.0::DOUBLE / rank, 0)), 0), 9) AS mrr FROM answerable""",
 )
 def recall_mrr(spark: SparkSession, folder: str) -> DataFrame:
-    return evaluation.metrics(evaluation.ranks(table(spark, folder, "documents"), table(spark, folder, "benchmark")))
+    return evaluation.metrics(_ranks(spark, folder))
 
 
 @query("eval_misses", f"WITH {EVAL_SQL} SELECT item_id, rank FROM answerable WHERE coalesce(rank, 2147483647) > 1")
 def eval_misses(spark: SparkSession, folder: str) -> DataFrame:
-    return evaluation.ranks(table(spark, folder, "documents"), table(spark, folder, "benchmark")).where("coalesce(rank, 2147483647) > 1")
+    return _ranks(spark, folder).where("coalesce(rank, 2147483647) > 1")
 
 
 @query(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.functions import text as plain
 from lectern.operators import chapters, text
 from lectern.plans.registry import query
 from lectern.sources import library
@@ -30,17 +31,27 @@ def detect_language(spark: SparkSession, folder: str) -> DataFrame:
     return text.language(table(spark, folder, "documents").select(F.col("source").alias("book_id"), "text"), "book_id")
 
 
+HEADED_SQL = "headed AS (SELECT source AS book_id, doc_id, 'Vol. ' || doc_id % 5 || '  of ' || source || chr(10) || text || chr(10) || 'Printed for ' || source || chr(10) || '- ' || doc_id || ' -' AS text FROM documents)"
+
+
+def _headed(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages with a running head, a running foot and a page number."""
+    number, book = F.col("doc_id").cast("string"), F.col("source")
+    head = F.concat(F.lit("Vol. "), (F.col("doc_id") % 5).cast("string"), F.lit("  of "), book)
+    return table(spark, folder, "documents").select(book.alias("book_id"), F.concat_ws("\n", head, "text", F.concat(F.lit("Printed for "), book), F.concat(F.lit("- "), number, F.lit(" -"))).alias("text"))
+
+
 @query(
     "header_footer_lines",
-    r"""WITH l AS (SELECT source AS book_id, doc_id, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS lines FROM documents),
+    rf"""WITH {HEADED_SQL}, l AS (SELECT book_id, doc_id, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS lines FROM headed),
 e AS (SELECT book_id, 'top' AS place, unnest(lines[1:4]) AS line FROM l UNION ALL SELECT book_id, 'bottom', unnest(lines[greatest(len(lines) - 3, 1):]) FROM l),
 k AS (SELECT book_id, place, lower(regexp_replace(trim(line), '\s+', ' ', 'g')) AS line FROM e WHERE NOT regexp_matches(line, '^\s*(?:(?:p[áa]g(?:\.|ina)?\.?\s*)?[0-9]+\s*(?:de\s+[0-9]+)?|[-–—]\s*[0-9]+\s*[-–—]|[0-9]+\s*/\s*[0-9]+)\s*$', 'i')),
 f AS (SELECT book_id, place, unnest(list_distinct([line, regexp_replace(line, '[0-9]+', '#', 'g')])) AS line FROM k),
-c AS (SELECT book_id, place, line, count(*) AS n FROM f GROUP BY ALL), s AS (SELECT source AS book_id, greatest(2, floor(count(*) * 0.35)) AS least FROM documents GROUP BY source)
+c AS (SELECT book_id, place, line, count(*) AS n FROM f GROUP BY ALL), s AS (SELECT book_id, greatest(2, floor(count(*) * 0.35)) AS least FROM headed GROUP BY book_id)
 SELECT book_id, place, line, n FROM c JOIN s USING (book_id) WHERE n >= least AND length(line) BETWEEN 2 AND 160""",
 )
 def header_footer_lines(spark: SparkSession, folder: str) -> DataFrame:
-    return text.repeated_margin_lines(table(spark, folder, "documents").select(F.col("source").alias("book_id"), "text"))
+    return text.repeated_margin_lines(_headed(spark, folder))
 
 
 @query(
@@ -54,7 +65,26 @@ def running_heads(spark: SparkSession, folder: str) -> DataFrame:
     return text.running_heads(heads).select("book_id", "doc_id", "head")
 
 
-@query("classify_documents")
+def _sql(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+CLASS_SQL = f"""lines AS (SELECT source AS book_id, unnest(string_split(text, chr(10))) AS line FROM documents),
+sums AS (SELECT book_id, count(*) FILTER (trim(line) <> '') AS paragraphs, count(*) FILTER (trim(line) <> '' AND regexp_matches(line, {_sql(text.DIALOGUE)})) AS dialogue,
+  {" + ".join(f"max(CAST(regexp_matches(line, {_sql(p)}) AS INTEGER))" for p in text.SCIENTIFIC_SECTIONS)} + max(CAST(regexp_matches(line, {_sql(text.KEYWORDS)}) AS INTEGER)) + 2 * max(CAST(regexp_matches(line, {_sql(text.DOI)}) AS INTEGER)) AS found,
+  sum(len(regexp_extract_all(line, {_sql(text.AUTHOR_YEAR)})) + len(regexp_extract_all(line, {_sql(text.NUMBERED_CITATION)}))) AS citations,
+  count(*) FILTER (regexp_matches(line, {_sql(text.EDUCATIONAL)})) AS headings, count(*) FILTER (regexp_matches(line, {_sql(text.NUMBERED_QUESTION)})) AS questions FROM lines GROUP BY book_id),
+scored AS (SELECT book_id, paragraphs, CASE WHEN paragraphs > 0 AND dialogue / paragraphs >= 0.12 THEN 3.0 WHEN paragraphs > 0 AND dialogue / paragraphs >= 0.04 THEN 2.0 ELSE 0.0 END::DOUBLE AS literature,
+  (found + CASE WHEN citations >= 15 THEN 3.0 WHEN citations >= 4 THEN 1.0 ELSE 0.0 END)::DOUBLE AS scientific, (least(headings, 3) + CASE WHEN questions >= 8 THEN 2.0 ELSE 0.0 END)::DOUBLE AS educational FROM sums),
+ranked AS (SELECT *, list_reverse_sort([literature, scientific, educational]) AS best FROM scored)"""
+
+
+@query(
+    "classify_documents",
+    f"""WITH {CLASS_SQL} SELECT book_id, literature, scientific, educational,
+  CASE WHEN paragraphs = 0 OR best[1] < 1 THEN 'GENERIC' WHEN literature = best[1] THEN 'LITERATURE' WHEN scientific = best[1] THEN 'SCIENTIFIC' ELSE 'EDUCATIONAL' END AS kind,
+  paragraphs = 0 OR (best[1] >= 3 AND best[1] - best[2] >= 1.5) AS conclusive FROM ranked""",
+)
 def classify_documents(spark: SparkSession, folder: str) -> DataFrame:
     return text.document_scores(table(spark, folder, "documents").select(F.col("source").alias("book_id"), "text"))
 
@@ -84,7 +114,14 @@ def _by_chapter(spark: SparkSession, folder: str) -> DataFrame:
     return library.pages(spark, folder, "text").select("book_id", chapter.alias("chapter"), "page", "text")
 
 
-@query("key_point_blocks")
+@query(
+    "key_point_blocks",
+    f"""WITH RECURSIVE {library.PAGES_SQL}, p AS (SELECT book_id, (page - 1) // 20 + 1 AS chapter, page, length(text) AS n FROM lib_pages),
+r AS (SELECT book_id, chapter, page, n, 0 AS block, n AS size FROM p WHERE (page - 1) % 20 = 0
+  UNION ALL SELECT p.book_id, p.chapter, p.page, p.n, CASE WHEN r.size + p.n <= 20000 THEN r.block ELSE r.block + 1 END, CASE WHEN r.size + p.n <= 20000 THEN r.size + p.n ELSE p.n END
+  FROM r JOIN p ON p.book_id = r.book_id AND p.chapter = r.chapter AND p.page = r.page + 1)
+SELECT book_id, CAST(chapter AS INTEGER) AS chapter, CAST(block AS INTEGER) AS block, CAST(min(page) AS INTEGER) AS first, CAST(max(page) AS INTEGER) AS last, CAST(sum(n) AS BIGINT) AS characters FROM r GROUP BY ALL""",
+)
 def key_point_blocks(spark: SparkSession, folder: str) -> DataFrame:
     return text.packed_blocks(_by_chapter(spark, folder), 20_000)
 
@@ -95,7 +132,24 @@ def chunks_packed(spark: SparkSession, folder: str) -> DataFrame:
     return text.packed_chunks(parts)
 
 
-@query("phrases", None)
+_PACKED = "lambda acc, x: CASE WHEN length(string_split(acc, chr(1))[-1]) + length(x) + 1 <= 300 THEN acc || ' ' || x ELSE acc || chr(1) || x END"
+
+
+@query(
+    "phrases",
+    rf"""WITH a AS (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda l: trim(regexp_replace(l, '\s+', ' ', 'g'))) AS lines FROM documents),
+l AS (SELECT doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS ln FROM a),
+w AS (SELECT doc_id, ln, unnest(string_split(line, ' ')) AS word, unnest(range(len(string_split(line, ' ')))) AS i FROM l WHERE line <> ''),
+m AS (SELECT *, regexp_extract(word, '^(.*?)([.?!…])[.?!…»"”'')\]]*$', 2) AS mark, regexp_extract(regexp_extract(word, '^(.*?)([.?!…])[.?!…»"”'')\]]*$', 1), '[\p{{L}}º]*$') AS stem,
+  left(lead(word) OVER (PARTITION BY doc_id, ln ORDER BY i), 1) AS following FROM w),
+b AS (SELECT *, CAST(mark <> '' AND regexp_matches(following, '[\p{{Lu}}\p{{Nd}}¿¡«"“—(''\x{{0000}}]') AND (mark <> '.' OR NOT ((length(stem) = 1 AND stem <> lower(stem)) OR lower(stem) IN ({_quoted(plain.ABBREVIATIONS)}))) AS INTEGER) AS ends FROM m),
+g AS (SELECT *, coalesce(sum(ends) OVER (PARTITION BY doc_id, ln ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS sentence FROM b),
+s AS (SELECT doc_id, ln, sentence, string_agg(word, ' ' ORDER BY i) AS text FROM g GROUP BY ALL),
+c AS (SELECT doc_id, ln, sentence, CASE WHEN length(text) <= 300 THEN [text] ELSE flatten(list_transform(string_split(list_reduce(string_split(regexp_replace(text, '([,;:]) ', '\1' || chr(1), 'g'), chr(1)), {_PACKED}), chr(1)),
+  lambda p: CASE WHEN length(p) <= 300 THEN [p] ELSE string_split(list_reduce(string_split(p, ' '), {_PACKED}), chr(1)) END)) END AS parts FROM s),
+u AS (SELECT doc_id, ln, sentence, unnest(parts) AS phrase, unnest(range(len(parts))) AS k FROM c)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY ln, sentence, k) - 1 AS INTEGER) AS number, phrase FROM u""",
+)
 def phrases(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents").select("doc_id", F.posexplode(text.sentences("text")).alias("number", "phrase"))
 
@@ -116,10 +170,16 @@ def heading_outline(spark: SparkSession, folder: str) -> DataFrame:
     return text.outlines(heads, 1000)
 
 
-@query("mentions_by_name")
+@query(
+    "mentions_by_name",
+    r"""WITH n AS (SELECT strip_accents(lower(w)) AS key, min(w) AS name FROM (SELECT regexp_extract(text, '^(\p{Lu}\p{L}{3,})', 1) AS w FROM benchmark) WHERE w <> '' GROUP BY 1),
+w AS (SELECT doc_id, unnest(regexp_extract_all(text, '[\p{L}\p{N}_]+')) AS word FROM documents)
+SELECT name, count(*) AS mentions, count(DISTINCT doc_id) AS pages FROM w JOIN n ON strip_accents(lower(word)) = key WHERE regexp_matches(word, '^\p{Lu}') GROUP BY name""",
+)
 def mentions_by_name(spark: SparkSession, folder: str) -> DataFrame:
-    """Mentions of a fixed cast in all pages."""
-    found = text.mentions(table(spark, folder, "documents"), ["The", "Les", "Über", "Was the", "En de"])
+    """Mentions in all pages of a cast: the words that open the benchmark's items, one an item at most."""
+    openings = table(spark, folder, "benchmark").select(F.regexp_extract("text", r"^(\p{Lu}\p{L}{3,})", 1).alias("w")).where("w <> ''").distinct()
+    found = text.mentions(table(spark, folder, "documents"), sorted(r.w for r in openings.collect()))
     return found.groupBy("name").agg(F.count("*").alias("mentions"), F.countDistinct("doc_id").alias("pages"))
 
 
@@ -151,15 +211,24 @@ def locate_question(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("book_id", "number", "way", "kind", "target", "stretch", "rest", F.col("ranges")[0]["first"].alias("first"), F.try_element_at("ranges", F.lit(-1))["last"].alias("last"))
 
 
-@query("citation_rewrite")
+@query(
+    "citation_rewrite",
+    """WITH k AS (SELECT doc_id, doc_id BETWEEN 5 AND 8 OR doc_id BETWEEN 100 AND 400 AS kept FROM documents) SELECT doc_id,
+  CASE WHEN kept THEN 'Uno [p. ' || doc_id || '], dos [p. 7-9, ' || doc_id || '].' ELSE 'Uno, dos [p. 7-9].' END AS text, CASE WHEN kept THEN list_sort(list_distinct([CAST(doc_id AS INTEGER), 7])) ELSE [7] END AS pages FROM k""",
+)
 def citation_rewrite(spark: SparkSession, folder: str) -> DataFrame:
     number = F.col("doc_id").cast("string")
     answer = F.concat(F.lit("Uno [p. "), number, F.lit("] , dos [p. 7-9, "), number, F.lit("] ."))
     rewritten = text.citations([(5, 8), (100, 400)])(answer)
-    return table(spark, folder, "documents").select("doc_id", rewritten.alias("r")).select("doc_id", "r.text", "r.pages")
+    return table(spark, folder, "documents").select("doc_id", rewritten.alias("r")).select("doc_id", "r.text", F.array_sort("r.pages").alias("pages"))
 
 
-@query("join_overlap_text")
+@query(
+    "join_overlap_text",
+    """WITH p AS (SELECT doc_id, left(text, length(text) // 2 + least(greatest(length(text) // 4, 10), 1500)) AS a, substr(text, length(text) // 2 + 1) AS b FROM documents),
+n AS (SELECT *, list_max(list_filter(range(10, least(length(a), length(b), 1500) + 1), lambda n: right(a, n) = left(b, n))) AS n FROM p)
+SELECT doc_id, sha256(CASE WHEN n IS NULL THEN a || chr(10) || chr(10) || b ELSE a || substr(b, n + 1) END) AS joined_sha256 FROM n""",
+)
 def join_overlap_text(spark: SparkSession, folder: str) -> DataFrame:
     """Every text in two parts that overlap by a quarter of it, within the 10 to 1,500 characters that are looked for."""
     half, overlap = F.floor(F.length("text") / 2).cast("int"), F.least(F.greatest(F.floor(F.length("text") / 4), F.lit(10)), F.lit(1500)).cast("int")
@@ -190,7 +259,20 @@ def _typography(layouts: DataFrame) -> DataFrame:
     return text.typography(each)
 
 
-@query("typography")
+@query(
+    "typography",
+    f"""WITH {library.PAGES_SQL}, t AS (SELECT book_id, page, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS texts FROM lib_pages),
+l AS (SELECT book_id, page, unnest(texts) AS text, unnest(range(len(texts))) AS n FROM t),
+z AS (SELECT *, CASE WHEN n = 0 THEN 16.0 ELSE 10.0 END::DOUBLE AS size, 50.0 + least(length(text), 60) * 5.0 AS edge, 100 + n * 12.0 AS baseline FROM l),
+s AS (SELECT book_id, size, sum(length(regexp_replace(text, '\\s', '', 'g'))) AS letters FROM z GROUP BY ALL),
+m AS (SELECT book_id, arg_max(size, letters * 1000 - size) AS body, max(letters) AS most FROM s GROUP BY book_id),
+h AS (SELECT s.book_id, list(size ORDER BY size DESC) AS headings FROM s JOIN m USING (book_id) WHERE size >= body * 1.12 AND letters < most * 0.5 GROUP BY s.book_id),
+p AS (SELECT z.*, body, baseline - lag(baseline) OVER (PARTITION BY z.book_id, page ORDER BY n) AS gap FROM z JOIN m USING (book_id) WHERE size = body),
+g AS (SELECT book_id, list(gap ORDER BY gap) AS gaps FROM p WHERE gap BETWEEN body * 0.8 AND body * 3.0 GROUP BY book_id),
+w AS (SELECT book_id, page, max(edge) - 50.0 AS width FROM p GROUP BY book_id, page HAVING count(*) >= 5), v AS (SELECT book_id, list(width ORDER BY width) AS widths FROM w GROUP BY book_id)
+SELECT book_id, body, coalesce(headings, []) AS headings, coalesce(widths[len(widths) // 2 + 1], 0.0)::DOUBLE AS width, coalesce(gaps[len(gaps) // 2 + 1], body * 1.2)::DOUBLE AS gap, false AS bold_body
+FROM m LEFT JOIN h USING (book_id) LEFT JOIN g USING (book_id) LEFT JOIN v USING (book_id)""",
+)
 def typography(spark: SparkSession, folder: str) -> DataFrame:
     return _typography(_layouts(spark, folder))
 
