@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lectern.operators import evaluation, retrieval
+from lectern.operators import evaluation, retrieval, search_index
 from lectern.plans.registry import query
-from lectern.sources import library
+from lectern.sources import library, scratch
 from lectern.sources.tables import table
 
 QUESTION = "¿Qué dice el autor sobre eringed, thention, heention y anen de la eneaor?"
@@ -81,6 +81,25 @@ def text_search(spark: SparkSession, folder: str) -> DataFrame:
     return retrieval.top(retrieval.text_search(docs, TERMS), 20, ascending=True).select("id", "score")
 
 
+def _index(spark: SparkSession, folder: str) -> DataFrame:
+    return search_index.write(library.chunks(spark, folder, "text"), scratch.workspace(spark, "search-index"))
+
+
+@query("text_search_indexed", f"WITH {TEXT_SQL} SELECT id, score FROM text_scores ORDER BY score, id LIMIT 20")
+def text_search_indexed(spark: SparkSession, folder: str) -> DataFrame:
+    return retrieval.top(search_index.search(_index(spark, folder), TERMS), 20, ascending=True).select("id", "score")
+
+
+@query("text_search_synced", f"WITH {TEXT_SQL} SELECT id, score FROM text_scores WHERE id % 10 <> 4 ORDER BY score, id LIMIT 20")
+def text_search_synced(spark: SparkSession, folder: str) -> DataFrame:
+    """An index of all chunks, in which every fifth had another text and every tenth is deleted later."""
+    whole = library.chunks(spark, folder, "text")
+    stale = whole.withColumn("text", F.when(F.col("id") % 5 == 2, F.concat(F.lit("The the "), "text")).otherwise(F.col("text")))
+    index = search_index.write(stale, scratch.workspace(spark, "search-index"))
+    now = search_index.synced(index, whole.where("id % 5 = 2"), whole.where("id % 10 = 4"))
+    return retrieval.top(search_index.search(now, TERMS), 20, ascending=True).select("id", "score")
+
+
 @query("text_search_in_pages", f"WITH {TEXT_SQL} SELECT id, score FROM text_scores WHERE start_page >= 3 AND end_page <= 30 ORDER BY score, id LIMIT 20")
 def text_search_in_pages(spark: SparkSession, folder: str) -> DataFrame:
     inside = library.chunks(spark, folder, "text").where((F.col("start_page") >= PAGES[0]) & (F.col("end_page") <= PAGES[1]))
