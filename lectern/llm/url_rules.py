@@ -2,10 +2,17 @@
 
 A listed rule (host, path prefix, verdict) decides a URL whose host is the rule's host or below it and
 whose path starts with the rule's path; the longest such rule wins. A URL that no listed rule fits is
-judged by mined rules: URLs with a label give transactions of their tokens (domain suffixes, host words,
-path words) plus BLOCK for the blocked ones, FP-growth finds frequent combinations, and those that imply
-BLOCK with enough confidence and support are kept, less the ones that a shorter kept rule already implies.
-They match through an inverted index from token to rules: a rule fires when all its tokens are found.
+judged by mined rules: URLs with a label are sets of tokens (domain suffixes, host words, path words), and a
+combination of tokens that enough blocked URLs hold, and that implies blocked with enough confidence, is a rule.
+The rules are the least such combinations: one that holds another rule fires nothing that this does not.
+They match through an inverted index from token to rules: a rule fires when all its parts are found.
+
+Only least combinations are wanted, so mining is kept small without losing any: a token that is a rule by itself
+is left out of what FP-growth sees, as every combination with it holds a rule; tokens that too few blocked URLs
+hold are in no rule; tokens that occur in exactly the same labelled URLs are one item, any of which will do; and
+FP-growth only gets the blocked URLs, which give a combination's support, while its confidence comes from
+counting it in all labelled URLs through the inverted index. So deep paths, repeated or not, add one item. What is left
+to grow is the number of frequent combinations of tokens that are each common among allowed URLs as well.
 
 Labels of URLs are the verdicts of the listed rules (label_by_rules), or any table with url and blocked.
 
@@ -16,10 +23,14 @@ labels, or with none blocked, nothing is mined and the method allows. Other colu
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.fpm import FPGrowth
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lectern.llm import shared
+
 # The listed rules.
 RULES = (
     ("org", "/", "allow"),
@@ -32,6 +43,7 @@ BLOCK = "=block"
 MIN_SUPPORT = 0.002
 MIN_CONFIDENCE = 0.6
 MIN_BLOCKED = 3
+SALTS = 32
 
 
 def host_of(url: Column) -> Column:
@@ -76,43 +88,71 @@ def label_by_rules(pages: DataFrame, rules=RULES) -> DataFrame:
     return ruled.where("fit is not null").select("url", (F.col("fit.verdict") == "block").alias("blocked"))
 
 
+def _counted(baskets: DataFrame) -> DataFrame:
+    """token, n, blocked, mark: how many labelled URLs hold it, how many of these are blocked, and a sum that is the same only for tokens of the same URLs."""
+    wide = lambda seed: F.xxhash64(F.lit(seed), "url").cast("decimal(38,0)")
+    marked = baskets.select(F.explode("tokens").alias("token"), "blocked", wide(1).alias("one"), wide(2).alias("two"))
+    mark = F.concat_ws(":", F.sum("one").cast("string"), F.sum("two").cast("string")).alias("mark")
+    return marked.groupBy("token").agg(F.count("*").alias("n"), F.count_if("blocked").alias("blocked"), mark)
+
+
 def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
-    """rule_id, tokens, n_tokens, confidence, support of the combinations that imply BLOCK.
+    """rule_id, n_parts, confidence, support, part, token: a row for each token that may stand for a part of a rule.
 
-    Equal transactions cannot be weighted in FP-growth, so rows stay rows; its shuffle holds conditional
+    Equal transactions cannot be weighted in FP-growth, so blocked rows stay rows; its shuffle holds conditional
     transactions, which its own map-side counting shrinks.
     """
     spark = labelled.sparkSession
-    baskets = labelled.where("blocked is not null").select(tokens(host_of(F.col("url")), path_of(F.col("url"))).alias("tokens"), "blocked")
-    baskets = baskets.select(F.when(F.col("blocked"), F.concat("tokens", F.array(F.lit(BLOCK)))).otherwise(F.col("tokens")).alias("items")).where("size(items) > 0")
-    counts = baskets.agg(F.count("*").alias("n"), F.count_if(F.array_contains("items", BLOCK)).alias("blocked")).first()
+    baskets = labelled.where("blocked is not null").select(F.coalesce("url", F.lit("")).alias("url"), tokens(host_of(F.col("url")), path_of(F.col("url"))).alias("tokens"), "blocked")
+    counts = baskets.agg(F.count("*").alias("n"), F.count_if("blocked").alias("blocked")).first()
     if not counts.blocked:
         return _no_rules(spark)
-    model = FPGrowth(itemsCol="items", minSupport=max(min_support, MIN_BLOCKED / counts.n), minConfidence=min_confidence).fit(baskets)
-    implied = model.associationRules.where(F.element_at("consequent", 1) == BLOCK)
-    rules = implied.select(F.array_sort("antecedent").alias("tokens"), F.size("antecedent").alias("n_tokens"), "confidence", "support")
-    # The shortest of rules that say the same: a rule goes when a kept combination within it is at least as sure. Joined on a token they share.
-    short = rules.select(F.explode("tokens").alias("token"), F.col("tokens").alias("inner"), F.col("n_tokens").alias("inner_n"), F.col("confidence").alias("inner_confidence"))
-    long = rules.where("n_tokens > 1").select(F.explode("tokens").alias("token"), "tokens", "n_tokens", "confidence")
-    within = (F.col("inner_n") < F.col("n_tokens")) & (F.col("inner_confidence") >= F.col("confidence")) & (F.size(F.array_except("inner", "tokens")) == 0)
-    implied_by = long.join(short, "token").where(within).select("tokens").distinct()
-    kept = rules.join(implied_by, "tokens", "left_anti")
-    return kept.withColumn("rule_id", F.xxhash64("tokens"))
+    least = max(math.ceil(min_support * counts.n), MIN_BLOCKED)
+    frequent = _counted(baskets).where(F.col("blocked") >= least).withColumn("confidence", F.col("blocked") / F.col("n"))
+    frequent = shared.settled(frequent, shared.workspace(spark, "url-tokens"))
+    single = frequent.where(F.col("confidence") >= min_confidence)
+    alone = single.select(
+        F.xxhash64("token").alias("rule_id"), F.lit(1).alias("n_parts"), "confidence", (F.col("blocked") / counts.n).alias("support"), F.col("token").alias("part"), "token"
+    )
+    same = Window.partitionBy("n", "blocked", "mark")
+    items = frequent.where(F.col("confidence") < min_confidence).select(F.min("token").over(same).alias("item"), "token")
+    # URLs with their items: tokens that are no item fall away, and with them whole URLs.
+    urls = baskets.groupBy("url").agg(F.first("tokens").alias("tokens"), F.count("*").alias("n"), F.count_if("blocked").alias("blocked"))
+    held = urls.select("url", "n", "blocked", F.explode("tokens").alias("token")).join(items, "token").groupBy("url", "n", "blocked").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    sets = shared.settled(held.groupBy("items").agg(F.sum("n").alias("n"), F.sum("blocked").alias("blocked")), shared.workspace(spark, "url-sets"))
+    rows = sets.where("blocked > 0 AND size(items) > 1").select("items", F.explode(F.sequence(F.lit(1), F.col("blocked"))))
+    blocked_rows = sets.where("size(items) > 1").agg(F.sum("blocked")).first()[0] or 0
+    if blocked_rows < least:
+        return alone
+    found = FPGrowth(itemsCol="items", minSupport=(least - 0.5) / blocked_rows).fit(rows).freqItemsets.where("size(items) > 1")
+    combos = found.select(F.array_sort("items").alias("parts"), F.col("freq").alias("blocked")).withColumn("rule_id", F.xxhash64("parts")).withColumn("n_parts", F.size("parts"))
+    combos = shared.settled(combos, shared.workspace(spark, "url-combinations"))
+    index = combos.select("rule_id", "n_parts", F.explode("parts").alias("item"))
+    hits = sets.select(F.xxhash64("items").alias("set_id"), "n", F.explode("items").alias("item")).join(index, "item")
+    whole = hits.groupBy("set_id", "rule_id", "n_parts").agg(F.count("*").alias("found"), F.first("n").alias("n")).where("found = n_parts")
+    sure = whole.groupBy("rule_id").agg(F.sum("n").alias("n"))
+    rules = combos.join(sure, "rule_id").withColumn("confidence", F.col("blocked") / F.col("n")).where(F.col("confidence") >= min_confidence)
+    # The least ones: a rule goes when another lies within it. Joined on a part they share.
+    inner = rules.select(F.explode("parts").alias("part"), F.col("parts").alias("inner"), F.col("n_parts").alias("inner_n"))
+    within = (F.col("inner_n") < F.col("n_parts")) & (F.size(F.array_except("inner", "parts")) == 0)
+    implied = rules.select(F.explode("parts").alias("part"), "rule_id", "parts", "n_parts").join(inner, "part").where(within).select("rule_id").distinct()
+    kept = rules.join(implied, "rule_id", "left_anti").select("rule_id", "n_parts", "confidence", (F.col("blocked") / counts.n).alias("support"), F.explode("parts").alias("part"))
+    return alone.unionByName(kept.join(items.withColumnRenamed("item", "part"), "part").select(*alone.columns))
 
 
 def _no_rules(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], "tokens array<string>, n_tokens int, confidence double, support double, rule_id long")
+    return spark.createDataFrame([], "rule_id long, n_parts int, confidence double, support double, part string, token string")
 
 
 def fired(urls: DataFrame, rules: DataFrame) -> DataFrame:
-    """host, path (distinct), of those that fire a mined rule, with the confidence of the surest.
+    """set, confidence: the distinct token sets (column set of urls) that fire a mined rule, with the confidence of the surest.
 
     Only the distinct token sets take part, so a host with a third of all pages is counted once per set.
     """
-    sets = urls.select(tokens(F.col("host"), F.col("path")).alias("set")).distinct().withColumn("set_id", F.xxhash64("set"))
-    index = rules.select("rule_id", "n_tokens", "confidence", F.explode("tokens").alias("token"))
-    hits = sets.select("set_id", "set", F.explode("set").alias("token")).join(index, "token")
-    whole = hits.groupBy("set_id", "set", "rule_id", "n_tokens", "confidence").agg(F.count("*").alias("found")).where("found = n_tokens")
+    sets = urls.select("set").distinct().withColumn("set_id", F.xxhash64("set"))
+    hits = sets.select("set_id", "set", F.explode("set").alias("token")).join(rules.select("rule_id", "n_parts", "confidence", "part", "token"), "token")
+    parts_found = F.size(F.collect_set("part"))  # at most the parts of a rule
+    whole = hits.groupBy("set_id", "set", "rule_id", "n_parts", "confidence").agg(parts_found.alias("found")).where("found = n_parts")
     return whole.groupBy("set").agg(F.max("confidence").alias("confidence"))
 
 
@@ -121,8 +161,10 @@ def judge(pages: DataFrame, labelled: DataFrame | None = None, rules=RULES, **li
     named = parts(pages).withColumn("fit", listed_rule(F.col("host"), F.col("path"), rules))
     mined = mine(label_by_rules(pages, rules) if labelled is None else labelled, **limits)
     open_ones = named.where("fit is null").select("page_id", "host", "path", tokens(F.col("host"), F.col("path")).alias("set"))
-    blocked = fired(open_ones.select("host", "path"), mined)
-    by_method = open_ones.join(blocked, "set", "left").select(
+    # A token set that a third of all pages have is dealt over SALTS keys.
+    blocked = fired(open_ones, mined).withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
+    dealt = open_ones.withColumn("salt", F.pmod(F.xxhash64("page_id", "host", "path"), F.lit(SALTS)).cast("int"))
+    by_method = dealt.join(blocked, ["set", "salt"], "left").select(
         "page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.when(F.col("confidence").isNotNull(), "block").otherwise("allow").alias("verdict"), "confidence"
     )
     by_list = named.where("fit is not null").select("page_id", "host", "path", "fit.rule", "fit.verdict", F.lit(None).cast("double").alias("confidence"))
