@@ -1,47 +1,17 @@
-"""Connected components by minimum labels, entirely in DataFrames.
+"""Sets of linked items within a task, and the shallow trees that hold them together; lectern.operators.components joins the trees.
 
-Each round a node takes the least label among its neighbours (a partially aggregated minimum) and then
-the label of its label, so reach at least doubles. Rounds are written to the shared folder, which cuts
-lineage; only the number of changed labels reaches the driver. The callers hand in edges of bounded
-degree (forest()), so no join key of the first step is hot; the second step joins many labels to one
-node, both sides plain shuffles, which adaptive execution splits when skewed.
+What leaves a task has bounded degree (forest), so no join key of the components' first step is hot.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-FAN = 16
-
-
-def connected_components(edges: DataFrame, path: str) -> DataFrame:
-    """edges (a long, b long), any direction, repeats allowed; path: a new folder in the shared folder.
-
-    Returns node, component (its least node) for every node of an edge. No edges: no rows.
-    """
-    ends = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))  # edges are evaluated once
-    both = edges.where("a != b").select(ends.alias("edge")).select("edge.*").distinct()
-    both = _settled(both, f"{path}/edges")
-    labels = _settled(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), f"{path}/labels-0")
-    for turn in range(1, 200):
-        near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("label").alias("near"))
-        hooked = labels.join(near, labels.node == near.a, "left").select("node", F.col("label").alias("old"), F.least("label", F.coalesce("near", "label")).alias("label"))
-        hooked = _settled(hooked, f"{path}/hooked-{turn}")
-        target = hooked.select(F.col("node").alias("at"), F.col("label").alias("further"))
-        jumped = hooked.join(target, hooked.label == target["at"]).select("node", "old", F.col("further").alias("label"))
-        labels = _settled(jumped, f"{path}/labels-{turn}")
-        changed = labels.where("old != label").limit(1).count()
-        labels = labels.select("node", "label")
-        if not changed:
-            return labels.withColumnRenamed("label", "component")
-    raise RuntimeError("components did not settle")
+from lectern.operators.components import connected_components
 
+__all__ = ["connected_components", "forest", "linked_sets"]
 
-def _settled(df: DataFrame, path: str) -> DataFrame:
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+FAN = 16
 
 
 def forest(members: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

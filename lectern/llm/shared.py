@@ -6,10 +6,8 @@ never clash with the columns an operator adds.
 
 from __future__ import annotations
 
-import atexit
 import mmap
 import os
-import re
 import shutil
 import tempfile
 import uuid
@@ -19,36 +17,10 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
-
-    Only where it is unset (tests on one machine) a temporary folder is made and set for the session.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        if not re.match(r"local(\[[^\]]*\])?$", spark.sparkContext.master):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = tempfile.mkdtemp(prefix="lectern-")
-        atexit.register(shutil.rmtree, found, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", found)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def workspace(spark: SparkSession, what: str) -> str:
-    """A new folder name below the shared folder for one run of one operator."""
-    return f"{shared_folder(spark)}/lectern-{what}-{uuid.uuid4().hex[:12]}"
-
-
-def settled(df: DataFrame, path: str) -> DataFrame:
-    """df written as a table in the shared folder and read again: cuts lineage, survives lost executors."""
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from lectern.sources.scratch import removed, settled, shared_folder, workspace  # noqa: F401
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -142,3 +114,29 @@ def _mapped(path: str, dtype) -> np.ndarray:
         return np.empty(0, dtype)
     with open(path, "rb") as file:
         return np.frombuffer(mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ), dtype)
+
+
+def free_name(df: DataFrame, wanted: str) -> str:
+    """wanted, or the first longer name that no column of df has in any case."""
+    taken = {c.lower() for c in df.columns}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable, rows: int, characters: int) -> DataFrame:
+    """doc_id, label, text of at most rows labels and at most characters of text, in the order of a hash of doc_id.
+
+    Labels other than 0 and 1, repeated ones and those without doc_id are left out; of documents that share a doc_id the least
+    text counts. The sample is written to the shared folder, so the documents are read once.
+    """
+    spark = docs.sparkSession
+    told = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
+    chosen = told.where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & usable).distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(rows)
+    chosen = settled(chosen, workspace(spark, f"labels-{label}"))  # at most rows rows
+    texts = id_text(docs).join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
+    sample = settled(chosen.join(texts, "doc_id"), workspace(spark, f"sample-{label}"))
+    lengths = sample.select("doc_id", "label", F.length("text").cast("long").alias("n"))
+    order = Window.orderBy(F.xxhash64("doc_id"), "doc_id", "label")  # at most rows rows
+    within = lengths.withColumn("upto", F.sum("n").over(order)).where(F.col("upto") <= characters).select("doc_id", "label")
+    return sample.join(F.broadcast(within), ["doc_id", "label"]).select("doc_id", "label", "text")
