@@ -2,9 +2,10 @@
 
 Exact copies are folded first. The distinct vectors, scaled to length one and turned to principal axes
 (fitted on at most SAMPLE vectors; any orthogonal basis gives the same result, only slower or faster), are
-dealt out by ranges of their leading coordinate into blocks of at most TILE rows, written to the shared
-folder. Two blocks meet only if their boxes in the first BOX axes are near enough for the threshold; block
-pairs come from a join on cells of the leading axis. Within a pair, products are accumulated from the
+dealt out by ranges of their leading coordinate; within a range, STRIP tiles at a time are halved along the axis in which
+they are widest, of the first BOX axes, into blocks of at most TILE rows, written to the shared folder. Two blocks meet
+only if their boxes in these axes are near enough for the threshold; block pairs come from a join on cells of
+the first GRID axes. Within a pair, products are accumulated from the
 leading axes on; what the rest can add is bounded by the product of the suffix norms, and a pair of blocks
 is left as soon as no cosine can reach the threshold. What survives is settled by the plain cosine of the
 given vectors in double precision.
@@ -20,6 +21,8 @@ rows. Other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +37,8 @@ TILE = 2048
 PANEL = 8
 SAMPLE = 10_000
 BOX = 8
+GRID = 3
+STRIP = 8
 STEPS = (12, 24, 40)
 SLACK = 1e-9
 
@@ -83,6 +88,20 @@ def _read_block(uri: str, dimension: int) -> tuple[np.ndarray, np.ndarray, np.nd
     return flat[:n].view(np.int64), flat[n : 2 * n].view(np.int64), flat[2 * n : 3 * n].view(np.int64) > 0, flat[3 * n :].reshape(n, dimension)
 
 
+def halved(points: np.ndarray, most: int) -> list[np.ndarray]:
+    """Row numbers in sets of at most most, halved at the median of the widest axis until they are small enough."""
+    done, todo = [], [np.arange(len(points))]
+    while todo:
+        some = todo.pop()
+        if len(some) <= most:
+            done.append(some)
+            continue
+        axis = int(np.ptp(points[some], axis=0).argmax())
+        order = some[np.argsort(points[some, axis], kind="stable")]
+        todo += [order[len(order) // 2 :], order[: len(order) // 2]]
+    return done
+
+
 def _axes(distinct: DataFrame, dimension: int) -> np.ndarray:
     rows = distinct.orderBy(F.xxhash64("node"), "node").limit(SAMPLE).select("v").toArrow()["v"].combine_chunks()
     turned, _ = unit(matrix(rows, dimension))
@@ -103,43 +122,52 @@ def _compared(distinct: DataFrame, dimension: int, path: str, threshold: float)
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, k, waiting, size = TaskContext.get().partitionId(), 0, [], 0
 
-        def block(table: pa.Table) -> pa.RecordBatch:
+        def blocks_of(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            nonlocal k
             rows, _ = unit(matrix(table["v"].combine_chunks(), dimension))
-            name = f"{part:07d}-{k:05d}"
-            _write_block(f"{path}/blocks/{name}", table["node"].to_numpy(), table["weight"].to_numpy(), table["named"].to_numpy(), rows)
-            box = rows @ held.value[:, :BOX]
-            return shared.batch_of(_META, [name], [len(rows)], [box.min(axis=0).tolist()], [box.max(axis=0).tolist()])
+            nodes, weights, named = (table[c].to_numpy() for c in ("node", "weight", "named"))
+            places = rows @ held.value[:, :BOX]
+            for some in halved(places, TILE):
+                name = f"{part:07d}-{k:05d}"
+                k += 1
+                _write_block(f"{path}/blocks/{name}", nodes[some], weights[some], named[some], rows[some])
+                yield shared.batch_of(_META, [name], [len(some)], [places[some].min(axis=0).tolist()], [places[some].max(axis=0).tolist()])
 
         for batch in batches:
             while batch.num_rows:
-                some = batch.slice(0, TILE - size)
+                some = batch.slice(0, STRIP * TILE - size)
                 batch = batch.slice(some.num_rows)
                 waiting.append(some)
                 size += some.num_rows
-                if size == TILE:
-                    yield block(pa.Table.from_batches(waiting))
-                    k, waiting, size = k + 1, [], 0
+                if size == STRIP * TILE:
+                    yield from blocks_of(pa.Table.from_batches(waiting))
+                    waiting, size = [], 0
         if size:
-            yield block(pa.Table.from_batches(waiting))
+            yield from blocks_of(pa.Table.from_batches(waiting))
 
     leads = distinct.select("node", "weight", F.col("least").isNotNull().alias("named"), "v").mapInArrow(turned, "node long, weight long, named boolean, lead double, v array<double>")
-    ordered = leads.repartitionByRange(blocks, "lead").sortWithinPartitions("lead", "node")
+    ordered = leads.repartitionByRange(max(1, blocks // STRIP, min(blocks, shared.shuffle_partitions(spark))), "lead").sortWithinPartitions("lead", "node")
     meta = shared.settled(ordered.mapInArrow(write, "block string, size long, low array<double>, high array<double>"), f"{path}/meta")
 
     reach = float(np.sqrt(2 - 2 * threshold)) + SLACK
-    cells = meta.select("*", F.explode(F.sequence(F.floor(F.element_at("low", 1) / reach), F.floor((F.element_at("high", 1) + reach) / reach))).alias("cell"))
+    grid = min(GRID, dimension)
+    spans = [F.sequence(F.floor(F.col("low")[k] / reach), F.floor((F.col("high")[k] + reach) / reach)) for k in range(grid)]
+    cells = meta
+    for k, span in enumerate(spans):
+        cells = cells.withColumn(f"cell_{k}", F.explode(span))
     one, two = cells.alias("one"), cells.alias("two")
-    first_shared = F.floor(F.greatest(F.col("one.low")[0], F.col("two.low")[0]) / reach)
+    same_cell = [F.col(f"one.cell_{k}") == F.col(f"two.cell_{k}") for k in range(grid)]
+    first_shared = [F.col(f"one.cell_{k}") == F.floor(F.greatest(F.col("one.low")[k], F.col("two.low")[k]) / reach) for k in range(grid)]
     gaps = F.transform(
         F.arrays_zip(F.col("one.low").alias("la"), F.col("one.high").alias("ha"), F.col("two.low").alias("lb"), F.col("two.high").alias("hb")),
         lambda x: F.greatest(x["la"] - x["hb"], x["lb"] - x["ha"], F.lit(0.0)),
     )
     far = F.aggregate(gaps, F.lit(0.0), lambda total, g: total + g * g)
-    near = one.join(two, (F.col("one.cell") == F.col("two.cell")) & (F.col("one.block") <= F.col("two.block"))).where(
-        (F.col("one.cell") == first_shared) & (far <= reach * reach)
-    )
+    near = one.join(two, reduce(and_, [*same_cell, F.col("one.block") <= F.col("two.block")])).where(reduce(and_, [*first_shared, far <= reach * reach]))
     panel = F.pmod(F.xxhash64("two.block"), F.lit(max(1, blocks // PANEL)))
     panels = near.groupBy(F.col("one.block").alias("block"), panel.alias("panel")).agg(F.sort_array(F.collect_list("two.block")).alias("others"))
+    n = shared.shuffle_partitions(spark)
+    dealt = panels.repartitionById(n, F.pmod(F.xxhash64("block", "panel"), F.lit(n)).cast("int"))  # by number, so that few panels are not put together in one task
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         axes = held.value
@@ -165,7 +193,7 @@ def _compared(distinct: DataFrame, dimension: int, path: str, threshold: float)
                     left, right = _forest(nodes[r][one], nodes_b[c][two], links[np.ix_(one, two)])
                     yield shared.batch_of(_FOUND, left, right, np.zeros(len(left), np.int64))
 
-    return panels.repartition(max(shared.shuffle_partitions(spark), 1), "block", "panel").mapInArrow(compare, "a long, b long, links long")
+    return dealt.mapInArrow(compare, "a long, b long, links long")
 
 
 def _forest(left: np.ndarray, right: np.ndarray, links: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
