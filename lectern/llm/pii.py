@@ -8,8 +8,13 @@ Base kinds (always kept when their check holds, whatever the context): email; ip
 255; card, 12 to 19 digits that pass Luhn; phone, + and 9 to 15 digits. Further kinds, kept at a score of
 LEAST or more: iban (letters and digits with remainder 1 modulo 97: 0.9), ssn (three, two and four digits
 with hyphens, no impossible group: 0.4) and national phone (three, three and four digits: 0.4); a context
-word of the kind within CONTEXT characters before it adds 0.35, within as many after it 0.2. A further
-span that overlaps a base span is dropped.
+word of the kind within CONTEXT characters before it adds 0.35, within as many after it 0.2. Kinds of secrets: key
+(identifiers and tokens of known forms: 0.9) and password (what is assigned to a name for secrets, eight characters or
+more with a letter and a digit: 0.9). A further span that overlaps a base span is dropped.
+
+Everything is linear in the matches of a text, or nearly: places are running sums over blocks of BLOCK matches (folds that copy
+what they hold only grow to that), overlaps are found in the order of the spans, and pieces of a text are
+taken from chunks of CHUNK characters.
 
 The patterns equal the base definitions but never scan a run twice: a run of characters that could start
 a match is entered at its first character (or where the match before ended), and repeated groups are
@@ -24,10 +29,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lectern.llm import shared
+
 KINDS = ("email", "ip", "card", "phone")
-FURTHER = ("iban", "ssn", "national")
+FURTHER = ("iban", "ssn", "national", "key", "password")
 CONTEXT = 40
 LEAST = 0.6
+BLOCK = 128
+CHUNK = 1024
 
 # What the kinds look like.
 PATTERNS = {
@@ -37,6 +46,8 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ssn": r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])",
+    "key": r"(?<![A-Za-z0-9_])(?:A[KS]IA[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|AIza[A-Za-z0-9_-]{35}|xox[abprs]-[A-Za-z0-9-]{10,}+)(?![A-Za-z0-9_-])",
+    "password": r"(?i)(?<=(?:password|passwd|secret|api_key|apikey|api-key|token)[=:])[^\s\"'<>]{8,}+",
     "national": r"(?<![0-9+(-])\(?[2-9][0-9]{2}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9-])",
 }
 # What a text must hold for a pattern to be tried.
@@ -47,14 +58,18 @@ HINTS = {
     "phone": lambda t: t.rlike(r"\+[0-9]"),
     "iban": lambda t: t.rlike(r"[A-Z]{2}[0-9]{2}"),
     "ssn": lambda t: t.rlike(r"[0-9]{3}-[0-9]{2}-[0-9]{4}"),
+    "key": lambda t: t.rlike(r"A[KS]IA|gh[pousr]_|xox[abprs]-"),
+    "password": lambda t: t.rlike(r"(?i)(?:password|passwd|secret|api_key|apikey|api-key|token)[=:]"),
     "national": lambda t: t.rlike(r"[0-9]{3}[\x20.-][0-9]{4}"),
 }
 CONTEXT_WORDS = {
     "iban": r"(?i)\b(?:iban|account|bank|konto|compte|cuenta)\b",
     "ssn": r"(?i)\b(?:ssn|social security|sozialversicherung|seguridad social)\b",
+    "key": r"(?i)\b(?:key|token|aws|access)\b",
+    "password": r"(?i)\b(?:login|user|account)\b",
     "national": r"(?i)\b(?:phone|tel|telephone|telefon|mobile|cell|call|fax|appel|llame)\b",
 }
-BASE_SCORE = {"iban": 0.9, "ssn": 0.4, "national": 0.4}
+BASE_SCORE = {"iban": 0.9, "ssn": 0.4, "national": 0.4, "key": 0.9, "password": 0.9}
 SPAN = "array<struct<kind:string,start:int,end:int,score:double,value:string>>"
 
 
@@ -94,24 +109,51 @@ VALID = {
     "iban": _mod97,
     "ssn": lambda v: F.lit(True),
     "national": lambda v: F.lit(True),
+    "key": lambda v: F.lit(True),
+    "password": lambda v: v.rlike("[0-9]") & v.rlike("[A-Za-z]"),
 }
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with value worked out once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def running(values: Column, combine, start: Column) -> Column:
+    """For each of values what combine makes of start and all values before it, in order.
+
+    A fold that collects copies what it has so far, so it is done within blocks of BLOCK values, from what the blocks before come to.
+    """
+
+    def scan(some: Column, first: Column) -> Column:
+        state = F.struct(first.alias("at"), F.array().cast("array<int>").alias("out"))
+        step = lambda s, x: F.struct(combine(s["at"], x).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out"))
+        return F.aggregate(some, state, step, lambda s: s["out"])
+
+    def blocked(all_of: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(all_of) - 1) / BLOCK).cast("int")), lambda k: F.slice(all_of, k * BLOCK + 1, F.lit(BLOCK)))
+        whole = lambda bs: F.transform(bs, lambda b: F.aggregate(b, start, combine))
+        return let(blocks, lambda bs: F.flatten(F.zip_with(bs, scan(whole(bs), start), scan)))
+
+    return let(values, lambda v: F.when(F.size(v) > 0, blocked(v)).otherwise(F.array().cast("array<int>")))
+
+
+def _sum(a: Column, b: Column) -> Column:
+    return a + b
+
+
 def _matches(text: Column, kind: str) -> Column:
     """Array of (start, value): every match of the pattern, in order."""
     pattern = PATTERNS[kind]
     values = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
     between = F.split(text, pattern, -1)
-    placed = F.zip_with(F.slice(between, 1, F.greatest(F.size(values), F.lit(0))), values, lambda gap, v: F.struct(F.length(gap).alias("gap"), v.alias("value")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,value:string>>").alias("found"))
+    placed = F.zip_with(F.slice(between, 1, F.greatest(F.size(values), F.lit(0))), values, lambda gap, v: F.struct(F.length(gap).alias("gap"), F.length(v).alias("n"), v.alias("value")))
 
-    def step(state: Column, m: Column) -> Column:
-        here = state["at"] + m["gap"]
-        return F.struct(
-            (here + F.length(m["value"])).alias("at"), F.concat(state["found"], F.array(F.struct(here.alias("start"), m["value"].alias("value")))).alias("found")
-        )
+    def started(found: Column) -> Column:
+        before = running(F.transform(found, lambda m: m["gap"] + m["n"]), _sum, F.lit(0))
+        return F.zip_with(found, before, lambda m, at: F.struct((at + m["gap"]).alias("start"), m["value"].alias("value")))
 
-    return F.aggregate(placed, start, step, lambda state: state["found"])
+    return let(placed, started)
 
 
 def _spans(text: Column, kind: str) -> Column:
@@ -135,14 +177,8 @@ def _spans(text: Column, kind: str) -> Column:
 
 def spans(text: Column) -> tuple[Column, Column]:
     """The base spans and the further ones that overlap none of them, each ordered by start, then kind as listed."""
-    rank = F.create_map(*[x for i, k in enumerate((*KINDS, *FURTHER)) for x in (F.lit(k), F.lit(i))])
-
-    def ordered(found: Column) -> Column:
-        keyed = F.transform(found, lambda s: F.struct(s["start"].alias("start"), rank[s["kind"]].alias("rank"), s.alias("span")))
-        return F.transform(F.array_sort(keyed), lambda k: k["span"])
-
-    base = ordered(F.concat(*[_spans(text, k) for k in KINDS]))
-    further = ordered(F.concat(*[_spans(text, k) for k in FURTHER]))
+    base = _in_order(F.concat(*[_spans(text, k) for k in KINDS]))
+    further = _in_order(F.concat(*[_spans(text, k) for k in FURTHER]))
     return base, further
 
 
@@ -155,12 +191,30 @@ def find(docs: DataFrame) -> DataFrame:
     return both.select("doc_id", "base", _merged(F.col("base"), F.col("further")).alias("spans"))
 
 
-def _merged(base: Column, further: Column) -> Column:
-    """Further spans have to be clear of base ones and of further ones that start before them."""
-    clear = F.filter(further, lambda s: ~F.exists(base, lambda b: (s["start"] < b["end"]) & (b["start"] < s["end"])))
+def _in_order(found: Column) -> Column:
+    """Spans by start, then kind as listed."""
     rank = F.create_map(*[x for i, k in enumerate((*KINDS, *FURTHER)) for x in (F.lit(k), F.lit(i))])
-    keyed = F.transform(F.concat(base, clear), lambda s: F.struct(s["start"].alias("start"), rank[s["kind"]].alias("rank"), s.alias("span")))
-    return F.transform(F.array_sort(keyed), lambda k: k["span"])
+    return F.transform(F.sort_array(F.transform(found, lambda s: F.struct(s["start"].alias("start"), rank[s["kind"]].alias("rank"), s.alias("span")))), lambda k: k["span"])
+
+
+def _merged(base: Column, further: Column) -> Column:
+    """Base spans, and the further ones that are clear of them, by start, then kind as listed.
+
+    In this order a base span that overlaps a further one starts before it and ends after its start, or starts after
+    it and before its end.
+    """
+    far = F.lit(2**31 - 1)
+    is_base = lambda s: s["kind"].isin(*KINDS)
+
+    def clear(found: Column) -> Column:
+        reached = running(F.transform(found, lambda s: F.when(is_base(s), s["end"]).otherwise(F.lit(0))), lambda a, b: F.greatest(a, b), F.lit(0))
+        following = F.reverse(running(F.reverse(F.transform(found, lambda s: F.when(is_base(s), s["start"]).otherwise(far))), lambda a, b: F.least(a, b), far))
+        told = F.arrays_zip(found.alias("span"), reached.alias("reached"), following.alias("following"))
+        kept = F.filter(told, lambda t: is_base(t["span"]) | ((t["reached"] <= t["span"]["start"]) & (t["following"] >= t["span"]["end"])))
+        return F.transform(kept, lambda t: t["span"])
+
+    both = _in_order(F.concat(base, further))
+    return F.when(F.size(further) == 0, base).otherwise(let(both, clear))
 
 
 def written(found: Column) -> Column:
@@ -173,18 +227,31 @@ def count(found: Column, kind: str) -> Column:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """docs with every span of its text replaced by its kind in angle brackets; overlapping spans are replaced as one. Other columns stay as they are."""
+    """docs with every span of its text replaced by its kind in angle brackets; overlapping spans are replaced as one, by the kind of the first. Other columns stay as they are."""
     base, further = spans(F.coalesce(F.col("text"), F.lit("")))
-    name = "_lectern_spans"
+    name = shared.free_name(docs, "spans")
     found = docs.withColumn(name, F.struct(base.alias("base"), further.alias("further")))
-    merged = _merged(F.col(f"{name}.base"), F.col(f"{name}.further"))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    clean = F.when(F.size(f"{name}.base") + F.size(f"{name}.further") > 0, _replaced(F.col("text"), _merged(F.col(f"{name}.base"), F.col(f"{name}.further")))).otherwise(F.col("text"))
+    return found.withColumn("text", clean).select(*docs.columns)
 
-    def step(state: Column, s: Column) -> Column:
-        gap = F.substr(F.col("text"), state["at"] + 1, F.greatest(s["start"] - state["at"], F.lit(0)))
-        fresh = s["start"] >= state["at"]
-        return F.struct(F.greatest(s["end"], state["at"]).alias("at"), F.when(fresh, F.concat(state["out"], gap, F.lit("<"), s["kind"], F.lit(">"))).otherwise(state["out"]).alias("out"))
 
-    whole = F.aggregate(merged, start, step, lambda state: F.concat(state["out"], F.substr(F.col("text"), state["at"] + 1)))
-    clean = F.when(F.size(merged) > 0, whole).otherwise(F.col("text"))
-    return found.withColumn("text", clean).select(*docs.columns)
+def _replaced(text: Column, found: Column) -> Column:
+    """text with its spans (in order) replaced, put together from what lies between them."""
+
+    def between(chunks: Column, first: Column, after: Column) -> Column:
+        """Characters first (from 0) to after, from the chunks that hold them."""
+        start = F.floor(first / CHUNK).cast("int")
+        some = F.slice(chunks, start + 1, F.floor((after - 1) / CHUNK).cast("int") - start + 1)
+        return F.when(after > first, F.substr(F.array_join(some, ""), first - start * CHUNK + 1, after - first)).otherwise(F.lit(""))
+
+    def put(chunks: Column, told: Column, last: Column) -> Column:
+        parts = F.transform(F.filter(told, lambda t: t["start"] >= t["at"]), lambda t: F.concat(between(chunks, t["at"], t["start"]), F.lit("<"), t["kind"], F.lit(">")))
+        return F.concat(F.array_join(parts, ""), between(chunks, last, F.length(text)))
+
+    def opened(all_of: Column) -> Column:
+        """Spans with the place (at) that those before them reach; where one starts before it, it overlaps."""
+        at = running(F.transform(all_of, lambda s: s["end"]), lambda a, b: F.greatest(a, b), F.lit(0))
+        return F.zip_with(all_of, at, lambda s, a: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), a.alias("at")))
+
+    chunks = F.regexp_extract_all(text, F.lit(r"(?s)(.{1,%d})" % CHUNK), F.lit(1))
+    return let(chunks, lambda c: let(opened(found), lambda told: let(F.array_max(F.transform(told, lambda t: t["end"])), lambda last: put(c, told, last))))
