@@ -3,13 +3,15 @@
 Terms are a document's words and their shapes (which kinds of characters a word has, in order), hashed,
 and one for words said again at once; terms weigh log(1 + count) times a rarity learned from the sample. A truncated singular value
 decomposition of the labelled sample's term matrix gives RANK axes. The labelled vectors are broadcast:
-at most SAMPLE rows of RANK numbers, a bound that is a parameter and does not grow with the data. Each
+at most SAMPLE rows of RANK numbers, learned from at most SAMPLE_CHARACTERS of text; both bounds are parameters and do
+not grow with the data. Each
 document is compared with all of them by cosine, in exact blocks, and its NEAREST neighbours vote with
 the weight of their similarity.
 
 Defined results: null and empty texts have no term; they, and texts at no positive similarity to any
 neighbour, get the share of label 1 in the sample (0 without labels). Equal similarities are taken in
-the sample's order. Rows that repeat a doc_id are scored row by row; a null doc_id teaches nothing.
+the sample's order (its label, then its terms). Rows that repeat a doc_id are scored row by row, and the least of their
+texts is learned from; a null doc_id teaches nothing. Repeated labels count once.
 Other columns are ignored.
 """
 
@@ -31,6 +33,7 @@ from pyspark.sql import functions as F
 from lectern.llm import shared
 
 SAMPLE = 6000
+SAMPLE_CHARACTERS = 60_000_000
 WORD_TERMS = 1 << 14
 SHAPE_TERMS = 1 << 11
 RANK = 48
@@ -133,22 +136,16 @@ def fit(labels: np.ndarray, terms: np.ndarray, counts: np.ndarray, sizes: np.nda
     return Model(rarity, axes.astype(np.float32), _unit(_project(terms, weights, sizes, axes)), labels.astype(np.float64), float(labels.mean()) if n else 0.0)
 
 
-def train(docs: DataFrame, labels: DataFrame, usable, sample: int = SAMPLE) -> Model:
+def train(docs: DataFrame, labels: DataFrame, usable, sample: int = SAMPLE, characters: int = SAMPLE_CHARACTERS) -> Model:
     """labels: doc_id, quality (0 or 1; other values are left out); usable: the condition on doc_id under which a label may be learned."""
-    chosen = (
-        labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
-        .where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & usable)
-        .orderBy(F.xxhash64("doc_id"), "doc_id", "quality")
-        .limit(sample)
-    )
+    told = shared.labelled_sample(docs, labels, "quality", usable, sample, characters)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         remembered = Remembered()
         for batch in batches:
             found = [term_counts(t, remembered) for t in batch.column("text").to_pylist()]
-            yield shared.batch_of(_TERMS, batch.column("quality"), [t.tobytes() for t, _ in found], [c.tobytes() for _, c in found])
+            yield shared.batch_of(_TERMS, batch.column("label"), [t.tobytes() for t, _ in found], [c.tobytes() for _, c in found])
 
-    told = shared.id_text(docs).join(F.broadcast(chosen), "doc_id").select("quality", "text")  # at most sample rows
     rows = sorted(told.mapInArrow(run, "quality int, terms binary, counts binary").collect())
     sizes = np.array([len(r.terms) // 4 for r in rows], np.int64)
     return fit(
@@ -159,6 +156,16 @@ def train(docs: DataFrame, labels: DataFrame, usable, sample: int = SAMPLE) -> M
     )
 
 
+def nearest(near: np.ndarray, k: int) -> np.ndarray:
+    """The columns of the k greatest values of each row; of equal values the first ones."""
+    best = np.argpartition(-near, k - 1, axis=1)[:, :k]
+    least = np.take_along_axis(near, best, axis=1).min(axis=1)
+    for row in np.flatnonzero((near == least[:, None]).sum(axis=1) > 1):
+        above, tied = np.flatnonzero(near[row] > least[row]), np.flatnonzero(near[row] == least[row])
+        best[row] = np.concatenate([above, tied[: k - len(above)]])
+    return best
+
+
 def scores(model: Model, texts: list[str], remembered: Remembered) -> np.ndarray:
     found = [term_counts(t, remembered) for t in texts]
     sizes = np.array([len(t) for t, _ in found], np.int64)
@@ -170,7 +177,7 @@ def scores(model: Model, texts: list[str], remembered: Remembered) -> np.ndarray
     vectors = _unit(_project(terms, weights, sizes, model.axes))
     near = vectors @ model.vectors.T
     k = min(NEAREST, near.shape[1])
-    best = np.argpartition(-near, k - 1, axis=1)[:, :k]
+    best = nearest(near, k)
     pull = np.clip(np.take_along_axis(near, best, axis=1), 0.0, None) ** SHARPNESS
     total = pull.sum(axis=1)
     voted = total > 0
