@@ -236,7 +236,23 @@ def join_overlap_text(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents").select("doc_id", F.sha2(joined.cast("binary"), 256).alias("joined_sha256"))
 
 
-@query("spoken_phrases")
+def _replaced(column: str) -> str:
+    for written, said in plain.SPOKEN["es"]:
+        column = f"replace({column}, '{written}', '{said}')"
+    return column
+
+
+@query(
+    "spoken_phrases",
+    rf"""WITH digits AS (SELECT ['', 'I', 'II', 'III', 'IV', 'V', 'VI', 'VII', 'VIII', 'IX'] AS d),
+rom AS (SELECT n, repeat('M', CAST(n // 1000 AS BIGINT)) || translate(d[n // 100 % 10 + 1], 'IVX', 'CDM') || translate(d[n // 10 % 10 + 1], 'IVX', 'XLC') || d[n % 10 + 1] AS roman FROM digits, range(1, 4000) t(n)),
+tab AS (SELECT map(list(roman), list(CAST(n AS VARCHAR))) AS values_of FROM rom),
+a AS (SELECT conv_id, turn, rtrim(text, ' ' || chr(10)) LIKE '%.' AS closed, {_replaced("text")} AS said FROM conversations),
+b AS (SELECT conv_id, turn, CASE WHEN closed AND rtrim(said, ' ' || chr(10)) NOT LIKE '%.' THEN rtrim(said, ' ' || chr(10)) || '.' ELSE said END AS said FROM a),
+c AS (SELECT *, list_distinct(regexp_extract_all(said, '(?i)\b(?:cap[ií]tulo|parte|libro|tomo|siglo|volumen|acto|escena|lecci[oó]n)\s+[IVXLCDM]+\b')) AS found FROM b)
+SELECT conv_id, turn, list_reduce(list_prepend(said, list_transform(list_reverse_sort(list_transform(found, lambda m: lpad(CAST(length(m) AS VARCHAR), 5, '0') || m)), lambda m: substr(m, 6))),
+  lambda acc, m: CASE WHEN values_of[upper(regexp_extract(m, '[IVXLCDMivxlcdm]+$'))] IS NULL THEN acc ELSE replace(acc, m, regexp_extract(m, '^(\S+)', 1) || ' ' || values_of[upper(regexp_extract(m, '[IVXLCDMivxlcdm]+$'))]) END) AS spoken FROM c, tab""",
+)
 def spoken_phrases(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "conversations").select("conv_id", "turn", text.spoken("text").alias("spoken"))
 
