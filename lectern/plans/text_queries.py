@@ -126,15 +126,49 @@ def key_point_blocks(spark: SparkSession, folder: str) -> DataFrame:
     return text.packed_blocks(_by_chapter(spark, folder), 20_000)
 
 
-@query("chunks_packed")
+_PACKED = "lambda acc, x: CASE WHEN length(string_split(acc, chr(1))[-1]) + length(x) + 1 <= 300 THEN acc || ' ' || x ELSE acc || chr(1) || x END"
+
+
+def _tokens(t: str) -> str:
+    return f"CAST(greatest(1, floor(len(list_filter(string_split_regex({t}, '[ \n]'), lambda w: trim(w) <> '')) * 1.3::DOUBLE)) AS INTEGER)"
+
+
+def _sentences(words: str) -> str:
+    """SQL for the sentences of a list of words."""
+    before = f"regexp_extract({words}[i - 1], '^(.*?)([.?!…])[.?!…»\"”'')\\]]*$', 1)"
+    mark = f"regexp_extract({words}[i - 1], '^(.*?)([.?!…])[.?!…»\"”'')\\]]*$', 2)"
+    stem = f"regexp_extract({before}, '[\\p{{L}}º]*$')"
+    short = f"((length({stem}) = 1 AND {stem} <> lower({stem})) OR lower({stem}) IN ({_quoted(plain.ABBREVIATIONS)}))"
+    ends = f"{mark} <> '' AND regexp_matches(left({words}[i], 1), '[\\p{{Lu}}\\p{{Nd}}¿¡«\"“—('']') AND ({mark} <> '.' OR NOT {short})"
+    put = f"lambda i: CASE WHEN i = 1 THEN {words}[1] WHEN {ends} THEN chr(2) || {words}[i] ELSE ' ' || {words}[i] END"
+    return f"string_split(array_to_string(list_transform(range(1, len({words}) + 1), {put}), ''), chr(2))"
+
+
+@query(
+    "chunks_packed",
+    rf"""WITH RECURSIVE {library.PAGES_SQL}, l AS (SELECT book_id, (page - 1) // 20 + 1 AS chapter, page, unnest(string_split(text, chr(10))) AS text, unnest(range(len(string_split(text, chr(10))))) AS n FROM lib_pages),
+w AS (SELECT *, {_tokens("text")} AS tokens, string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' ') AS words FROM l WHERE trim(text) <> ''),
+s AS (SELECT *, {_sentences("words")} AS sentences FROM w),
+u0 AS (SELECT book_id, chapter, page, n, unnest(CASE WHEN tokens <= 350 THEN [text] ELSE sentences END) AS text, unnest(CASE WHEN tokens <= 350 THEN [sentences[-1]] ELSE sentences END) AS last, unnest(range(CASE WHEN tokens <= 350 THEN 1 ELSE len(sentences) END)) AS k FROM s),
+u1 AS (SELECT *, CASE WHEN length(last) <= 300 THEN last ELSE string_split(list_reduce(string_split(regexp_replace(last, '([,;:]) ', '\1' || chr(1), 'g'), chr(1)), {_PACKED}), chr(1))[-1] END AS part FROM u0),
+u2 AS (SELECT *, CASE WHEN length(part) <= 300 THEN part ELSE string_split(list_reduce(string_split(part, ' '), {_PACKED}), chr(1))[-1] END AS tail FROM u1),
+u AS (SELECT *, {_tokens("text")} AS tokens, {_tokens("tail")} AS tail_tokens FROM u2),
+c AS (SELECT book_id, chapter, list(text ORDER BY page, n, k) AS texts, list(page ORDER BY page, n, k) AS pages, list(tail ORDER BY page, n, k) AS tails, list(tail_tokens ORDER BY page, n, k) AS tt, list(tokens ORDER BY page, n, k) AS tk, count(*) AS units FROM u GROUP BY ALL),
+d AS (SELECT *, list_prepend(0, list_transform(range(1, units + 1), lambda i: CAST(list_sum(tk[1:i]) AS BIGINT))) AS sums FROM c),
+r AS (SELECT book_id, chapter, 0 AS number, 0::BIGINT AS first, false AS repeated, 0 AS extra, least(units, greatest(list_max(list_filter(range(0, units + 1), lambda i: sums[i + 1] <= 350)), 1)) AS after FROM d
+  UNION ALL SELECT book_id, chapter, number, first, repeated, extra, least(units, greatest(list_max(list_filter(range(0, units + 1), lambda i: sums[i + 1] <= sums[first + 1] + 350 - extra)), first + CASE WHEN repeated THEN 1 ELSE 2 END)) AS after
+  FROM (SELECT r.book_id, r.chapter, r.number + 1 AS number, r.after AS first, d.tt[r.after] < 175 AS repeated, CASE WHEN d.tt[r.after] < 175 THEN d.tt[r.after] ELSE 0 END AS extra, d.units, d.sums FROM r JOIN d ON r.book_id = d.book_id AND r.chapter = d.chapter WHERE r.after < d.units) x),
+t AS (SELECT r.*, array_to_string(list_concat(CASE WHEN repeated THEN [tails[first]] ELSE [] END, texts[first + 1:after]), chr(10) || chr(10)) AS text, CASE WHEN repeated THEN pages[first] ELSE pages[first + 1] END AS start_page, pages[after] AS end_page,
+  CAST(extra + sums[after + 1] - sums[first + 1] AS INTEGER) AS tokens FROM r JOIN d USING (book_id, chapter)),
+k AS (SELECT * FROM t WHERE NOT (NOT repeated AND after - first = 1 AND number > 0 AND tokens < 175))
+SELECT book_id, CAST(chapter AS INTEGER) AS chapter, CAST(number AS INTEGER) AS number, text, CAST(start_page AS INTEGER) AS start_page, CAST(end_page AS INTEGER) AS end_page,
+  CAST(sum(length(text)) OVER w - length(text) AS BIGINT) AS char_start, CAST(sum(length(text)) OVER w AS BIGINT) AS char_end, tokens FROM k WINDOW w AS (PARTITION BY book_id, chapter ORDER BY number)""",
+)
 def chunks_packed(spark: SparkSession, folder: str) -> DataFrame:
     parts = _by_chapter(spark, folder).select("book_id", "chapter", "page", F.posexplode(F.split("text", "\n")).alias("paragraph_no", "text")).where("trim(text) <> ''")
     return text.packed_chunks(parts)
 
 
-_PACKED = "lambda acc, x: CASE WHEN length(string_split(acc, chr(1))[-1]) + length(x) + 1 <= 300 THEN acc || ' ' || x ELSE acc || chr(1) || x END"
-
-
 @query(
     "phrases",
     rf"""WITH a AS (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda l: trim(regexp_replace(l, '\s+', ' ', 'g'))) AS lines FROM documents),
