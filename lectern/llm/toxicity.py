@@ -10,11 +10,12 @@ enough. So a document's score is the greater of two: its likeliest sentence, and
 what a clean text of as many sentences comes to (its mean and LEAK_SPREAD standard deviations, learned from
 the clean documents).
 
-Training uses at most SAMPLE labelled documents, taken in the order of a hash of their id; this bound is
-a parameter. Everything else, the scoring of each document over its whole text, covers all rows.
+Training uses at most SAMPLE labelled documents, with SAMPLE_CHARACTERS of text together, taken in the order of a hash
+of their id; both bounds are parameters. Everything else, the scoring of each document over its whole text, covers all rows.
 
 Defined results: null and empty texts have no sentence that counts and get the score of one sentence
-without words. Rows that repeat a doc_id are scored row by row; a null doc_id is trained on by none.
+without words. Rows that repeat a doc_id are scored row by row, and the least of their texts is learned from; a null
+doc_id is trained on by none. Repeated labels count once; a document with both labels counts as one of each.
 Without labels of both kinds every score is the share of label 1 (0 if there is none). Other columns
 are ignored.
 """
@@ -34,6 +35,7 @@ from pyspark.sql import functions as F
 from lectern.llm import shared
 
 SAMPLE = 6000
+SAMPLE_CHARACTERS = 60_000_000
 DIMENSIONS = 1 << 18
 LEAST_DOCS = 12
 SURE = 3.2
@@ -125,6 +127,18 @@ def noisy_or(logits: np.ndarray, counts: np.ndarray, leak: float, spread: float)
     return -np.expm1(-np.maximum(_sums(np.logaddexp(0.0, logits), counts) - expected, 0.0))
 
 
+def likelihood(z: np.ndarray, doc_of: np.ndarray, toxic: np.ndarray) -> float:
+    """Mean log-likelihood of document labels under the noisy-or of their sentences' logits z."""
+    log_clean = -np.bincount(doc_of, weights=np.logaddexp(0.0, z), minlength=len(toxic))
+    return float(np.where(toxic == 1, np.log(np.maximum(-np.expm1(log_clean), 1e-300)), log_clean).mean())
+
+
+def pulls(z: np.ndarray, doc_of: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """What the likelihood, summed over documents, gains with each sentence's logit."""
+    none = np.exp(-np.bincount(doc_of, weights=np.logaddexp(0.0, z), minlength=len(toxic)))
+    return np.where(toxic == 1, none / np.maximum(1 - none, 1e-9), -1.0)[doc_of] * np.exp(-np.logaddexp(0.0, -z))
+
+
 def fit(toxic: np.ndarray, features: np.ndarray, sizes: np.ndarray, counts: np.ndarray, steps: int = STEPS) -> Model:
     """features: a row of feature numbers for each word."""
     if len(set(toxic.tolist())) < 2:
@@ -158,10 +172,7 @@ def fit(toxic: np.ndarray, features: np.ndarray, sizes: np.ndarray, counts: np.n
     n_sentences, n_docs = len(sizes), len(counts)
     for step in range(1, steps + 1):
         z = bias + np.bincount(row, weights=w[column], minlength=n_sentences)
-        p = np.exp(-np.logaddexp(0.0, -z))
-        log_clean = -np.bincount(doc_of, weights=np.logaddexp(0.0, z), minlength=n_docs)
-        none = np.exp(log_clean)
-        pull = np.where(toxic == 1, none / np.maximum(1 - none, 1e-9), -1.0)[doc_of] * p
+        pull = pulls(z, doc_of, toxic)
         slope = np.append(np.bincount(column, weights=pull[row], minlength=len(w)) / n_docs - DECAY * w, pull.sum() / n_docs)
         first = 0.9 * first + 0.1 * slope
         second = 0.99 * second + 0.01 * slope**2
@@ -175,24 +186,18 @@ def fit(toxic: np.ndarray, features: np.ndarray, sizes: np.ndarray, counts: np.n
     return Model(weights, float(bias), None, float(leaks.mean()), float(leaks.std()))
 
 
-def train(docs: DataFrame, labels: DataFrame, usable, sample: int = SAMPLE) -> Model:
+def train(docs: DataFrame, labels: DataFrame, usable, sample: int = SAMPLE, characters: int = SAMPLE_CHARACTERS) -> Model:
     """labels: doc_id, toxic (0 or 1; other values are left out); usable: the condition on doc_id under which a label may be learned."""
-    chosen = (
-        labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
-        .where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & usable)
-        .orderBy(F.xxhash64("doc_id"), "doc_id", "toxic")
-        .limit(sample)
-    )
+    told = shared.labelled_sample(docs, labels, "toxic", usable, sample, characters)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers = Remembered(word_features)
         for batch in batches:
-            for toxic, text in zip(batch.column("toxic").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            for toxic, text in zip(batch.column("label").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 features, sizes, _ = bags([text], numbers)
                 yield shared.batch_of(_BAGS, [toxic], [np.array(features, np.int32).tobytes()], [sizes.astype(np.int32).tobytes()])
 
-    told = shared.id_text(docs).join(F.broadcast(chosen), "doc_id").select("toxic", "text", "doc_id")  # at most sample rows
-    rows = told.mapInArrow(run, "toxic int, features binary, sizes binary").collect()
+    rows = told.mapInArrow(run, "toxic int, features binary, sizes binary").collect()  # bounded by sample and characters
     rows.sort()
     sizes = [np.frombuffer(r.sizes, np.int32) for r in rows]
     features = np.frombuffer(b"".join(r.features for r in rows), np.int32).reshape(-1, 3)
