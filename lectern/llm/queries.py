@@ -88,4 +88,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_simhash": op10_simhash,
 }
 
-ORACLES: dict[str, str] = {}
+#: The others count by hash functions, tokenizers, models or patterns that SQL lacks; tests compare them with brute force.
+ORACLES: dict[str, str] = {
+    "op8_embedding_dups": """WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+n AS (SELECT vec_id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS norm FROM v),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM n a JOIN n b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND a.norm > 0 AND b.norm > 0 WHERE list_inner_product(a.e, b.e) / (a.norm * b.norm) >= 0.95),
+r(node, label) AS (SELECT a, a FROM l UNION SELECT l.b, r.label FROM r JOIN l ON l.a = r.node WHERE r.label < l.b),
+c AS (SELECT node, min(label) AS label FROM r GROUP BY node), k AS (SELECT a, count(*) AS links FROM l GROUP BY a)
+SELECT vec_id, coalesce(links, 0) AS n_links, coalesce(label, vec_id) AS component_id, coalesce(label, vec_id) = vec_id AS kept FROM v LEFT JOIN k ON a = vec_id LEFT JOIN c ON node = vec_id""",
+}
