@@ -195,7 +195,20 @@ def page_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "pages").select("page_id", F.posexplode(text.paragraphs(plain, none, none)).alias("number", "paragraph"))
 
 
-@query("heading_outline")
+@query(
+    "heading_outline",
+    r"""WITH f AS (SELECT regexp_extract(url, '://([^/?#]*)', 1) AS book_id, CAST(page_id AS INTEGER) AS page, regexp_extract_all(html, '(?is)<h([1-6])\b[^>]*>(.*?)</h[1-6]>') AS tags FROM pages),
+e AS (SELECT book_id, page, unnest(tags) AS tag, unnest(range(len(tags))) AS idx FROM f),
+h AS (SELECT book_id, page, idx, CAST(substr(tag, 3, 1) AS INTEGER) AS level, trim(regexp_replace(tag, '<[^>]*>', '', 'g')) AS text FROM e),
+a AS (SELECT *, length(text) <= 30 AND regexp_full_match(trim(text), '(?i)(cap[ií]tulo|parte|libro|tema|unidad|chapter|part|book)\s+[\p{L}\p{N}_.]+') AS label FROM h WHERE regexp_matches(text, '[\p{L}\p{N}]')),
+b AS (SELECT *, label AND lead(page) OVER w = page AND lead(level) OVER w >= level AS joins, lead(text) OVER w AS following FROM a WINDOW w AS (PARTITION BY book_id ORDER BY page, idx)),
+u AS (SELECT book_id, page, idx, level, CASE WHEN joins THEN text || '. ' || following ELSE text END AS text FROM (SELECT *, coalesce(lag(joins) OVER (PARTITION BY book_id ORDER BY page, idx), false) AS taken FROM b) WHERE NOT taken),
+n AS (SELECT book_id, level, count(*) AS n, count(DISTINCT page) AS pages FROM u GROUP BY ALL), t AS (SELECT book_id, min(level) AS top FROM n WHERE pages >= 2 AND n <= 500 GROUP BY book_id),
+v AS (SELECT n.*, top, row_number() OVER w - 1 AS depth, sum(n) OVER w AS upto FROM n JOIN t USING (book_id) WHERE level >= top WINDOW w AS (PARTITION BY book_id ORDER BY level)),
+k AS (SELECT book_id, level, top, depth FROM v WHERE depth = 0 OR (depth <= 2 AND upto <= 600)),
+o AS (SELECT u.*, depth, top, bool_or(u.level = top) OVER (PARTITION BY u.book_id ORDER BY page, idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS started FROM u JOIN k ON k.book_id = u.book_id AND k.level = u.level)
+SELECT book_id, page, CAST(CASE WHEN started THEN depth ELSE 0 END AS INTEGER) AS depth, rtrim(trim(left(regexp_replace(trim(regexp_replace(text, '\s+', ' ', 'g')), '\.\.\s', '. ', 'g'), 120)), ':;,') AS title FROM o""",
+)
 def heading_outline(spark: SparkSession, folder: str) -> DataFrame:
     found = F.regexp_extract_all("html", F.lit(r"(?is)<h([1-6])\b[^>]*>(.*?)</h[1-6]>"), F.lit(0))
     host = F.regexp_extract("url", r"://([^/?#]*)", 1)
