@@ -19,12 +19,16 @@ Template windows need CONTENT words that are no placeholder. Windows of fewer wo
 windows with enough content where those are half of all or more, and by all its windows. Items of fewer than WINDOW
 tokens are one window of their whole length, with as many content words as CONTENT allows for that length.
 
-The documents' windows that cannot match are dropped early with the benchmark's sorted hashes, which are
-broadcast while there are at most BROADCAST_HASHES of them; beyond that, every window goes to the join.
+The documents' windows that cannot match are dropped early by a Bloom filter of the benchmark's hashes, which is
+broadcast: FILTER_BITS bits, however large the benchmark is. What passes goes to an exact join on the hash, so the filter
+only decides how much that is. There the items' side is laid under SALTS keys and the documents' windows are dealt over
+them, so a window that very many documents hold is no hot key. What an alignment collects is bounded by its item: it has
+a row for each form of each of the item's windows at most.
 
 Defined results: null or empty texts and items have no window and never match. Rows that repeat a doc_id
-count as one document's, repeated items as one item. Documents without doc_id and items without item_id
-are left out (and kept by without_leaks). Empty tables: no rows. Other columns are ignored.
+count as one document's, repeated items as one item. Rows without doc_id are judged by their text: leaks has a
+row without doc_id for each such text, and without_leaks drops the rows that have it. Items without
+item_id are left out. Empty tables: no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -44,7 +48,8 @@ WINDOW = 5
 CONTENT = 3
 WIDE_CONTENT = 2
 SIMILARITY = 0.8
-BROADCAST_HASHES = 4_000_000
+FILTER_BITS = 1 << 27
+SALTS = 16
 CACHED_WORDS = 400_000
 
 # Units.
@@ -59,8 +64,8 @@ UNITS = frozenset(
 _NUMBER = re.compile(r"[+-]?[$€£]?[0-9][0-9.,:/]*(?:%|°|[a-zA-Z]{1,3})?$")
 _EDGES = "\"'“”‘’«»¿¡.,;:!?()[]{}…"
 _NUM, _UNIT, _CAPITAL, _ENDS = 1, 2, 4, 8
-_HIT = "hash long, doc_id long, position int, slots array<string>, wide boolean, content boolean"
-_HITS = pa.schema([("hash", pa.int64()), ("doc_id", pa.int64()), ("position", pa.int32()), ("slots", pa.list_(pa.string())), ("wide", pa.bool_()), ("content", pa.bool_())])
+_HIT = "hash long, doc string, position int, slots array<string>, wide boolean, content boolean"
+_HITS = pa.schema([("hash", pa.int64()), ("doc", pa.string()), ("position", pa.int32()), ("slots", pa.list_(pa.string())), ("wide", pa.bool_()), ("content", pa.bool_())])
 
 # Forms of a window.
 NARROW, WIDE, CASELESS, PLAIN = range(4)
@@ -147,35 +152,57 @@ def forms_of_windows(forms: list[tuple[np.ndarray, np.ndarray]], sizes: np.ndarr
     yield PLAIN, plain, inside & (caseless_filled < least), content
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """doc (the id as text, or a digest of the text of a row without id), doc_id, text."""
+    named = shared.id_text(docs)
+    return named.select(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("="), F.sha2("text", 256))).alias("doc"), "doc_id", "text")
+
+
+def _places(hashes, bits: int):
+    """The two bits of each hash, as Spark columns or numpy arrays of int64."""
+    return hashes & (bits - 1), (hashes >> 32) & (bits - 1)
+
+
+def _filter(told: DataFrame, bits: int) -> np.ndarray:
+    """The Bloom filter of the items' hashes: a bit array. Its words are put together before they come to the driver, so that at most bits / 64 rows do."""
+    low, high = F.col("hash").bitwiseAND(F.lit(bits - 1)), F.shiftright("hash", 32).bitwiseAND(F.lit(bits - 1))
+    places = told.select(F.explode(F.array(low, high)).alias("bit"))
+    words = places.groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(bit & 63 AS INT))")).alias("bits"))
+    found = words.toArrow()
+    out = np.zeros(max(1, bits // 64), np.int64)
+    out[found["word"].to_numpy()] = found["bits"].to_numpy()
+    return out
+
+
 def _windows_of(docs: DataFrame, lengths: list[int], wanted, whole_only: bool = False) -> DataFrame:
-    """hash, doc_id, position, slots (the values in the window's slots, empty text elsewhere; null without any).
+    """hash, doc, position, slots (the values in the window's slots, empty text elsewhere; null without any) of docs (doc, text).
 
-    wanted: a broadcast array of sorted hashes, or None for all windows. whole_only: windows under WINDOW
+    wanted: a broadcast Bloom filter, or None for all windows. whole_only: windows under WINDOW
     are made of texts of just that length (benchmark items); otherwise anywhere.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = WordCodes()
-        sought = maybe = None
-        if wanted is not None:
-            sought = wanted.value
-            maybe = np.zeros(1 << 20, bool)
-            maybe[(sought & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
+        sieve = None if wanted is None else wanted.value
+
+        def passing(hit: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+            for which in range(2):
+                place = _places(hashes[hit].view(np.int64), 64 * len(sieve))[which]
+                hit = hit[(sieve[place >> 6] >> (place & 63) & 1).astype(bool)]
+            return hit
+
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                ids = part.column("doc_id").to_pylist()
+                ids = part.column("doc").to_pylist()
                 words, forms, sizes = template(part.column("text").to_pylist(), codes)
                 starts = np.cumsum(sizes) - sizes
                 for length, (form, hashes, real, content) in ((n, found) for n in lengths for found in forms_of_windows(forms, sizes, n)):
                     if whole_only:
                         real = real & np.repeat(sizes == length if length < WINDOW else sizes >= WINDOW, sizes)
-                    if sought is not None:
-                        real = real & maybe[(hashes & np.uint64((1 << 20) - 1)).astype(np.int64)]
                     hit = np.flatnonzero(real)
-                    if sought is not None and len(hit):
-                        place = np.minimum(np.searchsorted(sought, hashes[hit]), len(sought) - 1)
-                        hit = hit[sought[place] == hashes[hit]] if len(sought) else hit[:0]
+                    if sieve is not None:
+                        hit = passing(hit, hashes)
                     if not len(hit):
                         continue
                     of = np.searchsorted(starts + sizes, hit, side="right")
@@ -188,49 +215,56 @@ def _windows_of(docs: DataFrame, lengths: list[int], wanted, whole_only: bool =
                     ]
                     yield shared.batch_of(_HITS, hashes[hit].view(np.int64), [ids[d] for d in of.tolist()], position.astype(np.int32), held, np.full(len(hit), form == WIDE), content[hit])
 
-    return shared.id_text(docs).where("doc_id is not null").mapInArrow(run, _HIT)
+    return docs.select("doc", "text").mapInArrow(run, _HIT)
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, path: str, similarity: float = SIMILARITY, broadcast_hashes: int = BROADCAST_HASHES) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, path: str, similarity: float = SIMILARITY, filter_bits: int = FILTER_BITS) -> DataFrame:
     """doc_id, item_id, similarity, kind (exact: all slots have the item's values; else restated) of each leak.
 
-    benchmark: item_id, text; path: a new folder in the shared folder.
+    benchmark: item_id, text; path: a new folder in the shared folder; filter_bits: a power of two, 64 or more.
     """
+    found = _leaks(_keyed(docs), benchmark, path, similarity, filter_bits)
+    return found.select(F.when(~F.startswith("doc", F.lit("=")), F.col("doc")).cast("long").alias("doc_id"), "item_id", "similarity", "kind")
+
+
+def _leaks(docs: DataFrame, benchmark: DataFrame, path: str, similarity: float, filter_bits: int) -> DataFrame:
+    """leaks with doc, as _keyed makes it, in place of doc_id."""
     spark = docs.sparkSession
-    items = benchmark.select(F.col("item_id").alias("doc_id"), "text")
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).where("item_id is not null")
     all_lengths = list(range(1, WINDOW + 1))
-    told = _windows_of(items, all_lengths, None, whole_only=True).select(
-        "hash", F.col("doc_id").alias("item_id"), F.col("position").alias("item_position"), F.col("slots").alias("item_slots"), F.col("wide").alias("item_wide"), F.col("content").alias("item_content")
+    told = _windows_of(items.select(F.col("item_id").cast("string").alias("doc"), "text"), all_lengths, None, whole_only=True).select(
+        "hash", F.col("doc").cast("long").alias("item_id"), F.col("position").alias("item_position"), F.col("slots").alias("item_slots"), F.col("wide").alias("item_wide"), F.col("content").alias("item_content")
     )
     told = shared.settled(told.distinct(), f"{path}/items")
-    hashes = told.select("hash").distinct()
-    held = None
-    if hashes.count() <= broadcast_hashes:
-        held = spark.sparkContext.broadcast(np.sort(hashes.toArrow()["hash"].to_numpy().view(np.uint64)))
-    short = [r.n for r in items.select(F.size(F.split(F.trim(F.coalesce("text", F.lit(""))), r"\s+")).alias("n")).where(f"n < {WINDOW}").distinct().collect()]  # under WINDOW values
+    held = spark.sparkContext.broadcast(_filter(told, filter_bits))  # filter_bits bits
+    short = [r.n for r in items.select(F.size(F.split(F.trim("text"), r"\s+")).alias("n")).where(f"n < {WINDOW}").distinct().collect()]  # under WINDOW values
     asked = _windows_of(docs, sorted({WINDOW, *(n for n in short if n > 0)}), held)
     # Openings of sentences as slots are a reading of their own: where it is not consistent, the narrow one may be.
     readings = F.when(F.col("wide") | F.col("item_wide"), F.array(F.lit(True))).otherwise(F.array(F.lit(False), F.lit(True)))
     filled = F.zip_with("item_slots", F.coalesce("slots", "item_slots"), lambda told, here: F.struct(told.alias("told"), F.when(here == "", told).otherwise(here).alias("here")))
-    pairs = asked.drop("content").join(told, "hash").withColumn("reading", F.explode(readings))
-    aligned = pairs.groupBy("doc_id", "item_id", "reading", (F.col("position") - F.col("item_position")).alias("shift")).agg(
+    dealt = asked.drop("content").withColumn("salt", F.pmod(F.xxhash64("doc", "position"), F.lit(SALTS)).cast("int"))
+    salted = told.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
+    pairs = dealt.join(salted, ["hash", "salt"]).withColumn("reading", F.explode(readings))
+    aligned = pairs.groupBy("doc", "item_id", "reading", (F.col("position") - F.col("item_position")).alias("shift")).agg(
         F.collect_set(F.struct("item_position", "item_content")).alias("covered"),
         F.array_distinct(F.flatten(F.collect_list(F.when(F.col("item_slots").isNotNull(), F.filter(filled, lambda s: s["told"] != ""))))).alias("filled"),
     )
     told_values = F.array_distinct(F.transform("filled", lambda s: s["told"]))
     sound = aligned.where(F.size("filled") == F.size(told_values)).select(
-        "doc_id", "item_id", "covered", F.forall("filled", lambda s: s["told"] == s["here"]).alias("same")
+        "doc", "item_id", "covered", F.forall("filled", lambda s: s["told"] == s["here"]).alias("same")
     )
     totals = told.groupBy("item_id").agg(F.countDistinct("item_position").alias("total"), F.countDistinct(F.when(F.col("item_content"), F.col("item_position"))).alias("total_content"))
-    found = sound.groupBy("doc_id", "item_id").agg(F.array_distinct(F.flatten(F.collect_list("covered"))).alias("covered"), F.bool_and("same").alias("same"))
+    found = sound.groupBy("doc", "item_id").agg(F.array_distinct(F.flatten(F.collect_list("covered"))).alias("covered"), F.bool_and("same").alias("same"))
     of_all = F.size("covered") / F.col("total")
     of_content = F.size(F.filter("covered", lambda c: c["item_content"])) / F.col("total_content")
     rated = found.join(totals, "item_id").withColumn("similarity", F.when(2 * F.col("total_content") >= F.col("total"), F.greatest(of_all, of_content)).otherwise(of_all))
-    return rated.where(F.col("similarity") >= similarity).select("doc_id", "item_id", "similarity", F.when(F.col("same"), "exact").otherwise("restated").alias("kind"))
+    return rated.where(F.col("similarity") >= similarity).select("doc", "item_id", "similarity", F.when(F.col("same"), "exact").otherwise("restated").alias("kind"))
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, path: str) -> DataFrame:
     """Rows of docs that no item leaked into, all columns as they were."""
-    found = leaks(docs, benchmark, path).select(F.col("doc_id").alias("_lectern_leak")).distinct()
+    found = _leaks(_keyed(docs), benchmark, path, SIMILARITY, FILTER_BITS).select(F.col("doc").alias("leak")).distinct()
     found = shared.settled(found, f"{path}/leaks")
-    return docs.join(found, docs["doc_id"] == found["_lectern_leak"], "left_anti")
+    text = F.coalesce(docs["text"], F.lit(""))
+    doc = F.coalesce(docs["doc_id"].cast("long").cast("string"), F.concat(F.lit("="), F.sha2(text, 256)))
+    return docs.join(found, doc == found["leak"], "left_anti")
