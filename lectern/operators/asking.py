@@ -13,10 +13,13 @@ from lectern.sources import library
 
 # How many fragments, how long a quotation must be, what relations and document types are called.
 SPECIFIC_K, GLOBAL_K, CHAPTER_K = 8, 12, 16
-QUOTE_LENGTH = 10
+QUOTE_LENGTH, LEAST_TOLD = 10, 2
 RELATIONS = {"ANTES": "BEFORE", "DURANTE": "DURING", "DESPUES": "AFTER"}
 DOCUMENT_TYPES = ("LITERATURE", "SCIENTIFIC", "EDUCATIONAL", "GENERIC")
-SOURCES = ("PDF_OUTLINE", "HEADINGS", "HEURISTIC", "LLM", "PAGE_BLOCKS")
+# What the model is told of the reader.
+HERE, CHAPTER_HERE, CHAPTER_BEFORE, PART = "El lector está en la página ", ", en el capítulo ", " El capítulo anterior es ", " de «"
+SCOPE, SCOPE_UNREAD = " La pregunta se refiere a las páginas ", " La pregunta se refiere a una parte del libro que el lector aún no ha leído."
+SOURCES = ("OUTLINE", "HEADINGS", "HEURISTIC", "LLM", "BLOCKS")
 
 
 def comparable(text_: Column) -> Column:
@@ -113,15 +116,15 @@ def position_text(asked: DataFrame, chapters: DataFrame) -> DataFrame:
     def described(chapter: Column) -> Column:
         heading = F.try_element_at(F.filter("_outline", lambda c: c["idx"] == chapter["under"]), F.lit(1))["title"]
         part = F.nullif(F.trim(F.substring_index(heading, ".", 1)), F.lit(""))
-        of = F.when(part.isNotNull() & ~F.startswith(chapter["title"], part), F.concat(F.lit(" de «"), part, F.lit("»"))).otherwise(F.lit(""))
+        of = F.when(part.isNotNull() & ~F.startswith(chapter["title"], part), F.concat(F.lit(PART), part, F.lit("»"))).otherwise(F.lit(""))
         return F.concat(F.lit("«"), chapter["title"], F.lit("»"), of, F.lit(" (p. "), chapter["start_page"].cast("string"), F.lit("–"), chapter["end_page"].cast("string"), F.lit(")"))
 
     told = known.withColumns({"_current": ch.resolved(reference("current")), "_previous": ch.resolved(reference("previous"))})
-    here = F.concat(F.lit("El lector está en la página "), F.col("page").cast("string"))
-    current = F.coalesce(F.concat(F.lit(", en el capítulo "), described(F.col("_current"))), F.lit(""))
-    previous = F.when(F.col("_current").isNotNull(), F.concat(F.lit(" El capítulo anterior es "), described(F.col("_previous")), F.lit(".")))
-    scope = F.when(F.col("ranges").isNull(), "").when(F.size("ranges") == 0, " La pregunta se refiere a una parte del libro que el lector aún no ha leído.").otherwise(
-        F.concat(F.lit(" La pregunta se refiere a las páginas "), _pages(F.col("ranges")), F.lit("."))
+    here = F.concat(F.lit(HERE), F.col("page").cast("string"))
+    current = F.coalesce(F.concat(F.lit(CHAPTER_HERE), described(F.col("_current"))), F.lit(""))
+    previous = F.when(F.col("_current").isNotNull(), F.concat(F.lit(CHAPTER_BEFORE), described(F.col("_previous")), F.lit(".")))
+    scope = F.when(F.col("ranges").isNull(), "").when(F.size("ranges") == 0, SCOPE_UNREAD).otherwise(
+        F.concat(F.lit(SCOPE), _pages(F.col("ranges")), F.lit("."))
     )
     return told.withColumn("position", F.concat(here, current, F.lit("."), F.coalesce(previous, F.lit("")), scope)).select(*asked.columns, "position")
 
@@ -180,12 +183,13 @@ def stale(counted: DataFrame, vectors: DataFrame) -> DataFrame:
 
 
 def chosen_source(entries: DataFrame) -> DataFrame:
-    """The entries (book_id, source, other columns) of each book's first source in the order of SOURCES that has two or more; page blocks if none has."""
+    """The entries (book_id, source, other columns) of each book's first source in the order of SOURCES that has any (a model's: LEAST_TOLD), with kind: headings are told as HEURISTIC."""
     counts = entries.groupBy("book_id", "source").agg(F.count("*").alias("_n"))
     rank = F.array_position(F.array(*map(F.lit, SOURCES)), F.col("source"))
-    usable = counts.where((F.col("_n") >= 2) | (F.col("source") == SOURCES[-1]))
+    usable = counts.where((F.col("source") != "LLM") | (F.col("_n") >= LEAST_TOLD))
     best = usable.groupBy("book_id").agg(F.min_by("source", rank).alias("source"))
-    return entries.join(best, ["book_id", "source"], "left_semi")
+    kind = F.when(F.col("source") == "HEADINGS", "HEURISTIC").otherwise(F.col("source"))
+    return entries.join(best, ["book_id", "source"], "left_semi").withColumn("kind", kind)
 
 
 def outline_levels(entries: DataFrame, levels: int = 3) -> DataFrame:

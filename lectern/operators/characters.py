@@ -13,9 +13,10 @@ from lectern.operators import chat, graph
 from lectern.operators.graph import name_key
 from lectern.sources import library
 
-# Limits of what is taken from an answer, and the kinds of relations.
+# Limits of what is taken from an answer, and the kinds of names.
 NAME_LENGTH, FACTS, FACT_LENGTH, LABEL_LENGTH = 80, 3, 300, 60
 KNOWN, MAIN, WORD_LENGTH = 150, 20, 3
+NAME_KINDS = ("NAME", "SURNAME", "NICKNAME", "TITLE")
 BLOCK_CHARACTERS, OUTPUT_TOKENS = 80_000, 1500
 PEOPLE = "array<struct<ref:string,names:array<struct<name:string,kind:string,page:int>>,renamedTo:struct<name:string,kind:string,page:int>,facts:array<struct<page:int,text:string>>>>"
 TIES = "array<struct<from:string,to:string,type:string,label:string,page:int,ended:boolean>>"
@@ -41,7 +42,7 @@ def told(extractions: DataFrame) -> DataFrame:
     person = read.select("extraction_id", "first", "last", F.posexplode("x.characters").alias("turn", "c"))
     page = lambda n: clamped(F.coalesce(n["page"], F.lit(0)), F.col("first"), F.col("last")).alias("page")
     real = lambda n: (F.trim(F.coalesce(n["name"], F.lit(""))) != "") & (F.length(n["name"]) <= NAME_LENGTH)
-    kind = lambda n: F.when(F.upper(F.trim(n["kind"])).isin("NAME", "ALIAS", "TITLE", "NICKNAME"), F.upper(F.trim(n["kind"]))).otherwise("NAME").alias("kind")
+    kind = lambda n: F.when(F.upper(F.trim(n["kind"])).isin(*NAME_KINDS), F.upper(F.trim(n["kind"]))).otherwise("NAME").alias("kind")
     names = F.transform(F.filter(F.coalesce("c.names", F.array().cast("array<struct<name:string,kind:string,page:int>>")), real), lambda n: F.struct(F.trim(n["name"]).alias("name"), kind(n), page(n)))
     renamed = F.when(F.col("c.renamedTo").isNotNull() & real(F.col("c.renamedTo")), F.struct(F.trim("c.renamedTo.name").alias("name"), page(F.col("c.renamedTo"))))
     full = F.filter(F.coalesce("c.facts", F.array().cast("array<struct<page:int,text:string>>")), lambda f: F.trim(F.coalesce(f["text"], F.lit(""))) != "")

@@ -9,7 +9,7 @@ from lectern.operators.components import connected_components
 from lectern.sources import library
 
 # Relation types and their groups.
-RELATION_GROUPS = {"FAMILY": "FAMILY", "ROMANTIC": "LOVE", "FRIEND": "FRIENDSHIP", "ALLY": "FRIENDSHIP", "ENEMY": "CONFLICT", "RIVAL": "CONFLICT", "WORK": "OTHER", "MENTOR": "OTHER", "OTHER": "OTHER"}
+RELATION_GROUPS = {"FAMILY": "FAMILY", "SPOUSE": "LOVE", "ROMANCE": "LOVE", "FRIEND": "FRIEND", "ENEMY": "ENEMY", "ACQUAINTANCE": "OTHER", "MET": "OTHER", "WORKS_WITH": "OTHER", "OTHER": "OTHER"}
 
 APPEARANCE_TEXTS = 1024
 

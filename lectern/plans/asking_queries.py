@@ -140,14 +140,14 @@ def outline_levels(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "chapter_sources",
-    """WITH e AS (SELECT p_brand AS book_id, p_partkey AS id, ['PDF_OUTLINE', 'HEADINGS', 'HEURISTIC', 'LLM', 'PAGE_BLOCKS'][CASE WHEN p_partkey % 40 = 0 THEN 1 WHEN p_size % 29 = 0 THEN 2 ELSE CAST(p_size % 3 AS INTEGER) + 3 END] AS source FROM part),
-c AS (SELECT book_id, source, count(*) AS n, list_position(['PDF_OUTLINE', 'HEADINGS', 'HEURISTIC', 'LLM', 'PAGE_BLOCKS'], source) AS rank FROM e GROUP BY ALL), b AS (SELECT book_id, arg_min(source, rank) AS source FROM c WHERE n >= 2 OR source = 'PAGE_BLOCKS' GROUP BY 1)
-SELECT book_id, source, id FROM e JOIN b USING (book_id, source)""",
+    """WITH e AS (SELECT p_brand AS book_id, p_partkey AS id, ['OUTLINE', 'HEADINGS', 'HEURISTIC', 'LLM', 'BLOCKS'][CASE WHEN p_partkey % 40 = 0 THEN 1 WHEN p_size % 29 = 0 THEN 2 ELSE CAST(p_size % 3 AS INTEGER) + 3 END] AS source FROM part),
+c AS (SELECT book_id, source, count(*) AS n, list_position(['OUTLINE', 'HEADINGS', 'HEURISTIC', 'LLM', 'BLOCKS'], source) AS rank FROM e GROUP BY ALL), b AS (SELECT book_id, arg_min(source, rank) AS source FROM c WHERE n >= 2 OR source <> 'LLM' GROUP BY 1)
+SELECT book_id, CASE source WHEN 'HEADINGS' THEN 'HEURISTIC' ELSE source END AS kind, id FROM e JOIN b USING (book_id, source)""",
 )
 def chapter_sources(spark: SparkSession, folder: str) -> DataFrame:
     rank = F.when(F.col("p_partkey") % 40 == 0, 1).when(F.col("p_size") % 29 == 0, 2).otherwise(F.col("p_size") % 3 + 3)
     entries = table(spark, folder, "part").select(F.col("p_brand").alias("book_id"), F.col("p_partkey").alias("id"), F.element_at(F.array(*map(F.lit, asking.SOURCES)), rank.cast("int")).alias("source"))
-    return asking.chosen_source(entries).select("book_id", "source", "id")
+    return asking.chosen_source(entries).select("book_id", "kind", "id")
 
 
 @query(

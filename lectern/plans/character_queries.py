@@ -10,7 +10,7 @@ from lectern.plans.registry import query
 from lectern.sources import library
 from lectern.sources.tables import table
 
-ANSWER_SQL = """concat('text {"characters":[{"ref":" c', CAST(p_partkey % 60 AS VARCHAR(20)), '","names":[{"name":" ', p_name, ' ","kind":"', CASE WHEN p_size % 3 = 0 THEN 'alias' ELSE 'odd' END, '","page":', CAST(p_size AS VARCHAR(20)),
+ANSWER_SQL = """concat('text {"characters":[{"ref":" c', CAST(p_partkey % 60 AS VARCHAR(20)), '","names":[{"name":" ', p_name, ' ","kind":"', CASE WHEN p_size % 3 = 0 THEN 'nickname' ELSE 'odd' END, '","page":', CAST(p_size AS VARCHAR(20)),
 '},{"name":" "}],"facts":[{"page":', CAST(p_size * 2 AS VARCHAR(20)), ',"text":" ', p_type, ' "},{"text":""}]}],"same":[["c1","c2"]]', CASE WHEN p_partkey % 10 = 3 THEN ', broken' ELSE '} end' END)"""
 KNOWN_SQL = "known AS (SELECT p_partkey % 40 AS character_id, concat(p_name, CASE WHEN p_partkey % 40 < 20 THEN concat(' ', CAST(p_partkey % 40 AS VARCHAR(20))) ELSE '' END) AS name, p_size AS first_page FROM part WHERE p_partkey % 3 = 0)"
 
@@ -28,7 +28,7 @@ def _known(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     "extraction_parsed",
     f"""WITH a AS (SELECT p_partkey, p_name, p_type, p_size, {ANSWER_SQL} AS answer FROM part) SELECT p_partkey AS extraction_id, 'c' || p_partkey % 60 AS ref, p_name AS name,
-CASE WHEN p_size % 3 = 0 THEN 'ALIAS' ELSE 'NAME' END AS kind, CASE WHEN p_size BETWEEN 10 AND 30 THEN p_size ELSE 30 END AS page, CASE WHEN p_size * 2 BETWEEN 10 AND 30 THEN p_size * 2 ELSE 30 END AS fact_page, p_type AS fact FROM a WHERE p_partkey % 10 <> 3""",
+CASE WHEN p_size % 3 = 0 THEN 'NICKNAME' ELSE 'NAME' END AS kind, CASE WHEN p_size BETWEEN 10 AND 30 THEN p_size ELSE 30 END AS page, CASE WHEN p_size * 2 BETWEEN 10 AND 30 THEN p_size * 2 ELSE 30 END AS fact_page, p_type AS fact FROM a WHERE p_partkey % 10 <> 3""",
 )
 def extraction_parsed(spark: SparkSession, folder: str) -> DataFrame:
     answers = _parts(spark, folder).select(F.col("p_partkey").alias("extraction_id"), F.expr(ANSWER_SQL).alias("answer"), F.lit(10).alias("first"), F.lit(30).alias("last"))
@@ -83,8 +83,8 @@ def facts_added(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "relations_added",
-    """WITH old AS (SELECT p_partkey AS id, p_partkey % 20 AS from_id, p_partkey % 23 AS to_id, CASE p_size % 3 WHEN 0 THEN 'ALLY' WHEN 1 THEN 'ENEMY' ELSE 'OTHER' END AS type, p_name AS label, p_size AS page FROM part WHERE p_partkey % 2 = 0 AND p_partkey % 20 <> p_partkey % 23),
-raw AS (SELECT p_partkey AS turn, p_partkey % 23 AS from_id, p_partkey % 21 AS to_id, CASE p_size % 4 WHEN 0 THEN 'ALLY' WHEN 1 THEN 'ENEMY' ELSE 'OTHER' END AS type, upper(p_name) AS label, p_size AS page, p_partkey % 50 = 1 AS ended FROM part WHERE p_partkey % 2 = 1),
+    """WITH old AS (SELECT p_partkey AS id, p_partkey % 20 AS from_id, p_partkey % 23 AS to_id, CASE p_size % 3 WHEN 0 THEN 'FRIEND' WHEN 1 THEN 'ENEMY' ELSE 'OTHER' END AS type, p_name AS label, p_size AS page FROM part WHERE p_partkey % 2 = 0 AND p_partkey % 20 <> p_partkey % 23),
+raw AS (SELECT p_partkey AS turn, p_partkey % 23 AS from_id, p_partkey % 21 AS to_id, CASE p_size % 4 WHEN 0 THEN 'FRIEND' WHEN 1 THEN 'ENEMY' ELSE 'OTHER' END AS type, upper(p_name) AS label, p_size AS page, p_partkey % 50 = 1 AS ended FROM part WHERE p_partkey % 2 = 1),
 new AS (SELECT * FROM raw WHERE from_id <> to_id), e AS (SELECT * FROM new WHERE ended),
 c AS (SELECT e.turn, arg_max(o.id, (CASE WHEN o.type = e.type THEN 1 ELSE 0 END, o.page, o.id)) AS id, any_value(e.page) AS stop FROM e JOIN old o ON least(o.from_id, o.to_id) = least(e.from_id, e.to_id) AND greatest(o.from_id, o.to_id) = greatest(e.from_id, e.to_id) GROUP BY e.turn, e.type),
 x AS (SELECT id, min(stop) AS stop FROM c GROUP BY id), closed AS (SELECT old.*, x.stop AS ended_at FROM old LEFT JOIN x USING (id)),
@@ -95,7 +95,7 @@ SELECT * FROM closed UNION ALL SELECT * FROM i""",
 )
 def relations_added(spark: SparkSession, folder: str) -> DataFrame:
     key, size = F.col("p_partkey"), F.col("p_size")
-    kind = lambda m, wrong: F.when(size % m == 0, "ALLY").when(size % m == 1, " enemy" if wrong else "ENEMY").otherwise("what" if wrong else "OTHER")
+    kind = lambda m, wrong: F.when(size % m == 0, "FRIEND").when(size % m == 1, " enemy" if wrong else "ENEMY").otherwise("what" if wrong else "OTHER")
     old = _parts(spark, folder).where("p_partkey % 2 = 0 AND p_partkey % 20 <> p_partkey % 23").select(key.alias("id"), (key % 20).alias("from_id"), (key % 23).alias("to_id"), kind(3, False).alias("type"), F.col("p_name").alias("label"), size.alias("page"), F.lit(None).cast("int").alias("ended_at"))
     new = _parts(spark, folder).where("p_partkey % 2 = 1").select(key.alias("turn"), (key % 23).alias("from_id"), (key % 21).alias("to_id"), kind(4, True).alias("type"), F.concat(F.lit(" "), F.upper("p_name")).alias("label"), size.alias("page"), (key % 50 == 1).alias("ended"))
     return characters.relations_added(old, new)

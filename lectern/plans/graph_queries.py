@@ -92,7 +92,7 @@ def entity_rekey(spark: SparkSession, folder: str) -> DataFrame:
     return relational.rekey(edges, mapping, "from_id").where("from_id <> to_id").select("id", "from_id", "to_id")
 
 
-@query("relation_groups", f"WITH {library.GRAPH_SQL} SELECT CASE type WHEN 'A' THEN 'FAMILY' WHEN 'N' THEN 'CONFLICT' ELSE 'OTHER' END AS grp, count(*) AS n FROM graph GROUP BY 1")
+@query("relation_groups", f"WITH {library.GRAPH_SQL} SELECT CASE type WHEN 'A' THEN 'FAMILY' WHEN 'N' THEN 'ENEMY' ELSE 'OTHER' END AS grp, count(*) AS n FROM graph GROUP BY 1")
 def relation_groups(spark: SparkSession, folder: str) -> DataFrame:
     kind = F.when(F.col("type") == "A", "FAMILY").when(F.col("type") == "N", "ENEMY").otherwise("UNKNOWN")
     return library.graph(spark, folder).groupBy(graph.group_of(kind).alias("grp")).agg(F.count("*").alias("n"))
