@@ -322,9 +322,7 @@ def _typography(layouts: DataFrame) -> DataFrame:
     return text.typography(each)
 
 
-@query(
-    "typography",
-    f"""WITH {library.PAGES_SQL}, t AS (SELECT book_id, page, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS texts FROM lib_pages),
+TYPOGRAPHY_SQL = f"""{library.PAGES_SQL}, t AS (SELECT book_id, page, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS texts FROM lib_pages),
 l AS (SELECT book_id, page, unnest(texts) AS text, unnest(range(len(texts))) AS n FROM t),
 z AS (SELECT *, CASE WHEN n = 0 THEN 16.0 ELSE 10.0 END::DOUBLE AS size, 50.0 + least(length(text), 60) * 5.0 AS edge, 100 + n * 12.0 AS baseline FROM l),
 s AS (SELECT book_id, size, sum(length(regexp_replace(text, '\\s', '', 'g'))) AS letters FROM z GROUP BY ALL),
@@ -332,15 +330,35 @@ m AS (SELECT book_id, arg_max(size, letters * 1000 - size) AS body, max(letters)
 h AS (SELECT s.book_id, list(size ORDER BY size DESC) AS headings FROM s JOIN m USING (book_id) WHERE size >= body * 1.12 AND letters < most * 0.5 GROUP BY s.book_id),
 p AS (SELECT z.*, body, baseline - lag(baseline) OVER (PARTITION BY z.book_id, page ORDER BY n) AS gap FROM z JOIN m USING (book_id) WHERE size = body),
 g AS (SELECT book_id, list(gap ORDER BY gap) AS gaps FROM p WHERE gap BETWEEN body * 0.8 AND body * 3.0 GROUP BY book_id),
-w AS (SELECT book_id, page, max(edge) - 50.0 AS width FROM p GROUP BY book_id, page HAVING count(*) >= 5), v AS (SELECT book_id, list(width ORDER BY width) AS widths FROM w GROUP BY book_id)
-SELECT book_id, body, coalesce(headings, []) AS headings, coalesce(widths[len(widths) // 2 + 1], 0.0)::DOUBLE AS width, coalesce(gaps[len(gaps) // 2 + 1], body * 1.2)::DOUBLE AS gap, false AS bold_body
-FROM m LEFT JOIN h USING (book_id) LEFT JOIN g USING (book_id) LEFT JOIN v USING (book_id)""",
-)
+w AS (SELECT book_id, page, max(edge) - 50.0 AS width FROM p GROUP BY book_id, page HAVING count(*) >= 5), v AS (SELECT book_id, list(width ORDER BY width) AS widths FROM w GROUP BY book_id),
+typo AS (SELECT book_id, body, coalesce(headings, []) AS headings, coalesce(widths[len(widths) // 2 + 1], 0.0)::DOUBLE AS width, coalesce(gaps[len(gaps) // 2 + 1], body * 1.2)::DOUBLE AS gap, false AS bold_body
+FROM m LEFT JOIN h USING (book_id) LEFT JOIN g USING (book_id) LEFT JOIN v USING (book_id))"""
+
+
+@query("typography", f"WITH {TYPOGRAPHY_SQL} SELECT * FROM typo")
 def typography(spark: SparkSession, folder: str) -> DataFrame:
     return _typography(_layouts(spark, folder))
 
 
-@query("layout_blocks")
+@query(
+    "layout_blocks",
+    rf"""WITH {TYPOGRAPHY_SQL},
+b0 AS (SELECT t.book_id, t.page, n, trim(regexp_replace(l.text, '\s+', ' ', 'g')) AS text, CASE WHEN n = 0 THEN 16.0 ELSE 10.0 END AS size, 50.0 + least(length(l.text), 60) * 5.0 AS edge, 100 + n * 12.0 AS baseline, body, headings, width, gap
+  FROM l JOIN t USING (book_id, page) JOIN typo ON typo.book_id = t.book_id),
+b1 AS (SELECT *, size >= body * 1.5 AND regexp_full_match(text, '\p{{L}}{{1,2}}') AS large, lead(text) OVER o AS after, lag(text) OVER o AS before, lag(size) OVER o AS size_before, lag(body) OVER o AS b FROM b0 WINDOW o AS (PARTITION BY book_id, page ORDER BY n)),
+b2 AS (SELECT * REPLACE (CASE WHEN n = 1 AND size_before >= body * 1.5 AND regexp_full_match(before, '\p{{L}}{{1,2}}') AND regexp_matches(text, '^\p{{Ll}}') AND NOT large THEN before || text ELSE text END AS text) FROM b1
+  WHERE NOT (large AND coalesce(regexp_matches(after, '^\p{{Ll}}') AND NOT (10.0 >= body * 1.5 AND regexp_full_match(after, '\p{{L}}{{1,2}}')), false))),
+b3 AS (SELECT book_id, page, n, text, size, edge, baseline, body, width, gap, CASE WHEN size >= body * 1.12 AND len(list_filter(headings, lambda h: size >= h - 0.01)) > 0 THEN least(list_position(headings, list_filter(headings, lambda h: size >= h - 0.01)[1]), 4) ELSE 0 END AS level FROM b2),
+b4 AS (SELECT *, greatest(max(CASE WHEN level = 0 THEN edge END) OVER p, 50 + width, CASE WHEN count(*) FILTER (level = 0) OVER p = 0 THEN max(edge) OVER p END) AS reach,
+  lag(text) OVER o AS above, lag(level) OVER o AS level_above, lag(edge) OVER o AS edge_above, baseline - lag(baseline) OVER o AS down FROM b3 WINDOW p AS (PARTITION BY book_id, page), o AS (PARTITION BY book_id, page ORDER BY n)),
+b5 AS (SELECT *, CASE WHEN above IS NULL OR level <> level_above THEN 'P' WHEN abs(down) < size * 0.3 THEN 'F'
+  WHEN down > CASE WHEN level > 0 THEN size * 2.2 ELSE gap * size / body * 1.45 END OR (level = 0 AND regexp_matches(text, '^([•·▪●○◦■□►▸‣⁃✓✔\-–—*](\s+|$)|\(?[0-9]{{1,2}}[.)]\s+|\(?[a-z]\)\s+)')) THEN 'P'
+  WHEN (regexp_matches(above, '\p{{L}}[-‐‑]$') AND regexp_matches(text, '^\p{{Ll}}')) OR reach - edge_above <= 20 + size * 0.6 THEN 'F' WHEN regexp_matches(above, '[.!?…:][»"''”’)\]]*$') THEN 'P' ELSE 'V' END AS joint FROM b4),
+b6 AS (SELECT *, sum(CASE WHEN joint = 'P' THEN 1 ELSE 0 END) OVER (PARTITION BY book_id, page ORDER BY n) - 1 AS number,
+  CASE WHEN joint = 'P' THEN '' WHEN joint = 'V' THEN chr(10) WHEN regexp_matches(above, '\p{{L}}[-‐‑]$') AND regexp_matches(text, '^\p{{Ll}}') THEN chr(1) ELSE ' ' END AS between FROM b5),
+b7 AS (SELECT book_id, page, number, regexp_replace(string_agg(between || text, '' ORDER BY n), '.\x01', '', 'g') AS text, first(level ORDER BY n) AS level, count(*) AS lines FROM b6 GROUP BY ALL)
+SELECT book_id, page, CAST(number AS INTEGER) AS number, text, CAST(CASE WHEN level > 0 AND (length(text) > 200 OR lines > 4) THEN 0 ELSE level END AS INTEGER) AS level FROM b7""",
+)
 def layout_blocks(spark: SparkSession, folder: str) -> DataFrame:
     layouts = _layouts(spark, folder)
     return text.layout_blocks(layouts, _typography(layouts))
