@@ -9,8 +9,13 @@ matches are verified over all 64 bits.
 
 Copies share one fingerprint and are folded before any of this, so groups of copies cost one row. Within
 a table entry no list of pairs is made: links are walked (components.linked_sets) and held together by
-a shallow tree. A large entry is split by the other half's bytes, of which one must be equal, so that it
-is never compared all against all.
+a shallow tree.
+
+Two fingerprints of one entry have at most 3 differing bits in the other half, which has 4 bytes, so in one of these
+bytes they are equal. So an entry may be taken apart by (byte, its value) without losing a link. This is done in the
+plan for the entries of a half that HOT_HALF fingerprints or more share and of the halves at one bit from it (each
+part is a key of its own, so the entry is dealt over up to 1,024 of them), and within a task for entries of more
+than LARGE_ENTRY rows, so that these are not compared all against all. The links are the same either way.
 
 Defined results: a null text is an empty text; a text without words has fingerprint zero and is linked
 like any other; fewer than three words give one shingle of all of them. Rows that repeat a doc_id keep
@@ -25,7 +30,7 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm import components, shared
@@ -34,10 +39,12 @@ SEED = 42
 SHINGLE = 3
 RADIUS = 3
 LARGE_ENTRY = 512
+HOT_HALF = 20_000
 
 _HALF = np.uint64(0xFFFFFFFF)
 _PRINTS = pa.schema([("doc_id", pa.int64()), ("bits", pa.int64())])
 _ENTRIES = pa.schema([("entry", pa.int64()), ("bits", pa.int64()), ("node", pa.int64()), ("asks", pa.bool_())])
+_KEYS = pa.schema([("entry", pa.int64())])
 _EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
@@ -87,6 +94,29 @@ def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield shared.batch_of(_ENTRIES, keys.view(np.int64), bits[who].view(np.int64), nodes[who], asks)
 
 
+def _halves(distinct: DataFrame) -> DataFrame:
+    """entry: the exact entries of all fingerprints."""
+    low, high = F.col("bits").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned("bits", 32)
+    return distinct.select(F.explode(F.array(low, high.bitwiseOR(F.lit(1 << 32)))).alias("entry"))
+
+
+def _around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Entries and those at one bit."""
+    one = np.concatenate([[0], np.int64(1) << np.arange(32, dtype=np.int64)])
+    for batch in batches:
+        yield shared.batch_of(_KEYS, (batch.column("entry").to_numpy()[:, None] ^ one).ravel())
+
+
+def _spread(entries: DataFrame, distinct: DataFrame, hot_half: int, path: str) -> DataFrame:
+    """entries with key: the entry and, for hot ones, a byte of the other half and its value (one row for each of the four bytes)."""
+    hot = _halves(distinct).groupBy("entry").agg(F.count("*").alias("n")).where(F.col("n") >= hot_half).select("entry")
+    hot = shared.settled(hot.mapInArrow(_around, "entry long").distinct(), f"{path}/hot").withColumn("hot", F.lit(True))  # its size decides how it is joined
+    other = F.when(F.col("entry") < F.lit(1 << 32), F.shiftrightunsigned("bits", 32)).otherwise(F.col("bits").bitwiseAND(F.lit(0xFFFFFFFF)))
+    parts = F.array(*[F.shiftrightunsigned(other, 8 * byte).bitwiseAND(F.lit(255)) + (1 + 256 * byte) for byte in range(4)])
+    part = F.explode(F.when(F.col("hot"), parts).otherwise(F.array(F.lit(0).cast("long"))))
+    return entries.join(hot, "entry", "left").select("bits", "node", "asks", "entry", part.alias("part")).select((F.shiftleft("entry", 11) + F.col("part")).alias("entry"), "bits", "node", "asks")
+
+
 def _entry_links(bits: np.ndarray, asks: np.ndarray) -> list[np.ndarray]:
     """Sets of rows of one table entry that links hold together. Two that only ask are not compared: their own entries do that."""
 
@@ -108,7 +138,7 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         edges: list[tuple[np.ndarray, np.ndarray]] = []
         for start, size in zip(starts[(sizes > 1) & (held > 0)], sizes[(sizes > 1) & (held > 0)], strict=True):
             b, n, k = bits[start : start + size], nodes[start : start + size], asks[start : start + size]
-            for some in _split(b, size, int(entry[start]) >> 32):
+            for some in _split(b, size, int(entry[start]) >> 43):
                 edges += [components.forest(n[some][group]) for group in _entry_links(b[some], k[some])]
         if edges:
             yield shared.batch_of(_EDGES, *map(np.concatenate, zip(*edges, strict=True)))
@@ -128,14 +158,14 @@ def _split(bits: np.ndarray, size: int, table: int) -> Iterator[np.ndarray]:
                 yield some
 
 
-def near_duplicates(docs: DataFrame, path: str, shingle: int = SHINGLE) -> DataFrame:
+def near_duplicates(docs: DataFrame, path: str, shingle: int = SHINGLE, hot_half: int = HOT_HALF) -> DataFrame:
     """doc_id, bits, component_id for every row of docs; path: a new folder in the shared folder."""
     spark = docs.sparkSession
     prints = shared.settled(fingerprints(docs, shingle), f"{path}/prints")
     distinct = prints.where("doc_id is not null").groupBy("bits").agg(F.min("doc_id").alias("node"))
     distinct = shared.settled(distinct, f"{path}/distinct")
     entries = distinct.repartition(shared.shuffle_partitions(spark), "node").mapInArrow(_entries, "entry long, bits long, node long, asks boolean")
-    placed = entries.repartition(shared.shuffle_partitions(spark), "entry").sortWithinPartitions("entry")
+    placed = _spread(entries, distinct, hot_half, path).repartition(shared.shuffle_partitions(spark), "entry").sortWithinPartitions("entry")
     found = components.connected_components(placed.mapInArrow(_links, "a long, b long"), f"{path}/components")
     classes = distinct.join(found, distinct.node == found.node, "left").select("bits", F.coalesce("component", distinct.node).alias("component_id"))
     classes = shared.settled(classes, f"{path}/classes")
@@ -151,6 +181,7 @@ def leaders_of(docs: DataFrame, found: DataFrame) -> DataFrame:
     """Of docs what kept_one_each keeps; found: doc_id, component_id."""
     leaders = found.where("doc_id = component_id").select("doc_id").distinct()
     named = docs.where(F.col("doc_id").isNotNull()).join(leaders, "doc_id", "left_semi")
-    first = Window.partitionBy("doc_id").orderBy(*[F.col(c) for c in docs.columns if c != "doc_id"])
-    alone = named.withColumn("_lectern_turn", F.row_number().over(first)).where("_lectern_turn = 1")
-    return alone.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+    others = [c for c in docs.columns if c.lower() != "doc_id"]
+    least = named.groupBy("doc_id").agg(F.min(F.struct(F.lit(0), *others)).alias("row"))  # partly done before the shuffle, so a repeated id is no hot task
+    alone = least.select(*[F.col("doc_id") if c not in others else F.col("row").getField(c) for c in docs.columns])
+    return alone.toDF(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
