@@ -8,7 +8,22 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import byte_bpe, decontaminate, embedding_dups, ngram_lm, pii, quality, shared, simhash, token_files, toxicity, url_rules
+from lectern.llm import (
+    byte_bpe,
+    decontaminate,
+    embedding_dups,
+    hamerly,
+    license_scan,
+    ngram_lm,
+    pii,
+    quality,
+    sequences,
+    shared,
+    simhash,
+    token_files,
+    toxicity,
+    url_rules,
+)
 from lectern.sources.tables import table
 
 
@@ -75,6 +90,37 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_hamerly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near, centroids = hamerly.clustered(table(spark, sf_dir, "embeddings"), shared.workspace(spark, "clusters"), k=40, rounds=5, seed="2:", scale=256, dimension=64)
+    return hamerly.with_inertia(near, centroids)
+
+
+def op12_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = sequences.frequent(_click_events(table(spark, sf_dir, "clicks")), shared.workspace(spark, "sequences"), gap=900_000_000, span=2_250_000_000, longest=4, share=(3, 10), least=2)
+    return sequences.with_wider(kept).select(
+        F.array_join("pattern", ">").alias("pattern"),
+        F.size("pattern").alias("length"),
+        F.col("support").cast("long"),
+        F.col("clients_crc").cast("long"),
+        F.col("n_wider").cast("long"),
+        "closed",
+    )
+
+
+def _click_events(clicks: DataFrame) -> DataFrame:
+    """The clicks; for those whose crc32(click_id) is divisible by 5 also open a second before and shut a second after."""
+    plain = sequences.events(clicks, "client_id", "ts", "kind", "click_id")
+    told = lambda shift, kind: F.struct((F.col("t") + shift).alias("t"), kind.alias("kind"))
+    own = told(0, F.col("kind"))
+    framed = F.array(own, told(-1_000_000, F.lit("open")), told(1_000_000, F.lit("shut")))
+    marked = F.col("click_id").isNotNull() & (shared.crc_remainder("click_id", 5) == 0)
+    return plain.select("client", F.explode(F.when(marked, framed).otherwise(F.array(own))).alias("event")).select("client", "event.t", "event.kind")
+
+
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op2_ngram_lm": op2_ngram_lm,
@@ -86,6 +132,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_embedding_dups": op8_embedding_dups,
     "op9_quality": op9_quality,
     "op10_simhash": op10_simhash,
+    "op11_hamerly": op11_hamerly,
+    "op12_sequences": op12_sequences,
+    "op13_license_scan": op13_license_scan,
 }
 
 #: The others count by hash functions, tokenizers, models or patterns that SQL lacks; tests compare them with brute force.
