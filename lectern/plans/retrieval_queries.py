@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lectern.operators import evaluation, retrieval, search_index
+from lectern.operators import evaluation, posting_store, question_tables, retrieval
 from lectern.plans.registry import query
 from lectern.sources import library, scratch
 from lectern.sources.tables import table
@@ -81,13 +81,15 @@ def text_search(spark: SparkSession, folder: str) -> DataFrame:
     return retrieval.top(retrieval.text_search(docs, TERMS), 20, ascending=True).select("id", "score")
 
 
-def _index(spark: SparkSession, folder: str) -> DataFrame:
-    return search_index.write(library.chunks(spark, folder, "text"), scratch.workspace(spark, "search-index"))
+def _index(spark: SparkSession, folder: str) -> posting_store.Store:
+    """The index of all chunks, kept in the shared folder for as long as the documents are what they were."""
+    told = scratch.signature(spark, f"{folder.rstrip('/')}/documents.parquet")
+    return posting_store.kept(library.chunks(spark, folder, "text"), f"{scratch.shared_folder(spark)}/lectern-text-index-{told}")
 
 
 @query("text_search_indexed", f"WITH {TEXT_SQL} SELECT id, score FROM text_scores ORDER BY score, id LIMIT 20")
 def text_search_indexed(spark: SparkSession, folder: str) -> DataFrame:
-    return retrieval.top(search_index.search(_index(spark, folder), TERMS), 20, ascending=True).select("id", "score")
+    return _index(spark, folder).top(TERMS).select("id", "score")
 
 
 @query("text_search_synced", f"WITH {TEXT_SQL} SELECT id, score FROM text_scores WHERE id % 10 <> 4 ORDER BY score, id LIMIT 20")
@@ -95,9 +97,60 @@ def text_search_synced(spark: SparkSession, folder: str) -> DataFrame:
     """An index of all chunks, in which every fifth had another text and every tenth is deleted later."""
     whole = library.chunks(spark, folder, "text")
     stale = whole.withColumn("text", F.when(F.col("id") % 5 == 2, F.concat(F.lit("The the "), "text")).otherwise(F.col("text")))
-    index = search_index.write(stale, scratch.workspace(spark, "search-index"))
-    now = search_index.synced(index, whole.where("id % 5 = 2"), whole.where("id % 10 = 4"))
-    return retrieval.top(search_index.search(now, TERMS), 20, ascending=True).select("id", "score")
+    index = posting_store.Store(spark, scratch.workspace(spark, "text-index")).build(stale)
+    return index.change(whole.where("id % 5 = 2"), whole.where("id % 10 = 4")).top(TERMS).select("id", "score")
+
+
+ASKED_SQL = f"""asked_words AS (SELECT item_id AS question, list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda w: length(w) >= 3 AND NOT list_contains([{_quoted(retrieval.STOP_WORDS)}], w)) AS words FROM benchmark),
+asked_each AS (SELECT question, unnest(words) AS w, unnest(range(1, len(words) + 1)) AS i FROM asked_words), asked_once AS (SELECT question, w, min(i) AS i FROM asked_each GROUP BY question, w),
+asked_placed AS (SELECT question, w, row_number() OVER (PARTITION BY question ORDER BY i) - 1 AS n FROM asked_once),
+asked_terms AS (SELECT question, n, strip_accents(w) AS term, left(strip_accents(w), 3) AS stem, length(w) >= 5 AS open FROM asked_placed WHERE n < 12),
+asked_text AS (SELECT question, id, CAST(-(sum(length('0 ' || n || ' ' || CAST(off AS BIGINT) || ' ' || strlen(word))) + count(*) - 1) AS DOUBLE) AS score
+  FROM placed JOIN asked_terms ON left(f, 3) = stem AND (f = term OR (open AND starts_with(f, term))) GROUP BY question, id),
+asked_text_top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question ORDER BY score, id) - 1 AS pos FROM asked_text) WHERE pos < 20)"""
+MANY_SQL = f"""{TEXT_SQL}, {ASKED_SQL},
+asked_vector AS (SELECT b.item_id AS question, d.vec_id AS id, round(list_dot_product(CAST(d.embedding AS DOUBLE[]), CAST(a.embedding AS DOUBLE[])), 9) AS score
+  FROM benchmark b JOIN embeddings a ON a.vec_id = b.item_id CROSS JOIN (SELECT vec_id, embedding FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents)) d),
+asked_vector_top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question ORDER BY score DESC, id) - 1 AS pos FROM asked_vector) WHERE pos < 20),
+many_listed AS (SELECT question, id, pos, 0 AS list, score FROM asked_vector_top UNION ALL SELECT question, id, pos, 1, NULL FROM asked_text_top),
+many_rated AS (SELECT question, id, round(sum(1.0::DOUBLE / (60 + pos + 1)), 12) AS rrf, min(list * 1000 + pos) AS first, min(score) AS sim, min(pos) FILTER (WHERE list = 1) AS text_pos FROM many_listed GROUP BY question, id),
+many_fused AS (SELECT *, row_number() OVER (PARTITION BY question ORDER BY rrf DESC, first) - 1 AS place, max(sim) OVER (PARTITION BY question) AS best FROM many_rated),
+many_marked AS (SELECT *, coalesce(sim >= best - 0.08, FALSE) OR coalesce(text_pos < 3, FALSE) AS strong FROM many_fused),
+many_counted AS (SELECT *, count(*) FILTER (WHERE strong) OVER (PARTITION BY question) AS n_strong, row_number() OVER (PARTITION BY question, strong ORDER BY place) AS weak_place FROM many_marked),
+many_kept AS (SELECT question, id, rrf, row_number() OVER (PARTITION BY question ORDER BY CASE WHEN best IS NOT NULL AND n_strong < 4 AND NOT strong THEN 1 ELSE 0 END, place) - 1 AS place
+  FROM many_counted WHERE best IS NULL OR strong OR weak_place <= 4 - n_strong)"""
+
+
+def _asked(spark: SparkSession, folder: str) -> DataFrame:
+    """Every item of the benchmark as a question, with the vector of its number."""
+    vectors = library.vectors(spark, folder).select(F.col("chunk_id").alias("question"), "v")
+    return table(spark, folder, "benchmark").select(F.col("item_id").alias("question"), "text").join(vectors, "question", "left")
+
+
+@query("text_search_many", f"WITH {TEXT_SQL}, {ASKED_SQL} SELECT question, id, score, CAST(pos AS INTEGER) AS pos FROM asked_text_top")
+def text_search_many(spark: SparkSession, folder: str) -> DataFrame:
+    asked = question_tables.terms(_asked(spark, folder))
+    return _index(spark, folder).top_many(asked, scratch.workspace(spark, "questions")).select("question", "id", "score", F.col("pos").cast("int").alias("pos"))
+
+
+@query(
+    "vector_topk_many",
+    """WITH scored AS (SELECT q.vec_id AS question, d.vec_id AS id, round(list_dot_product(CAST(d.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 9) AS score FROM embeddings q CROSS JOIN embeddings d WHERE q.vec_id % 50 = 0)
+SELECT question, id, score, CAST(pos AS INTEGER) AS pos FROM (SELECT *, row_number() OVER (PARTITION BY question ORDER BY score DESC, id) - 1 AS pos FROM scored) WHERE pos < 20""",
+)
+def vector_topk_many(spark: SparkSession, folder: str) -> DataFrame:
+    """Every vector whose id is divisible by 50, asked of all vectors."""
+    vectors = library.vectors(spark, folder)
+    asked = vectors.where("chunk_id % 50 = 0").select(F.col("chunk_id").alias("question"), "v")
+    return question_tables.vector_top(vectors, asked).select("question", "id", "score", F.col("pos").cast("int").alias("pos"))
+
+
+@query("hybrid_retrieve_many", f"WITH {MANY_SQL} SELECT question, id, rrf, CAST(place AS INTEGER) AS place FROM many_kept WHERE place < 8")
+def hybrid_retrieve_many(spark: SparkSession, folder: str) -> DataFrame:
+    known = table(spark, folder, "documents").select(F.col("doc_id").alias("chunk_id"))
+    vectors = library.vectors(spark, folder).join(known, "chunk_id", "left_semi")
+    found = question_tables.hybrid(_index(spark, folder), vectors, _asked(spark, folder), scratch.workspace(spark, "questions"))
+    return found.select("question", "id", "rrf", F.col("place").cast("int").alias("place"))
 
 
 @query("text_search_in_pages", f"WITH {TEXT_SQL} SELECT id, score FROM text_scores WHERE start_page >= 3 AND end_page <= 30 ORDER BY score, id LIMIT 20")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import hashlib
 import re
 import shutil
 import tempfile
@@ -43,3 +44,18 @@ def removed(spark: SparkSession, path: str) -> None:
     """Deletes a folder of the shared folder, in whatever store Spark has it."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def names_below(spark: SparkSession, path: str) -> list[str]:
+    """Names of the files and folders of a folder, in whatever store Spark has it; none if it is not there."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    store = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sorted(s.getPath().getName() for s in store.listStatus(where)) if store.exists(where) else []
+
+
+def signature(spark: SparkSession, path: str) -> str:
+    """Tells whether the files at path are what they were: a digest of their names, sizes and times."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    listed = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(where)
+    told = sorted((s.getPath().toString(), s.getLen(), s.getModificationTime()) for s in listed)
+    return hashlib.sha256(repr(told).encode()).hexdigest()[:16]
