@@ -116,7 +116,7 @@ def starts(sound: DataFrame, k: int, seed: str) -> np.ndarray:
     """The k vectors with the smallest sha256 of seed and vec_id."""
     order = F.sha2(F.concat(F.lit(seed), F.col("vec_id").cast("string")).cast("binary"), 256)
     rows = sound.where("vec_id is not null").select(order.alias("turn"), "v").orderBy("turn", "v").limit(k).collect()  # k vectors
-    return np.array([r.v for r in rows], np.int64).reshape(len(rows), -1)
+    return np.array([r.v for r in rows], np.int64) if rows else np.zeros((0, 0), np.int64)
 
 
 def _components(path: str, name: str, dimension: int) -> np.ndarray:
