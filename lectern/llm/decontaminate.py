@@ -237,7 +237,7 @@ def _leaks(docs: DataFrame, benchmark: DataFrame, path: str, similarity: float,
     )
     told = shared.settled(told.distinct(), f"{path}/items")
     held = spark.sparkContext.broadcast(_filter(told, filter_bits))  # filter_bits bits
-    short = [r.n for r in items.select(F.size(F.split(F.trim("text"), r"\s+")).alias("n")).where(f"n < {WINDOW}").distinct().collect()]  # under WINDOW values
+    short = [r.n for r in _token_counts(items).where(f"n < {WINDOW}").distinct().collect()]  # under WINDOW values
     asked = _windows_of(docs, sorted({WINDOW, *(n for n in short if n > 0)}), held)
     # Openings of sentences as slots are a reading of their own: where it is not consistent, the narrow one may be.
     readings = F.when(F.col("wide") | F.col("item_wide"), F.array(F.lit(True))).otherwise(F.array(F.lit(False), F.lit(True)))
@@ -261,6 +261,16 @@ def _leaks(docs: DataFrame, benchmark: DataFrame, path: str, similarity: float,
     return rated.where(F.col("similarity") >= similarity).select("doc", "item_id", "similarity", F.when(F.col("same"), "exact").otherwise("restated").alias("kind"))
 
 
+def _token_counts(items: DataFrame) -> DataFrame:
+    """n, the tokens of each item, cut as template() cuts them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": pa.array([len(t.split()) for t in batch.column("text").to_pylist()], pa.int32())})
+
+    return items.select("text").mapInArrow(run, "n int")
+
+
 def without_leaks(docs: DataFrame, benchmark: DataFrame, path: str) -> DataFrame:
     """Rows of docs that no item leaked into, all columns as they were."""
     found = _leaks(_keyed(docs), benchmark, path, SIMILARITY, FILTER_BITS).select(F.col("doc").alias("leak")).distinct()
