@@ -47,10 +47,10 @@ PATTERNS = {
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ssn": r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])",
     "key": r"(?<![A-Za-z0-9_])(?:A[KS]IA[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|AIza[A-Za-z0-9_-]{35}|xox[abprs]-[A-Za-z0-9-]{10,}+)(?![A-Za-z0-9_-])",
-    "password": r"(?i)(?<=(?:password|passwd|secret|api_key|apikey|api-key|token)[=:])[^\s\"'<>]{8,}+",
+    "password": r"(?i)(?<=(?:password|passwd|secret|api_key|apikey|api-key|token)[\x20\t]{0,4}[=:][\x20\t]{0,4}[\"']?)[^\s\"'<>]{8,}+",
     "national": r"(?<![0-9+(-])\(?[2-9][0-9]{2}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9-])",
 }
-# What a text must hold for a pattern to be tried.
+# What a text must hold for a pattern to be tried: each is a part of every match of its pattern.
 HINTS = {
     "email": lambda t: F.contains(t, F.lit("@")),
     "ip": lambda t: t.rlike(r"[0-9]\.[0-9]"),
@@ -58,8 +58,8 @@ HINTS = {
     "phone": lambda t: t.rlike(r"\+[0-9]"),
     "iban": lambda t: t.rlike(r"[A-Z]{2}[0-9]{2}"),
     "ssn": lambda t: t.rlike(r"[0-9]{3}-[0-9]{2}-[0-9]{4}"),
-    "key": lambda t: t.rlike(r"A[KS]IA|gh[pousr]_|xox[abprs]-"),
-    "password": lambda t: t.rlike(r"(?i)(?:password|passwd|secret|api_key|apikey|api-key|token)[=:]"),
+    "key": lambda t: t.rlike(r"A[KS]IA[A-Z0-9]|gh[pousr]_|AIza|xox[abprs]-"),
+    "password": lambda t: t.rlike(r"(?i)(?:password|passwd|secret|api_key|apikey|api-key|token)[\x20\t]{0,4}[=:]"),
     "national": lambda t: t.rlike(r"[0-9]{3}[\x20.-][0-9]{4}"),
 }
 CONTEXT_WORDS = {
