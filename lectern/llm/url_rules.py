@@ -43,6 +43,7 @@ BLOCK = "=block"
 MIN_SUPPORT = 0.002
 MIN_CONFIDENCE = 0.6
 MIN_BLOCKED = 3
+REPEATED = 100_000
 SALTS = 32
 
 
@@ -70,7 +71,7 @@ def listed_rule(host: Column, path: Column, rules=RULES) -> Column:
 
 
 def tokens(host: Column, path: Column) -> Column:
-    """Distinct tokens: the last two domain parts and the whole host, the words of the host's parts, the words of the path without its numbers."""
+    """Distinct tokens: the last one, two and three parts of the host, the words of the host's parts, the words of the path without its numbers."""
     labels = F.filter(F.split(host, r"\."), lambda x: x != "")
     n = F.size(labels)
     top = F.when(n >= 1, F.concat(F.lit("top:"), F.element_at(labels, -1)))
@@ -120,7 +121,7 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence:
     urls = baskets.groupBy("url").agg(F.first("tokens").alias("tokens"), F.count("*").alias("n"), F.count_if("blocked").alias("blocked"))
     held = urls.select("url", "n", "blocked", F.explode("tokens").alias("token")).join(items, "token").groupBy("url", "n", "blocked").agg(F.sort_array(F.collect_set("item")).alias("items"))
     sets = shared.settled(held.groupBy("items").agg(F.sum("n").alias("n"), F.sum("blocked").alias("blocked")), shared.workspace(spark, "url-sets"))
-    rows = sets.where("blocked > 0 AND size(items) > 1").select("items", F.explode(F.sequence(F.lit(1), F.col("blocked"))))
+    rows = _repeated(sets.where("blocked > 0 AND size(items) > 1"))
     blocked_rows = sets.where("size(items) > 1").agg(F.sum("blocked")).first()[0] or 0
     if blocked_rows < least:
         return alone
@@ -140,6 +141,13 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence:
     return alone.unionByName(kept.join(items.withColumnRenamed("item", "part"), "part").select(*alone.columns))
 
 
+def _repeated(sets: DataFrame, most: int = REPEATED) -> DataFrame:
+    """items, a row for each of blocked: counts are cut into parts of most and these dealt out, so no count is one task's or one array's."""
+    parts_of = sets.select("items", "blocked", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocked") - 1, F.lit(most).cast("long"))).alias("at"))
+    dealt = parts_of.withColumn("n", F.least(F.lit(most), F.col("blocked") - F.col("at"))).repartition("items", "at")
+    return dealt.select("items", F.explode(F.array_repeat(F.lit(True), F.col("n").cast("int"))).alias("one")).select("items")
+
+
 def _no_rules(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], "rule_id long, n_parts int, confidence double, support double, part string, token string")
 
