@@ -44,6 +44,7 @@ BEGIN_NUMBER = 0
 HELD_ENTRIES = 1_500_000
 SLICE_WORDS = 1_000_000
 ADDED = 0.1
+MOST = (1 << 32) - 1  # what a stored bigram count holds; larger ones lie in a table beside it
 
 _BLOCK = "cut int, body binary"
 _BLOCKS = pa.schema([("cut", pa.int32()), ("body", pa.binary())])
@@ -242,8 +243,8 @@ def _discounts(seen: list[int]) -> tuple[float, float, float]:
 # Training -----------------------------------------------------------------------------------------
 
 
-def train(docs: DataFrame, usable: Column, folder: str, cuts: int | None = None) -> Model:
-    """Counts the rows of docs where usable holds; folder: a new one in the shared folder."""
+def train(docs: DataFrame, usable: Column, folder: str, cuts: int | None = None, most: int = MOST) -> Model:
+    """Counts the rows of docs where usable holds; folder: a new one in the shared folder; most: the largest count in the array of counts."""
     spark = docs.sparkSession
     cuts = cuts or shared.shuffle_partitions(spark)
     texts = shared.id_text(docs.where(usable))
@@ -311,7 +312,9 @@ def train(docs: DataFrame, usable: Column, folder: str, cuts: int | None = None)
         ends = np.array(bases[1:], np.int64)
         for cut, keys, n in _merged(batches, 1):
             shared.put_array(f"{folder}/pair-{cut:06d}", keys)
-            shared.put_array(f"{folder}/times-{cut:06d}", n.astype(np.uint32))
+            shared.put_array(f"{folder}/times-{cut:06d}", np.minimum(n, most).astype(np.uint32))
+            over = np.flatnonzero(n > most)
+            shared.put_array(f"{folder}/over-{cut:06d}", np.stack([over, n[over]]).astype(np.int64))
             before, word = keys >> np.uint64(32), keys & np.uint64(0xFFFFFFFF)
             one, two, more = (n == 1).astype(np.int64), (n == 2).astype(np.int64), (n > 2).astype(np.int64)
             nothing = np.zeros(len(n), np.int64)
@@ -321,11 +324,15 @@ def train(docs: DataFrame, usable: Column, folder: str, cuts: int | None = None)
             told = tuple(c[~at_begin] for c in told)
             yield from _blocks(told[0], np.searchsorted(ends, told[0].astype(np.int64) - 1, side="right").astype(np.int32), *told[1:])
             tally = [int((n == k).sum()) for k in (1, 2, 3, 4)] + begin + [len(n)]
-            yield shared.batch_of(_BLOCKS, [-1], [np.array(tally, np.int64).tobytes()])
+            yield shared.batch_of(_BLOCKS, [-1 - cut], [np.array(tally, np.int64).tobytes()])
 
     pairs = texts.mapInArrow(count_pairs, _BLOCK).repartitionById(cuts, F.col("cut")).sortWithinPartitions("cut")
     told = shared.settled(pairs.mapInArrow(store_pairs, _BLOCK), f"{folder}/told")
-    tallies = np.sum([np.frombuffer(r.body, np.int64) for r in told.where("cut = -1").collect()], axis=0)  # a row per cut
+    tallied = {-1 - r.cut: np.frombuffer(r.body, np.int64) for r in told.where("cut < 0").collect()}  # a row per cut
+    for cut in set(range(cuts)) - set(tallied):
+        for name, dtype in (("pair", np.uint64), ("times", np.uint32), ("over", np.int64)):
+            shared.put_array(f"{folder}/{name}-{cut:06d}", np.zeros(0, dtype))
+    tallies = np.sum(list(tallied.values()), axis=0)
     model.discounts = _discounts(tallies[:4].tolist())
     model.begin_followers = tuple(int(x) for x in tallies[4:7])
     model.different = int(tallies[7])
@@ -389,7 +396,12 @@ def _scores(model: Model, files: Files, numbers: np.ndarray, sizes: np.ndarray)
     hit = np.flatnonzero(found >= 0)
     order = hit[np.argsort(cuts[hit], kind="stable")]
     for some in np.split(order, np.flatnonzero(np.diff(cuts[order])) + 1) if len(order) else []:
-        times[some] = files.array("times", int(cuts[some[0]]), np.uint32)[found[some]]
+        cut = int(cuts[some[0]])
+        times[some] = files.array("times", cut, np.uint32)[found[some]]
+        over, real = files.array("over", cut, np.int64).reshape(2, -1)
+        if len(over):
+            at = np.minimum(np.searchsorted(over, found[some]), len(over) - 1)
+            times[some] = np.where(over[at] == found[some], real[at], times[some])
     together = _discounted(times, model.discounts)[back]
     usable = total > 0
     p = single[place]
