@@ -15,6 +15,7 @@ from lectern.llm import (
     hamerly,
     license_scan,
     ngram_lm,
+    oracle_sql,
     pii,
     quality,
     sequences,
@@ -145,4 +146,7 @@ l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM n a JOIN n b ON a.vec_id <> b.vec
 r(node, label) AS (SELECT a, a FROM l UNION SELECT l.b, r.label FROM r JOIN l ON l.a = r.node WHERE r.label < l.b),
 c AS (SELECT node, min(label) AS label FROM r GROUP BY node), k AS (SELECT a, count(*) AS links FROM l GROUP BY a)
 SELECT vec_id, coalesce(links, 0) AS n_links, coalesce(label, vec_id) AS component_id, coalesce(label, vec_id) = vec_id AS kept FROM v LEFT JOIN k ON a = vec_id LEFT JOIN c ON node = vec_id""",
+    "op11_hamerly": oracle_sql.clusters(),
+    "op12_sequences": oracle_sql.sequences(),
+    "op13_license_scan": oracle_sql.licenses(),
 }
