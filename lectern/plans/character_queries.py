@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lectern.operators import characters
+from lectern.operators import characters, reading_order
 from lectern.plans.registry import query
-from lectern.sources import library
+from lectern.sources import library, scratch
 from lectern.sources.tables import table
 
 ANSWER_SQL = """concat('text {"characters":[{"ref":" c', CAST(p_partkey % 60 AS VARCHAR(20)), '","names":[{"name":" ', p_name, ' ","kind":"', CASE WHEN p_size % 3 = 0 THEN 'nickname' ELSE 'odd' END, '","page":', CAST(p_size AS VARCHAR(20)),
@@ -52,6 +52,31 @@ def entity_resolution(spark: SparkSession, folder: str) -> DataFrame:
     return characters.resolved(people, _known(spark, folder), "turn").select("turn", "character_id", "is_new")
 
 
+TELLING_SQL = """telling AS (SELECT p_partkey % 25 AS book_id, p_partkey AS turn, CASE WHEN p_partkey % 7 = 0 THEN p_partkey % 60 END AS ref_id,
+  p_type || ' ' || p_size % 6 AS one, p_type || ' von ' || p_size % 11 AS two, row_number() OVER (PARTITION BY p_partkey % 25 ORDER BY p_partkey) AS k FROM part),
+before AS (SELECT DISTINCT book_id, turn % 40 + 1 AS id, lower(one) AS key FROM telling WHERE turn % 9 = 0),
+start AS (SELECT b.book_id, coalesce(list({'key': key, 'id': id}) FILTER (WHERE id IS NOT NULL), []) AS held, coalesce(max(id), 0) AS last FROM (SELECT DISTINCT book_id FROM telling) b LEFT JOIN before USING (book_id) GROUP BY b.book_id)"""
+_OWNER = "(CASE WHEN len(list_distinct(list_transform(list_filter(held, lambda h: h.key = lower({0})), lambda h: h.id))) = 1 THEN list_filter(held, lambda h: h.key = lower({0}))[1].id END)"
+
+
+@query(
+    "entity_resolution_in_order",
+    f"""WITH RECURSIVE {TELLING_SQL}, fold AS (SELECT book_id, CAST(0 AS BIGINT) AS k, held, last, CAST(NULL AS BIGINT) AS turn, CAST(NULL AS BIGINT) AS who FROM start
+UNION ALL SELECT book_id, k, list_concat(held, [{{'key': lower(one), 'id': who}}, {{'key': lower(two), 'id': who}}]), greatest(last, who), turn, who
+  FROM (SELECT f.book_id, t.k, held, last, t.turn, one, two, coalesce(CASE WHEN list_contains(list_transform(held, lambda h: h.id), ref_id) THEN ref_id END, {_OWNER.format("one")}, {_OWNER.format("two")}, last + 1) AS who
+    FROM fold f JOIN telling t ON t.book_id = f.book_id AND t.k = f.k + 1))
+SELECT book_id, turn, who AS character_id, coalesce(who > lag(last) OVER (PARTITION BY book_id ORDER BY k), FALSE) AS is_new FROM fold QUALIFY k > 0""",
+)
+def entity_resolution_in_order(spark: SparkSession, folder: str) -> DataFrame:
+    """Parts as people told one after the other in 25 books: a reference now and then, two names each that others have as well."""
+    key = F.col("p_partkey")
+    told = _parts(spark, folder).select((key % 25).alias("book_id"), key.alias("turn"), F.concat_ws(" ", "p_type", (F.col("p_size") % 6).cast("string")).alias("one"), F.concat_ws(" von ", "p_type", (F.col("p_size") % 11).cast("string")).alias("two"))
+    ref = F.when(F.col("turn") % 7 == 0, F.concat(F.lit("c"), (F.col("turn") % 60).cast("string"))).otherwise(F.lit("n1"))
+    people = told.select("book_id", "turn", ref.alias("ref"), F.array(F.struct(F.col("one").alias("name")), F.struct(F.col("two").alias("name"))).alias("names"))
+    before = told.where("turn % 9 = 0").select("book_id", (F.col("turn") % 40 + 1).alias("character_id"), F.col("one").alias("name"))
+    return reading_order.resolved(people, before, "turn", scratch.workspace(spark, "telling")).select("book_id", "turn", "character_id", "is_new")
+
+
 @query(
     "names_added",
     f"""WITH {KNOWN_SQL}, old AS (SELECT character_id, min(name) AS name, lower(name) AS key FROM known GROUP BY character_id, lower(name)),
