@@ -1,78 +1,78 @@
-"""Retrieval evaluation: ranks of the expected passages, recall at k, mean reciprocal rank."""
+"""Retrieval evaluation: ranks of the expected passages, recall at k, mean reciprocal rank.
 
-from __future__ import annotations
+Questions are a table and stay one. Documents are cut into words once; what is kept is which document holds which word of any question. A
+document can only be among the best of a question if it holds one of its rarer words: if the depth best so far share n words, then not only the n - 1
+commonest. So only documents with such a word are counted, and a word that all documents hold does not bring them all together with all questions.
+The documents that hold an item's text are looked for among those that hold the longest word that stands whole in it.
+"""
 
-import heapq
-from collections.abc import Iterator
+from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SLICE = 5_000
-CELLS = 2_000_000
-_WORD = regex.compile(r"[\p{L}\p{N}]+")
+from lectern.sources.scratch import settled, workspace
+
 KS = (1, 3, 8, 20)
+LEAST = 3
+_WORD = r"([\p{L}\p{N}]+)"
+
+
+def _words(text: Column) -> Column:
+    """Distinct words of LEAST characters or more."""
+    return F.filter(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(_WORD), F.lit(1))), lambda w: F.length(w) >= LEAST)
+
+
+def _key(text: Column) -> Column:
+    """The longest word that a text holds whole, so that a document with the text has it as a word; null if there is none."""
+    inner = F.regexp_extract_all(F.lower(text), F.lit(r"(?<=[^\p{L}\p{N}])([\p{L}\p{N}]+)(?=[^\p{L}\p{N}])"), F.lit(1))
+    return F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("word"))))["word"]
+
+
+def _holding(docs: DataFrame, items: DataFrame, hits: DataFrame) -> DataFrame:
+    """item_id, doc_id of the documents that hold an item's text, upper and lower case told apart."""
+    keyed = items.withColumn("word", _key(F.col("text")))
+    near = keyed.where("word IS NOT NULL").join(hits, "word").join(docs, "doc_id").where(F.contains("body", "text")).select("item_id", "doc_id")
+    short = keyed.where("word IS NULL").select("item_id", "text")
+    if short.isEmpty():
+        return near
+    # Texts of a word or two have no key: every document is read for each of them.
+    return near.unionByName(docs.join(short, F.contains("body", "text")).select("item_id", "doc_id"))
+
+
+def _best(asked: DataFrame, hits: DataFrame, depth: int, path: str) -> DataFrame:
+    """item_id, doc_id, n (shared words), place (from 1) of the depth best documents of every question. asked: item_id, word; hits: word, doc_id."""
+    common = hits.groupBy("word").agg(F.count("*").alias("df"))
+    by_rarity = Window.partitionBy("item_id").orderBy("df", "word")
+    held = asked.join(common, "word").withColumn("turn", F.row_number().over(by_rarity)).withColumn("upto", F.sum("df").over(by_rarity.rowsBetween(Window.unboundedPreceding, -1)))
+    held = settled(held.withColumn("words", F.count("*").over(Window.partitionBy("item_id"))), f"{path}/asked")
+    place = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("n"), "doc_id"))
 
+    def counted(chosen: DataFrame) -> DataFrame:
+        some = chosen.select("item_id", "word").join(hits, "word").select("item_id", "doc_id").distinct()
+        return some.join(hits, "doc_id").join(held.select("item_id", "word"), ["item_id", "word"]).groupBy("item_id", "doc_id").agg(F.count("*").alias("n"))
 
-def _words(text: str) -> set[str]:
-    return {w for w in _WORD.findall(text.lower()) if len(w) >= 3}
+    first = counted(held.where(F.coalesce("upto", F.lit(0)) < depth)).withColumn("place", place).where(F.col("place") == depth).select("item_id", F.col("n").alias("reached"))
+    rare = held.join(first, "item_id", "left").where(F.col("turn") <= F.col("words") - F.coalesce("reached", F.lit(1)) + 1)
+    return counted(rare).withColumn("place", place).where(F.col("place") <= depth)
 
 
 def ranks(docs: DataFrame, questions: DataFrame, depth: int = 20) -> DataFrame:
     """item_id, rank (1-based, null beyond depth) of the first document that holds the item's text, of the answerable items.
 
     Documents are ranked by how many different words of three characters or more they share with the question
-    (column question, else text). The questions are the caller's evaluation set; they are sent to the tasks SLICE at a time.
-    A task counts the words of a block of documents against all of them and keeps the depth best of each, and the first document that holds
-    each text, so what is shuffled is bounded by tasks, questions and depth, however frequent a word is.
+    (column question, else text); ties by doc_id. Items without text are left out; a null document is empty.
     """
-    asked = questions.withColumn("question", F.col("question") if "question" in questions.columns else F.col("text"))
-    listed = [(r.item_id, r.question or "", r.text) for r in asked.where("text is not null").select("item_id", "question", "text").orderBy("item_id").collect()]
-    found = None
-    for at in range(0, max(len(listed), 1), SLICE):
-        some = _best(docs, listed[at : at + SLICE], depth)
-        found = some if found is None else found.unionByName(some)
-    hits = found.where("n is not null").groupBy("item_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "doc_id", "expected"))), 1, depth).alias("best"))
-    first = F.array_position(F.transform("best", lambda b: b["expected"].cast("int")), 1)
-    answerable = found.where("expected").select("item_id").distinct()
-    return answerable.join(hits, "item_id", "left").select("item_id", F.when(first > 0, first).cast("long").alias("rank"))
-
-
-def _best(docs: DataFrame, listed: list[tuple], depth: int) -> DataFrame:
-    """item_id, doc_id, n (shared words), expected: of each task and item the depth best documents, and one that is expected (n null)."""
-    names = sorted(set().union(*(_words(q) for _, q, _ in listed)))
-    number = {w: k for k, w in enumerate(names)}
-    holders = [[] for _ in names]
-    for k, (_, question, _) in enumerate(listed):
-        for word in _words(question):
-            holders[number[word]].append(k)
-    holders = [np.array(h) for h in holders]
-    cells = max(1, CELLS // max(1, len(listed)))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best = [[] for _ in listed]
-        expected: dict[int, int] = {}
-        for batch in batches:
-            for at in range(0, len(batch), cells):
-                ids, texts = batch["doc_id"].iloc[at : at + cells].tolist(), batch["text"].iloc[at : at + cells].fillna("").tolist()
-                counts = np.zeros((len(texts), len(listed)), np.int32)
-                for row, text in enumerate(texts):
-                    for word in number.keys() & set(_WORD.findall(text.lower())):
-                        counts[row, holders[number[word]]] += 1
-                for k, (_, _, wanted) in enumerate(listed):
-                    rows = [(-int(counts[row, k]), ids[row], wanted in texts[row]) for row in range(len(texts)) if counts[row, k] or wanted in texts[row]]
-                    for _, doc_id, holds in rows:
-                        if holds:
-                            expected.setdefault(k, doc_id)
-                    best[k] = heapq.nsmallest(depth, [*best[k], *(r for r in rows if r[0])])
-        out = [(listed[k][0], doc_id, -n, holds) for k, rows in enumerate(best) for n, doc_id, holds in rows]
-        out += [(listed[k][0], doc_id, None, True) for k, doc_id in expected.items()]
-        yield pd.DataFrame(out, columns=["item_id", "doc_id", "n", "expected"]).astype({"n": "Int64"})
-
-    return docs.select("doc_id", "text").mapInPandas(run, "item_id long, doc_id long, n long, expected boolean")
+    path = workspace(docs.sparkSession, "ranks")
+    items = questions.withColumn("question", F.col("question") if "question" in questions.columns else F.col("text")).where("text IS NOT NULL").select("item_id", "text", F.coalesce("question", F.lit("")).alias("question"))
+    bodies = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("body"))
+    asked = items.select("item_id", F.explode(_words(F.col("question"))).alias("word"))
+    wanted = asked.select("word").union(items.select(_key(F.col("text")))).where("word IS NOT NULL").distinct()
+    told = bodies.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("body"), F.lit(_WORD), F.lit(1)))).alias("word"))
+    hits = settled(told.join(wanted, "word").distinct(), f"{path}/hits")
+    expected = settled(_holding(bodies, items, hits).distinct(), f"{path}/expected")
+    best = _best(asked, hits, depth, path).join(expected, ["item_id", "doc_id"], "left_semi").groupBy("item_id").agg(F.min("place").cast("long").alias("rank"))
+    return expected.select("item_id").distinct().join(best, "item_id", "left").select("item_id", "rank")
 
 
 def metrics(ranked: DataFrame) -> DataFrame:
