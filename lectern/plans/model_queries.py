@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.operators import embedding, models
+from lectern.operators import embedding, models, unigram
 from lectern.plans.registry import query
-from lectern.sources import library
+from lectern.sources import library, scratch
 from lectern.sources.tables import table
 
 
@@ -65,6 +65,47 @@ def unigram_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents").select("doc_id", counted("text").alias("n_pieces"))
 
 
+#: What the map of the query below puts in: letters without accents, ligatures as two letters, line ends as blanks.
+RULES = {**dict(zip(library.ACCENTED, library.PLAIN, strict=True)), "ß": "ss", "œ": "oe", "\n": " ", "Ä": "Ae", "—": ""}
+
+
+@query(
+    "texts_normalised",
+    f"""SELECT doc_id, length(n) AS length, md5(n) AS md5 FROM (SELECT doc_id,
+  translate(replace(replace(replace(replace(replace(text, 'ß', 'ss'), 'œ', 'oe'), chr(10), ' '), 'Ä', 'Ae'), '—', ''), '{library.ACCENTED}', '{library.PLAIN}') AS n FROM documents)""",
+)
+def texts_normalised(spark: SparkSession, folder: str) -> DataFrame:
+    done = unigram.normalised(table(spark, folder, "documents"), unigram.compiled(RULES), "doc_id")
+    return done.select("doc_id", F.length("text").cast("long").alias("length"), F.md5(F.col("text").cast("binary")).alias("md5"))
+
+
+@query(
+    "unigram_ids",
+    """WITH RECURSIVE cut AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '\\s+'), lambda w: w <> '') AS ws FROM documents),
+words AS MATERIALIZED (SELECT DISTINCT '▁' || unnest(ws) AS w FROM cut), starts AS (SELECT w, unnest(range(1, length(w) + 1)) AS a FROM words),
+parts AS (SELECT w, a, unnest(list_transform(range(1, least(6, length(w) - a + 1) + 1), lambda n: substr(w, a, n))) AS piece FROM starts),
+counted AS (SELECT piece, count(*) AS n FROM parts GROUP BY piece HAVING count(*) >= 20),
+vocabulary AS MATERIALIZED (SELECT row_number() OVER (ORDER BY n DESC, piece) AS id, piece, round(ln(n / (SELECT CAST(sum(n) AS DOUBLE) FROM counted)) * 1000) AS score FROM counted),
+known AS MATERIALIZED (SELECT w, a - 1 AS b, a - 1 + length(piece) AS e, id, score FROM parts JOIN vocabulary USING (piece)),
+edges AS MATERIALIZED (SELECT * FROM known UNION ALL SELECT w, a - 1, a, 0, (SELECT min(score) FROM vocabulary) - 10 FROM starts s WHERE NOT EXISTS (SELECT 1 FROM known k WHERE k.w = s.w AND k.b = s.a - 1 AND k.e = s.a)),
+way AS (SELECT w, 0::BIGINT AS place, [{'e': 0::BIGINT, 's': 0.0::DOUBLE, 'ids': []::BIGINT[]}] AS held FROM words
+  UNION ALL SELECT w, place + 1, list_append(held, best) FROM (SELECT y.w, y.place, y.held, arg_min({'e': g.e, 's': y.held[g.b + 1].s + g.score, 'ids': CASE WHEN g.id = 0 AND y.held[g.b + 1].ids[-1] = 0 THEN y.held[g.b + 1].ids ELSE list_append(y.held[g.b + 1].ids, g.id) END},
+    {'s': -(y.held[g.b + 1].s + g.score), 'b': g.b}) AS best FROM way y JOIN edges g ON g.w = y.w AND g.e = y.place + 1 GROUP BY y.w, y.place, y.held)),
+done AS MATERIALIZED (SELECT w, held[-1].ids AS ids FROM way WHERE place = length(w)),
+uses AS (SELECT doc_id, '▁' || unnest(ws) AS w, unnest(range(len(ws))) AS k FROM cut),
+told AS (SELECT doc_id, list(ids ORDER BY k) AS ids FROM uses JOIN done USING (w) GROUP BY doc_id)
+SELECT doc_id, len(flatten(coalesce(ids, []))) AS n_pieces, md5(array_to_string(flatten(coalesce(ids, [])), ' ')) AS md5 FROM documents LEFT JOIN told USING (doc_id)""",
+)
+def unigram_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """The pieces of every whole text by a vocabulary of the texts' own parts; white space as one blank."""
+    docs = table(spark, folder, "documents")
+    plain = docs.select(F.col("doc_id").alias("id"), F.trim(F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), r"\s+", " ")).alias("text"))
+    path = scratch.workspace(spark, "pieces")
+    vocabulary = scratch.settled(unigram.trained(plain), f"{path}/vocabulary")
+    found = unigram.encoded(plain, vocabulary, path)
+    return found.select(F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_pieces"), F.md5(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary")).alias("md5"))
+
+
 def echo_client():
     def client(request: dict) -> dict:
         n = request["request_id"] % 4
