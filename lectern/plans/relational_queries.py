@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern.operators import relational
 from lectern.plans.registry import query
-from lectern.sources import library
+from lectern.sources import kept_tables, library, scratch
 from lectern.sources.tables import table
 
 PAGES_OF = "WITH " + library.PAGES_SQL
@@ -203,3 +203,52 @@ def set_operations(spark: SparkSession, folder: str) -> DataFrame:
     labels = table(spark, folder, "labels")
     either = labels.where("quality = 0").select("doc_id").union(labels.where("toxic = 1").select("doc_id")).distinct()
     return either.join(table(spark, folder, "embeddings").where("label = 0").select(F.col("vec_id").alias("doc_id")), "doc_id", "left_anti")
+
+
+def _kept(spark: SparkSession, folder: str) -> kept_tables.Tables:
+    """Customers, their orders, the lines of these and who supplies them, as tables kept in the shared folder."""
+    tables = [
+        kept_tables.Kept("customer", "c_custkey long, c_name string, c_acctbal double", ("c_custkey",)),
+        kept_tables.Kept("supplier", "s_suppkey long, s_name string", ("s_suppkey",), 4),
+        kept_tables.Kept("orders", "o_orderkey long, o_custkey long, o_totalprice double", ("o_orderkey",)),
+        kept_tables.Kept("lineitem", "l_orderkey long, l_linenumber int, l_suppkey long, l_quantity double", ("l_orderkey", "l_linenumber")),
+    ]
+    references = [
+        kept_tables.Reference("orders", "o_custkey", "customer", kept_tables.CASCADE),
+        kept_tables.Reference("lineitem", "l_orderkey", "orders", kept_tables.CASCADE),
+        kept_tables.Reference("lineitem", "l_suppkey", "supplier", kept_tables.SET_NULL),
+    ]
+    kept = kept_tables.Tables(spark, scratch.workspace(spark, "tables"), tables, references)
+    filled = kept.transaction()
+    for each in tables:
+        (filled.put if each.name == "lineitem" else filled.add)(each.name, table(spark, folder, each.name).select(*each.columns))  # lines have repeated keys
+    filled.commit()
+    return kept
+
+
+@query(
+    "tables_changed",
+    """WITH c AS (SELECT c_custkey, CASE WHEN c_custkey % 50 = 4 THEN 0.0 ELSE c_acctbal END AS c_acctbal FROM customer WHERE c_custkey % 40 <> 3), o AS (SELECT * FROM orders WHERE o_custkey % 40 <> 3 AND o_orderkey % 100 <> 7),
+l AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_suppkey % 10 <> 1 THEN l_suppkey END AS l_suppkey FROM (SELECT l_orderkey, l_linenumber, max(l_suppkey) AS l_suppkey FROM lineitem GROUP BY ALL) WHERE l_orderkey IN (SELECT o_orderkey FROM o) OR l_orderkey NOT IN (SELECT o_orderkey FROM orders))
+SELECT 'customer' AS name, count(*) AS n, CAST(sum(c_custkey) AS BIGINT) AS keys, count(*) FILTER (WHERE c_acctbal = 0) AS marked FROM c
+UNION ALL SELECT 'orders', count(*), CAST(sum(o_orderkey) AS BIGINT), 0 FROM o UNION ALL SELECT 'lineitem', count(*), CAST(sum(l_orderkey * 8 + l_linenumber) AS BIGINT), count(*) FILTER (WHERE l_suppkey IS NULL) FROM l
+UNION ALL SELECT 'supplier', count(*), CAST(sum(s_suppkey) AS BIGINT), 0 FROM supplier WHERE s_suppkey % 10 <> 1""",
+)
+def tables_changed(spark: SparkSession, folder: str) -> DataFrame:
+    """Some customers, orders and suppliers go with what refers to them, some customers change; what the tables hold then."""
+    kept = _kept(spark, folder)
+    change = kept.transaction()
+    customers = kept.read("customer")
+    change.put("customer", customers.where("c_custkey % 50 = 4").withColumn("c_acctbal", F.lit(0.0)))
+    change.delete("customer", customers.where("c_custkey % 40 = 3").select("c_custkey"))
+    change.delete("orders", kept.read("orders").where("o_orderkey % 100 = 7").select("o_orderkey"))
+    change.delete("supplier", kept.read("supplier").where("s_suppkey % 10 = 1").select("s_suppkey"))
+    change.commit()
+    told = None
+    for name, keys, marked in (
+        ("customer", F.col("c_custkey"), F.col("c_acctbal") == 0), ("orders", F.col("o_orderkey"), F.lit(False)),
+        ("lineitem", F.col("l_orderkey") * 8 + F.col("l_linenumber"), F.col("l_suppkey").isNull()), ("supplier", F.col("s_suppkey"), F.lit(False)),
+    ):
+        some = kept.read(name).agg(F.count("*").alias("n"), F.sum(keys).cast("long").alias("keys"), F.count_if(marked).alias("marked")).select(F.lit(name).alias("name"), "n", "keys", "marked")
+        told = some if told is None else told.unionByName(some)
+    return told
