@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions import text as plain
-from lectern.operators import chapters, text
+from lectern.operators import chapters, page_edges, text
 from lectern.plans.registry import query
 from lectern.sources import library
 from lectern.sources.tables import table
@@ -370,3 +370,30 @@ def passages_located(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     start = F.greatest(F.floor((F.length("text") - 300) / 2).cast("int") + 1, F.lit(1))
     return text.passages(docs.select(F.col("doc_id").alias("passage_id"), F.substr("text", start, F.lit(300)).alias("passage"), F.split("text", "\n").alias("segments")))
+
+
+@query(
+    "words_across_pages",
+    f"""WITH RECURSIVE {library.PAGES_SQL}, own AS (SELECT book_id, page, list_filter(list_transform(string_split(text, chr(10)), lambda p: trim(p)), lambda p: p <> '') AS ps FROM lib_pages),
+cut AS (SELECT book_id, page, CASE WHEN len(ps) = 0 THEN ps WHEN page % 7 IN (3, 4) THEN [lower(string_split(ps[1], ' ')[1]) || '-'] WHEN page % 3 > 0 THEN list_append(ps[1:len(ps) - 1], rtrim(ps[-1], '.') || '-') ELSE ps END AS raw FROM own),
+pages AS (SELECT book_id, page, CASE WHEN page % 2 = 0 AND len(raw) > 0 THEN list_prepend(lower(raw[1]), raw[2:]) ELSE raw END AS ps FROM cut),
+fold AS (SELECT book_id, page, ps AS cur, CAST(NULL AS VARCHAR[]) AS done FROM pages WHERE page = 1
+  UNION ALL SELECT book_id, page + 1, CASE WHEN NOT meets THEN ps WHEN rest = '' THEN ps[2:] ELSE list_prepend(rest, ps[2:]) END, CASE WHEN meets THEN list_append(cur[1:len(cur) - 1], regexp_replace(cur[-1], '[-‐‑–—]\\s*$', '') || word) ELSE cur END
+  FROM (SELECT f.book_id, f.page, cur, ps, string_split(ps[1], ' ')[1] AS word, ltrim(substr(ps[1], length(string_split(ps[1], ' ')[1]) + 1)) AS rest,
+    coalesce(len(cur) > 0 AND len(ps) > 0 AND regexp_matches(cur[-1], '^(.*\\s)?[\\p{{L}}\\p{{N}}\\p{{M}}_]+[-‐‑–—]\\s*$') AND regexp_matches(ps[1], '^\\p{{Ll}}'), FALSE) AS meets FROM fold f JOIN pages p ON p.book_id = f.book_id AND p.page = f.page + 1)),
+last AS (SELECT book_id, max(page) AS page FROM pages GROUP BY 1),
+final AS (SELECT book_id, page - 1 AS page, done AS ps FROM fold WHERE page > 1 UNION ALL SELECT f.book_id, f.page, cur FROM fold f JOIN last USING (book_id, page))
+SELECT book_id, CAST(page AS INTEGER) AS page, len(ps) AS n_paragraphs, md5(array_to_string(ps, chr(10))) AS md5 FROM final""",
+)
+def words_across_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages of every book with words cut at most of their ends, some of one word alone, put together."""
+    none = F.array().cast("array<string>")
+    own = library.pages(spark, folder, "text").select("book_id", "page", F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), F.trim), lambda p: p != "").alias("ps"))
+    ps, page = F.col("ps"), F.col("page")
+    alone = F.array(F.concat(F.lower(F.split(ps[0], " ")[0]), F.lit("-")))
+    hyphen = F.concat(F.slice(ps, F.lit(1), F.size(ps) - 1), F.array(F.concat(F.rtrim(F.element_at(ps, -1), F.lit(".")), F.lit("-"))))
+    raw = F.when(F.size(ps) == 0, none).when((page % 7).isin(3, 4), alone).when(page % 3 > 0, hyphen).otherwise(ps)
+    cut = own.select("book_id", "page", raw.alias("ps"))
+    small = F.when((page % 2 == 0) & (F.size(ps) > 0), F.concat(F.array(F.lower(ps[0])), F.slice(ps, F.lit(2), F.size(ps)))).otherwise(ps)
+    found = page_edges.mended(cut.select("book_id", "page", small.alias("paragraphs")))
+    return found.select("book_id", "page", F.size("paragraphs").cast("long").alias("n_paragraphs"), F.md5(F.array_join("paragraphs", "\n").cast("binary")).alias("md5"))
