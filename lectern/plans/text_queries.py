@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions import text as plain
-from lectern.operators import chapters, page_edges, text
+from lectern.operators import chapters, name_tables, page_edges, text
 from lectern.plans.registry import query
 from lectern.sources import library
 from lectern.sources.tables import table
@@ -397,3 +397,32 @@ def words_across_pages(spark: SparkSession, folder: str) -> DataFrame:
     small = F.when((page % 2 == 0) & (F.size(ps) > 0), F.concat(F.array(F.lower(ps[0])), F.slice(ps, F.lit(2), F.size(ps)))).otherwise(ps)
     found = page_edges.mended(cut.select("book_id", "page", small.alias("paragraphs")))
     return found.select("book_id", "page", F.size("paragraphs").cast("long").alias("n_paragraphs"), F.md5(F.array_join("paragraphs", "\n").cast("binary")).alias("md5"))
+
+
+CAST_SQL = r"""opening AS (SELECT source AS book_id, doc_id, regexp_extract(text, '^(\p{Lu}\p{L}{3,})', 1) AS name FROM documents), casting AS (SELECT book_id, name, doc_id % 5 AS character_id FROM opening WHERE name <> ''),
+keyed AS (SELECT book_id, strip_accents(lower(name)) AS key, min(name) AS name, CASE WHEN count(DISTINCT character_id) = 1 THEN min(character_id) END AS character_id FROM casting GROUP BY 1, 2),
+parted AS (SELECT source AS book_id, doc_id, regexp_extract_all(text, '[\p{L}\p{N}\p{M}_]+') AS ws, string_split_regex(text, '[\p{L}\p{N}\p{M}_]+') AS gs FROM documents),
+each AS (SELECT book_id, doc_id, unnest(ws) AS word, unnest(gs[1:len(ws)]) AS gap, unnest(range(len(ws))) AS k FROM parted),
+spoken AS (SELECT *, sum(length(gap) + length(word)) OVER (PARTITION BY doc_id ORDER BY k) - length(word) AS start FROM each),
+finds AS (SELECT s.book_id, doc_id, CAST(start AS INTEGER) AS start, CAST(start + length(word) AS INTEGER) AS "end", name, character_id FROM spoken s JOIN keyed k ON k.book_id = s.book_id AND strip_accents(lower(word)) = key WHERE regexp_matches(word, '^\p{Lu}'))"""
+
+
+def _cast(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """The pages of every book, and a cast of its own: the words that open its pages."""
+    docs = table(spark, folder, "documents").select(F.col("source").alias("book_id"), "doc_id", "text")
+    names = docs.select("book_id", F.regexp_extract("text", r"^(\p{Lu}\p{L}{3,})", 1).alias("name"), (F.col("doc_id") % 5).alias("character_id")).where("name <> ''")
+    return docs, names
+
+
+@query("names_in_books", f'WITH {CAST_SQL} SELECT book_id, doc_id, start, "end", name FROM finds')
+def names_in_books(spark: SparkSession, folder: str) -> DataFrame:
+    return name_tables.found(*_cast(spark, folder)).select("book_id", "doc_id", "start", "end", "name")
+
+
+@query(
+    "people_in_pages",
+    f"""WITH {CAST_SQL}, firsts AS (SELECT book_id, doc_id, character_id, min(start) AS start FROM finds WHERE character_id IS NOT NULL GROUP BY ALL)
+SELECT book_id, doc_id, character_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY start, character_id) - 1 AS INTEGER) AS place FROM firsts""",
+)
+def people_in_pages(spark: SparkSession, folder: str) -> DataFrame:
+    return name_tables.people_in(*_cast(spark, folder)).select("book_id", "doc_id", "character_id", F.col("place").cast("int").alias("place"))
