@@ -32,6 +32,7 @@ from lectern.sources import library
 from lectern.sources.scratch import names_below, removed, settled
 
 SPAN = 512
+AT_ONCE = 200  # texts that a task cuts into words together
 SEEDS = 16
 MERGE = 4  # a segment joins the newer ones once they come to a MERGE-th of it
 STEM = retrieval.PREFIX_FROM
@@ -58,7 +59,7 @@ def postings(chunks: DataFrame) -> DataFrame:
     """term, id, count, digits: how often each word of a chunk (id, text) stands there, case and accents aside, and how many digits its places and sizes have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(at, AT_ONCE) for b in batches for at in range(0, b.num_rows, AT_ONCE)):
             words, owner, digits = [], [], []
             for k, (text, folded) in enumerate(zip(batch.column("text").to_pylist(), batch.column("folded").to_pylist(), strict=True)):
                 found = [m.span() for m in _WORD.finditer(folded or "")]
