@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions import text as plain
@@ -17,6 +17,11 @@ def _quoted(words) -> str:
     return ", ".join("'" + w.replace("'", "''") + "'" for w in words)
 
 
+def _trimmed(text: Column) -> Column:
+    """As SQL's trim: without blanks of any width at its ends. (F.trim itself takes the place in an array for the characters to trim.)"""
+    return F.regexp_replace(text, r"^\p{Zs}+|\p{Zs}+$", "")
+
+
 @query("token_estimates", "SELECT doc_id, CAST(greatest(1, floor(len(list_filter(string_split_regex(text, '[ \n]'), lambda w: trim(w) <> '')) * 1.3::DOUBLE)) AS INTEGER) AS tokens FROM documents")
 def token_estimates(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents").select("doc_id", text.token_estimate(F.col("text")).alias("tokens"))
@@ -388,7 +393,7 @@ SELECT book_id, CAST(page AS INTEGER) AS page, len(ps) AS n_paragraphs, md5(arra
 def words_across_pages(spark: SparkSession, folder: str) -> DataFrame:
     """Pages of every book with words cut at most of their ends, some of one word alone, put together."""
     none = F.array().cast("array<string>")
-    own = library.pages(spark, folder, "text").select("book_id", "page", F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), F.trim), lambda p: p != "").alias("ps"))
+    own = library.pages(spark, folder, "text").select("book_id", "page", F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), _trimmed), lambda p: p != "").alias("ps"))
     ps, page = F.col("ps"), F.col("page")
     alone = F.array(F.concat(F.lower(F.split(ps[0], " ")[0]), F.lit("-")))
     hyphen = F.concat(F.slice(ps, F.lit(1), F.size(ps) - 1), F.array(F.concat(F.rtrim(F.element_at(ps, -1), F.lit(".")), F.lit("-"))))
