@@ -46,11 +46,11 @@ def normalised_entries(entries: DataFrame, group: str = "book_id") -> DataFrame:
 def numbered_entries(entries: DataFrame, page_count: Column, group: str = "book_id") -> DataFrame:
     """Entries with number (chapters so far) and end_page: a page before the next entry of the same or a higher level, else the last page; never before the start."""
     order = Window.partitionBy(group).orderBy("start_page", "idx")
-    after = order.rowsBetween(1, Window.unboundedFollowing)
+    after = Window.partitionBy(group).orderBy(F.desc("start_page"), F.desc("idx")).rowsBetween(Window.unboundedPreceding, -1)  # from the end: a frame open to the end is read anew for each row
     number = F.sum((F.col("level") == 0).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0))
     following = F.lit(None).cast("int")
     for level in (2, 1, 0):
-        upto = F.first(F.when(F.col("level") <= level, F.col("start_page")), ignorenulls=True).over(after)
+        upto = F.last(F.when(F.col("level") <= level, F.col("start_page")), ignorenulls=True).over(after)
         following = F.when(F.col("level") == level, upto).otherwise(following)
     end = F.greatest(F.coalesce(following - 1, page_count), F.col("start_page"))
     return entries.withColumn("number", number.cast("int")).withColumn("end_page", end)
