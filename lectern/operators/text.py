@@ -222,15 +222,16 @@ def located(questions: DataFrame, literature: bool) -> DataFrame:
 
     @pandas_udf(_PLACE)
     def read(question: pd.Series) -> pd.DataFrame:
-        rows = []
+        rows, known = [], {q: places.detect(q or "", literature) for q in question.unique()}
         for q in question:
-            p = places.detect(q or "", literature)
+            p = known[q]
             refs = [{"kind": k, "number": n, "part": part} for k, n, part in p.chapters] if p else []
             rows.append((p.kind, p.target, p.stretch, p.expression, places.strip_place(q, p.span), refs, p.part) if p else (None, None, None, None, q, refs, None))
         found = pd.DataFrame(rows, columns=[c.split()[0] for c in ("kind", "target", "stretch", "expression", "rest", "refs", "part")])
         return found.astype({"part": "Int32"})
 
-    return questions.withColumn("_place", read("question")).select(*questions.columns, "_place.*")
+    dealt = questions.repartition(int(questions.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # a few small partitions of chapters make many questions
+    return dealt.withColumn("_place", read("question")).select(*questions.columns, "_place.*")
 
 
 LINE_COLUMNS = ("text", "left", "right", "baseline", "size", "bold", "first_word")

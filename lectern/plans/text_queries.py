@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lectern.functions import text as plain
 from lectern.operators import chapters, name_tables, page_edges, text
 from lectern.plans.registry import query
-from lectern.sources import library
+from lectern.sources import library, scratch
 from lectern.sources.tables import table
 
 
@@ -259,8 +259,8 @@ def locate_question(spark: SparkSession, folder: str) -> DataFrame:
     number = F.col("number")
     said = F.array(*[F.replace(F.replace(F.lit(q), F.lit("{n}"), number.cast("string")), F.lit("{m}"), (number + 1).cast("string")) for q in QUESTIONS])
     asked = listed.join(library.books(spark, folder), "book_id").select("book_id", "number", F.col("start_page").alias("page"), "page_count", F.posexplode(said).alias("way", "question"))
-    found = chapters.pages_of(text.located(asked, literature=True), listed)
-    return found.select("book_id", "number", "way", "kind", "target", "stretch", "rest", F.col("ranges")[0]["first"].alias("first"), F.try_element_at("ranges", F.lit(-1))["last"].alias("last"))
+    found = chapters.pages_of(scratch.settled(text.located(asked, literature=True), scratch.workspace(spark, "located")), listed)
+    return found.select("book_id", "number", "way", "kind", "target", "stretch", "rest", F.get("ranges", F.lit(0))["first"].alias("first"), F.try_element_at("ranges", F.lit(-1))["last"].alias("last"))
 
 
 @query(

@@ -28,3 +28,15 @@ def documents(spark, texts, sources=1):
 def test_paragraphs_keep_the_digits_at_their_ends(spark, tmp_path):
     lines = "0 uno 0\n1 dos 1\n2 tres 2\n cuatro \n \n4 cinco 4"
     agree(spark, tmp_path, "words_across_pages", documents=documents(spark, [lines] * 15))
+
+
+def test_chapters_beyond_the_thousandth_are_read():
+    place = location.detect("Resume los capítulos 999 y 1000", True)
+    assert place.chapters == [("number", 999, None), ("number", 1000, None)]
+    assert location.detect("¿Qué pasa en el capítulo 123456789?", True).chapters == [("number", 123456789, None)]
+    assert location.detect("¿Qué pasa en el capítulo 12345678901?", True) is None
+
+
+@pytest.mark.parametrize("name", ["event_anchors", "locate_question", "question_located", "fragment_plans", "position_texts", "recaps_current", "chapter_bounds"])
+def test_books_of_many_chapters(spark, tmp_path, name):
+    agree(spark, tmp_path, name, documents=documents(spark, ["x"] * 903, 3))
