@@ -78,10 +78,15 @@ def group_of(kind: Column) -> Column:
 
 def end_relations(open_relations: DataFrame, endings: DataFrame) -> DataFrame:
     """The last open relation between a pair that an ending (a, b, type, at) closes: one of its type before others, then later page, then id."""
-    keyed = open_relations.withColumn("a", F.least("from_id", "to_id")).withColumn("b", F.greatest("from_id", "to_id"))
-    told = endings.select(F.least("a", "b").alias("_a"), F.greatest("a", "b").alias("_b"), F.col("type").alias("_type"), F.col("at").alias("_at"))
-    hits = keyed.join(told, (keyed["a"] == told["_a"]) & (keyed["b"] == told["_b"])).where("ended_at IS NULL")
-    closed = hits.groupBy("_a", "_b", "_type", "_at").agg(F.max_by("id", F.struct(F.col("type") == F.col("_type"), "page", "id")).alias("_id"))
+    pair = [F.least("from_id", "to_id").alias("_a"), F.greatest("from_id", "to_id").alias("_b")]
+    told = endings.select(F.least("a", "b").alias("_a"), F.greatest("a", "b").alias("_b"), F.col("type").alias("_type"), F.col("at").alias("_at")).distinct()
+    still = open_relations.where("ended_at IS NULL").select(*pair, F.col("type").alias("_type"), "page", "id")
+    # The last of each pair and type, then those of each pair: endings meet one row a pair and one a pair and type, not the pair's relations.
+    lasts = still.groupBy("_a", "_b", "_type").agg(F.max(F.struct("page", "id")).alias("_last"))
+    any_type = lasts.groupBy("_a", "_b").agg(F.max("_last").alias("_of_any"), F.max(F.when(F.col("_type").isNotNull(), F.col("_last"))).alias("_of_typed"))
+    met = told.join(any_type, ["_a", "_b"]).join(lasts.withColumnRenamed("_last", "_same"), ["_a", "_b", "_type"], "left")
+    best = F.when(F.col("_type").isNull(), F.col("_of_any")).otherwise(F.coalesce("_same", "_of_typed", "_of_any"))
+    closed = met.select(best["id"].alias("_id"), "_at")
     ends = closed.groupBy("_id").agg(F.min("_at").alias("_end"))
     return open_relations.join(ends, open_relations["id"] == ends["_id"], "left").withColumn("ended_at", F.coalesce("ended_at", "_end")).drop("_id", "_end")
 
