@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.text import _fold_letter
+from lectern.operators.text import TEXTS_AT_ONCE, sliced
 
 _WORD = regex.compile(r"\w+")
 _CAPITALS = "book_id string, doc_id long, start int, word string, ahead string"
@@ -48,9 +49,9 @@ def _capitals(pages: DataFrame, longest: int) -> DataFrame:
     """Every word with a capital: where it starts, itself and what follows, folded."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for part in sliced(batches, TEXTS_AT_ONCE):
             rows: list[tuple] = []
-            for book, doc, text in zip(*(batch.column(c).to_pylist() for c in ("book_id", "doc_id", "text")), strict=True):
+            for book, doc, text in zip(*(part.column(c).to_pylist() for c in ("book_id", "doc_id", "text")), strict=True):
                 folded = _folded(text)
                 for m in _WORD.finditer(folded):
                     at = m.start()

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,6 +20,7 @@ SPANISH = "de la que el en y los se del las un por con no una su para es al lo c
 ENGLISH = "the of and to in is that it was for on with as his he be at by i you had her she which not but are this have from they".split()
 MIN_HITS = 20
 MARGIN_LINES, REPEAT_RATIO = 4, 0.35
+TEXTS_AT_ONCE, PAGES_AT_ONCE = 200, 64
 # What kinds of documents look like (one line at a time).
 SCIENTIFIC_SECTIONS = (
     r"(?i)^\s*(abstract|resumen)\s*$", r"(?i)^\s*([0-9]+\.?\s*)?(introducci[oó]n|introduction)\s*$",
@@ -120,6 +122,13 @@ def sampled_pages(pages: DataFrame, page_counts: DataFrame, first: int = 30, spr
 # Python where order decides ------------------------------------------------------------------------
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """Parts of batches: Python objects are made of so many rows at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 @pandas_udf(T.ArrayType(T.StringType()))
 def sentences(text: pd.Series) -> pd.Series:
     return text.map(lambda t: plain.sentences(t or ""))
@@ -170,12 +179,13 @@ def mentions(texts: DataFrame, names: list[str]) -> DataFrame:
     """doc_id, start, end, name of every name found. names is the list of one book's people."""
     finder = plain.NameFinder(names)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [(i, a, b, names[n]) for i, t in zip(batch["doc_id"], batch["text"], strict=True) for a, b, n in finder.find(t or "")]
-            yield pd.DataFrame(rows, columns=["doc_id", "start", "end", "name"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in sliced(batches, TEXTS_AT_ONCE):
+            rows = [(i, a, b, names[n]) for i, t in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True) for a, b, n in finder.find(t or "")]
+            columns = zip(*rows, strict=True) if rows else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.string()), strict=True)], names=["doc_id", "start", "end", "name"])
 
-    return texts.select("doc_id", "text").mapInPandas(run, "doc_id long, start int, end int, name string")
+    return texts.select("doc_id", "text").mapInArrow(run, "doc_id long, start int, end int, name string")
 
 
 def packed_chunks(paragraphs_of_chapters: DataFrame, target: int = 350) -> DataFrame:
@@ -269,17 +279,17 @@ def typography(lines: DataFrame) -> DataFrame:
 def layout_blocks(pages: DataFrame, types: DataFrame) -> DataFrame:
     """book_id, page, number, text, level: the blocks of pages (book_id, page, lines: an array of structs of LINE_COLUMNS), read with their book's typography."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in sliced(batches, PAGES_AT_ONCE):
             found = []
-            for row in batch.itertuples(index=False):
-                kind = layout.Typography(row.body, tuple(row.headings), row.width, row.gap, bool(row.bold_body))
-                lines = [layout.Line(*(line[c] for c in LINE_COLUMNS)) for line in row.lines]
-                found += [(row.book_id, row.page, *b) for b in layout.numbered(layout.blocks(lines, kind))]
-            yield pd.DataFrame(found, columns=["book_id", "page", "number", "text", "level"])
+            for row in part.to_pylist():
+                kind = layout.Typography(row["body"], tuple(row["headings"]), row["width"], row["gap"], bool(row["bold_body"]))
+                lines = [layout.Line(*(line[c] for c in LINE_COLUMNS)) for line in row["lines"]]
+                found += [(row["book_id"], row["page"], *b) for b in layout.numbered(layout.blocks(lines, kind))]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*found, strict=True) if found else [[]] * 5, (pa.string(), pa.int32(), pa.int32(), pa.string(), pa.int32()), strict=True)], names=["book_id", "page", "number", "text", "level"])
 
     typed = pages.select("book_id", "page", "lines").join(types, "book_id")
-    return typed.mapInPandas(run, "book_id string, page int, number int, text string, level int")
+    return typed.mapInArrow(run, "book_id string, page int, number int, text string, level int")
 
 
 def passages(asked: DataFrame) -> DataFrame:

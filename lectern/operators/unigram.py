@@ -22,6 +22,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.operators.text import TEXTS_AT_ONCE, sliced
 from lectern.sources.scratch import settled
 
 MARK = "▁"
@@ -124,7 +125,7 @@ def normalised(texts: DataFrame, blob: bytes, *kept: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rules = CharacterMap(held.value)
-        for batch in batches:
+        for batch in sliced(batches, TEXTS_AT_ONCE):
             done = pa.array([None if t is None else rules.normalise(t) for t in batch.column("text").to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), done], names=[*kept, "text"])
 
@@ -187,7 +188,7 @@ def encoded(texts: DataFrame, vocabulary: DataFrame, path: str, blob: bytes | No
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rules = CharacterMap(held.value) if held.value else None
-        for batch in batches:
+        for batch in sliced(batches, TEXTS_AT_ONCE):
             rows = []
             for text in batch.column("text").to_pylist():
                 words, at = [], 0

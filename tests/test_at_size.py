@@ -1,6 +1,7 @@
 """Results that differed from DuckDB's on larger tables only: what has to hold there, made small."""
 
 import duckdb
+import pyarrow as pa
 import pytest
 
 from lectern.functions import location
@@ -40,3 +41,29 @@ def test_chapters_beyond_the_thousandth_are_read():
 @pytest.mark.parametrize("name", ["event_anchors", "locate_question", "question_located", "fragment_plans", "position_texts", "recaps_current", "chapter_bounds"])
 def test_books_of_many_chapters(spark, tmp_path, name):
     agree(spark, tmp_path, name, documents=documents(spark, ["x"] * 903, 3))
+
+
+def test_an_ending_meets_one_relation_of_a_pair(spark):
+    from lectern.operators import graph
+
+    rows = [(i, 1, 2, "FRIEND" if i % 2 else None if i == 8 else "OTHER", 5 + i % 3, None) for i in range(9)] + [(20, 2, 3, "ENEMY", 1, 4)]
+    relations = spark.createDataFrame(rows, "id long, from_id long, to_id long, type string, page int, ended_at int")
+    endings = spark.createDataFrame([(2, 1, "FRIEND", 30), (1, 2, "FRIEND", 29), (1, 2, "SPOUSE", 31), (1, 2, None, 32), (2, 3, "ENEMY", 9)], "a long, b long, type string, at int")
+    found = graph.end_relations(relations, endings)
+    assert {r.id: r.ended_at for r in found.collect() if r.ended_at} == {5: 29, 8: 32, 20: 4}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate [_a") >= 2  # relations are summed up before endings meet them
+
+
+def test_texts_become_objects_a_few_at_a_time(spark, tmp_path, monkeypatch):
+    from lectern.operators import name_tables, text, unigram
+
+    batches = pa.table({"n": list(range(10))}).to_batches()
+    assert [b.num_rows for b in text.sliced(iter(batches), 4)] == [4, 4, 2]
+    for module in (name_tables, text, unigram):
+        monkeypatch.setattr(module, "TEXTS_AT_ONCE", 3)
+    monkeypatch.setattr(text, "PAGES_AT_ONCE", 3)
+    docs = documents(spark, ["Anna vino. Boris fue.\nAnna y Boris"] * 20, 2)
+    agree(spark, tmp_path, "names_in_books", documents=docs)
+    agree(spark, tmp_path, "texts_normalised", documents=docs)
+    agree(spark, tmp_path, "layout_blocks", documents=docs)
