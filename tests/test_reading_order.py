@@ -65,3 +65,14 @@ def test_a_name_told_very_often_needs_few_rounds(spark, tmp_path):
     people = [("b", t, "", [("Ana Ruiz",)]) for t in range(500)]
     found = got(spark, people, [("b", 3, "Otra Persona")], f"{tmp_path}/t")
     assert set(found.values()) == {(4, True), (4, False)} and found["b", 0] == (4, True)
+
+
+@pytest.mark.parametrize("first, growth", [(3, 2), (8, 3)])
+def test_stretches_change_nothing(spark, tmp_path, monkeypatch, first, growth):
+    monkeypatch.setattr(reading_order, "FIRST", first)
+    monkeypatch.setattr(reading_order, "GROWTH", growth)
+    rng = random.Random(first)
+    pool = [f"{a} {b}" for a in ("Ana", "Bo", "Cy") for b in ("Ruiz", "Sol")] + ["Ana", " "]
+    names = [(b, rng.randrange(1, 4), rng.choice(pool[:6])) for b in "xy" for _ in range(3)]
+    people = [(b, t, rng.choice(["n1", "c2", f"c{rng.randrange(1, 20)}"]), [(n,) for n in rng.sample(pool, rng.randrange(0, 3))]) for b in "xyz" for t in range(25)]
+    assert got(spark, people, names, f"{tmp_path}/t") == fold(people, names)
