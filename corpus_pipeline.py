@@ -23,7 +23,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles, Jaccard similarity 0.8 or more) the document with the least id stays."""
+    """Of each group of near copies (SimHash and an exact way for the rest; five-word shingles, Jaccard similarity 0.8 or more) the document with the least id stays."""
     return near_copies.kept_one_each(docs, shared.workspace(spark, "pipeline-near-copies"))
 
 

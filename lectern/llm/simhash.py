@@ -24,7 +24,7 @@ their rows; a null doc_id has a null component. Empty table: no rows. Other colu
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import accumulate
 
 import numpy as np
@@ -41,6 +41,8 @@ RADIUS = 3
 LARGE_ENTRY = 512
 HOT_HALF = 20_000
 
+Alike = Callable[[int, np.ndarray], np.ndarray]  # of a node and others near it, which of these are linked to it
+
 _HALF = np.uint64(0xFFFFFFFF)
 _PRINTS = pa.schema([("doc_id", pa.int64()), ("bits", pa.int64())])
 _ENTRIES = pa.schema([("entry", pa.int64()), ("bits", pa.int64()), ("node", pa.int64()), ("asks", pa.bool_())])
@@ -59,7 +61,11 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
     else:
         spans = zip([0, *ends[: len(words) - shingle]], [e - 1 for e in ends[shingle - 1 :]], strict=True)
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], SEED) for a, b in spans], "<u8")
+    return majority(np.array([digest(joined[a:b], SEED) for a, b in spans], "<u8"))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The fingerprint of unsigned hashes: a bit is set where more than half of them have it."""
     set_bits = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 16):
         some = hashes[at : at + (1 << 16)]
@@ -117,17 +123,22 @@ def _spread(entries: DataFrame, distinct: DataFrame, hot_half: int, path: str) -
     return entries.join(hot, "entry", "left").select("bits", "node", "asks", "entry", part.alias("part")).select((F.shiftleft("entry", 11) + F.col("part")).alias("entry"), "bits", "node", "asks")
 
 
-def _entry_links(bits: np.ndarray, asks: np.ndarray) -> list[np.ndarray]:
+def _entry_links(bits: np.ndarray, asks: np.ndarray, nodes: np.ndarray | None = None, alike: Alike | None = None) -> list[np.ndarray]:
     """Sets of rows of one table entry that links hold together. Two that only ask are not compared: their own entries do that."""
 
     def near(item: int, unseen: np.ndarray) -> np.ndarray:
         close = np.bitwise_count(bits[unseen] ^ bits[item]) <= RADIUS
-        return close & ~asks[unseen] if asks[item] else close
+        if asks[item]:
+            close &= ~asks[unseen]
+        if alike is not None and close.any():
+            close[close] = alike(int(nodes[item]), nodes[unseen[close]])
+        return close
 
     return components.linked_sets(len(bits), near)
 
 
-def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _links(batches: Iterator[pa.RecordBatch], check: Callable[[], Alike] | None = None) -> Iterator[pa.RecordBatch]:
+    alike = check() if check else None
     for table in shared.sorted_runs(batches, "entry"):
         entry = table["entry"].to_numpy()
         bits = table["bits"].to_numpy().view(np.uint64)
@@ -139,7 +150,7 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for start, size in zip(starts[(sizes > 1) & (held > 0)], sizes[(sizes > 1) & (held > 0)], strict=True):
             b, n, k = bits[start : start + size], nodes[start : start + size], asks[start : start + size]
             for some in _split(b, size, int(entry[start]) >> 43):
-                edges += [components.forest(n[some][group]) for group in _entry_links(b[some], k[some])]
+                edges += [components.forest(n[some][group]) for group in _entry_links(b[some], k[some], n[some], alike)]
         if edges:
             yield shared.batch_of(_EDGES, *map(np.concatenate, zip(*edges, strict=True)))
 
@@ -158,15 +169,20 @@ def _split(bits: np.ndarray, size: int, table: int) -> Iterator[np.ndarray]:
                 yield some
 
 
+def linked(distinct: DataFrame, path: str, hot_half: int = HOT_HALF, check: Callable[[], Alike] | None = None) -> DataFrame:
+    """node, component of every fingerprint (bits, node; one row a node) that is linked. check: called in a task, gives the exact check that follows; else near ones are linked."""
+    n = shared.shuffle_partitions(distinct.sparkSession)
+    entries = distinct.select("bits", "node").repartition(n, "node").mapInArrow(_entries, "entry long, bits long, node long, asks boolean")
+    placed = _spread(entries, distinct, hot_half, path).repartition(n, "entry").sortWithinPartitions("entry")
+    return components.connected_components(placed.mapInArrow(lambda batches: _links(batches, check), "a long, b long"), f"{path}/components")
+
+
 def near_duplicates(docs: DataFrame, path: str, shingle: int = SHINGLE, hot_half: int = HOT_HALF) -> DataFrame:
     """doc_id, bits, component_id for every row of docs; path: a new folder in the shared folder."""
-    spark = docs.sparkSession
     prints = shared.settled(fingerprints(docs, shingle), f"{path}/prints")
     distinct = prints.where("doc_id is not null").groupBy("bits").agg(F.min("doc_id").alias("node"))
     distinct = shared.settled(distinct, f"{path}/distinct")
-    entries = distinct.repartition(shared.shuffle_partitions(spark), "node").mapInArrow(_entries, "entry long, bits long, node long, asks boolean")
-    placed = _spread(entries, distinct, hot_half, path).repartition(shared.shuffle_partitions(spark), "entry").sortWithinPartitions("entry")
-    found = components.connected_components(placed.mapInArrow(_links, "a long, b long"), f"{path}/components")
+    found = linked(distinct, path, hot_half)
     classes = distinct.join(found, distinct.node == found.node, "left").select("bits", F.coalesce("component", distinct.node).alias("component_id"))
     classes = shared.settled(classes, f"{path}/classes")
     return prints.join(classes, "bits", "left").select("doc_id", "bits", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))

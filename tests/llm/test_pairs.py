@@ -1,6 +1,7 @@
 """SimHash and embedding near-duplicates against brute force, and their edge cases."""
 
 import re
+from collections import Counter
 
 import numpy as np
 import xxhash
@@ -138,3 +139,32 @@ def test_near_copies_equal_brute_force(spark, monkeypatch):
     kept = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()}
     assert kept == set(want.values()) | {None}
     assert near_copies.near_duplicates(docs.limit(0), shared.workspace(spark, "t")).collect() == []
+
+
+def test_near_copies_are_found_by_simhash_and_checked_exactly(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    texts = []
+    for _ in range(25):
+        words = [f"w{n}" for n in rng.integers(0, 3000, 300)]
+        texts += [" ".join(words), " ".join([*words[:-1], "last"]), " ".join([*words[:150], *["x"] * 3, *words[150:]])]
+    prints = [simhash.majority(near_copies.shingles(t, near_copies.WordHashes())) for t in texts]
+    sets = [set(near_copies.shingles(t, near_copies.WordHashes()).tolist()) for t in texts]
+    alike = lambda a, b: 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])
+    close = lambda a, b: (prints[a] ^ prints[b]).bit_count() <= 3
+    ids, seen = list(range(len(texts))), []
+    linked = simhash.linked
+    monkeypatch.setattr(simhash, "linked", lambda *a, **k: seen.append(linked(*a, **k)) or seen[-1])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near_copies.near_duplicates(docs, shared.workspace(spark, "t")).collect()}
+    assert got == leaders(ids, alike)
+    by_print = leaders(ids, lambda a, b: close(a, b) and alike(a, b))
+    held = sorted(n for _, n in Counter(r.component for r in seen[0].collect()).items())
+    assert held == sorted(n for n in Counter(by_print.values()).values() if n > 1) and held
+
+
+def test_equal_fingerprints_of_unlike_sets_are_not_linked(spark, tmp_path):
+    places = {10: {1, 2, 3, 4, 5}, 20: {1, 2, 3, 4, 5, 6}, 30: {7, 8, 9}}
+    check = lambda: lambda mine, others: np.array([5 * len(places[mine] & places[o]) >= 4 * len(places[mine] | places[o]) for o in others.tolist()])
+    prints = spark.createDataFrame([(5, 10), (7, 20), (5, 30)], "bits long, node long")
+    assert {tuple(r) for r in simhash.linked(prints, f"{tmp_path}/a", check=check).collect()} == {(10, 10), (20, 10)}
+    assert {tuple(r) for r in simhash.linked(prints, f"{tmp_path}/b").collect()} == {(10, 10), (20, 10), (30, 10)}
