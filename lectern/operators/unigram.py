@@ -4,16 +4,17 @@ A map lies in bytes as a double array over UTF-8: a number of bytes, that many b
 place, the text that the shortest matching beginning of a character stands for takes the place of the whole character (a grapheme of up to five bytes,
 else each code point of it); other characters stay. Then runs of blanks are one, a text is marked at its start and at blanks, and cut before each mark.
 
-Words are encoded once each: a shuffle brings the occurrences of a word together as one row, the best way through its lattice is found (of equal ways to
-a place the one whose last piece is longest), and the ids go back to the places of the word in each text. Vocabularies are tables (id, piece, score); workers get
+Texts are cut and encoded where they lie, without a shuffle: a task finds the best way through the lattice of a word (of equal ways to a place the one whose last
+piece is longest) when it first meets the word and remembers up to WORDS_REMEMBERED of them. Vocabularies are tables (id, piece, score); workers get
 the pieces as one broadcast array, which holds at most LARGEST pieces; models of this kind have up to a few hundred thousand.
 
 Defined results: a null text is an empty text, which has no pieces. Characters no piece has are the unknown id, once for each run of them. Rows that
-repeat a key keep their rows as long as the key and the text's number differ; ids are in the order of the text.
+repeat a key keep their rows; ids are in the order of the text.
 """
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator, Mapping
 
 import numpy as np
@@ -29,12 +30,12 @@ MARK = "▁"
 PENALTY = 10.0  # how far an unknown character is below the worst piece
 LARGEST = 4_000_000
 REMEMBERED = 200_000
+WORDS_REMEMBERED = 400_000
 WHOLE_BYTES = 6  # a grapheme of fewer bytes is looked up as one
 
 _GRAPHEME = regex.compile(r"\X")
 _WORD = regex.compile(f"{MARK}[^{MARK}]*")
 _LEAF = 1 << 31
-_WORDS = pa.schema([("row", pa.int64()), ("words", pa.list_(pa.string()))])
 
 
 class CharacterMap:
@@ -147,29 +148,26 @@ class Lattice:
         self.pieces, self.unknown = pieces, unknown
         self.longest = max(map(len, pieces), default=0)
         self.unknown_score = min((s for _, s in pieces.values()), default=0.0) - PENALTY
-        self.beginnings = {p[:n] for p in pieces for n in range(1, len(p) + 1)}
+        self.beginnings: dict[str, tuple[int, float] | None] = {p[:n]: None for p in pieces for n in range(1, len(p) + 1)}
+        self.beginnings.update(pieces)
 
     def ids(self, word: str) -> list[int]:
-        n = len(word)
+        n, longest, known = len(word), self.longest, self.beginnings.get
         best: list[float | None] = [0.0] + [None] * n
         last = [(0, self.unknown)] * (n + 1)
-
-        def offer(start: int, end: int, score: float, piece: int) -> None:
-            if best[end] is None or score > best[end]:
-                best[end], last[end] = score, (start, piece)
-
         for start in range(n):
-            single = False
-            for end in range(start + 1, min(n, start + self.longest) + 1):
-                some = word[start:end]
-                if some in self.pieces:
-                    piece, score = self.pieces[some]
-                    offer(start, end, best[start] + score, piece)
-                    single |= end == start + 1
-                elif some not in self.beginnings:
+            single, here = False, best[start]
+            for end in range(start + 1, min(n, start + longest) + 1):
+                found = known(word[start:end], False)
+                if found:
+                    score = here + found[1]
+                    if best[end] is None or score > best[end]:
+                        best[end], last[end] = score, (start, found[0])
+                    single = single or end == start + 1
+                elif found is False:
                     break
-            if not single:
-                offer(start, start + 1, best[start] + self.unknown_score, self.unknown)
+            if not single and (best[start + 1] is None or here + self.unknown_score > best[start + 1]):
+                best[start + 1], last[start + 1] = here + self.unknown_score, (start, self.unknown)
         found, end = [], n
         while end:
             start, piece = last[end]
@@ -179,44 +177,56 @@ class Lattice:
         return found[::-1]
 
 
+class WordIds(dict):
+    """The ids of a word. Bounded: words not asked for while half of WORDS_REMEMBERED others came are forgotten."""
+
+    def __init__(self, ways: Lattice):
+        self.ways, self.older = ways, {}
+
+    def __missing__(self, word: str) -> array:
+        if len(self) >= WORDS_REMEMBERED // 2:
+            self.older = dict(self)
+            self.clear()
+        found = self.older.get(word)
+        if found is None:
+            found = array("i", self.ways.ids(word))
+        self[word] = found
+        return found
+
+
 def encoded(texts: DataFrame, vocabulary: DataFrame, path: str, blob: bytes | None = None, unknown: int = 0, special: Mapping[str, int] | None = None, key: str = "id") -> DataFrame:
     """key, ids (array of int) of every row of texts (key, text). vocabulary: id, piece, score; special: texts that are ids of their own; path: a new folder."""
     spark = texts.sparkSession
     special = dict(special or {})
     held = spark.sparkContext.broadcast(blob)
     either = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
+    lattice = settled(vocabulary.select(F.col("id").cast("int").alias("id"), "piece", F.col("score").cast("double").alias("score")), f"{path}/pieces")
+    if (count := lattice.count()) > LARGEST:
+        raise ValueError(f"{count} pieces: a vocabulary for workers' memory has {LARGEST} at most")
+    listed = spark.sparkContext.broadcast(lattice.orderBy("id").toArrow())  # at most LARGEST pieces
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rules = CharacterMap(held.value) if held.value else None
+        table = listed.value
+        known = WordIds(Lattice({p: (i, s) for i, p, s in zip(*(table[c].to_pylist() for c in ("id", "piece", "score")), strict=True)}, unknown))
         for batch in sliced(batches, TEXTS_AT_ONCE):
-            rows = []
+            ids, ends = array("i"), [0]
             for text in batch.column("text").to_pylist():
-                words, at = [], 0
+                at = 0
                 for m in either.finditer(text) if either else ():
-                    words += words_of(rules.normalise(text[at : m.start()]) if rules else text[at : m.start()]) + [m[0]]
+                    for word in words_of(rules.normalise(text[at : m.start()]) if rules else text[at : m.start()]):
+                        ids.extend(known[word])
+                    ids.append(special[m[0]])
                     at = m.end()
-                rows.append(words + words_of(rules.normalise(text[at:]) if rules else text[at:]))
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(rows, pa.list_(pa.string()))], schema=_WORDS)
-
-    numbered = settled(texts.select(F.monotonically_increasing_id().alias("row"), F.col(key), F.coalesce("text", F.lit("")).alias("text")), f"{path}/texts")
-    told = numbered.select("row", "text").mapInArrow(cut, "row long, words array<string>").select("row", F.posexplode("words").alias("place", "word"))
-    uses = settled(told.groupBy("row", "word").agg(F.collect_list("place").alias("places")), f"{path}/uses")  # at most a text's words
-    lattice = vocabulary.select(F.col("id").cast("int").alias("id"), "piece", F.col("score").cast("double").alias("score"))
-    if (count := lattice.count()) > LARGEST:
-        raise ValueError(f"{count} pieces: a vocabulary for workers' memory has {LARGEST} at most")
-    listed = spark.sparkContext.broadcast(lattice.orderBy("id").toArrow())  # at most LARGEST pieces
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = listed.value
-        ways = Lattice({p: (i, s) for i, p, s in zip(*(table[c].to_pylist() for c in ("id", "piece", "score")), strict=True)}, unknown)
-        for batch in batches:
-            ids = [[special[w]] if w in special else ways.ids(w) for w in batch.column("word").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(ids, pa.list_(pa.int32()))], names=["word", "ids"])
+                rest = text[at:] if at else text
+                for word in words_of(rules.normalise(rest) if rules else rest):
+                    ids.extend(known[word])
+                ends.append(len(ids))
+            flat = pa.array(np.frombuffer(ids, np.int32) if ids else np.zeros(0, np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column(key), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)], names=[key, "ids"])
 
-    known = settled(uses.select("word").distinct().mapInArrow(encode, "word string, ids array<int>"), f"{path}/words")
-    placed = uses.join(known, "word").select("row", F.explode("places").alias("place"), "ids")
-    whole = placed.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("place", "ids"))).alias("parts")).select("row", F.flatten("parts.ids").alias("ids"))
-    return numbered.select("row", key).join(whole, "row", "left").select(key, F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
+    whole = texts.select(key, F.coalesce("text", F.lit("")).alias("text"))
+    return whole.mapInArrow(run, f"{key} {texts.schema[key].dataType.simpleString()}, ids array<int>")
 
 
 def trained(texts: DataFrame, longest: int = 6, least: int = 20) -> DataFrame:
@@ -225,6 +235,5 @@ def trained(texts: DataFrame, longest: int = 6, least: int = 20) -> DataFrame:
     starts = words.select("w", F.explode(F.sequence(F.lit(1), F.length("w"))).alias("a"))
     parts = starts.select(F.explode(F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("w") - F.col("a") + 1)), lambda n: F.substr("w", F.col("a"), n))).alias("piece"))
     counted = parts.groupBy("piece").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    total = counted.agg(F.sum("n")).first()[0] or 1
-    order = Window.orderBy(F.desc("n"), "piece")  # a vocabulary
-    return counted.select(F.row_number().over(order).alias("id"), "piece", F.round(F.log(F.col("n") / F.lit(total)) * 1000).alias("score"))
+    order, whole = Window.orderBy(F.desc("n"), "piece"), Window.partitionBy(F.lit(0))  # a vocabulary
+    return counted.select(F.row_number().over(order).alias("id"), "piece", F.round(F.log(F.col("n") / F.sum("n").over(whole)) * 1000).alias("score"))

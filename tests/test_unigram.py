@@ -115,3 +115,20 @@ def test_a_public_vocabulary_as_a_table(spark, tmp_path):
     docs = spark.createDataFrame([(1, "the house is on the hill")], "id long, text string")
     ids = unigram.encoded(docs, table, f"{tmp_path}/t").first().ids
     assert "".join(model.id_to_piece(i) for i in ids) == "▁the▁house▁is▁on▁the▁hill" and len(rows) > 30_000
+
+
+def test_texts_are_encoded_without_a_shuffle(spark, tmp_path):
+    table = spark.createDataFrame([(1, "▁a", -1.0), (2, "b", -2.0)], "id int, piece string, score double")
+    docs = spark.createDataFrame([(1, "a ab"), (1, None), (None, "b")], "id long, text string")
+    found = unigram.encoded(docs, table, f"{tmp_path}/t")
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(((r.id, r.ids) for r in found.collect()), key=repr) == [(1, [1, 1, 2]), (1, []), (None, [0, 2])]
+
+
+def test_words_forgotten_are_found_again(monkeypatch):
+    monkeypatch.setattr(unigram, "WORDS_REMEMBERED", 4)
+    ways = unigram.Lattice({c: (k + 1, -float(k)) for k, c in enumerate("▁abc")}, 0)
+    known, rng = unigram.WordIds(ways), random.Random(3)
+    for _ in range(300):
+        word = "▁" + "".join(rng.choices("abcd", k=2))
+        assert known[word].tolist() == ways.ids(word) and len(known) <= 2 and len(known.older) <= 2
