@@ -19,6 +19,7 @@ from lectern.operators import relational
 PASSAGE, QUERY = "passage: ", "query: "
 BEGIN, PAD, END, UNKNOWN = 0, 1, 2, 3
 MOST_PIECES, GROUP = 512, 64
+WORDS_REMEMBERED = 100_000
 
 #: Texts to vectors, as many as texts; a factory makes one on a worker.
 Embedder = Callable[[Sequence[str]], Sequence[Sequence[float]]]
@@ -31,7 +32,7 @@ class UnigramTokenizer:
 
     vocabulary: (piece, score) in the order of their ids. A blank is written as ▁ and each word starts with one; runs of letters that no
     piece covers are one unknown. normalise: a function of the text (a precompiled character map), none by default. special: strings that
-    are pieces of their own wherever they stand.
+    are pieces of their own wherever they stand. The ids of up to WORDS_REMEMBERED words are remembered.
     """
 
     def __init__(self, vocabulary: Sequence[tuple[str, float]], normalise: Callable[[str], str] | None = None, special: dict[str, int] | None = None):
@@ -40,6 +41,7 @@ class UnigramTokenizer:
         self.worst = min((score for _, score in self.ids.values()), default=0.0) - 10.0
         self.normalise = normalise or (lambda text: text)
         self.special = special or {}
+        self.known: dict[str, tuple[int, ...]] = {}
 
     def _segments(self, text: str) -> Iterator[tuple[str, int | None]]:
         """Text between special strings, and these; the longest that starts first."""
@@ -56,14 +58,17 @@ class UnigramTokenizer:
 
     def word(self, word: str) -> list[int]:
         """Ids of one word."""
+        ids, worst, longest = self.ids, self.worst, self.longest
         best: list[tuple[float, int, int]] = [(0.0, 0, -1)]
         for end in range(1, len(word) + 1):
-            choices = [(best[end - 1][0] + self.worst, end - 1, UNKNOWN)]
-            for start in range(max(0, end - self.longest), end):
-                known = self.ids.get(word[start:end])
+            score, begin, piece = best[end - 1][0] + worst, end - 1, UNKNOWN
+            for start in range(max(0, end - longest), end):
+                known = ids.get(word[start:end])
                 if known:
-                    choices.append((best[start][0] + known[1], start, known[0]))
-            best.append(max(choices, key=lambda c: (c[0], -c[1])))
+                    some = best[start][0] + known[1]
+                    if some > score or (some == score and start < begin):  # of equal ways the one whose last piece is longest
+                        score, begin, piece = some, start, known[0]
+            best.append((score, begin, piece))
         out, at = [], len(word)
         while at:
             _, start, piece = best[at]
@@ -79,7 +84,12 @@ class UnigramTokenizer:
                 ids.append(special)
                 continue
             for word in self.normalise(segment).split():
-                ids += self.word(f"▁{word}")
+                found = self.known.get(word)
+                if found is None:
+                    if len(self.known) >= WORDS_REMEMBERED:
+                        self.known.clear()
+                    found = self.known[word] = tuple(self.word(f"▁{word}"))
+                ids += found
                 if len(ids) > most:
                     break
         return [BEGIN, *ids[: most - 2], END]

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,9 +61,10 @@ def unigram_pieces(spark: SparkSession, folder: str) -> DataFrame:
     from pyspark.sql.functions import pandas_udf
 
     @pandas_udf("long")
-    def counted(texts):
-        tokenizer = word_pieces()
-        return texts.map(lambda t: len(tokenizer.encode(t or "", 1 << 60)))
+    def counted(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        tokenizer = word_pieces()  # once a task, with the words it remembers
+        for texts in batches:
+            yield pd.Series([len(tokenizer.encode(t or "", 1 << 60)) for t in texts])
 
     return table(spark, folder, "documents").select("doc_id", counted("text").alias("n_pieces"))
 

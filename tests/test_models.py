@@ -156,3 +156,14 @@ def test_intact_files(spark, tmp_path):
     path = files.first().path
     registry = spark.createDataFrame([("good", path, hashlib.sha256(b"model").hexdigest()), ("bad", path, "0")], "id string, path string, sha256 string")
     assert {(r.id, r.ok) for r in models.intact(files, registry).collect()} == {("good", True), ("bad", False)}
+
+
+def test_a_word_is_taken_apart_once_as_long_as_it_is_remembered(monkeypatch):
+    tokenizer, asked = embedding.UnigramTokenizer(PIECES), []
+    plain, word = embedding.UnigramTokenizer(PIECES), tokenizer.word
+    monkeypatch.setattr(tokenizer, "word", lambda w: asked.append(w) or word(w))
+    text = "ab ba ab zz ab"
+    assert tokenizer.encode(text) == [embedding.BEGIN, *(i for w in text.split() for i in plain.word(f"▁{w}")), embedding.END] == tokenizer.encode(text)
+    assert asked == ["▁ab", "▁ba", "▁zz"]
+    monkeypatch.setattr(embedding, "WORDS_REMEMBERED", 2)
+    assert tokenizer.encode("cc dd ab") == plain.encode("cc dd ab") and len(tokenizer.known) <= 2
