@@ -15,6 +15,7 @@ other spans only those whose bound reaches it are unpacked. Scores are those of
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -23,6 +24,7 @@ from operator import or_
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -39,6 +41,7 @@ STEM = retrieval.PREFIX_FROM
 WRITTEN = 5  # a hit is written as 0, the term's number, offset and size, with three blanks and one before the next hit
 
 _WORD = regex.compile(r"[\p{L}\p{N}]+")
+_PLAIN_WORD = re.compile(r"[0-9A-Za-z]+")  # the same in ASCII
 _POSTINGS = pa.schema([("term", pa.string()), ("id", pa.int64()), ("count", pa.int32()), ("digits", pa.int32())])
 _BLOCKS = "term string, span long, n int, most_count int, most_digits int, offsets array<int>, counts array<int>, digits array<int>"
 _CHUNKS = "id long, book_id string, start_page int, end_page int, gone boolean"
@@ -47,6 +50,8 @@ _VERSION = "place int, segment string, ids long, ticket string"
 
 def _lengths(text: str) -> np.ndarray:
     """Where each character begins in UTF-8, and the end."""
+    if text.isascii():
+        return np.arange(len(text) + 1)
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     return np.concatenate([[0], np.cumsum(1 + (codes >= 0x80) + (codes >= 0x800) + (codes >= 0x10000))])
 
@@ -62,7 +67,7 @@ def postings(chunks: DataFrame) -> DataFrame:
         for batch in (b.slice(at, AT_ONCE) for b in batches for at in range(0, b.num_rows, AT_ONCE)):
             words, owner, digits = [], [], []
             for k, (text, folded) in enumerate(zip(batch.column("text").to_pylist(), batch.column("folded").to_pylist(), strict=True)):
-                found = [m.span() for m in _WORD.finditer(folded or "")]
+                found = [m.span() for m in (_PLAIN_WORD if folded.isascii() else _WORD).finditer(folded)]
                 if not found:
                     continue
                 words.extend(folded[a:b] for a, b in found)
@@ -73,10 +78,10 @@ def postings(chunks: DataFrame) -> DataFrame:
             if not words:
                 continue
             coded = pa.array(words, pa.string()).dictionary_encode()
-            keys = np.concatenate(owner) * len(coded.dictionary) + coded.indices.to_numpy()
+            keys = coded.indices.to_numpy().astype(np.int64) * AT_ONCE + np.concatenate(owner)  # a word's rows together, which packs well
             used, at = np.unique(keys, return_inverse=True)
-            ids = batch.column("id").to_numpy()[used // len(coded.dictionary)]
-            terms = coded.dictionary.take(pa.array(used % len(coded.dictionary)))
+            ids = batch.column("id").to_numpy()[used % AT_ONCE]
+            terms = coded.dictionary.take(pa.array(used // AT_ONCE))
             yield pa.RecordBatch.from_arrays([terms, pa.array(ids), pa.array(np.bincount(at), pa.int32()), pa.array(np.bincount(at, np.concatenate(digits)).astype(np.int32))], schema=_POSTINGS)
 
     whole = chunks.select(F.col("id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("folded", library.fold(F.col("text")))
@@ -85,11 +90,35 @@ def postings(chunks: DataFrame) -> DataFrame:
 
 def packed(found: DataFrame) -> DataFrame:
     """Posting blocks of postings (term, id, count, digits)."""
-    spans = found.select("term", F.floor(F.col("id") / SPAN).alias("span"), F.struct(F.pmod("id", F.lit(SPAN)).cast("int").alias("offset"), "count", "digits").alias("p"))
-    blocks = spans.repartitionByRange("term", "span").groupBy("term", "span").agg(F.sort_array(F.collect_list("p")).alias("p"))  # at most SPAN
-    columns = [F.col("p.offset").alias("offsets"), F.col("p.count").alias("counts"), F.col("p.digits").alias("digits")]
-    sized = blocks.select("term", "span", F.size("p").alias("n"), F.array_max("p.count").alias("most_count"), F.array_max("p.digits").alias("most_digits"), *columns)
-    return sized.sortWithinPartitions("term", "span")
+    rows = found.select("term", F.floor(F.col("id") / SPAN).alias("span"), F.pmod("id", F.lit(SPAN)).cast("int").alias("offset"), "count", "digits")
+    return rows.repartitionByRange("term", "span").sortWithinPartitions("term", "span", "offset").mapInArrow(_in_blocks, _BLOCKS)
+
+
+def _in_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of sorted postings, in their order. What is held over is one block, at most SPAN rows."""
+    held = None
+    for batch in batches:
+        rows = pa.Table.from_batches([batch] if held is None else [*held.to_batches(), batch])
+        if not rows.num_rows:
+            continue
+        term, span = rows["term"].combine_chunks(), rows["span"].to_numpy()
+        new = (span[1:] != span[:-1]) | pc.not_equal(term[1:], term[:-1]).to_numpy(zero_copy_only=False)
+        starts = np.concatenate([[0], np.flatnonzero(new) + 1])
+        if len(starts) > 1:
+            yield _blocks_of(rows.slice(0, starts[-1]), starts[:-1])
+        held = rows.slice(starts[-1])
+    if held is not None:
+        yield _blocks_of(held, np.zeros(1, np.int64))
+
+
+def _blocks_of(rows: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
+    bounds = pa.array(np.append(starts, rows.num_rows), pa.int32())
+    counts, digits = rows["count"].to_numpy(), rows["digits"].to_numpy()
+    lists = [pa.ListArray.from_arrays(bounds, pa.array(rows[c].to_numpy(), pa.int32())) for c in ("offset", "count", "digits")]
+    most = [pa.array(np.maximum.reduceat(some, starts), pa.int32()) for some in (counts, digits)]
+    at = pa.array(starts)
+    columns = [rows["term"].combine_chunks().take(at), pa.array(rows["span"].to_numpy()[starts]), pa.array(np.diff(np.append(starts, rows.num_rows)), pa.int32()), *most, *lists]
+    return pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in _BLOCKS.split(", ")])
 
 
 def unpacked(blocks: DataFrame, *kept: str) -> DataFrame:
@@ -146,7 +175,7 @@ class Store:
         newest = self._chunks(segments, 1).groupBy("id").agg(F.max("segment").alias("_newest"))
         return found.join(newest, "id", "left").where(F.coalesce("_newest", F.lit(0)) == F.col("segment")).drop("_newest")
 
-    def _write(self, chunks: DataFrame, gone: DataFrame | None, ticket: str | None) -> Segment:
+    def _write(self, chunks: DataFrame, gone: DataFrame | None, ticket: str | None, texts: DataFrame | None = None) -> Segment:
         name = uuid.uuid4().hex[:12]
         folder = f"{self.path}/segments/{name}"
         said = chunks.select(F.col("id").cast("long").alias("id"), F.col("book_id").cast("string").alias("book_id"), *[F.col(c).cast("int").alias(c) for c in ("start_page", "end_page")], F.lit(False).alias("gone"))
@@ -155,24 +184,27 @@ class Store:
             dropped = gone.select(F.col("id").cast("long").alias("id")).distinct().join(said.select("id"), "id", "left_anti")
             said = said.unionByName(dropped.select("id", *none, F.lit(True).alias("gone")))
         ids = settled(said, f"{folder}/chunks").count()
-        raw = settled(postings(chunks), f"{folder}/raw")  # cut into words once, although ranges are sampled
+        raw = settled(postings(chunks if texts is None else texts), f"{folder}/raw")  # cut into words once, although ranges are sampled
         packed(raw).write.parquet(f"{folder}/blocks")
         removed(self.spark, f"{folder}/raw")
         return Segment(name, ids, ticket)
 
     # Changes --------------------------------------------------------------------------------------
 
-    def build(self, chunks: DataFrame) -> Store:
-        """A new index of chunks (id, book_id, start_page, end_page, text; one row an id), in place of what was there."""
-        self._commit([self._write(chunks, None, None)])
+    def build(self, chunks: DataFrame, texts: DataFrame | None = None) -> Store:
+        """A new index of chunks (id, book_id, start_page, end_page, text; one row an id), in place of what was there.
+
+        texts (id, text, of the same ids): where the texts are, if pages are counted beside them and texts need not travel for that.
+        """
+        self._commit([self._write(chunks, None, None, texts)])
         return self
 
-    def change(self, chunks: DataFrame, gone: DataFrame | None = None, ticket: str | None = None) -> Store:
-        """Chunks put in or changed, and ids (id) that go. A change whose ticket the index has already is left out, so it can be repeated."""
+    def change(self, chunks: DataFrame, gone: DataFrame | None = None, ticket: str | None = None, texts: DataFrame | None = None) -> Store:
+        """Chunks put in or changed, and ids (id) that go; texts as in build. A change whose ticket the index has already is left out, so it can be repeated."""
         before = self.segments()
         if ticket is not None and any(s.ticket == ticket for s in before):
             return self
-        self._commit([*before, self._write(chunks, gone, ticket)])
+        self._commit([*before, self._write(chunks, gone, ticket, texts)])
         self.merge()
         return self
 
@@ -287,7 +319,8 @@ class Store:
         vocabulary = blocks.select("term").distinct()
         by_stem = told.withColumn("stem", F.left("said", F.lit(STEM))).join(vocabulary.withColumn("stem", F.left("term", F.lit(STEM))), "stem")
         wanted = settled(by_stem.where((F.col("term") == F.col("said")) | (F.col("open") & F.startswith("term", "said"))).select("question", "number", "term"), f"{path}/wanted")
-        matched = blocks.join(wanted, "term")
+        asked_for = settled(blocks.join(wanted.select("term").distinct(), "term", "left_semi"), f"{path}/blocks")  # read again for the bounds and both scores
+        matched = asked_for.join(wanted, "term")
         bounds = settled(matched.groupBy("question", "span").agg(F.sum(_bound()).alias("bound")), f"{path}/bounds")
         best = F.row_number().over(Window.partitionBy("question").orderBy(F.desc("bound"), "span"))
         seeds = bounds.withColumn("turn", best).where(F.col("turn") <= SEEDS).select("question", "span")
@@ -309,7 +342,7 @@ def _bound() -> Column:
     return F.col("most_digits") + F.col("most_count") * (F.length(F.col("number").cast("string")) + WRITTEN)
 
 
-def kept(chunks: DataFrame, path: str) -> Store:
-    """The index of chunks at path, built only if it is not there."""
+def kept(chunks: DataFrame, path: str, texts: DataFrame | None = None) -> Store:
+    """The index of chunks at path, built only if it is not there; texts as in Store.build."""
     store = Store(chunks.sparkSession, path)
-    return store if store.segments() else store.build(chunks)
+    return store if store.segments() else store.build(chunks, texts)

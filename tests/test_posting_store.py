@@ -157,3 +157,26 @@ def test_tiles_are_passed_over():
     assert left_out > 600
     for q in range(2):
         assert ids[q].tolist() == np.lexsort([np.arange(600), -exact[q]])[:3].tolist()
+
+
+def test_blocks_are_made_of_sorted_postings_over_batches():
+    import pyarrow as pa
+
+    rows = [("a", 0, k, k + 1, 9 - k) for k in range(6)] + [("a", 1, 3, 1, 1), ("b", 1, 0, 2, 2), ("b", 1, 7, 1, 5)]
+    names = ["term", "span", "offset", "count", "digits"]
+    kinds = pa.schema([("term", pa.string()), ("span", pa.int64()), ("offset", pa.int32()), ("count", pa.int32()), ("digits", pa.int32())])
+    whole = pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows], kinds)
+    want = [("a", 0, 6, 6, 9, list(range(6)), [1, 2, 3, 4, 5, 6], [9, 8, 7, 6, 5, 4]), ("a", 1, 1, 1, 1, [3], [1], [1]), ("b", 1, 2, 2, 5, [0, 7], [2, 1], [2, 5])]
+    for size in (1, 2, 4, 9):
+        parts = [whole.slice(0, 0), *(whole.slice(k, size) for k in range(0, len(rows), size))]
+        assert [tuple(r.values()) for b in posting_store._in_blocks(iter(parts)) for r in b.to_pylist()] == want
+    assert list(posting_store._in_blocks(iter([]))) == []
+
+
+def test_texts_beside_the_chunks_are_not_shuffled(spark, tmp_path):
+    chunks = spark.createDataFrame([(1, "b", 1, 1), (700, "b", 2, 2)], "id long, book_id string, start_page int, end_page int")
+    texts = spark.createDataFrame([(1, "La casa ÁRBOL casa"), (700, "árbol ½ ﬁn"), (-3, None)], "id long, text string")
+    both = chunks.join(texts, "id")
+    found = [posting_store.Store(spark, f"{tmp_path}/{n}").build(*given).search(["casa", "arbol"]) for n, given in enumerate(((both,), (chunks, texts)))]
+    assert sorted(map(tuple, found[0].collect())) == sorted(map(tuple, found[1].collect())) and found[0].count() == 2
+    assert "Exchange" not in posting_store.postings(texts)._jdf.queryExecution().executedPlan().toString()
